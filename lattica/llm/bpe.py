@@ -305,7 +305,7 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", keep: list[
     spark = docs.sparkSession
     shared, wanted = spark.sparkContext.broadcast(Automaton(vocabulary)), tuple(outputs)
     kept = [c for c in (docs.columns if keep is None else keep) if c not in wanted]
-    kinds = {"token_ids": "binary", "n_tokens": "bigint", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
+    kinds = {"token_ids": "binary", "n_tokens": "long", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
     source = docs.select(*(F.col(f"`{c}`") for c in kept), blank_if_null(F.col(f"`{text_col}`")).alias("__text"))
     schema = source.select(*(F.col(f"`{c}`") for c in kept)).schema
     for c in wanted:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, quality
 
-OPERATORS = [bpe.op7_bpe_codec]
-ORACLES: dict[str, str] = {}
+OPERATORS = [bpe.op7_bpe_codec, quality.op8_quality_rules]
+ORACLES: dict[str, str] = {**quality.ORACLE}
 
 
 def queries() -> dict:
