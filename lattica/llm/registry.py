@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, quality
+from . import bpe, chat, mixing, quality, secrets, warc
 
-OPERATORS = [bpe.op7_bpe_codec, quality.op8_quality_rules]
-ORACLES: dict[str, str] = {**quality.ORACLE}
+OPERATORS = [chat.op1_chat_format, secrets.op2_secret_scan, warc.op4_warc, mixing.op6_mix_sources, bpe.op7_bpe_codec, quality.op8_quality_rules]
+ORACLES: dict[str, str] = {**mixing.ORACLE, **quality.ORACLE}
 
 
 def queries() -> dict:
