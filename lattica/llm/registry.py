@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, mixing, quality, secrets, warc
+from . import bpe, chat, jaccard, mixing, quality, secrets, warc
 
-OPERATORS = [chat.op1_chat_format, secrets.op2_secret_scan, warc.op4_warc, mixing.op6_mix_sources, bpe.op7_bpe_codec, quality.op8_quality_rules]
+OPERATORS = [chat.op1_chat_format, secrets.op2_secret_scan, warc.op4_warc, jaccard.op5_jaccard_join, mixing.op6_mix_sources, bpe.op7_bpe_codec, quality.op8_quality_rules]
 ORACLES: dict[str, str] = {**mixing.ORACLE, **quality.ORACLE}
 
 
