@@ -15,8 +15,6 @@ from pyspark.sql import types as T
 #: A word is a run of anything but blank, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
-#: For str.translate: the blanks that are not the plain one become it, so that split(" ") deals out words.
-TO_SPACE = {ord(c): " " for c in BLANKS}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def words_of(text: str) -> list[str]:
     """The words of a text, in order."""
-    return [w for w in text.translate(TO_SPACE).split(" ") if w]
+    for c in BLANKS[1:]:
+        text = text.replace(c, " ")
+    words = text.split(" ")
+    return [w for w in words if w] if "" in words else words
 
 
 _fallback: str | None = None
