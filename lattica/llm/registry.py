@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, jaccard, langid, mixing, quality, secrets, warc
+from . import bpe, chat, jaccard, langid, mixing, pii, quality, secrets, warc
 
-OPERATORS = [chat.op1_chat_format, secrets.op2_secret_scan, warc.op4_warc, jaccard.op5_jaccard_join, mixing.op6_mix_sources, bpe.op7_bpe_codec, quality.op8_quality_rules, langid.op9_language_id]
+OPERATORS = [chat.op1_chat_format, secrets.op2_secret_scan, pii.op3_pii, warc.op4_warc, jaccard.op5_jaccard_join, mixing.op6_mix_sources, bpe.op7_bpe_codec, quality.op8_quality_rules, langid.op9_language_id]
 ORACLES: dict[str, str] = {**mixing.ORACLE, **quality.ORACLE}
 
 
