@@ -30,9 +30,9 @@ from .common import batches, blank_if_null, table
 #: White space of Unicode, fixed values.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 #: Chunks kept with their ids in each Python worker; a full table is emptied, so memory is bounded.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 200_000
 #: States of the byte table kept in each Python worker; it starts anew beyond them.
-TABLE_STATES = 400_000
+TABLE_STATES = 100_000
 #: Longer chunks are encoded but not kept.
 CACHE_CHARS = 64
 
@@ -154,14 +154,14 @@ class Automaton:
             if before == -1:
                 break
             token = self.left[token]
-        if len(self._arcs) > 4_000_000:
+        if len(self._arcs) > 300_000:
             self._arcs.clear()
         self._arcs[key] = found
         return found
 
     def _reset(self) -> None:
         self._steps: list[dict[int, int]] = [{}]
-        self._live: list[tuple] = [((0, 0),)]
+        self._live: list[tuple] = [(-1, (0, 0))]  # the token that ends the path, then places
         self._last: list[int] = [-1]
         self._number: dict[tuple, int] = {}
 
@@ -171,8 +171,9 @@ class Automaton:
         A state of the byte table holds the places where a token may have begun, each as the spelling since then and the
         automaton's state before it, and the token that ends the one accepted path so far.
         """
-        trie, live, last = self.trie, [], -1
-        for node, state in self._live[at]:
+        trie, live, last, places = self.trie, [-1], -1, iter(self._live[at])
+        next(places)
+        for node, state in places:
             below = trie.get((node << 8) | byte)
             if below is None:
                 continue
@@ -184,12 +185,13 @@ class Automaton:
         if last < 0:
             raise ValueError("the vocabulary does not cover every byte")
         live.append((0, self.target[last]))
-        key = (last, *live)
+        live[0] = last
+        key = tuple(live)
         to = self._number.get(key)
         if to is None:
             to = self._number[key] = len(self._steps)
             self._steps.append({})
-            self._live.append(tuple(live))
+            self._live.append(key)
             self._last.append(last)
         self._steps[at][byte] = to
         return to
@@ -204,13 +206,13 @@ class Automaton:
             at = self._step(at, byte) if to is None else to
             ends.append(last[at])
             if len(steps) > 2 * TABLE_STATES:  # a very long word: start a new table from where it is
-                live, token = self._live[at], last[at]
+                key = self._live[at]
                 self._reset()
                 steps, last = self._steps, self._last
                 steps.append({})
-                self._live.append(live)
-                last.append(token)
-                self._number[(token, *live)] = at = 1
+                self._live.append(key)
+                last.append(key[0])
+                self._number[key] = at = 1
         out, place = [], len(word)
         while place:
             token = ends[place - 1]

@@ -37,7 +37,7 @@ BLOCK = 1024
 #: A table of which at most so many bytes are counted may be broadcast.
 BROADCAST_BYTES = 32 << 20
 #: Word hashes kept in each Python worker; a full table is emptied.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:

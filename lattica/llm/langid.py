@@ -25,7 +25,7 @@ GRAM = 3
 PENALTY, FLOOR = 8.0, -5.0
 #: Texts labelled together hold about so many characters.
 TOGETHER = 1 << 20
-CACHE_TOKENS = 400_000
+CACHE_TOKENS = 200_000
 #: Fixed ranges of scripts.
 SCRIPTS = [
     ("Latin", 0x41, 0x24F), ("Greek", 0x370, 0x3FF), ("Cyrillic", 0x400, 0x52F), ("Armenian", 0x530, 0x58F), ("Hebrew", 0x590, 0x5FF), ("Arabic", 0x600, 0x77F), ("Devanagari", 0x900, 0x97F),

@@ -23,8 +23,9 @@ from .common import table, written
 
 TOP, RERANK = 20, 120
 FIT_ROWS, BLOCK = 8192, 4096
-#: A partition for about so many vectors, at most MOST_PARTITIONS; a query looks into the part PROBE of them, two at least.
-PARTITION_ROWS, MOST_PARTITIONS, PROBE = 2000, 1024, 0.4
+#: A partition for about so many vectors, at most MOST_PARTITIONS. A query looks into as many of them as hold the part
+#: COVER of the true nearest of sampled queries among the sample; where vectors form no clusters, that is nearly all.
+PARTITION_ROWS, MOST_PARTITIONS, COVER, TRIED = 2000, 1024, 0.97, 400
 SCORE_THRESHOLD = 0.2
 #: A float array comes to the driver for each partition and codebook entry, so the dimension bounds the model.
 SUBDIM, CODES = 2, 16
@@ -52,6 +53,19 @@ class Index:
         pad = -self.dim % (2 * SUBDIM)  # pairs of codes share a byte
         self.width = self.dim + pad
         self.books = self._fit(sample, rng)
+        self.looks = self._calibrate(sample, rng)
+
+    def _calibrate(self, sample: np.ndarray, rng: np.random.Generator) -> int:
+        tried = rng.permutation(len(sample))[:TRIED]
+        part, order = self.part_of(sample), self._order(sample[tried])
+        seen = np.zeros(self.parts)
+        for i, own in zip(tried, order, strict=True):
+            score = sample @ sample[i]
+            score[i] = -np.inf
+            places = np.argsort(own)  # of each partition in the query's order
+            seen += np.bincount(places[part[np.argsort(-score, kind="stable")[: min(TOP, len(sample) - 1)]]], minlength=self.parts)
+        covered = np.cumsum(seen) / max(seen.sum(), 1)
+        return int(np.searchsorted(covered, COVER)) + 1 if seen.sum() else self.parts
 
     @staticmethod
     def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -115,9 +129,11 @@ class Index:
         codes = self._assign(rest, way, self.books).astype(np.uint8)
         return part, codes[:, ::2] << 4 | codes[:, 1::2]
 
+    def _order(self, q: np.ndarray) -> np.ndarray:
+        return np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")
+
     def probes(self, q: np.ndarray) -> np.ndarray:
-        n = min(self.parts, max(2, int(np.ceil(PROBE * self.parts))))
-        return np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, :n]
+        return self._order(q)[:, : min(self.parts, max(2, self.looks))]
 
     def scan(self, q: np.ndarray, part: int, codes: np.ndarray) -> np.ndarray:
         """Approximate scores of queries (rows) with coded vectors of a partition (columns)."""
