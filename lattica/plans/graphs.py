@@ -1,7 +1,83 @@
-"""Queries."""
+"""Queries for graph operators and compaction."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from lattica.operators import compaction as C
+from lattica.operators import graph as G
+
 from .registry import Book
 
 BOOK = Book()
+add = BOOK.add
+INV = "CASE link_type WHEN 'supports' THEN 'supported-by' WHEN 'part-of' THEN 'has-part' WHEN 'follows' THEN 'precedes' ELSE 'related' END"
+COST = "CASE WHEN link_type IN ('part-of','has-part','follows','precedes') THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END"
+DIR = f"dir AS (SELECT src, dst, link_type FROM edges UNION ALL SELECT dst, src, {INV} FROM edges)"
+SEED = lambda s, *ids: s.spark.createDataFrame([(i,) for i in ids], "id string")
+
+
+def hops(name: str, start: str, n: int, view: str, cost: str = "1.0::DOUBLE", extra: str = "") -> str:
+    """Least costs by levels of at most n links, as a chain of expressions."""
+    ctes = [f"{name}0 AS (SELECT '{start}' AS id, 0.0::DOUBLE AS cost)"]
+    for i in range(n):
+        ctes.append(f"{name}{i + 1} AS MATERIALIZED (SELECT id, min(cost) AS cost FROM (SELECT * FROM {name}{i} UNION ALL SELECT e.dst, p.cost+{cost} FROM {name}{i} p JOIN {view} e ON e.src=p.id {extra}) GROUP BY id)")
+    return ",\n".join(ctes)
+
+
+VALUED = "val AS (SELECT d.src, d.dst, d.link_type, coalesce(value,50) AS v FROM dir d JOIN notes ON id=d.dst)"
+EDGE_COST = "e.w"
+WEIGHTED = f"{DIR}, {VALUED}, wdir AS (SELECT src, dst, v, {COST}*(1+(100-v)/100.0::DOUBLE) AS w FROM val)"
+R6 = lambda d: d.select("id", F.round("cost", 6).alias("cost"))
+add("G1_inversion", lambda s: G.inverted(s.edges).groupBy("link_type", "provenance").agg(F.count("*").alias("n")), f"SELECT link_type, CASE WHEN inline THEN 'inline' ELSE 'typed' END AS provenance, count(*) AS n FROM edges GROUP BY ALL UNION ALL SELECT {INV} AS link_type, 'virtual', count(*) FROM edges GROUP BY 1")
+add("G2_neighbours", lambda s: G.neighbours(s.edges, 3).select("src", "dst", "link_type"), "SELECT src, dst, link_type FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY link_type, dst) AS r FROM (SELECT DISTINCT * FROM dir)) WHERE r<=3", DIR)
+add("G3_tree_unweighted", lambda s: G.tree(G.directed(s.edges, "out"), SEED(s, "qp-1"), 3).select("id", "hop"), "SELECT id, cost::INT AS hop FROM h3", hops("h", "qp-1", 3, "edges"))
+add("G3_distances_both", lambda s: R6(G.distances(G.directed(s.edges), SEED(s, "qp-30"), 3)), "SELECT id, cost FROM h3", DIR + ", " + hops("h", "qp-30", 3, "dir"))
+add("G4_tree_weighted", lambda s: R6(G.distances(G.directed(s.edges), SEED(s, "qp-30"), 3, s.base)), "SELECT id, round(cost,6) AS cost FROM h3", WEIGHTED + ", " + hops("h", "qp-30", 3, "wdir", EDGE_COST))
+add("G8_min_value_gate", lambda s: R6(G.distances(G.directed(s.edges), SEED(s, "qp-30"), 3, s.base, 40)), "SELECT id, round(cost,6) AS cost FROM h3", WEIGHTED + ", " + hops("h", "qp-30", 3, "wdir", EDGE_COST, "AND e.v>=40"))
+add("G5_path_cost", lambda s: R6(G.distances(G.directed(s.edges, "out"), SEED(s, "qp-2"), 6, s.base).filter("id = 'qp-77'")), "SELECT id, round(cost,6) AS cost FROM h6 WHERE id='qp-77'", "oval AS (SELECT d.src, d.dst, " + COST + "*(1+(100-coalesce(value,50))/100.0::DOUBLE) AS w FROM edges d JOIN notes ON id=d.dst), " + hops("h", "qp-2", 6, "oval", EDGE_COST))
+add("G6_path_length", lambda s: G.path(G.directed(s.edges, "out"), "qp-2", "qp-77", 10, s.spark).agg((F.count("*") - 1).alias("links")), "SELECT cost::BIGINT AS links FROM h8 WHERE id='qp-77'", hops("h", "qp-2", 8, "edges"))
+add("G7_limits", lambda s: G.limited_tree(G.tree(G.directed(s.edges, "out"), SEED(s, "qp-1"), 3), 10)[1], "SELECT count(*)>10 AS truncated FROM h3", hops("h", "qp-1", 3, "edges"))
+add("G9_collection_members", lambda s: G.collection_members(s.edges, s.base, "qp-10", True, s.spark), "SELECT id FROM m", "m AS (SELECT 'qp-10' AS id UNION SELECT e.dst FROM m JOIN edges e ON e.src=m.id JOIN notes x ON x.id=m.id WHERE x.type='moc')", True)
+add("G10_budget_walk", lambda s: R6(G.simple_walk(s.edges, SEED(s, "qp-30"), 2.0)), "SELECT id, round(cost,6) AS cost FROM h4 WHERE cost<=2.0", DIR + f", cdir AS (SELECT src, dst, {COST} AS w FROM dir), " + hops("h", "qp-30", 4, "cdir", EDGE_COST))
+add("G11_slice", lambda s: G.distances(G.directed(s.edges), SEED(s, "qp-3", "qp-4"), 2).select("id"), "SELECT DISTINCT id FROM (SELECT id FROM a2 UNION SELECT id FROM b2)", DIR + ", " + hops("a", "qp-3", 2, "dir") + ", " + hops("b", "qp-4", 2, "dir"))
+add("G12_walk_ids", lambda s: G.tree(G.directed(s.edges), SEED(s, "qp-5"), 2).select("id"), "SELECT id FROM h2", DIR + ", " + hops("h", "qp-5", 2, "dir"))
+CANON = "chain AS (SELECT source_id AS id, digest_id AS top, 1 AS k FROM compacts UNION ALL SELECT c.id, p.digest_id, k+1 FROM chain c JOIN compacts p ON p.source_id=c.top), canon AS (SELECT id, arg_max(top,k) AS canonical FROM chain GROUP BY 1)"
+add("G13_canonical", lambda s: C.canonical(s.compacts), "SELECT * FROM canon", CANON, True)
+add("J9_equivalence", lambda s: C.equivalence(s.compacts).select("canonical", F.array_join("members", ",").alias("members")), "SELECT canonical, string_agg(m,',' ORDER BY m) AS members FROM (SELECT canonical, id AS m FROM canon UNION SELECT canonical, canonical FROM canon) GROUP BY 1", CANON, True)
+add("G14_conflicts", lambda s: C.conflicts(s.compacts.unionByName(s.compacts.filter("digest_id = 'qp-100'").select(F.lit("qp-7").alias("digest_id"), "source_id"))), "SELECT source_id AS id, 'multiple-compactors' AS problem FROM compacts WHERE digest_id='qp-100'")
+BELOW = "below AS (SELECT digest_id, source_id, 1 AS depth FROM compacts UNION ALL SELECT b.digest_id, c.source_id, depth+1 FROM below b JOIN compacts c ON c.digest_id=b.source_id WHERE depth<3), flat AS (SELECT digest_id, source_id, min(depth) AS depth FROM below GROUP BY 1,2)"
+add("G15_expand", lambda s: C.expand(s.compacts, 3), "SELECT * FROM flat", BELOW, True)
+add("G16_compaction_tree", lambda s: C.expand(s.compacts.filter("digest_id = 'qp-100' or digest_id = 'qp-120'"), 2).filter("digest_id = 'qp-100'").select("source_id", "depth"), "SELECT source_id, depth FROM flat WHERE digest_id='qp-100' AND depth<=2", BELOW, True)
+SIZES = lambda s: s.base.select("id", F.octet_length("title").alias("size"))
+PCT = "SELECT d.digest_id, round(CASE WHEN sum(strlen(n2.title))=0 THEN 0 ELSE 100.0::DOUBLE*(1-any_value(strlen(n1.title))/sum(strlen(n2.title))) END,6) AS pct FROM {} d JOIN notes n1 ON n1.id=d.digest_id JOIN notes n2 ON n2.id=d.source_id GROUP BY 1"
+add("A11_saved_percent", lambda s: C.saved_percent(SIZES(s), s.compacts).select("digest_id", F.round("pct", 6).alias("pct")), PCT.format("compacts"))
+add("A12_saved_at_depth", lambda s: C.saved_percent(SIZES(s), C.expand(s.compacts, 2)).select("digest_id", F.round("pct", 6).alias("pct")), PCT.format("(SELECT * FROM flat WHERE depth<=2)"), BELOW, True)
+add("A15_staleness", lambda s: C.staleness(s.compacts, s.base), "SELECT digest_id, source_id FROM compacts JOIN notes d ON d.id=digest_id JOIN notes s ON s.id=source_id WHERE s.updated>d.updated")
+add("A14_digest_edges", lambda s: s.edges.join(s.compacts.select(F.col("source_id").alias("src"), "digest_id"), "src").join(s.compacts.select(F.col("source_id").alias("dst"), F.col("digest_id").alias("d2")), "dst", "left").groupBy("digest_id").agg(F.count_if(F.col("digest_id") == F.col("d2")).alias("internal"), F.count_if(~F.col("digest_id").eqNullSafe(F.col("d2"))).alias("boundary")),
+    "SELECT a.digest_id, count(*) FILTER (a.digest_id=b.digest_id) AS internal, count(*) FILTER (a.digest_id IS DISTINCT FROM b.digest_id) AS boundary FROM edges e JOIN compacts a ON a.source_id=e.src LEFT JOIN compacts b ON b.source_id=e.dst GROUP BY 1")
+_SPARSE = lambda s: s.edges.filter("link_type = 'follows'")
+LABEL = "und AS (SELECT src AS a, dst AS b FROM edges WHERE link_type='follows' UNION SELECT dst, src FROM edges WHERE link_type='follows'), reach AS (SELECT a, b FROM und UNION SELECT r.a, u.b FROM reach r JOIN und u ON u.a=r.b)"
+add("G17_components", lambda s: G.components(_SPARSE(s)), "SELECT a AS id, least(a,min(b)) AS component FROM reach GROUP BY 1, a", LABEL.replace("SELECT a AS id", "SELECT a AS id"), True)
+add("G18_on_cycles", lambda s: G.on_cycles(s.edges.filter("link_type = 'supports'")), "SELECT DISTINCT a AS id FROM reach WHERE a=b", "reach AS (SELECT src AS a, dst AS b FROM edges WHERE link_type='supports' UNION SELECT r.a, e.dst FROM reach r JOIN edges e ON e.src=r.b WHERE e.link_type='supports')", True)
+add("G19_validation", lambda s: C.conflicts(s.compacts).select("id").unionByName(s.compacts.select(F.col("source_id").alias("id")).join(s.base.select("id"), "id", "left_anti")).unionByName(s.compacts.select(F.col("digest_id").alias("id")).join(s.base.select("id"), "id", "left_anti")), "SELECT source_id AS id FROM compacts WHERE source_id NOT IN (SELECT id FROM notes) OR digest_id=source_id")
+_ME = lambda s: C.canonical(s.compacts)
+
+
+def link_list(s):
+    """Links of a class of notes as links of its digest, without self-loops and repeats."""
+    canon = _ME(s)
+    to = canon.select(F.col("id").alias("dst"), F.col("canonical").alias("d2"))
+    frm = canon.select(F.col("id").alias("src"), F.col("canonical").alias("s2"))
+    e = s.edges.join(frm, "src", "left").join(to, "dst", "left").select(F.coalesce("s2", "src").alias("src"), F.coalesce("d2", "dst").alias("dst"), "link_type")
+    return e.filter("src <> dst").filter("src = 'qp-100'").distinct()
+
+
+add("G20_link_list", link_list, "SELECT DISTINCT s AS src, d AS dst, link_type FROM (SELECT coalesce(a.canonical,e.src) AS s, coalesce(b.canonical,e.dst) AS d, link_type FROM edges e LEFT JOIN canon a ON a.id=e.src LEFT JOIN canon b ON b.id=e.dst) WHERE s<>d AND s='qp-100'", CANON, True)
+add("G21_show_links", lambda s: G.inverted(s.edges).filter("src = 'qp-40'").select("dst", "link_type", "provenance"), f"SELECT dst, link_type, CASE WHEN inline THEN 'inline' ELSE 'typed' END AS provenance FROM edges WHERE src='qp-40' UNION ALL SELECT src, {INV}, 'virtual' FROM edges WHERE dst='qp-40'")
+_NOTES = lambda s: s.base.select("id", "type", F.octet_length("title").alias("size"), "value")
+add("A13_cluster_metrics", lambda s: C.suggestions(_SPARSE(s), _NOTES(s)).select("component", "node_count", "internal_edges", "boundary_edges", F.round("cohesion", 6).alias("cohesion"), F.round("score", 6).alias("score")),
+    """SELECT component, node_count, internal_edges, boundary_edges, round(cohesion,6) AS cohesion, round(score,6) AS score FROM (SELECT *, ln(size)+10*cohesion-5*(boundary_edges/greatest(internal_edges+boundary_edges,1))+sqrt(node_count)+CASE WHEN v<20 THEN 15 WHEN v<40 THEN 7.5 WHEN v<60 THEN 0 WHEN v<80 THEN -5 ELSE -10 END AS score FROM (SELECT *, internal_edges/greatest(internal_edges+boundary_edges,1) AS cohesion FROM
+(SELECT component, count(*) AS node_count, sum(strlen(title)) AS size, coalesce(avg(value),50) AS v FROM comp JOIN notes USING (id) GROUP BY 1) JOIN (SELECT a.component, count(*) FILTER (a.component=b.component) AS internal_edges, count(*) FILTER (a.component IS DISTINCT FROM b.component) AS boundary_edges FROM edges e JOIN comp a ON a.id=e.src LEFT JOIN comp b ON b.id=e.dst WHERE link_type='follows' GROUP BY 1) USING (component))) WHERE node_count>=3 AND cohesion>=0.3 ORDER BY score DESC, component LIMIT 10""",
+    "pl AS (SELECT id FROM notes WHERE type<>'moc'), und AS (SELECT src AS a, dst AS b FROM edges WHERE link_type='follows' AND src IN (SELECT id FROM pl) AND dst IN (SELECT id FROM pl) UNION SELECT dst, src FROM edges WHERE link_type='follows' AND src IN (SELECT id FROM pl) AND dst IN (SELECT id FROM pl)), reach AS (SELECT a, b FROM und UNION SELECT r.a, u.b FROM reach r JOIN und u ON u.a=r.b), comp AS (SELECT a AS id, least(a,min(b)) AS component FROM reach GROUP BY a)", True)
+add("O11_suggestions", lambda s: C.suggestions(G.inverted(s.edges).filter("link_type in ('follows', 'related')").select("src", "dst"), _NOTES(s)).select("component", "node_count"))
