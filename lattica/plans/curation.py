@@ -1,7 +1,80 @@
-"""Queries."""
+"""Queries for checks, budgets and changes."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from lattica.operators import context as X
+from lattica.operators import mutate as U
+from lattica.operators import quality as Q
+from lattica.operators import relational as R
+from lattica.operators import similarity as M
+from lattica.operators.graph import directed, distances
+from lattica.operators.search import postings
+
+from .graphs import DIR, SEED, hops
 from .registry import Book
+from .retrieval import VEC
+from .textual import LINKED
 
 BOOK = Book()
+add = BOOK.add
+ISSUE = "'{}' AS severity, '{}' AS category"
+
+
+def check(name: str, fn, severity: str, category: str, sql: str, ctes: str = "", recursive: bool = False) -> None:
+    add(name, fn, f"SELECT {ISSUE.format(severity, category)}, {sql}", ctes, recursive)
+
+
+_BODY = lambda s: LINKED(s).select("doc_id", "id", F.concat("b", F.lit("\n- [[qp-1]] x\n* [[qp-2]] with a long enough description\n"), F.when(F.col("doc_id") % 2 == 0, "- [[a]]").otherwise("")).alias("body"))
+_FILES = lambda s: s.spark.createDataFrame([("a0.png",), ("a1.png",), ("z9.png",)], "name string")
+check("D3_missing_file", lambda s: Q.missing_files(s.base, s.base.filter("doc_id % 40 <> 0").select("id")), "error", "missing-file", "id AS note_id, '' AS detail FROM notes WHERE doc_id%40=0")
+check("D4_duplicate_id", lambda s: Q.duplicate_ids(s.base.select("id").unionByName(s.base.filter("doc_id % 90 = 0").select("id"))), "error", "duplicate-id", "id AS note_id, '2' AS detail FROM notes WHERE doc_id%90=0")
+check("D5_broken_link", lambda s: Q.broken_links(s.unresolved), "error", "broken-link", "src AS note_id, target_ref AS detail FROM unresolved")
+add("D6_semantic_misuse", lambda s: Q.semantic_misuse(s.edges.withColumn("dst", F.when((F.col("src") == "qp-60") & (F.col("link_type") == "part-of"), F.col("src")).otherwise(F.col("dst"))).unionByName(s.edges.filter("src = 'qp-8' and link_type = 'supports'").withColumn("link_type", F.lit("contradicts")))),
+    "SELECT 'warning' AS severity, 'semantic-link-misuse' AS category, 'qp-60' AS note_id, 'part-of' AS detail UNION ALL SELECT 'warning','semantic-link-misuse', src, dst FROM edges WHERE src='qp-8' AND link_type='supports'")
+check("D7_missing_field", lambda s: Q.missing_fields(s.base.withColumn("title", F.when(F.col("doc_id") % 70 == 0, " ").otherwise(F.concat(F.lit("x"), F.col("title"))))), "error", "missing-field", "id AS note_id, '' AS detail FROM notes WHERE doc_id%70=0")
+check("D8_invalid_value", lambda s: Q.invalid_values(s.base.withColumn("value", F.col("value") + 60)), "error", "invalid-value", "id AS note_id, (value+60)::VARCHAR AS detail FROM notes WHERE value+60>100")
+check("D9_large_metadata", lambda s: Q.large_metadata(s.base.select("id", F.to_json(F.struct(F.lit("x").alias("k"), F.repeat(F.lit("y"), F.col("doc_id").cast("int") * 30).alias("v"))).alias("custom"))), "warning", "large-custom-metadata", "id AS note_id, (doc_id*30+16)::VARCHAR AS detail FROM notes WHERE doc_id*30+16>10240")
+add("D10_attachments", lambda s: Q.attachments(_BODY(s), _FILES(s)), "SELECT 'error' AS severity, 'broken-attachment' AS category, id AS note_id, 'a'||(doc_id%5)||'.png' AS detail FROM notes WHERE doc_id%5>1 UNION ALL SELECT 'warning','orphaned-attachment',NULL,'z9.png'")
+check("D11_compaction_invariant", lambda s: Q.compaction_invariants(s.compacts.unionByName(s.compacts.filter("digest_id = 'qp-100'").select(F.lit("qp-7").alias("digest_id"), "source_id"))), "error", "compaction-invariant", "source_id AS note_id, 'multiple-compactors' AS detail FROM compacts WHERE digest_id='qp-100'")
+check("D12_bare_link_list", lambda s: Q.bare_link_lists(_BODY(s)), "warning", "bare-link-list", "id AS note_id, '12' AS detail FROM notes")
+check("D13_orphaned_alias", lambda s: Q.orphaned_aliases(s.spark.createDataFrame([("german", "de"), ("lost", "gone")], "alias string, canonical string"), s.tags), "warning", "orphaned-tag-alias", "NULL::VARCHAR AS note_id, 'gone' AS detail")
+check("D14_complexity", lambda s: Q.complexity(s.base), "warning", "note-complexity", r"id AS note_id, CASE WHEN w>1500 THEN w||' words' ELSE p||' paragraphs' END AS detail FROM (SELECT id, len(list_filter(string_split_regex(body,'[\s\x0b]+'), lambda x: x<>'')) AS w, len(list_filter(string_split(body,chr(10)||chr(10)), lambda x: regexp_replace(x,'[\s\x0b]','','g')<>'')) AS p FROM notes) WHERE w>1500 OR p>50")
+check("D15_empty_collection", lambda s: Q.empty_collections(s.base, s.edges.filter("src <> 'qp-20'")), "warning", "empty-moc", "'qp-20' AS note_id, '' AS detail")
+check("D16_near_duplicate", lambda s: Q.near_duplicates(M.near_duplicates(M.vectors(postings(s.notes), s.size), 0.85)), "warning", "near-duplicate", "a.id AS note_id, b.id AS detail FROM vec a JOIN vec b ON a.term=b.term AND a.id<b.id GROUP BY a.id, b.id HAVING sum(a.w*b.w)>=0.85", VEC)
+add("D17_unknown_types", lambda s: Q.unknown_types(s.base.withColumn("type", F.when(F.col("doc_id") % 99 == 0, "odd").otherwise(F.col("type"))), s.edges.withColumn("link_type", F.when(F.col("src") == "qp-9", "likes").otherwise(F.col("link_type")))), "SELECT 'error' AS severity, 'invalid-note-type' AS category, id AS note_id, 'odd' AS detail FROM notes WHERE doc_id%99=0 UNION ALL SELECT 'error','invalid-link-type',src,'likes' FROM edges WHERE src='qp-9'")
+add("A19_severities", lambda s: Q.severities(Q.broken_links(s.unresolved).unionByName(Q.complexity(s.base, 800, 50)).unionByName(Q.empty_collections(s.base, s.edges.filter("src <> 'qp-20'")))).filter("severity = 'error'"), "SELECT 'error' AS severity, count(*) AS n FROM unresolved")
+add("D19_fixes", lambda s: Q.fixed(s.base.withColumn("value", F.col("value") + 60), s.edges.select("src", "dst"))[0].select("id", F.coalesce("value", F.lit(-1)).alias("value")), "SELECT id, CASE WHEN value IS NULL THEN -1 ELSE least(value+60,100) END AS value FROM notes")
+# Budgets and selections
+_SUM = lambda s: s.notes.withColumn("summary", F.col("title"))
+add("X19_context_size", lambda s: _SUM(s).select("id", X.note_size().cast("long").alias("brief"), X.note_size(True).cast("long").alias("whole")), "SELECT id, (strlen(id)+15+strlen(title)+20+strlen(type)+15+strlen(array_to_string(tags,','))+20+100+strlen(title)+CASE WHEN title<>'' THEN strlen(id)+5 ELSE 0 END)::BIGINT AS brief, (strlen(id)+15+strlen(title)+20+strlen(type)+15+strlen(array_to_string(tags,','))+20+100+strlen(body)+30)::BIGINT AS whole FROM notes")
+add("X20_prime_size", lambda s: s.notes.select("id", X.prime_size("human", True).cast("long").alias("h"), X.prime_size("records", False).cast("long").alias("r")), "SELECT id, (strlen(id)+strlen(title)+strlen(array_to_string(tags,', '))+15)::BIGINT AS h, (strlen(id)+strlen(title)+strlen(type)+strlen(array_to_string(tags,','))+20)::BIGINT AS r FROM notes")
+_PRIME = "x AS (SELECT *, 0 AS part, updated AS moved, strlen(id)+strlen(title)+strlen(array_to_string(tags,', '))+15 AS size FROM (SELECT * FROM notes WHERE type='moc' ORDER BY updated DESC NULLS FIRST, id LIMIT 10) UNION ALL SELECT *, 1, coalesce(updated,created), strlen(id)+strlen(title)+5 FROM (SELECT * FROM notes WHERE type<>'moc' ORDER BY coalesce(updated,created) DESC NULLS FIRST, id LIMIT 10))"
+add("W2_prime_budget", lambda s: X.prime(s.notes, 1200).select("id", "part", "used"), "SELECT id, part, used::BIGINT AS used FROM (SELECT *, 500+sum(size) OVER (ORDER BY part, moved DESC NULLS FIRST, id ROWS UNBOUNDED PRECEDING) AS used FROM x) WHERE used<=1200", _PRIME)
+add("P5_prime", lambda s: X.prime(s.notes).select("id", "part", F.col("size").cast("long").alias("size")), "SELECT id, part, size::BIGINT AS size FROM x", _PRIME)
+add("W4_block_budget", lambda s: X.blocks_within(R.first_n(s.base, 50, F.col("value").desc_nulls_last()).withColumn("size", F.octet_length("title")), "size", [F.col("value").desc_nulls_last(), "id"], 700))
+_TOP = lambda s: R.first_n(s.base, 30, F.col("value").desc_nulls_last()).select("id", "value", F.col("title").alias("content"))
+add("W5_truncated", lambda s: X.truncated_contents(_TOP(s), [F.col("value").desc_nulls_last(), "id"], 500).select("id", "content"), "SELECT id, substr(title,1,greatest(500-coalesce(sum(length(title)) OVER (ORDER BY value DESC NULLS LAST, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0),0)::INT) AS content FROM (SELECT * FROM notes ORDER BY value DESC NULLS LAST, id LIMIT 30)")
+_POS = lambda d: d.withColumn("pos", F.lit(0))
+add("P1_context", lambda s: R.ordered_union(_POS(distances(directed(s.edges), SEED(s, "qp-30"), 1).select("id")), _POS(s.base.filter("id in ('qp-3','qp-4')").select("id")), _POS(s.tags.filter("tag = 'tox'").select(F.col("note_id").alias("id"))), _POS(R.backlinks(s.edges, "qp-30").select(F.col("src").alias("id")))).select("id", "source_rank"),
+    "SELECT id, min(r) AS source_rank FROM (SELECT id, 0 AS r FROM h1 UNION ALL SELECT id, 1 FROM notes WHERE id IN ('qp-3','qp-4') UNION ALL SELECT note_id, 2 FROM tags WHERE tag='tox' UNION ALL SELECT src, 3 FROM edges WHERE dst='qp-30') GROUP BY 1", DIR + ", " + hops("h", "qp-30", 1, "dir"))
+add("P2_from_tag", lambda s: s.tags.filter("tag = 'src3'").select(F.col("note_id").alias("id")).distinct(), "SELECT DISTINCT note_id AS id FROM tags WHERE tag='src3'")
+add("P3_backlink_expansion", lambda s: s.edges.join(s.base.filter("type = 'moc' and value > 80").select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct(), "SELECT DISTINCT src AS id FROM edges WHERE dst IN (SELECT id FROM notes WHERE type='moc' AND value>80)")
+add("P4_view", lambda s: s.base.select("id", "type").join(s.compacts.groupBy(F.col("digest_id").alias("id")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("source_id")), ",").alias("ids")), "id"), "SELECT digest_id AS id, any_value(type) AS type, count(*) AS n, string_agg(source_id,',' ORDER BY source_id) AS ids FROM compacts JOIN notes ON id=digest_id GROUP BY 1")
+# Changes
+_NEW = lambda s: s.base.filter("doc_id % 10 < 2").select("id", F.concat(F.lit("New "), F.col("title")).alias("title")).unionByName(s.base.filter("doc_id % 100 = 0").select(F.concat(F.lit("qp-x"), F.col("doc_id")).alias("id"), "title"))
+_OLD = lambda s: s.base.filter("doc_id % 10 < 5").select("id", "title")
+_NEWSQL = "old AS (SELECT id, title FROM notes WHERE doc_id%10<5), new AS (SELECT id, 'New '||title AS title FROM notes WHERE doc_id%10<2 UNION ALL SELECT 'qp-x'||doc_id, title FROM notes WHERE doc_id%100=0)"
+add("P6_create", lambda s: _OLD(s).unionByName(s.spark.createDataFrame([("qp-new", "A note")], "id string, title string")), "SELECT * FROM old UNION ALL SELECT 'qp-new','A note'", _NEWSQL)
+add("P7_save", lambda s: U.save(s.base.select("id", "title", "updated"), _NEW(s), ["title"], F.lit("2025-01-01").cast("timestamp")).select("id", "title", F.date_format("updated", "yyyy-MM-dd").alias("updated")), "SELECT id, CASE WHEN doc_id%10<2 THEN 'New '||title ELSE title END AS title, CASE WHEN doc_id%10<2 THEN '2025-01-01' ELSE strftime(updated,'%Y-%m-%d') END AS updated FROM notes")
+add("P8_update", lambda s: U.update_where(s.notes, F.col("id") == "qp-5", value=99, verified=True).select("id", F.coalesce("value", F.lit(-1)).alias("value"), F.coalesce("verified", F.lit(False)).alias("verified")), "SELECT id, CASE WHEN id='qp-5' THEN 99 ELSE coalesce(value,-1) END AS value, CASE WHEN id='qp-5' THEN true ELSE coalesce(verified,false) END AS verified FROM notes")
+add("P9_links", lambda s: U.materialize(U.remove_link(U.add_link(s.edges, "qp-2", "qp-9", "refines"), "qp-3", "qp-10", "supports"), "qp-4", "refines").select("src", "dst", "link_type", "inline"), "SELECT src, dst, CASE WHEN src='qp-4' AND inline THEN 'refines' ELSE link_type END AS link_type, inline AND src<>'qp-4' AS inline FROM edges WHERE NOT (src='qp-3' AND dst='qp-10' AND link_type='supports') UNION ALL SELECT 'qp-2','qp-9','refines',false")
+add("P10_merge", lambda s: U.merge_notes(s.notes, s.edges, "qp-11", "qp-12")[0].filter("id = 'qp-12'").select("id", F.array_join("tags", ",").alias("tags"), F.md5(F.col("body").cast("binary")).alias("body")), "SELECT 'qp-12' AS id, array_to_string(list_sort(list_distinct(list_concat(a.tags,b.tags))),',') AS tags, md5(trim(a.body)||chr(10)||chr(10)||'---'||chr(10)||chr(10)||'### Merged from qp-11'||chr(10)||chr(10)||trim(b.body)) AS body FROM notes a, notes b WHERE a.id='qp-12' AND b.id='qp-11'")
+add("U4_merged_links", lambda s: U.merge_notes(s.notes, s.edges, "qp-11", "qp-12")[1].filter("src = 'qp-12' or dst = 'qp-12'").select("src", "dst", "link_type"), "SELECT DISTINCT s AS src, d AS dst, link_type FROM (SELECT CASE src WHEN 'qp-11' THEN 'qp-12' ELSE src END AS s, CASE dst WHEN 'qp-11' THEN 'qp-12' ELSE dst END AS d, link_type FROM edges) WHERE s<>d AND (s='qp-12' OR d='qp-12')")
+add("U5_compacts_union", lambda s: s.compacts.unionByName(s.spark.createDataFrame([("qp-20", "qp-21"), ("qp-20", "qp-29")], "digest_id string, source_id string")).distinct().filter("digest_id = 'qp-20'"), "SELECT digest_id, source_id FROM compacts WHERE digest_id='qp-20' UNION SELECT 'qp-20','qp-29'")
+add("P11_load_skip", lambda s: U.load(_OLD(s), _NEW(s), "skip"), "SELECT * FROM old UNION ALL SELECT * FROM new WHERE id NOT IN (SELECT id FROM old)", _NEWSQL)
+add("P11_load_overwrite", lambda s: U.load(_OLD(s), _NEW(s), "overwrite"), "SELECT * FROM new UNION ALL SELECT * FROM old WHERE id NOT IN (SELECT id FROM new)", _NEWSQL)
+add("P11_load_merge_links", lambda s: U.load_links(s.edges.filter("position < 2"), s.edges.filter("position > 0"), s.base, s.base, "merge-links").select("src", "dst", "link_type"), "SELECT src, dst, link_type FROM edges")
+add("P12_rename", lambda s: U.renamed(_OLD(s), _NEW(s), 5), "SELECT id, CASE WHEN id IN (SELECT id FROM old) THEN id||'-1' ELSE id END AS new_id FROM new", _NEWSQL)
+add("P16_compact_apply", lambda s: s.compacts.unionByName(s.base.filter("doc_id in (51,52)").select(F.lit("qp-50").alias("digest_id"), F.col("id").alias("source_id"))), "SELECT * FROM compacts UNION ALL SELECT 'qp-50','qp-'||x FROM (SELECT unnest([51,52]) AS x)")
