@@ -35,11 +35,11 @@ add("S37_export_records", lambda s: E.records(s.notes), """SELECT id, 'N '||id||
 add("S33_links_of_dump", lambda s: s.edges.groupBy("src").agg(F.count("*").alias("n")), "SELECT src, count(*) AS n FROM edges GROUP BY 1")
 add("P14_export", lambda s: E.bundle(s.base.join(s.tags.filter("tag = 'de'").select(F.col("note_id").alias("id")), "id", "left_semi")).select("place"), "SELECT row_number() OVER () AS place FROM tags WHERE tag='de'")
 # Telemetry
-NOW = F.lit("2024-01-30 00:00:00").cast("timestamp")
+NOW = lambda: F.lit("2024-01-30 00:00:00").cast("timestamp")
 add("A17_command_stats", lambda s: R.daily(s.telemetry).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "command", "succeeded", "failed", F.col("durations")["less-than-100ms"].alias("fast"), F.array_join(F.array_sort("errors"), ",").alias("errors")),
     "SELECT strftime(ts,'%Y-%m-%d') AS day, command, count(*) FILTER (success) AS succeeded, count(*) FILTER (NOT success) AS failed, count(*) FILTER (duration_ms<100) AS fast, coalesce(string_agg(DISTINCT error,',' ORDER BY error),'') AS errors FROM telemetry GROUP BY 1,2")
 add("A18_ready_batches", lambda s: R.ready(R.daily(s.telemetry), 330).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "events"), "SELECT strftime(ts,'%Y-%m-%d') AS day, count(*) AS events FROM telemetry GROUP BY 1 HAVING count(*)>=330")
-add("S39_retention", lambda s: R.retained(s.telemetry, NOW).groupBy("command").agg(F.count("*").alias("n")), "SELECT command, count(*) AS n FROM telemetry WHERE ts>=TIMESTAMP '2024-01-23' GROUP BY 1")
+add("S39_retention", lambda s: R.retained(s.telemetry, NOW()).groupBy("command").agg(F.count("*").alias("n")), "SELECT command, count(*) AS n FROM telemetry WHERE ts>=TIMESTAMP '2024-01-23' GROUP BY 1")
 add("R1_newest_events", lambda s: R.newest(s.telemetry, 1000).groupBy("command").agg(F.count("*").alias("n")), "SELECT command, count(*) AS n FROM (SELECT * FROM telemetry ORDER BY ts DESC, command, duration_ms LIMIT 1000) GROUP BY 1")
 add("R2_daily_windows", lambda s: s.telemetry.groupBy(F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "n"), "SELECT strftime(ts,'%Y-%m-%d') AS day, count(*) AS n FROM telemetry GROUP BY 1")
 add("R4_session_threshold", lambda s: R.daily(s.telemetry).groupBy("command").agg(F.sum("succeeded").alias("n")).filter("n >= 100"), "SELECT command, count(*)::BIGINT AS n FROM telemetry WHERE success GROUP BY 1 HAVING count(*)>=100")

@@ -13,7 +13,7 @@ from .registry import Book
 
 BOOK = Book()
 add = BOOK.add
-NOW = F.lit("2025-02-01").cast("timestamp")
+NOW = lambda: F.lit("2025-02-01").cast("timestamp")
 STOP = ",".join(f"'{w}'" for w in STOP_WORDS)
 TOK = rf"list_filter(string_split_regex(lower(x),'[^\p{{L}}\p{{N}}]+'), lambda w: w<>'' AND w NOT IN ({STOP}))"
 POSTINGS = f"""post AS MATERIALIZED (SELECT note_id, term, col, count(*) AS cnt FROM (SELECT id AS note_id, col, unnest({TOK}) AS term FROM (SELECT id, 'title' AS col, title AS x FROM notes UNION ALL SELECT id, 'body', body FROM notes UNION ALL SELECT id, 'tags', array_to_string(tags,' ') FROM notes)) GROUP BY ALL),
@@ -38,13 +38,13 @@ add("A9_document_frequency", lambda s: T.statistics(T.postings(s.notes))[0], "SE
 add("A9_document_length", lambda s: T.statistics(T.postings(s.notes))[1], "SELECT note_id, sum(floor(tf))::BIGINT AS doc_len FROM tf GROUP BY 1", POSTINGS)
 add("S16_basic_index", lambda s: T.postings(s.notes, ("title", "tags")).groupBy("col").agg(F.sum("count").alias("n")), "SELECT col, sum(cnt)::BIGINT AS n FROM post WHERE col<>'body' GROUP BY 1", POSTINGS)
 add("S1_full_index", lambda s: T.postings(s.notes).groupBy("col").agg(F.sum("count").alias("n"), F.count_distinct("note_id").alias("notes")), "SELECT col, sum(cnt)::BIGINT AS n, count(DISTINCT note_id) AS notes FROM post GROUP BY 1", POSTINGS)
-add("T1_search", lambda s: ROUND(T.search(s.notes, "thtion", NOW)), *_arms(["thtion"]))
-add("T2_search_two_words", lambda s: ROUND(T.search(s.notes, "her-eren thtion", NOW)), *_arms(["her", "eren", "thtion"]))
-add("F14_search_filtered", lambda s: ROUND(T.search(s.notes, "ion nt", NOW, 100, F.col("type").isin("permanent", "moc") & (F.coalesce("value", F.lit(50)) >= 30))), *_arms(["ion", "nt"], "type IN ('permanent','moc') AND coalesce(value,50)>=30", 100))
-add("T3_or_not_prefix", lambda s: T.search(s.notes, "therer OR ingand NOT token", NOW, 10_000).select("id"), "SELECT DISTINCT note_id AS id FROM post WHERE term IN ('therer','ingand') AND note_id NOT IN (SELECT note_id FROM post WHERE term='token')", POSTINGS)
-add("T3_prefix", lambda s: T.search(s.notes, "ingthe*", NOW, 10_000).select("id"), "SELECT DISTINCT note_id AS id FROM post WHERE term LIKE 'ingthe%'", POSTINGS)
+add("T1_search", lambda s: ROUND(T.search(s.notes, "thtion", NOW())), *_arms(["thtion"]))
+add("T2_search_two_words", lambda s: ROUND(T.search(s.notes, "her-eren thtion", NOW())), *_arms(["her", "eren", "thtion"]))
+add("F14_search_filtered", lambda s: ROUND(T.search(s.notes, "ion nt", NOW(), 100, F.col("type").isin("permanent", "moc") & (F.coalesce("value", F.lit(50)) >= 30))), *_arms(["ion", "nt"], "type IN ('permanent','moc') AND coalesce(value,50)>=30", 100))
+add("T3_or_not_prefix", lambda s: T.search(s.notes, "therer OR ingand NOT token", NOW(), 10_000).select("id"), "SELECT DISTINCT note_id AS id FROM post WHERE term IN ('therer','ingand') AND note_id NOT IN (SELECT note_id FROM post WHERE term='token')", POSTINGS)
+add("T3_prefix", lambda s: T.search(s.notes, "ingthe*", NOW(), 10_000).select("id"), "SELECT DISTINCT note_id AS id FROM post WHERE term LIKE 'ingthe%'", POSTINGS)
 _SEL, _CTES = _arms(["thtion"])
-add("T4_hits_to_digests", lambda s: ROUND(T.to_digests(T.search(s.notes, "thtion", NOW), canonical(s.compacts))).select("id", "relevance", "via"),
+add("T4_hits_to_digests", lambda s: ROUND(T.to_digests(T.search(s.notes, "thtion", NOW()), canonical(s.compacts))).select("id", "relevance", "via"),
     "SELECT id, round(relevance,6) AS relevance, via FROM (SELECT coalesce(c2.digest_id,c1.digest_id,h.id) AS id, relevance, CASE WHEN c1.digest_id IS NOT NULL THEN h.id END AS via, row_number() OVER (PARTITION BY coalesce(c2.digest_id,c1.digest_id,h.id) ORDER BY relevance DESC, CASE WHEN c1.digest_id IS NOT NULL THEN h.id END NULLS FIRST) AS r FROM hits h LEFT JOIN compacts c1 ON c1.source_id=h.id LEFT JOIN compacts c2 ON c2.source_id=c1.digest_id) WHERE r=1", _CTES)
 VEC = POSTINGS + ", dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), w0 AS (SELECT note_id AS id, term, tf*(ln(((SELECT c FROM n)+1.0)/(df+1.0))+1) AS w FROM tf JOIN dfs USING (term)), vec AS MATERIALIZED (SELECT id, term, w/sqrt(sum(w*w) OVER (PARTITION BY id)) AS w FROM w0)"
 _V = lambda s: M.vectors(T.postings(s.notes), s.size)
