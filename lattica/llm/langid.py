@@ -150,6 +150,8 @@ class Tagger:
 
     def predict(self, texts: list[str | None], spans: bool) -> list[tuple[str, float, str]]:
         """For each text its language, the share of letters labelled with it, and spans start:end:language in code points."""
+        if not self.model.langs:
+            return [("und", 0.0, "")] * len(texts)
         if len(self.rows) > CACHE_TOKENS:
             self._clear()
         split = [words_of(t) if t else [] for t in texts]
@@ -160,7 +162,7 @@ class Tagger:
     def _one(self, text: str, words: list[str], spans: bool) -> tuple[str, float, str]:
         at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
         known = at[at >= 0]
-        if not len(known) or not self.model.langs:
+        if not len(known):
             return "und", 0.0, ""
         labels, size = viterbi(self.scores[known]), self.letters[known]
         share = np.bincount(labels, size, len(self.model.langs))

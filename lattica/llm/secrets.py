@@ -30,7 +30,7 @@ _HINTS = ("passw", "secret", "token", "api")
 _ID = re.compile(r"""\bA[KS]IA[A-Z0-9]{6,}|\b(?:client_?id|access_?key_?id|account_?id|user_?name|user|login)["']?\x20?[:=]\x20?["']?([A-Za-z0-9@._-]{3,64})""", re.I | re.A)
 _ID_HINTS = ("akia", "asia", "_id", "clientid", "keyid", "accountid", "user", "login")
 _ENDPOINT = re.compile(r"""\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]{3,200}|\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}:[0-9]{2,5}\b|\b[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){1,8}:[0-9]{2,5}\b""", re.A)
-_WEAK = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+_WEAK = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 _SCOPE_END = re.compile(r"\n[\x20\t\r]*\n")
 
 
@@ -74,7 +74,8 @@ def linked_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
         return []
     strong = [(s, e) for s, e, k in base if k == "assign" or k == "hex" and not text[s:e].isdigit()]
     taken = _Intervals([(s, e) for s, e, _ in base])
-    weak = [(m.start(), m.end()) for m in _WEAK.finditer(text) if _mixed(m[0]) and not taken.meet(m.start() + 1, m.end() - 1)]
+    others = _Intervals([(s, e) for s, e, _ in base] + ids + ends)
+    weak = [(m.start(), m.end()) for m in _WEAK.finditer(text) if _mixed(m[0]) and not others.meet(m.start() + 1, m.end() - 1)]
     weak += [(m.start(), m.end()) for m in _ASSIGN.finditer(text) if 6 <= len(m[2]) < 12] if any(h in low for h in _HINTS) else []
     ids = [x for x in ids if not taken.meet(x[0] + 1, x[1] - 1)]
     breaks = [m.end() for m in _SCOPE_END.finditer(text)]

@@ -1,0 +1,49 @@
+import hashlib
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from lattica.llm import secrets
+
+ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def brute(text):
+    out = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    out += [(m.start(), m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [(m.start(), m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(out, key=lambda s: (s[0], ["assign", "access", "hex"].index(s[2])))
+
+
+PART = st.sampled_from(["password", "ToKeN", "api_key", "apikey", "secret", "AKIA", "ABCDEF0123456789", "deadbeef", "0123456789", " ", ":", "=", '"', "é", "x.y-z", "\n", "k", "ſecret"])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(PART, max_size=14).map("".join))
+def test_base(text):
+    assert secrets.base_spans(text) == brute(text)
+
+
+def test_links():
+    spans = lambda t: [(t[s:e], k) for s, e, k in secrets.linked_spans(t, secrets.base_spans(t))]
+    weak = "q7Zx9Kp2Lm4Tn8Wv"
+    assert spans(f"client_id=abc123 then {weak}") == [("client_id=abc123", "id"), (weak, "weak")]
+    assert spans(weak) == [] and spans("client_id=abc123") == []
+    assert spans(f"client_id=abc123\n\n{weak}") == []  # another scope
+    assert spans(f"client_id=abc123 {'x ' * 150} {weak}") == []  # too far
+    assert [k for _, k in spans(f"https://api.example.com/v1 {weak}")] == ["weak", "endpoint"]
+    assert spans("a plain sentence with https://example.com and words") == []
+
+
+def test_frames(spark):
+    text = 'token = "abcdefghijklmnop" and ' + "a1" * 10
+    docs = spark.createDataFrame([(1, text, 7), (1, text, 7), (2, None, 7), (None, "x" * 300_000, 7)], "doc_id long, text string, spans int")
+    out = secrets.scan(docs, keep=("doc_id", "spans"), redact_to="clean").collect()
+    one = [r for r in out if r["doc_id"] == 1]
+    want = ",".join(f"{k}:{s}:{e}" for s, e, k in brute(text))
+    assert len(one) == 2 and {r["base_sha256"] for r in one} == {hashlib.sha256(want.encode()).hexdigest()}
+    assert one[0]["clean"] == '[ASSIGN]" and [HEX]' and [r["clean"] for r in out if r["doc_id"] == 2] == [None]
+    assert secrets.scan(docs.limit(0)).count() == 0
+    again = secrets.redact_documents(spark.createDataFrame([(1, text, 5)], "doc_id long, text string, n_chars long"))
+    assert again.columns == ["doc_id", "text", "n_chars"] and again.first()["n_chars"] == len('[ASSIGN]" and [HEX]')
