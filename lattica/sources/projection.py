@@ -86,7 +86,7 @@ class Store:
 
     @property
     def telemetry(self) -> DataFrame:
-        return self.table("events").select("ts", F.col("event_type").alias("command"), (F.col("event_type") != "error").alias("success"), F.col("value").alias("duration_ms"), F.when(F.col("event_type") == "error", F.concat(F.lit("e"), F.col("user_id") % 5)).alias("error"))
+        return self.table("events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("command"), (F.col("event_type") != "error").alias("success"), F.col("value").alias("duration_ms"), F.when(F.col("event_type") == "error", F.concat(F.lit("e"), F.col("user_id") % 5)).alias("error"))
 
 
 #: The same projection as common table expressions.
