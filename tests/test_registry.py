@@ -2,6 +2,7 @@
 
 import math
 import os
+from decimal import Decimal
 
 import pytest
 
@@ -16,7 +17,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def plain(v):
     if v is None or isinstance(v, float) and math.isnan(v):
         return None
-    return round(float(v), 5) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    return round(float(v), 5) if isinstance(v, (int, float, Decimal)) and not isinstance(v, bool) else str(v)
 
 
 def rows(columns, values):
