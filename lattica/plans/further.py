@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -56,7 +57,7 @@ add("P17_sync", lambda s: Q.severities(Q.broken_links(s.unresolved).unionByName(
 
 def streamed(s):
     """The events written as files, streamed through the daily roll-up, and read back; days that the watermark hasn't passed stay open."""
-    where = tempfile.mkdtemp(prefix="lattica-stream-") if s.spark.sparkContext.master.startswith("local[") else s.spark.conf.get("spark.checkpoint.dir") + "/stream"
+    where = tempfile.mkdtemp(prefix="lattica-stream-") if s.spark.sparkContext.master.startswith("local[") else f"{s.spark.conf.get('spark.checkpoint.dir')}/stream-{uuid.uuid4().hex}"
     s.telemetry.write.mode("overwrite").parquet(f"{where}/in")
     stream = s.spark.readStream.schema(s.telemetry.schema).parquet(f"{where}/in")
     telemetry.stream_daily(stream, f"{where}/out", f"{where}/state").awaitTermination()
