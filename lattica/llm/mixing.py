@@ -52,7 +52,7 @@ def targets(cells: DataFrame, given: dict[str, DataFrame] | None = None) -> Data
         else:
             t = cells.groupBy(d).agg(F.pow(F.sum("tokens").cast("double"), F.lit(POWERS[d])).alias("__s")).withColumnRenamed(d, "__v")
         values = cells.select(d).distinct().join(t, F.col(d).eqNullSafe(F.col("__v")), "left").select(d, F.coalesce("__s", F.lit(0.0)).alias("__s"))
-        scaled = values.join(values.agg(F.sum("__s").alias("__all"))).select(F.col(d).alias("__v"), (F.col("__s") / F.col("__all")).alias(f"t_{d}"))
+        scaled = values.select(F.col(d).alias("__v"), (F.col("__s") / F.sum("__s").over(Window.partitionBy())).alias(f"t_{d}"))
         cells = cells.join(scaled, F.col(d).eqNullSafe(F.col("__v")), "left").drop("__v")
     return cells
 
