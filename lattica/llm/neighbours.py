@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-TOP, RERANK = 20, 120
-FIT_ROWS, BLOCK = 8192, 4096
+TOP, RERANK = 20, 300
+FIT_ROWS, BLOCK = 8192, 16384
 #: A partition for about so many vectors, at most MOST_PARTITIONS. A query looks into as many of them as hold the part
 #: COVER of the true nearest of sampled queries among the sample; where vectors form no clusters, that is nearly all.
-PARTITION_ROWS, MOST_PARTITIONS, COVER, TRIED = 2000, 1024, 0.97, 400
+PARTITION_ROWS, MOST_PARTITIONS, COVER, TRIED = 16384, 1024, 0.97, 400
 SCORE_THRESHOLD = 0.2
 #: A float array comes to the driver for each partition and codebook entry, so the dimension bounds the model.
 SUBDIM, CODES = 2, 16
