@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lattica.model import HALF_COST, INVERSES, STOP_WORDS
 
+NO_WORD = r"[^\p{L}\p{N}]+"
 WIKI = r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]"
 MARKDOWN = r"\[([^\]]*)\]\(([^)]+)\)"
 ATTACHMENT = r"attachments/([^)\s\n]+)"
@@ -16,7 +17,7 @@ ATTACHMENT = r"attachments/([^)\s\n]+)"
 def tokens(text: Column) -> Column:
     """Lower-case words of letters and digits without stop words."""
     stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: (w != "") & ~F.array_contains(stop, w))
+    return F.filter(F.split(F.lower(text), NO_WORD), lambda w: (w != "") & ~F.array_contains(stop, w))
 
 
 def _measure(word: str) -> int:

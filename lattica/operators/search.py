@@ -7,17 +7,19 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.functions.text import recency, tokens
-from lattica.model import BM25_B, BM25_K1, WEIGHTS
+from lattica.functions.text import NO_WORD, recency
+from lattica.model import BM25_B, BM25_K1, STOP_WORDS, WEIGHTS
 
+from .graph import checkpointed
 from .relational import keep_latest
 
 
 def postings(notes: DataFrame, columns: tuple[str, ...] = ("title", "tags", "body")) -> DataFrame:
     """(note_id, term, col, count): terms counted within each note before anything is shuffled wider."""
     text = {"title": F.col("title"), "body": F.col("body"), "tags": F.array_join("tags", " ")}
-    each = F.explode(F.array(*(F.struct(F.lit(c).alias("col"), tokens(text[c]).alias("terms")) for c in columns)))
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("col"), F.split(F.lower(text[c]), NO_WORD).alias("terms")) for c in columns)))
     rows = notes.select(F.col("id").alias("note_id"), each.alias("x")).select("note_id", "x.col", F.explode("x.terms").alias("term"))
+    rows = rows.filter((F.col("term") != "") & ~F.col("term").isin(STOP_WORDS))  # after the explosion, where the set is a hash look-up
     return rows.groupBy("note_id", "term", "col").agg(F.count("*").alias("count"))
 
 
@@ -85,7 +87,8 @@ def search(notes: DataFrame, query: str, now: Column, limit: int = 200, where: C
     groups, excluded = parse_query(query)
     if not groups:
         return notes.select("id", F.lit(0.0).alias("relevance")).limit(0)
-    index = postings(notes) if index is None else index
+    # worked out once for the three arms; a store that is searched often keeps its own index
+    index = checkpointed(postings(notes)) if index is None else index
     lengths = index.groupBy("note_id").agg(F.sum("count").alias("len"))
     total, average = (lambda r: (r[0], float(r[1] or 1)))(lengths.agg(F.count("*"), F.avg("len")).first())
     arms = [_arm(index, groups, lengths, total, average, s) for s in (None, "title", "tags")]

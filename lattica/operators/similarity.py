@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import checkpointed
 from .relational import keep_latest
 from .search import term_weights
 
@@ -32,6 +33,7 @@ def near_duplicates(vec: DataFrame, threshold: float) -> DataFrame:
     stays below the threshold can't reach it on its own, so a pair must share a term of both prefixes. Frequent terms
     come last and seldom enter a prefix. Candidates are verified by the whole cosine.
     """
+    vec = checkpointed(vec)
     by_rarity = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("term"))
     rest = F.sqrt(F.sum(F.col("w") * F.col("w")).over(by_rarity.rowsBetween(Window.unboundedPreceding, 0)))
     prefix = vec.withColumn("rest", rest).filter(F.col("rest") >= threshold - 1e-9).select("id", "term")

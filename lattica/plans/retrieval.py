@@ -39,8 +39,8 @@ add("A9_document_length", lambda s: T.statistics(T.postings(s.notes))[1], "SELEC
 add("S16_basic_index", lambda s: T.postings(s.notes, ("title", "tags")).groupBy("col").agg(F.sum("count").alias("n")), "SELECT col, sum(cnt)::BIGINT AS n FROM post WHERE col<>'body' GROUP BY 1", POSTINGS)
 add("S1_full_index", lambda s: T.postings(s.notes).groupBy("col").agg(F.sum("count").alias("n"), F.count_distinct("note_id").alias("notes")), "SELECT col, sum(cnt)::BIGINT AS n, count(DISTINCT note_id) AS notes FROM post GROUP BY 1", POSTINGS)
 add("T1_search", lambda s: ROUND(T.search(s.notes, "thtion", NOW())), *_arms(["thtion"]))
-add("T2_search_two_words", lambda s: ROUND(T.search(s.notes, "her-eren thtion", NOW())), *_arms(["her", "eren", "thtion"]))
-add("F14_search_filtered", lambda s: ROUND(T.search(s.notes, "ion nt", NOW(), 100, F.col("type").isin("permanent", "moc") & (F.coalesce("value", F.lit(50)) >= 30))), *_arms(["ion", "nt"], "type IN ('permanent','moc') AND coalesce(value,50)>=30", 100))
+add("T2_search_two_words", lambda s: ROUND(T.search(s.notes, "er-re thtion", NOW())), *_arms(["er", "re", "thtion"]))
+add("F14_search_filtered", lambda s: ROUND(T.search(s.notes, "re er", NOW(), 100, F.col("type").isin("permanent", "moc") & (F.coalesce("value", F.lit(50)) >= 30))), *_arms(["re", "er"], "type IN ('permanent','moc') AND coalesce(value,50)>=30", 100))
 add("T3_or_not_prefix", lambda s: T.search(s.notes, "therer OR ingand NOT token", NOW(), 10_000).select("id"), "SELECT DISTINCT note_id AS id FROM post WHERE term IN ('therer','ingand') AND note_id NOT IN (SELECT note_id FROM post WHERE term='token')", POSTINGS)
 add("T3_prefix", lambda s: T.search(s.notes, "ingthe*", NOW(), 10_000).select("id"), "SELECT DISTINCT note_id AS id FROM post WHERE term LIKE 'ingthe%'", POSTINGS)
 _SEL, _CTES = _arms(["thtion"])
