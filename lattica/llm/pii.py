@@ -1,14 +1,17 @@
 """Personal data, and terms that disclose it, by information content.
 
-Patterns find protected entities in every text. For terms near them the corpus tells how strongly they reveal them: with
-N documents, n(t) of them holding term t, n(e) entity e and n(t, e) the term within REACH code points of the entity,
+Patterns find protected entities in every text. The corpus tells how strongly terms reveal them: with N documents, n(t) of
+them holding term t, n(e) entity e and n(t, e) both, wherever they stand in the text,
 
     PMI(t, e) = log(N n(t, e) / (n(t) n(e)))   and   IC(e) = log(N / n(e)).
 
-A term discloses an entity if PMI reaches ALPHA times IC (Sanchez and Batet, 2016, "C-sanitized"); it is then generalised
-there, and removed if PMI reaches IC itself, that is, if it never occurs without the entity. Pairs count from SUPPORT
-different texts on, so that copies of one text prove nothing. Only built-in functions are used. One pass over the texts
-finds entities with the terms around them, another counts the candidate terms; no text is written or shuffled.
+A term discloses an entity if PMI reaches ALPHA times IC (Sanchez and Batet, 2016, "C-sanitized"); every occurrence of it
+in any document is then generalised, and removed if PMI reaches IC itself, that is, if it never occurs without the entity.
+Terms are whole runs of letters of any length outside the entities. Pairs count from SUPPORT different texts on, so that
+copies of one text prove nothing; entities in fewer different texts are too rare for estimates of their own, so those of a
+kind count as one entity. Only built-in functions are used. One pass over the texts finds entities, and the terms of texts
+that have any; another counts all terms; a third finds the documents that hold disclosing terms, whose texts alone are
+read again for the places. No text is written.
 """
 
 from __future__ import annotations
@@ -19,8 +22,10 @@ from pyspark.sql import functions as F
 from .common import blank_if_null, table, written
 
 KINDS = ("email", "ip", "card", "phone")
-REACH, SUPPORT, ALPHA = 100, 3, 0.9
-TERM = r"\p{L}{4,}"
+SUPPORT, ALPHA = 3, 0.9
+#: A noncharacter, which stands for every character of an entity with letters, and a whole term outside entities.
+MASK = "\uffff"
+TERM = r"(?<![\p{L}\x{FFFF}])\p{L}++(?!\x{FFFF})"
 # The patterns as given, with runs made possessive and anchored to a run's start or the last match's end: they match the
 # same spans, in time linear in the text.
 PATTERNS = {
@@ -52,13 +57,13 @@ def running(lengths: Column) -> Column:
     return F.when(F.size(lengths) == 0, F.expr("cast(array() as array<int>)")).when(F.size(lengths) <= CHUNK, _running(lengths)).otherwise(F.flatten(bind(chunks, before)))
 
 
-def located(text: Column, pattern: str, near: int = 0) -> Column:
-    """Matches of a pattern as structs of start, end (code points), value, and the text up to near code points left and right."""
+def located(text: Column, pattern: str) -> Column:
+    """Matches of a pattern as structs of start, end (code points) and value."""
     p = F.lit(pattern)
 
     def build(x: Column) -> Column:
         ends = running(F.transform(x["m"], lambda m, i: F.char_length(x["g"][i]) + F.char_length(m)))
-        fields = lambda e, m, i: [(e[i] - F.char_length(m)).alias("s"), e[i].alias("e"), m.alias("v"), F.right(x["g"][i], F.lit(near)).alias("before"), F.left(x["g"][i + 1], F.lit(near)).alias("after")]
+        fields = lambda e, m, i: [(e[i] - F.char_length(m)).alias("s"), e[i].alias("e"), m.alias("v")]
         return bind(ends, lambda e: F.transform(x["m"], lambda m, i: F.struct(*fields(e, m, i))))
 
     return bind(F.struct(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, p, F.lit(0)).alias("m")), build)
@@ -79,53 +84,68 @@ HINTS = {"email": lambda t: t.contains("@"), "ip": lambda t: t.rlike(r"[0-9]\.[0
 
 
 def found(text: Column) -> Column:
-    """All valid matches, by kind as listed, then start: structs of kind, s, e, v, before, after."""
-    none = "cast(array() as array<struct<kind: string, s: int, e: int, v: string, before: string, after: string>>)"
+    """All valid matches, by kind as listed, then start: structs of kind, s, e, v."""
+    none = "cast(array() as array<struct<kind: string, s: int, e: int, v: string>>)"
 
     def of(kind: str) -> Column:
-        hits = F.filter(located(text, PATTERNS[kind], REACH), lambda x: VALID[kind](x["v"]))
-        return F.when(HINTS[kind](text), F.transform(hits, lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), x["before"].alias("before"), x["after"].alias("after")))).otherwise(F.expr(none))
+        hits = F.filter(located(text, PATTERNS[kind]), lambda x: VALID[kind](x["v"]))
+        return F.when(HINTS[kind](text), F.transform(hits, lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v")))).otherwise(F.expr(none))
 
     return F.concat(*(of(k) for k in KINDS))
 
 
-def _terms(x: Column, every: Column) -> Column:
-    """Whole terms around a match, outside all matches, as structs of term, s, e."""
-    part = lambda t, at, keep: F.transform(F.filter(located(t, TERM), keep), lambda y: F.struct(F.lower(y["v"]).alias("term"), (y["s"] + at).alias("s"), (y["e"] + at).alias("e")))
-    before, after = x["before"], x["after"]
-    left = part(before, x["s"] - F.char_length(before), lambda y: (y["s"] > 0) | (F.char_length(before) < REACH))
-    right = part(after, x["e"], lambda y: (y["e"] < F.char_length(after)) | (F.char_length(after) < REACH))
-    return F.filter(F.concat(left, right), lambda y: ~F.exists(every, lambda b: (b["s"] < y["e"]) & (y["s"] < b["e"])))
+def masked(text: Column) -> Column:
+    """The text with e-mails, the only entities that can hold letters, masked; every place stays where it is."""
+    parts = F.struct(F.split(text, PATTERNS["email"], -1).alias("g"), F.regexp_extract_all(text, F.lit(PATTERNS["email"]), F.lit(0)).alias("m"))
+    joined = lambda x: F.array_join(F.transform(x["g"], lambda g, i: F.concat(g, F.repeat(F.lit(MASK), F.coalesce(F.char_length(F.get(x["m"], i)), F.lit(0))))), "")
+    return F.when(HINTS["email"](text), bind(parts, joined)).otherwise(text)
 
 
-SPANS = "array<struct<kind: string, s: int, e: int, v: string, terms: array<struct<term: string, s: int, e: int>>>>"
+def terms_of(text: Column) -> Column:
+    """The different terms of a whole text."""
+    runs = F.array_distinct(F.regexp_extract_all(masked(text), F.lit(TERM), F.lit(0)))
+    return F.array_distinct(F.transform(runs, lambda t: F.lower(t)))
+
+
+ENTITIES = "struct<spans: array<struct<kind: string, s: int, e: int, v: string>>, terms: array<string>>"
 
 
 def entities(docs: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFrame:
-    """keep as __k0.., hash of the text, and the protected entities of each text with the terms around them."""
+    """keep as __k0.., hash of the text, and in __x the protected entities of each text and, if it has any, all its terms."""
     text = blank_if_null(F.col(f"`{text_col}`"))
-    spans = bind(found(text), lambda every: F.transform(every, lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), _terms(x, every).alias("terms"))))
-    return docs.select(*(F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)), F.xxhash64(text).alias("__hash"), spans.cast(SPANS).alias("__spans"))
+    both = bind(found(text), lambda every: F.struct(every.alias("spans"), F.when(F.size(every) > 0, terms_of(text)).otherwise(F.expr("cast(array() as array<string>)")).alias("terms")))
+    return docs.select(*(F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)), F.xxhash64(text).alias("__hash"), both.cast(ENTITIES).alias("__x"))
 
 
-def disclosing(docs: DataFrame, mentions: DataFrame, text_col: str, alpha: float = ALPHA) -> DataFrame:
-    """(entity, term, removed) for terms whose PMI with an entity reaches alpha times the entity's information content. mentions: __row, __hash, entity, terms."""
+def disclosing(docs: DataFrame, texts: DataFrame, text_col: str, alpha: float = ALPHA) -> DataFrame:
+    """(term, removed) for terms whose PMI with an entity reaches alpha times the entity's information content.
+
+    texts: __hash, copies, entities (structs of kind, entity) and terms of each different text that has entities.
+    """
     total = float(docs.count())
-    of_entity = mentions.select("entity", "__row", "__hash").distinct().groupBy("entity").agg(F.count("*").alias("n_e"), F.count_distinct("__hash").alias("texts")).filter(F.col("texts") >= SUPPORT)
-    pairs = mentions.select("entity", "__row", "__hash", F.explode("terms.term").alias("term")).distinct()
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.count_distinct("__hash").alias("texts")).filter(F.col("texts") >= SUPPORT).drop("texts")
-    # a term is in no fewer documents than hold it near any entity; pairs that this bound already rules out aren't counted
-    least = mentions.select("__row", F.explode("terms.term").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_least"))
-    pairs = pairs.join(of_entity.drop("texts"), "entity").join(least, "term")
-    reach = F.col("n_te") * F.pow(F.lit(total) / F.col("n_e"), F.lit(1 - alpha))
-    pairs = written(pairs.filter(F.col("n_least") <= reach * (1 + 1e-9)).drop("n_least"), "pii-pairs")
-    candidates = written(pairs.select("term").distinct(), "pii-terms")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(blank_if_null(F.col(f"`{text_col}`"))), F.lit(TERM), F.lit(0)))).alias("term"))
-    counts = words.join(candidates, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    each = texts.select("__hash", "copies", F.explode("entities").alias("x")).select("__hash", "copies", "x.kind", "x.entity")
+    key = F.when(F.count("*") >= SUPPORT, F.col("entity")).otherwise(F.col("kind"))
+    keys = each.groupBy("kind", "entity").agg(key.alias("key")).drop("kind")
+    held = written(each.join(keys, "entity").select("__hash", "copies", "key").distinct(), "pii-keys")
+    of_key = held.groupBy("key").agg(F.sum("copies").alias("n_e"))
+    pairs = held.join(texts.select("__hash", "terms"), "__hash").select("key", "copies", F.explode("terms").alias("term"))
+    pairs = pairs.groupBy("key", "term").agg(F.sum("copies").alias("n_te"), F.count("*").alias("texts")).filter(F.col("texts") >= SUPPORT)
+    pairs = written(pairs.join(of_key, "key").drop("texts"), "pii-pairs")
+    counts = docs.select(F.explode(terms_of(blank_if_null(F.col(f"`{text_col}`")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     pmi, ic = F.log(F.lit(total) * F.col("n_te") / (F.col("n_t").cast("double") * F.col("n_e"))), F.log(F.lit(total) / F.col("n_e"))
-    # a term counted for an entity is in no fewer documents than the pair
     scored = pairs.join(counts, "term").withColumn("pmi", pmi).withColumn("ic", ic)
-    return scored.filter((F.col("ic") > 0) & (F.col("pmi") >= alpha * F.col("ic"))).select("entity", "term", (F.col("pmi") >= F.col("ic") - 1e-9).alias("removed"))
+    told = scored.filter((F.col("ic") > 0) & (F.col("pmi") >= alpha * F.col("ic")))
+    return told.groupBy("term").agg(F.max(F.col("pmi") >= F.col("ic") - 1e-9).alias("removed"))
+
+
+def places(docs: DataFrame, telling: DataFrame, text_col: str, row: Column) -> DataFrame:
+    """__row and terms (structs s, e, removed) of every row that holds a telling term, one for rows with the same __row."""
+    text = blank_if_null(F.col(f"`{text_col}`"))
+    held = docs.select(row.alias("__row"), F.explode(terms_of(text)).alias("term")).join(telling, "term")
+    held = written(held.groupBy("__row").agg(F.map_from_entries(F.collect_set(F.struct("term", "removed"))).alias("__telling")), "pii-held")
+    hits = docs.select(row.alias("__row"), text.alias("__text")).join(held, "__row")
+    looked = F.transform(located(masked(F.col("__text")), TERM), lambda y: F.struct(y["s"].alias("s"), y["e"].alias("e"), F.try_element_at("__telling", F.lower(y["v"])).alias("removed")))
+    return hits.select("__row", F.filter(looked, lambda y: y["removed"].isNotNull()).alias("terms")).dropDuplicates(["__row"])
 
 
 def _entity(kind: Column, value: Column) -> Column:
@@ -140,12 +160,13 @@ def scan(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_
     """
     rows = written(entities(docs, text_col, keep), "pii-rows")
     keys = [f"__k{i}" for i in range(len(keep))]
-    with_any = rows.filter(F.size("__spans") > 0).select(F.xxhash64(*keys, "__hash").alias("__row"), "__hash", F.explode("__spans").alias("x"))
-    mentions = with_any.select("__row", "__hash", _entity(F.col("x.kind"), F.col("x.v")).alias("entity"), F.col("x.terms").alias("terms"))
-    telling = written(disclosing(docs, mentions, text_col, alpha), "pii-telling")
-    near = mentions.select("__row", "entity", F.explode("terms").alias("t")).select("__row", "entity", "t.term", "t.s", "t.e").join(telling, ["entity", "term"])
-    added = near.groupBy("__row", "s", "e").agg(F.max("removed").alias("removed")).groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("s", "e", "removed"))).alias("terms"))
-    base = F.transform("__spans", lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
+    named = F.array_distinct(F.transform("one.spans", lambda x: F.struct(x["kind"].alias("kind"), _entity(x["kind"], x["v"]).alias("entity"))))
+    texts = rows.filter(F.size("__x.spans") > 0).groupBy("__hash").agg(F.count("*").alias("copies"), F.first("__x").alias("one"))
+    texts = written(texts.select("__hash", "copies", named.alias("entities"), "one.terms"), "pii-texts")
+    telling = written(disclosing(docs, texts, text_col, alpha), "pii-telling")
+    row = F.xxhash64(*(F.col(f"`{c}`") for c in keep), F.xxhash64(blank_if_null(F.col(f"`{text_col}`"))))
+    added = places(docs, telling, text_col, row)
+    base = F.transform("__x.spans", lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
     slim = rows.select(*keys, "__hash", F.xxhash64(*keys, "__hash").alias("__row"), base.alias("base"))
     out = slim.join(added, "__row", "left")
     none = F.expr("cast(array() as array<struct<s: int, e: int, removed: boolean>>)")

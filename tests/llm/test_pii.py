@@ -57,6 +57,20 @@ def test_support_counts_texts_not_copies(spark):
     assert all(not r["terms"] for r in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
 
 
+def test_rare_entities_far_terms_and_short_names(spark):
+    # five addresses of one text each; the name stands far from them, twice, and once without any address
+    far = "plain words go on " * 30
+    rows = [(i, f"a{i}@corp.example wrote. {far} here Li said no. {far} and Li again, entry {i}") for i in range(5)]
+    rows += [(10, "a note by Li, sent alone")] + [(20 + i, f"{far} here said no and again, entry wrote {i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text, out = dict(rows), {r["doc_id"]: r["terms"] for r in pii.scan(docs).collect()}
+    for i in range(5):
+        assert [text[i][x["s"] : x["e"]] for x in out[i]] == ["Li", "Li"]
+    assert [(text[10][x["s"] : x["e"]], x["removed"]) for x in out[10]] == [("Li", False)]
+    assert not any(out[20 + i] for i in range(60))
+    assert "Li" not in "".join(r["text"] for r in pii.sanitised(docs).collect())
+
+
 def test_query(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     for r in pii.op3_pii(spark, "/root/testdata/sf0.001").collect():
