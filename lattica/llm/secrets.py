@@ -26,10 +26,10 @@ _ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # 18 characters or more
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _HINTS = ("passw", "secret", "token", "api")
-# Weak parts.
-_ID = re.compile(r"""\bA[KS]IA[A-Z0-9]{6,}|\b(?:client_?id|access_?key_?id|account_?id|user_?name|user|login)["']?\x20?[:=]\x20?["']?([A-Za-z0-9@._-]{3,64})""", re.I | re.A)
+# Weak parts; only what a standard bounds (numbers of an address, labels of a host name) has an upper length.
+_ID = re.compile(r"""\bA[KS]IA[A-Z0-9]{6,}|\b(?:client_?id|access_?key_?id|account_?id|user_?name|user|login)["']?\x20?[:=]\x20?["']?([A-Za-z0-9@._-]{3,})""", re.I | re.A)
 _ID_HINTS = ("akia", "asia", "_id", "clientid", "keyid", "accountid", "user", "login")
-_ENDPOINT = re.compile(r"""\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]{3,200}|\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}:[0-9]{2,5}\b|\b[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){1,8}:[0-9]{2,5}\b""", re.A)
+_ENDPOINT = re.compile(r"""\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]{3,}|\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}:[0-9]{2,5}\b|\b[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}+){1,126}+:[0-9]{2,5}\b""", re.A)
 _WEAK = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 _SCOPE_END = re.compile(r"\n[\x20\t\r]*\n")
 

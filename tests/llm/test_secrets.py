@@ -36,6 +36,17 @@ def test_links():
     assert spans("a plain sentence with https://example.com and words") == []
 
 
+def test_long_parts_are_whole():
+    weak = "q7Zx9Kp2Lm4Tn8Wv"
+    for long, kind in (("https://api.example.com/v1?sig=" + "Ab1%" * 400, "endpoint"), ("client_id=" + "ab.1@" * 200 + "end", "id"), (".".join(["db", *"abcdefghijklmno", "internal"]) + ":5432", "endpoint")):
+        text = f"x {long} {weak} y"
+        spans = secrets.linked_spans(text, secrets.base_spans(text))
+        assert sorted((text[s:e], k) for s, e, k in spans) == sorted([(long, kind), (weak, "weak")])
+        assert secrets.redacted(text, sorted(spans)) == f"x [{kind.upper()}] [WEAK] y"
+    for run in ("a." * 100_000, "a://" * 50_000, "user=" * 50_000, "a-" * 100_000):  # in time linear in the text
+        secrets.linked_spans(run, [])
+
+
 def test_frames(spark):
     text = 'token = "abcdefghijklmnop" and ' + "a1" * 10
     docs = spark.createDataFrame([(1, text, 7), (1, text, 7), (2, None, 7), (None, "x" * 300_000, 7)], "doc_id long, text string, spans int")
