@@ -4,8 +4,9 @@ Each word's script, by ranges of code points, narrows the languages that it may
 posterior of its letter n-grams under each. Viterbi's algorithm over the words, with a penalty for each switch, labels
 spans; the label with the most letters is the document's language.
 
-The model is fitted on a bounded sample: about SAMPLE documents of each of at most LANGUAGES languages, drawn by a hash of
-the id, of which the WORDS most frequent words of each language count. Its tables go to the executors once.
+The model is fitted on a bounded sample: about SAMPLE documents of every language, drawn by a hash of the id, of which the
+WORDS most frequent words of each language count. Beyond DENSE languages there are fewer words a language, since the tables
+have a column for each language and grow with its square otherwise. They go to the executors once.
 """
 
 from __future__ import annotations
@@ -15,17 +16,17 @@ from collections import defaultdict
 
 import numpy as np
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, table, words_of
+from .common import batches, table, words_of, written
 
-SAMPLE, LANGUAGES, WORDS = 1200, 50, 40_000
+SAMPLE, DENSE, WORDS, LEAST_WORDS = 1200, 50, 40_000, 100
 GRAM = 3
 PENALTY, FLOOR = 8.0, -5.0
-#: Texts labelled together hold about so many characters.
+#: Texts labelled together hold about so many characters; tokens that are kept, and scored at once, times languages.
 TOGETHER = 1 << 20
-CACHE_TOKENS = 200_000
+CACHE_TOKENS, SCORED = 200_000, 5_000_000
 #: Fixed ranges of scripts.
 SCRIPTS = [
     ("Latin", 0x41, 0x24F), ("Greek", 0x370, 0x3FF), ("Cyrillic", 0x400, 0x52F), ("Armenian", 0x530, 0x58F), ("Hebrew", 0x590, 0x5FF), ("Arabic", 0x600, 0x77F), ("Devanagari", 0x900, 0x97F),
@@ -143,7 +144,10 @@ class Tagger:
         if need > len(self.letters):
             size = max(need, 2 * len(self.letters))
             self.scores, self.letters = np.resize(self.scores, (size, self.scores.shape[1])), np.resize(self.letters, size)
-        self.scores[self.used : need] = self.model.scores([low[i] for i in kept])
+        step = max(SCORED // len(self.model.langs), 1)
+        for at in range(0, len(kept), step):
+            part = kept[at : at + step]
+            self.scores[self.used + at : self.used + at + len(part)] = self.model.scores([low[i] for i in part])
         self.letters[self.used : need] = [sum(map(str.isalpha, tokens[i])) for i in kept]
         self.rows.update((tokens[i], self.used + k) for k, i in enumerate(kept))
         self.used = need
@@ -152,7 +156,7 @@ class Tagger:
         """For each text its language, the share of letters labelled with it, and spans start:end:language in code points."""
         if not self.model.langs:
             return [("und", 0.0, "")] * len(texts)
-        if len(self.rows) > CACHE_TOKENS:
+        if len(self.rows) > scaled(CACHE_TOKENS, len(self.model.langs)):
             self._clear()
         split = [words_of(t) if t else [] for t in texts]
         if new := [w for w in dict.fromkeys(w for words in split for w in words) if w not in self.rows]:
@@ -185,6 +189,11 @@ class Tagger:
         return ",".join([*out, f"{start}:{len(text)}:{self.model.langs[now]}"])
 
 
+def scaled(n: int, languages: int, power: int = 1) -> int:
+    """n, and less of it beyond DENSE languages."""
+    return int(n * min(1.0, DENSE / max(languages, 1)) ** power)
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document may not be learned from; a null id counts as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
@@ -194,18 +203,16 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     """A model of the labelled documents that aren't held out; without any it has no language."""
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
     own = own.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
-    sizes = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    if not sizes:
+    sizes = written(own.groupBy("lang").agg(F.count("*").alias("of")), "langid-sizes")
+    if not (languages := sizes.count()):
         return Model([])
-    part = F.lit(0)
-    for lang, n in sizes.items():
-        part = F.when(F.col("lang") == lang, F.lit(min(1 << 20, math.ceil(SAMPLE * (1 << 20) / n)))).otherwise(part)
-    drawn = own.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < part)
+    part = F.least(F.lit(1 << 20).cast("long"), F.ceil(F.lit(float(SAMPLE * (1 << 20))) / F.col("of")))
+    drawn = own.join(sizes, "lang").filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < part)
     words = drawn.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word")).filter(F.char_length("word") <= 40)
     counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
-    rows: list[tuple[str, str, int]] = []
-    for lang in sizes:
-        rows += [tuple(r) for r in counts.filter(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(WORDS).collect()]
+    most = max(scaled(WORDS, languages, 2), LEAST_WORDS)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    rows = [tuple(r) for r in counts.withColumn("place", place).filter(F.col("place") <= most).select("lang", "word", "n").collect()]
     return Model(rows)
 
 
@@ -234,7 +241,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[
         for x in cols["__text"]:
             held.append(x.as_py())
             size += len(held[-1] or "")
-            if size > TOGETHER:
+            if size > scaled(TOGETHER, len(shared.value.langs)):
                 found += tool.predict(held, spans)
                 held, size = [], 0
         found += tool.predict(held, spans)

@@ -53,3 +53,15 @@ def test_accuracy_and_edges(spark):
 def test_held_out_labels_teach_nothing(spark):
     rows = [(i, "bala tamo", "aa" if zlib.crc32(str(i).encode()) % 5 else "zz") for i in range(100)]
     assert langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).langs == ["aa"]
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(5)
+    own = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(6)] for k in range(70)}
+    rows = [(i * 100 + k, " ".join(rng.choice(words) for _ in range(12)), lang) for k, (lang, words) in enumerate(own.items()) for i in range(20 - k // 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert model.langs == sorted(own)
+    out = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, model).collect()}
+    held = [(i, lang) for i, _, lang in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert len({lang for _, lang in held}) > 50 and all(out[i] == lang for i, lang in held)
