@@ -43,7 +43,7 @@ add("O3_top_hits", lambda s: ROUND(T.search(s.notes, "thtion", NOW(), 7)), *_arm
 add("O5_digest_order", lambda s: T.search(s.notes, "ion", NOW(), 50).withColumn("place", F.row_number().over(Window.orderBy(F.desc("relevance"), "id"))).select("id", "place"), "SELECT id, row_number() OVER (ORDER BY relevance DESC, id) AS place FROM hits", _arms(["ion"], limit=50)[1])
 add("O6_similar_order", lambda s: M.similar_to(_V(s), "qp-9", 0.05, 10).withColumn("score", F.round("score", 6)), "SELECT b.id, round(sum(a.w*b.w),6) AS score FROM vec a JOIN vec b USING (term) WHERE a.id='qp-9' AND b.id<>'qp-9' GROUP BY 1 HAVING sum(a.w*b.w)>=0.05 ORDER BY sum(a.w*b.w) DESC, b.id LIMIT 10", VEC)
 add("O9_tree_order", lambda s: G.tree(G.directed(s.edges, "out"), SEED(s, "qp-1"), 2).orderBy("hop", "link_type", "id").select("id", "hop"), "SELECT id, cost::INT AS hop FROM h2", hops("h", "qp-1", 2, "edges"))
-add("X3_stemmed_index", lambda s: (lambda p: p.join(X.stems(p.select("term")), "term").groupBy("stem").agg(F.sum("count").alias("n")))(T.postings(s.notes, ("title",))))
+add("X3_stemmed_index", lambda s: (lambda p: p.join(X.stems(p.select("term")), "term").groupBy("stem").agg(F.sum("count").alias("n")))(s.base.select(F.explode(X.tokens(F.col("body"))).alias("term")).groupBy("term").agg(F.count("*").alias("count"))))
 add("X9_attachment_targets", lambda s: LINKED(s).select("id", F.get(X.attachments(F.col("b")), F.lit(0)).alias("name")), "SELECT id, 'a'||(doc_id%5)||'.png' AS name FROM notes")
 add("X13_rename_in_bodies", lambda s: LINKED(s).filter("doc_id < 40").select("id", X.rewrite_ids(X.rewrite_ids(F.col("b"), "qp-3", "qp-3-1"), "qp-4", "qp-4-1").alias("b")), r"SELECT id, regexp_replace(regexp_replace(b,'\bqp-3\b','qp-3-1','g'),'\bqp-4\b','qp-4-1','g') AS b FROM linked WHERE doc_id<40", SQL_LINKED)
 add("X35_cosine", lambda s: (lambda v: v.filter("id = 'qp-1'").select("term", F.col("w").alias("a")).join(v.filter("id = 'qp-6'"), "term").agg(F.round(F.coalesce(F.sum(F.col("a") * F.col("w")), F.lit(0.0)), 6).alias("cosine")))(_V(s)), "SELECT round(coalesce(sum(a.w*b.w),0),6) AS cosine FROM vec a JOIN vec b USING (term) WHERE a.id='qp-1' AND b.id='qp-6'", VEC)

@@ -162,3 +162,16 @@ def test_streamed_rollup(spark, tmp_path):
     kept = {}
     telemetry.stream_upserts(stream, "command", "ts", lambda rows, n: kept.update({r["command"]: r["duration_ms"] for r in rows.collect()}), str(tmp_path / "s2")).awaitTermination()
     assert kept == {"list": 1200.0}
+
+
+def test_stem_queries_read_whole_texts(spark):
+    import regex
+
+    from lattica.model import STOP_WORDS
+    from lattica.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    words = [w for t in texts for w in regex.split(r"[^\p{L}\p{N}]+", (t or "").lower()) if w and w not in STOP_WORDS]
+    assert {r["term"] for r in registry.queries()["X2_stem_terms"](spark, sf).collect()} == set(words)
+    assert sum(r["n"] for r in registry.queries()["X3_stemmed_index"](spark, sf).collect()) == len(words)
