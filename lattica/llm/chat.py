@@ -1,7 +1,8 @@
 """Chat formatting by schema fingerprints.
 
 The fingerprint of a layout is a hash of its sorted nested field paths, as far as these are known to the mappings; it
-selects a declarative mapping that says where key, order, role and content of canonical turns lie. Records of many
+selects a declarative mapping that says where key, order, role and content of canonical turns lie. Where no mapping has
+exactly these paths, the one with the most paths among those that lie in the record whole is taken. Records of many
 layouts may stand side by side as JSON; a table's own columns are a layout too.
 
 The template marks turns by control strings that begin with "<|". Inside roles and contents, "<", any number of
@@ -48,11 +49,13 @@ MAPPINGS = [
     Mapping("messages", ("messages[].role", "messages[].content"), "messages", "role", "content"),
     Mapping("from and value", ("conversations[].from", "conversations[].value"), "conversations", "from", "value"),
     Mapping("prompt and messages", ("prompt", "messages[].role", "messages[].content"), "messages", "role", "content", (("system", "prompt"),)),
+    Mapping("system and messages", ("system", "messages[].role", "messages[].content"), "messages", "role", "content", (("system", "system"),)),
     Mapping("prompt and response", ("prompt", "response"), fields=(("user", "prompt"), ("assistant", "response"))),
     Mapping("prompt and completion", ("prompt", "completion"), fields=(("user", "prompt"), ("assistant", "completion"))),
     Mapping("instruction", ("instruction", "output"), fields=(("user", "instruction"), ("assistant", "output"))),
     Mapping("instruction with input", ("instruction", "input", "output"), fields=(("user", "instruction"), ("user", "input"), ("assistant", "output"))),
     Mapping("system and instruction", ("system", "instruction", "output"), fields=(("system", "system"), ("user", "instruction"), ("assistant", "output"))),
+    Mapping("system, instruction and input", ("system", "instruction", "input", "output"), fields=(("system", "system"), ("user", "instruction"), ("user", "input"), ("assistant", "output"))),
 ]
 KNOWN = frozenset(p for m in MAPPINGS for p in m.paths)
 
@@ -65,6 +68,15 @@ def fingerprint(paths) -> str:
 BY_FINGERPRINT = {fingerprint(m.paths): m for m in MAPPINGS}
 
 
+def mapping_for(paths, by_row: bool = False) -> Mapping | None:
+    """The mapping with the paths' fingerprint, or else the largest one of which all paths are there, the first of equal ones; by_row: of rows by turn."""
+    paths = set(paths) & KNOWN
+    exact = BY_FINGERPRINT.get(fingerprint(paths))
+    if exact is not None and (exact.name == "rows by turn") == by_row:
+        return exact
+    return max((m for m in MAPPINGS if (m.name == "rows by turn") == by_row and paths.issuperset(m.paths)), key=lambda m: len(m.paths), default=None)
+
+
 def schema_paths(schema: T.DataType, at: str = "") -> Iterator[str]:
     """Nested field paths of a Spark type."""
     if isinstance(schema, T.StructType):
@@ -88,14 +100,31 @@ def value_paths(value, at: str = "") -> Iterator[str]:
         yield at
 
 
+def record_paths(record: dict) -> Iterator[str]:
+    """Nested field paths of a parsed record; an array of turns has the paths of its turns, whatever their contents are, even if it is empty."""
+    for m in MAPPINGS:
+        if m.each and isinstance(turns := record.get(m.each), list):
+            fields = {k for x in turns if isinstance(x, dict) for k in x} if turns else {m.role, m.content}
+            yield from (f"{m.each}[].{k}" for k in fields)
+    yield from (str(k) for k in record)
+    yield from value_paths(record)
+
+
+def said(v) -> str:
+    """A content as text: null is empty, and of content parts the texts are joined if every part has one; else it is JSON."""
+    if isinstance(v, list) and v and all(isinstance(x, str) or isinstance(x, dict) and isinstance(x.get("text"), str) for x in v):
+        return "".join(x if isinstance(x, str) else x["text"] for x in v)
+    return "" if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+
+
 def turns_of(record) -> list[tuple[str, str]] | None:
-    """Canonical (role, text) turns of a parsed record; None if no mapping has its fingerprint. Null texts are empty; empty fields give no turn."""
+    """Canonical (role, text) turns of a parsed record; None if no mapping's paths are all in it. Null texts are empty; empty fields give no turn."""
     if not isinstance(record, dict):
         return None
-    m = BY_FINGERPRINT.get(fingerprint(value_paths(record)))
-    if m is None or m.name == "rows by turn":
+    m = mapping_for(record_paths(record))
+    if m is None:
         return None
-    text = lambda v: "" if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+    text = said
     out = [(role, text(record[path])) for role, path in m.fields if text(record.get(path))]
     for x in record[m.each] if m.each else ():
         if isinstance(x, dict):
@@ -139,9 +168,9 @@ def format_rows(turns: DataFrame) -> DataFrame:
     null conv_ids one conversation; repeated rows are turns of their own; extra columns play no part; an empty table gives
     an empty one. One shuffle by conversation; the sorted partitions stream, so no conversation is held whole.
     """
-    m = BY_FINGERPRINT.get(fingerprint(schema_paths(turns.schema)))
-    if m is None or m.name != "rows by turn":
-        raise ValueError("the columns' fingerprint belongs to no layout of rows by turn")
+    m = mapping_for(schema_paths(turns.schema), by_row=True)
+    if m is None:
+        raise ValueError("the columns belong to no layout of rows by turn")
     rows = turns.select("conv_id", "turn", F.col(m.role).cast("string").alias("role"), F.col(m.content).cast("string").alias("text")).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,19 +186,39 @@ def format_rows(turns: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, PIECES.format(key=turns.schema["conv_id"].dataType.simpleString()))
 
 
+def read_record(record: str | None) -> tuple[list[tuple[str, str]], str]:
+    """The turns of a JSON record, and its status: ok, null, not JSON, unknown layout, or no turns."""
+    if record is None:
+        return [], "null"
+    try:
+        turns = turns_of(json.loads(record))
+    except (ValueError, RecursionError):
+        return [], "not JSON"
+    return turns or [], "unknown layout" if turns is None else "ok" if turns else "no turns"
+
+
+def unmatched(records: DataFrame, key_col: str, json_col: str) -> DataFrame:
+    """(conv_id, record, status) of every record of which format_records gives no piece, repeated ones each."""
+    rows = records.select(F.col(f"`{key_col}`").alias("conv_id"), F.col(f"`{json_col}`").cast("string").alias("record"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            status = [read_record(x)[1] for x in b.column(1).to_pylist()]
+            left = [i for i, s in enumerate(status) if s != "ok"]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(left, pa.int64())), b.column(1).take(pa.array(left, pa.int64())), pa.array([status[i] for i in left], pa.string())], ["conv_id", "record", "status"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField("status", T.StringType())]))
+
+
 def format_records(records: DataFrame, key_col: str, json_col: str) -> DataFrame:
-    """Formatted pieces of JSON records of any known layout; records that don't parse or have an unknown fingerprint give none."""
+    """Formatted pieces of JSON records of any known layout; those of others are in unmatched()."""
     rows = records.select(F.col(f"`{key_col}`").alias("conv_id"), F.col(f"`{json_col}`").cast("string").alias("record"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             keys, seqs, roles, texts = [], [], [], []
             for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                try:
-                    turns = turns_of(json.loads(x)) if x is not None else None
-                except ValueError:
-                    turns = None
-                for i, (role, text) in enumerate(turns or []):
+                for i, (role, text) in enumerate(read_record(x)[0]):
                     keys.append(k)
                     seqs.append(i)
                     roles.append(role)

@@ -51,6 +51,22 @@ def test_records(spark):
     assert [(r["conv_id"], r["seq"]) for r in out] == [(1, 0), (1, 1)]
 
 
+def test_records_of_mixed_layouts_lose_nothing(spark):
+    say = [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "yo"}]
+    want = [("user", "hi"), ("assistant", "yo")]
+    assert chat.turns_of({"conv_id": 1, "text": "t", "messages": say}) == want
+    assert chat.turns_of({"system": "s", "messages": say}) == [("system", "s"), *want]
+    assert chat.turns_of({"system": "s", "instruction": "hi", "input": "i", "output": "yo"}) == [("system", "s"), ("user", "hi"), ("user", "i"), ("assistant", "yo")]
+    assert chat.turns_of({"messages": [{"role": "user", "content": [{"type": "text", "text": "h"}, {"type": "text", "text": "i"}]}, say[1]]}) == want
+    assert chat.turns_of({"messages": [], "system": "s"}) == [("system", "s")] and chat.turns_of({"messages": []}) == []
+    rows = [(1, json.dumps({"conv_id": 1, "messages": say})), (2, "not json"), (3, None), (4, json.dumps({"odd": 1})), (5, json.dumps({"messages": []}))]
+    df = spark.createDataFrame(rows, "k long, j string")
+    assert sorted(r["seq"] for r in chat.format_records(df, "k", "j").collect()) == [0, 1]
+    assert {(r["conv_id"], r["record"]): r["status"] for r in chat.unmatched(df, "k", "j").collect()} == {rows[1]: "not JSON", rows[2]: "null", rows[3]: "unknown layout", rows[4]: "no turns"}
+    extra = spark.createDataFrame([(1, 0, "user", "hi", "p", "o")], "conv_id long, turn long, role string, text string, prompt string, output string")
+    assert [r["seq"] for r in chat.format_rows(extra).collect()] == [0]
+
+
 def test_query(spark):
     got = {r["conv_id"]: tuple(r)[1:5] for r in chat.op1_chat_format(spark, "/root/testdata/sf0.001").collect()}
     turns = {}
