@@ -42,47 +42,72 @@ def script(letter: str) -> str:
 
 
 def grams(word: str) -> list[str]:
-    """Letter n-grams of a word with its ends marked, and the whole word."""
+    """Letter n-grams of a word with its ends marked."""
     padded = f"^{word}$"
-    return [padded[i : i + GRAM] for i in range(len(padded) - GRAM + 1)] + [padded]
+    return [padded[i : i + GRAM] for i in range(len(padded) - GRAM + 1)]
+
+
+def _keys(points: np.ndarray) -> np.ndarray:
+    """A number for each n-gram of a row of code points, which have 21 bits."""
+    n = max(len(points) - GRAM + 1, 0)
+    out = np.zeros(n, np.uint64)
+    for i in range(GRAM):
+        out = out << np.uint64(21) | points[i : i + n]
+    return out
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
 
 
 class Model:
-    """Log weights of letter n-grams by language, and the scripts that each language is written in."""
+    """Log weights of letter n-grams and whole words by language, and the scripts that each language is written in."""
 
     def __init__(self, counts: list[tuple[str, str, int]]):
         self.langs = sorted({lang for lang, _, _ in counts})
         number = {lang: i for i, lang in enumerate(self.langs)}
         k = max(len(self.langs), 1)
         seen: dict[str, list[int]] = defaultdict(lambda: [0] * k)
+        whole: dict[str, list[int]] = defaultdict(lambda: [0] * k)
         letters: dict[str, list[int]] = defaultdict(lambda: [0] * k)
         for lang, word, n in counts:
             i = number[lang]
             letters[script(word[0])][i] += n
+            whole[word][i] += n
             for g in grams(word):
                 seen[g][i] += n
-        names = [g for g, c in seen.items() if sum(c) > 1]
-        self.row = {g: i for i, g in enumerate(names)}
-        table = np.array([seen[g] for g in names], np.float64).reshape(len(names), k) + 0.5
-        total = table.sum(0)
-        weights = np.log(table / total)
-        # an n-gram says how much more a language uses it than all of them do
-        self.weights = (weights - np.log((table / total).mean(1, keepdims=True))).astype(np.float32)
+        pieces = sorted((g for g, c in seen.items() if sum(c) > 1), key=lambda g: tuple(map(ord, g)))
+        names = [w for w, c in whole.items() if sum(c) > 1]
+        self.keys = np.concatenate([np.empty(0, np.uint64), *(_keys(_points(g)) for g in pieces)])
+        self.words = {w: len(pieces) + i for i, w in enumerate(names)}
+        table = np.array([seen[g] for g in pieces] + [whole[w] for w in names], np.float64).reshape(-1, k) + 0.5
+        weights = np.log(table / table.sum(0))
+        # an n-gram says how much more a language uses it than all of them do; the last row is for what isn't known
+        weights -= np.log((table / table.sum(0)).mean(1, keepdims=True))
+        self.weights = np.concatenate([weights, np.zeros((1, k))])
         written = np.array([sum(c[i] for c in letters.values()) for i in range(k)], np.float64)
         self.scripts = {s: [i for i in range(k) if c[i] > 0.01 * max(written[i], 1)] for s, c in letters.items()}
 
     def scores(self, tokens: list[str]) -> np.ndarray:
         """Log posterior of each language (columns) for tokens that have letters."""
-        rows, ends, first, get = [], [], [], self.row.get
-        for t in tokens:
-            parts = [t] if t.isalpha() else LETTERS.findall(t)
-            for p in parts:
-                rows += [i for g in grams(p) if (i := get(g)) is not None]
-            ends.append(len(rows))
-            first.append(script(parts[0][0]))
-        sums = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(self.weights[rows], axis=0, dtype=np.float64)])
-        at = np.array(ends, np.int64)
-        raw = sums[at] - sums[np.concatenate([[0], at[:-1]])]
+        parts = [[t] if t.isalpha() else LETTERS.findall(t) for t in tokens]
+        flat = [p for own in parts for p in own]
+        of = np.repeat(np.arange(len(tokens)), [len(own) for own in parts])  # the token of each part
+        points = _points("".join(f"^{p}$" for p in flat))
+        keys = _keys(points)
+        n = len(keys)
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        # n-grams across the ends of parts don't count
+        inner = points[1 : n + 1]
+        known = (self.keys[at] == keys if len(self.keys) else np.zeros(n, bool)) & (points[:n] != ord("$")) & (inner != ord("$")) & (inner != ord("^"))
+        lengths = np.array([len(p) + 2 for p in flat], np.int64)
+        owner = np.repeat(of, lengths)[:n]
+        rows, to = at[known], owner[known]
+        get, unknown = self.words.get, len(self.weights) - 1
+        rows = np.concatenate([rows, np.array([get(p, unknown) for p in flat], np.int64)])
+        to = np.concatenate([to, of])
+        raw = np.stack([np.bincount(to, self.weights[rows, i], len(tokens)) for i in range(self.weights.shape[1])], axis=1)
+        first = [script(own[0][0]) for own in parts]
         for s in set(first) & set(self.scripts):
             barred = [i for i in range(len(self.langs)) if i not in self.scripts[s]]
             if barred and len(barred) < len(self.langs):
@@ -92,17 +117,8 @@ class Model:
 
 
 def viterbi(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
-    """The best labelling of words (rows) by languages (columns), with a penalty for each switch.
-
-    If over no stretch another language gains more than half the penalty on the one that is best in all, no switch can
-    pay and that one labels every word.
-    """
+    """The best labelling of words (rows) by languages (columns), with a penalty for each switch."""
     n, k = scores.shape
-    best = int(scores.sum(0).argmax())
-    gain = np.cumsum(scores - scores[:, best : best + 1], axis=0)
-    below = np.minimum(np.minimum.accumulate(gain, axis=0), 0.0)
-    if (gain[0] <= penalty / 2).all() and (n == 1 or (gain[1:] - below[:-1] <= penalty / 2).all()):
-        return np.full(n, best, np.int32)
     rows = scores.tolist()
     now, back = rows[0], []
     for row in rows[1:]:
@@ -120,6 +136,42 @@ def viterbi(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     return out
 
 
+def unmixed(scores: np.ndarray, starts: np.ndarray, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
+    """For texts whose words' scores stand one below the other, text i from starts[i] to starts[i + 1]: the language that is best in all, and whether no labelling with a switch can beat it.
+
+    Let a stretch's gain be by how much another language beats that one over it. Of a labelling with m switches, the first
+    and the last stretch are ends of the text and at most m - 1 stretches lie between. So if ends gain at most the penalty
+    together, and every stretch at most the penalty, the switches cost more than they bring. All texts are looked at in one
+    pass: sums run on over them, each shifted below the last, so that running minima begin anew.
+    """
+    of = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    best = np.add.reduceat(scores, starts[:-1], axis=0).argmax(1)
+    gain = np.cumsum(scores - scores[np.arange(len(scores)), best[of]][:, None], axis=0)
+    before = np.concatenate([np.zeros((1, gain.shape[1])), gain])
+    own = gain - before[starts[:-1]][of]  # sums from the text's first word on
+    deep = np.abs(gain).max() * 2 + 1
+    low = np.minimum.accumulate(np.concatenate([np.zeros((1, gain.shape[1])), own - deep * (of + 1)[:, None]]), axis=0)[:-1] + deep * (of + 1)[:, None]
+    stretch = own - np.minimum(low, 0.0)
+    head = np.maximum.reduceat(own, starts[:-1], axis=0).max(1)
+    total = own[starts[1:] - 1]
+    tail = (total - np.minimum(np.minimum.reduceat(own, starts[:-1], axis=0), 0.0)).max(1)
+    inner = np.maximum.reduceat(stretch, starts[:-1], axis=0).max(1)
+    return best, (np.maximum(head, 0) + np.maximum(tail, 0) <= penalty) & (inner <= penalty)
+
+
+class _Rows(dict):
+    """Row numbers of tokens; a new token gets the next one."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, token: str) -> int:
+        self[token] = row = len(self)
+        self.new.append(token)
+        return row
+
+
 class Tagger:
     """A model with a bounded table of tokens that it has seen."""
 
@@ -128,64 +180,73 @@ class Tagger:
         self._clear()
 
     def _clear(self) -> None:
-        self.rows: dict[str, int] = {}
-        self.used = 0
+        self.rows = _Rows()
         self.scores = np.zeros((4096, max(len(self.model.langs), 1)))
         self.letters = np.zeros(4096, np.int64)
 
-    def _add(self, tokens: list[str]) -> None:
-        """Rows for new tokens; those without a letter get -1."""
-        low = [t.lower() for t in tokens]
-        kept = [i for i, t in enumerate(low) if t.isalpha() or LETTERS.search(t)]
-        self.rows.update(dict.fromkeys(tokens, -1))
-        if not kept:
-            return
-        need = self.used + len(kept)
-        if need > len(self.letters):
-            size = max(need, 2 * len(self.letters))
-            self.scores, self.letters = np.resize(self.scores, (size, self.scores.shape[1])), np.resize(self.letters, size)
+    def _add(self) -> None:
+        """Scores and letters of new tokens; those without a letter have none."""
+        tokens, self.rows.new = self.rows.new, []
+        if (size := len(self.rows)) > len(self.letters):
+            more = max(size, 2 * len(self.letters)) - len(self.letters)
+            self.scores, self.letters = np.concatenate([self.scores, np.zeros((more, self.scores.shape[1]))]), np.concatenate([self.letters, np.zeros(more, np.int64)])
+        start = size - len(tokens)
+        kept = [(start + i, t) for i, t in enumerate(tokens) if t.isalpha() or LETTERS.search(t)]
         step = max(SCORED // len(self.model.langs), 1)
         for at in range(0, len(kept), step):
             part = kept[at : at + step]
-            self.scores[self.used + at : self.used + at + len(part)] = self.model.scores([low[i] for i in part])
-        self.letters[self.used : need] = [sum(map(str.isalpha, tokens[i])) for i in kept]
-        self.rows.update((tokens[i], self.used + k) for k, i in enumerate(kept))
-        self.used = need
+            rows = np.array([i for i, _ in part], np.int64)
+            self.scores[rows] = self.model.scores([t.lower() for _, t in part])
+            self.letters[rows] = [len(t) if t.isalpha() else sum(map(str.isalpha, t)) for _, t in part]
 
     def predict(self, texts: list[str | None], spans: bool) -> list[tuple[str, float, str]]:
         """For each text its language, the share of letters labelled with it, and spans start:end:language in code points."""
+        out: list[tuple[str, float, str]] = [("und", 0.0, "")] * len(texts)
         if not self.model.langs:
-            return [("und", 0.0, "")] * len(texts)
+            return out
         if len(self.rows) > scaled(CACHE_TOKENS, len(self.model.langs)):
             self._clear()
         split = [words_of(t) if t else [] for t in texts]
-        if new := [w for w in dict.fromkeys(w for words in split for w in words) if w not in self.rows]:
-            self._add(new)
-        return [self._one(t or "", words, spans) for t, words in zip(texts, split, strict=True)]
-
-    def _one(self, text: str, words: list[str], spans: bool) -> tuple[str, float, str]:
-        at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
-        known = at[at >= 0]
-        if not len(known):
-            return "und", 0.0, ""
-        labels, size = viterbi(self.scores[known]), self.letters[known]
-        share = np.bincount(labels, size, len(self.model.langs))
-        best = int(share.argmax())
-        return self.model.langs[best], float(share[best] / max(size.sum(), 1)), self._spans(text, words, at, labels) if spans else ""
-
-    def _spans(self, text: str, words: list[str], at: np.ndarray, labels: np.ndarray) -> str:
+        sizes = list(map(len, split))
+        every = np.fromiter(map(self.rows.__getitem__, (w for words in split for w in words)), np.int64, sum(sizes))
+        if self.rows.new:
+            self._add()
+        known = self.letters[every] > 0
+        ends = np.cumsum(sizes, dtype=np.int64)
+        have = np.concatenate([[0], np.cumsum(known)])
+        counts = have[ends] - have[ends - sizes]
+        live = np.nonzero(counts)[0]
+        if not len(live):
+            return out
+        at = every[known]
+        starts = np.concatenate([[0], np.cumsum(counts[live])])
+        scores, letters = self.scores[at], self.letters[at]
+        best, sure = unmixed(scores, starts)
+        for place, i in enumerate(live):
+            if sure[place]:
+                lang = self.model.langs[best[place]]
+                out[i] = (lang, 1.0, f"0:{len(texts[i])}:{lang}" if spans else "")
+                continue
+            low, high = starts[place], starts[place + 1]
+            labels = viterbi(scores[low:high])
+            share = np.bincount(labels, letters[low:high], len(self.model.langs))
+            top = int(share.argmax())
+            out[i] = (self.model.langs[top], float(share[top] / share.sum()), self._spans(texts[i], split[i], known[ends[i] - sizes[i] : ends[i]], labels) if spans else "")
+        return out
+
+    def _spans(self, text: str, words: list[str], known: np.ndarray, labels: np.ndarray) -> str:
+        """Spans of one label each; a word without a letter belongs to the word before it, at the start of a text to the first with one."""
         if (labels == labels[0]).all():
             return f"0:{len(text)}:{self.model.langs[labels[0]]}"
-        out, place, start, k, now = [], 0, 0, 0, None
-        for w, row in zip(words, at, strict=True):
-            place = text.index(w, place)
-            if row >= 0:
-                if now is not None and labels[k] != now:
-                    out.append(f"{start}:{place}:{self.model.langs[now]}")
-                    start = place
-                now = labels[k]
-                k += 1
-            place += len(w)
+        turns = np.nonzero(np.diff(labels))[0] + 1  # the first words, among those with a letter, of further spans
+        numbers = np.nonzero(known)[0][turns].tolist()
+        out, place, start, now, at = [], 0, 0, int(labels[0]), 0
+        for turn, number in zip(turns.tolist(), numbers, strict=True):
+            for w in words[at:number]:
+                place = text.index(w, place) + len(w)
+            place, at = text.index(words[number], place), number
+            out.append(f"{start}:{place}:{self.model.langs[now]}")
+            start, now = place, int(labels[turn])
         return ",".join([*out, f"{start}:{len(text)}:{self.model.langs[now]}"])
 
 
