@@ -1,61 +1,84 @@
 """WARC archives, index first.
 
-Which file a record goes to and where it lies there follow from the page's id, its digest and the records' lengths alone,
-so the index (file, offset, length, URL, digest, type) is worked out and written before any archive. Records are put
-together by built-in functions and written by Spark's text writer, whose line separator is the mark that ends a WARC
-record, under its commit protocol, so a lost executor leaves no half file. Reading takes selected rows of the index,
-sorts their byte ranges within files, coalesces neighbouring ones and fetches each run at once.
+Every record is a gzip member of its own, so its offset and length in the archive are all that a reader needs. Each task
+streams its pages into archives of its own, a new one after FILE_BYTES, and hands on a row of the index for each record:
+file, offset, length, URL, digest. The index is written before anything is read, and it alone says which files count: names
+are drawn anew by each attempt, so what a lost or repeated attempt left behind is named nowhere. Reading takes selected
+rows of the index, sorts their byte ranges within files, coalesces neighbouring ones and fetches each run at once.
+
+Payloads are not shuffled. Which records revisit another follows from digests and lengths alone; the payloads that several
+records share come to the writers as a broadcast table if it is small, counted first, and else by a join on the digest.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import unquote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blank_if_null, new_path, table, written
 
 #: Payloads of fewer bytes are never revisits.
 REVISIT_BYTES = 1000
-FILE_BYTES = 16 << 20
+FILE_BYTES = 256 << 20
 #: A gap of up to GAP bytes is read over; a run of ranges is at most RUN bytes, unless one record is longer.
 GAP, RUN = 64 << 10, 4 << 20
-END = "\r\n\r\n"
+#: Compressed bytes that one task reads, about, and rows of repeats that may be broadcast, of about 100 bytes each.
+READ_BYTES, BROADCAST_ROWS = 64 << 20, 300_000
+LEVEL = 1
+END = b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+INDEX = "path string, offset long, length long, url string, payload_digest string, page_id long"
+RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def _with_digest(pages: DataFrame) -> DataFrame:
-    payload = blank_if_null(F.col("html"))
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(blank_if_null(F.col("url")), r"[\r\n]", "%0A").alias("url"), payload.alias("payload")).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
+def _store(path: str):
+    """The file system of an address and the name of the file there."""
+    from pyarrow import fs
 
+    return (fs.LocalFileSystem(), unquote("/" + path[5:].lstrip("/"))) if path.startswith("file:") else fs.FileSystem.from_uri(path)
 
-def _repeats(slim: DataFrame) -> DataFrame:
-    """The largest page_id of each payload that several records share."""
-    long = slim.filter(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
-    return long.filter("n > 1").drop("n")
 
+def _full_address(spark: SparkSession, path: str) -> str:
+    """A path with its scheme, as the session's default store gives it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
 
-def _typed(pages: DataFrame, repeats: DataFrame) -> DataFrame:
-    out = pages.join(repeats, ["payload_digest", "payload_bytes"], "left")
-    return out.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper"))).drop("keeper")
 
+def record(name: str, page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+    """A whole record: a response with its payload, or without it a revisit of another page's response."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d" % len(payload) + END
+    block = http + payload if refers_to is None else http
+    head = [
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", "WARC-Date: 1970-01-01T00:00:00Z",
+        f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Page-ID: {'' if page_id is None else page_id}", f"X-Payload-Length: {len(payload)}",
+    ]
+    if refers_to is not None:
+        head += [f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page-ID: {refers_to}"]
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + END + block + END
 
-def _head() -> tuple:
-    """Columns for a record's header and the HTTP header of its block."""
-    revisit = F.col("refers_to").isNotNull()
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
-    block = F.octet_length(http) + F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes"))
-    name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">\r\n"))
-    head = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: "), F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")), F.lit("\r\nWARC-Record-ID: "), name(F.col("page_id")),
-        F.lit("WARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: "), F.col("url"), F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("payload_digest"), F.lit("\r\nX-Payload-Length: "), F.col("payload_bytes").cast("string"),
-        F.when(revisit, F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), F.expr("concat('<urn:page:', cast(refers_to as string), '>')"))).otherwise(F.lit("")),
-        F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), block.cast("string"), F.lit(END))
-    return head, http, block
+
+def parse_record(raw: bytes) -> dict:
+    """Fields of one record, its block and, for a response, its payload."""
+    head, _, rest = raw.partition(END)
+    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+    block = rest[: int(fields["Content-Length"])]
+    if rest[len(block) :] != END:
+        raise ValueError("a record doesn't end where it should")
+    return {"fields": fields, "block": block, "payload": block.partition(END)[2]}
+
+
+def _repeats(slim: DataFrame) -> DataFrame:
+    """The largest page_id of each payload that several records share."""
+    long = slim.filter(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
+    return long.filter("n > 1").drop("n")
 
 
 def write_archives(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -63,59 +86,52 @@ def write_archives(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) ->
 
     A null html is an empty payload, a null url an empty one, a null page_id stays null and yields to any other as the
     one that others refer to. Of repeated rows with the largest page_id, each is a response. Extra columns play no part.
-    An empty table gives an empty index and no archive. The payloads are shuffled once, the index apart from them.
+    An empty table gives an empty index and no archive. Line ends in URLs are escaped.
     """
-    spark = pages.sparkSession
-    full = _with_digest(pages)
-    slim = written(full.drop("payload"), "warc-digests")
-    repeats = written(_repeats(slim), "warc-repeats")
-    head, http, block = _head()
-    total = slim.agg(F.sum(F.col("payload_bytes") + 600)).first()[0] or 0
-    files = max(1, -(-total // file_bytes))
-    place = F.pmod(F.xxhash64("page_id", "payload_digest"), F.lit(files)).cast("int").alias("file_id")
-    order = ["page_id", "payload_digest", "url"]
-    length = F.octet_length(head) + block
-    listed = _typed(slim, repeats).select("*", place, length.cast("long").alias("length"))
-    before = Window.partitionBy("file_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    index = listed.withColumn("offset", F.coalesce(F.sum(F.col("length") + len(END)).over(before), F.lit(0).cast("long")))
-    index = written(index.select("file_id", "offset", "length", "url", "payload_digest", "page_id"), "warc-index")
-    payload = F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(""))
-    records = _typed(full, repeats).select(F.concat(head, http, payload).alias("value"), place, *order).repartition("file_id").sortWithinPartitions("file_id", *order)
-    records.select("value", "file_id").write.partitionBy("file_id").option("lineSep", END).text(path)
-    if not total:
-        return index.withColumn("path", F.lit(None).cast("string"))
-    found = spark.read.format("binaryFile").load(path).select("file_id", "path")
-    return index.join(found, "file_id")
-
-
-def _fetch(path: str, lo: int, hi: int) -> bytes:
-    """Bytes of a file in whatever store its address names."""
-    from pyarrow import fs
-
-    if path.startswith("file:"):
-        store, name = fs.LocalFileSystem(), unquote("/" + path[5:].lstrip("/"))
-    else:
-        store, name = fs.FileSystem.from_uri(path)
-    with store.open_input_file(name) as f:
-        return f.read_at(hi - lo, lo)
-
-
-def parse_record(raw: bytes) -> dict:
-    """Fields of one record and, for a response, its payload."""
-    head, _, block = raw.partition(END.encode())
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    _, _, payload = block.partition(END.encode())
-    return {"fields": fields, "block": block, "payload": payload}
+    payload = blank_if_null(F.col("html"))
+    full = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(blank_if_null(F.col("url")), r"[\r\n]", "%0A").alias("url"), payload.alias("payload"))
+    full = full.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
+    repeats = written(_repeats(full.select("page_id", "payload_bytes", "payload_digest")), "warc-repeats")
+    if repeats.count() <= BROADCAST_ROWS:
+        repeats = F.broadcast(repeats)
+    typed = full.join(repeats, ["payload_digest", "payload_bytes"], "left")
+    refers_to = F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper"))
+    root = _full_address(pages.sparkSession, path)
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = _store(root)
+        out, name, at = None, "", 0
+        for b in it:
+            rows: list[list] = [[] for _ in range(6)]
+            for page, url, html, digest, keeper in zip(*(b.column(i) for i in range(5)), strict=True):
+                if out is None or at >= file_bytes:
+                    if out is not None:
+                        out.close()
+                    name, at = f"{uuid.uuid4().hex}.warc.gz", 0
+                    store.create_dir(folder, recursive=True)
+                    out = store.open_output_stream(f"{folder}/{name}", compression=None)
+                page, url, digest = page.as_py(), url.as_py(), digest.as_py()
+                pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+                raw = pack.compress(record(f"{name}:{at}", page, url, html.as_py().encode(), digest, keeper.as_py())) + pack.flush()
+                out.write(raw)
+                for to, v in zip(rows, (f"{root}/{name}", at, len(raw), url, digest, page), strict=True):
+                    to.append(v)
+                at += len(raw)
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], [x.split()[0] for x in INDEX.split(", ")])
+        if out is not None:
+            out.close()
 
-RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    return written(typed.select("page_id", "url", "payload", "payload_digest", refers_to.alias("refers_to")).mapInArrow(run, INDEX), "warc-index")
 
 
 def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
     """The records that rows of an index name, read back by coalesced byte ranges. Digests are those of the payloads read; a payload that doesn't match its header fails the task."""
-    rows = index.select("path", "offset", "length").withColumn("__run", F.floor(F.col("offset") / (8 * RUN))).repartition("path", "__run").sortWithinPartitions("path", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    parts = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // READ_BYTES))
+    rows = index.select("path", "offset", "length").withColumn("__run", F.floor(F.col("offset") / (2 * RUN))).repartition(parts, "path", "__run").sortWithinPartitions("path", "offset")
     schema = RECORD + (", payload string" if with_payload else "")
-    number = lambda s: int(s[10:-1]) if s and s[10:-1] else None
+    number = lambda s: int(s) if s else None
 
     def ranges(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[tuple[int, int]]]]:
         path, held = "", []
@@ -130,22 +146,29 @@ def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
             yield path, held
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened, source = "", None
         for path, held in ranges(it):
+            if path != opened:
+                if source is not None:
+                    source.close()
+                store, name = _store(path)
+                opened, source = path, store.open_input_file(name)
             lo = held[0][0]
-            data = _fetch(path, lo, max(o + n for o, n in held))
+            data = source.read_at(max(o + n for o, n in held) - lo, lo)
             out: list[list] = [[] for _ in range(6 + with_payload)]
             for o, n in held:
-                r = parse_record(data[o - lo : o - lo + n])
+                r = parse_record(zlib.decompress(data[o - lo : o - lo + n], 31))
                 f, kind = r["fields"], r["fields"]["WARC-Type"]
                 digest, size = f["WARC-Payload-Digest"][5:], int(f["X-Payload-Length"])
-                if int(f["Content-Length"]) != len(r["block"]) or kind == "response" and (hashlib.sha1(r["payload"]).hexdigest(), len(r["payload"])) != (digest, size):
+                if kind == "response" and (hashlib.sha1(r["payload"]).hexdigest(), len(r["payload"])) != (digest, size):
                     raise ValueError(f"damaged record at {o} of {path}")
-                values = [number(f["WARC-Record-ID"]), f["WARC-Target-URI"], size, digest, kind, number(f.get("WARC-Refers-To"))]
+                values = [number(f["X-Page-ID"]), f["WARC-Target-URI"], size, digest, kind, number(f.get("X-Refers-To-Page-ID"))]
                 for to, v in zip(out, values + [r["payload"].decode()] * with_payload, strict=True):
                     to.append(v)
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
-            names = [x.split()[0] for x in schema.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=False)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=False)], [x.split()[0] for x in schema.split(", ")])
+        if source is not None:
+            source.close()
 
     return rows.mapInArrow(run, schema)
 
