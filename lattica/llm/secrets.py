@@ -1,10 +1,14 @@
 """Secret scans with multipart credential linking.
 
 Strong patterns are reported as they are. Weak candidates (short or unlabelled tokens, account identifiers, endpoints)
-are reported only where complementary parts co-occur: an identifier with a secret, a secret with an identifier or an
-endpoint, an endpoint with a secret, at most REACH code points apart and within one scope, a block of text without an
-empty line. Links are an interval join; its key, the scope, never leaves a row, so each row is joined on its own by a
-search in sorted starts and the running maximum of ends: no shuffle, and no pairs are written out.
+are reported only where complementary parts co-occur within a scope: an identifier with a secret, a secret with an
+identifier or an endpoint, an endpoint with a secret. The scope of a part is the block of settings that it stands in,
+however long: a run of two lines or more that each begin with a name and ":" or "=", or with a bracket. In running text it
+is what lies within REACH code points. No scope goes beyond an empty line.
+
+Links are an interval join of parts with the scopes of their complements. Its key, the text, never leaves a row, so each
+row is joined on its own by a search in sorted starts and the running maximum of ends: no shuffle, and no pairs are
+written out.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ _ID_HINTS = ("akia", "asia", "_id", "clientid", "keyid", "accountid", "user", "l
 _ENDPOINT = re.compile(r"""\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]{3,}|\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}:[0-9]{2,5}\b|\b[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}+){1,126}+:[0-9]{2,5}\b""", re.A)
 _WEAK = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 _SCOPE_END = re.compile(r"\n[\x20\t\r]*\n")
+_SETTING = re.compile(r"""[\x20\t]*(?:[\[\]{}()]|(?:export[\x20\t]+|[-#;/*]{1,3}[\x20\t]*)?["']?[A-Za-z_][A-Za-z0-9_.-]*["']?[\x20\t]*[:=])""")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -64,30 +69,59 @@ class _Intervals:
         return i > 0 and self.ends[i - 1] >= low
 
 
-def linked_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """The weak candidates with a complementary part in reach."""
+def parts_of(text: str, base: list[tuple[int, int, str]]) -> dict[str, list[tuple[int, int]]]:
+    """Weak candidates by kind (id, weak, endpoint), and what they may be linked to: all names and all secrets."""
     low = text.lower()
     ids = [(m.start(), m.end()) for m in _ID.finditer(text)] if any(h in low for h in _ID_HINTS) else []
     ends = [(m.start(), m.end()) for m in _ENDPOINT.finditer(text)] if ":" in text else []
     strong_ids = [(s, e) for s, e, k in base if k == "access"]
     if not (ids or ends or strong_ids):
-        return []
+        return {}
     strong = [(s, e) for s, e, k in base if k == "assign" or k == "hex" and not text[s:e].isdigit()]
     taken = _Intervals([(s, e) for s, e, _ in base])
     others = _Intervals([(s, e) for s, e, _ in base] + ids + ends)
     weak = [(m.start(), m.end()) for m in _WEAK.finditer(text) if _mixed(m[0]) and not others.meet(m.start() + 1, m.end() - 1)]
     weak += [(m.start(), m.end()) for m in _ASSIGN.finditer(text) if 6 <= len(m[2]) < 12] if any(h in low for h in _HINTS) else []
     ids = [x for x in ids if not taken.meet(x[0] + 1, x[1] - 1)]
+    return {"id": ids, "weak": weak, "endpoint": ends, "names": strong_ids + ids, "secrets": strong + weak}
+
+
+def settings(text: str) -> tuple[list[int], list[int]]:
+    """Starts and ends of the runs of two lines or more that are settings."""
+    starts, ends, at, lines = [], [], 0, 0
+    for line in text.split("\n"):
+        lines = lines + 1 if _SETTING.match(line) else 0
+        if lines == 1:
+            first = at
+        elif lines == 2:
+            starts.append(first)
+            ends.append(at + len(line))
+        elif lines:
+            ends[-1] = at + len(line)
+        at += len(line) + 1
+    return starts, ends
+
+
+def linked_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The weak candidates with a complementary part in their scope."""
+    parts = parts_of(text, base)
+    if not parts or not (parts["secrets"] and (parts["names"] or parts["endpoint"])):
+        return []
     breaks = [m.end() for m in _SCOPE_END.finditer(text)]
-    secrets, names, points = _Intervals(strong + weak), _Intervals(strong_ids + ids), _Intervals(ends)
+    starts, ends = settings(text)
+    secrets, names, points = (_Intervals(parts[k]) for k in ("secrets", "names", "endpoint"))
 
     def near(span: tuple[int, int], *others: _Intervals) -> bool:
         i = bisect_right(breaks, span[0])
         low, high = (breaks[i - 1] if i else 0), (breaks[i] if i < len(breaks) else len(text))
-        return any(o.meet(max(low, span[0] - REACH), min(high - 1, span[1] + REACH)) for o in others)
-
-    out = [(*x, "id") for x in ids if near(x, secrets)] + [(*x, "weak") for x in weak if near(x, names, points)]
-    return out + [(*x, "endpoint") for x in ends if near(x, secrets)]
+        first, last = span[0] - REACH, span[1] + REACH
+        k = bisect_right(starts, span[0]) - 1
+        if k >= 0 and span[0] < ends[k]:
+            first, last = min(first, starts[k]), max(last, ends[k])
+        return any(o.meet(max(low, first), min(high - 1, last)) for o in others)
+
+    out = [(*x, "id") for x in parts["id"] if near(x, secrets)] + [(*x, "weak") for x in parts["weak"] if near(x, names, points)]
+    return out + [(*x, "endpoint") for x in parts["endpoint"] if near(x, secrets)]
 
 
 def spelled(spans: list[tuple[int, int, str]]) -> str:
