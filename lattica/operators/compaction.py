@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import checkpointed, components
+from lattica.sources.storage import written
+
+from .graph import components
 
 
 def conflicts(compacts: DataFrame) -> DataFrame:
@@ -15,13 +17,19 @@ def conflicts(compacts: DataFrame) -> DataFrame:
     return many.unionByName(own).distinct()
 
 
+def validation(compacts: DataFrame, notes: DataFrame) -> DataFrame:
+    """(id, problem): conflicts, and sources and digests that aren't among the notes (id)."""
+    unknown = lambda c, problem: compacts.select(F.col(c).alias("id")).distinct().join(notes, "id", "left_anti").withColumn("problem", F.lit(problem))
+    return conflicts(compacts).unionByName(unknown("source_id", "unknown-source")).unionByName(unknown("digest_id", "unknown-digest"))
+
+
 def canonical(compacts: DataFrame, rounds: int = 32) -> DataFrame:
     """(id, canonical) of every compacted note, by doubling pointers until none moves; a cycle is an error."""
-    up = checkpointed(compacts.select(F.col("source_id").alias("id"), F.col("digest_id").alias("canonical")))
+    up = written(compacts.select(F.col("source_id").alias("id"), F.col("digest_id").alias("canonical")), "compaction")
     for _ in range(rounds):
         far = up.select(F.col("id").alias("canonical"), F.col("canonical").alias("__far"))
         new = up.join(far, "canonical", "left").select("id", F.coalesce("__far", "canonical").alias("canonical"), F.col("__far").isNotNull().alias("__moved"))
-        new = checkpointed(new)
+        new = written(new, "compaction")
         if not new.filter("id = canonical").isEmpty():
             raise ValueError("compaction has a cycle")
         if new.filter("__moved").isEmpty():
@@ -42,7 +50,7 @@ def expand(compacts: DataFrame, depth: int) -> DataFrame:
     level = compacts.select("digest_id", "source_id", F.lit(1).alias("depth"))
     out = level
     for i in range(2, depth + 1):
-        level = checkpointed(level.join(step, F.col("source_id") == F.col("__d")).select("digest_id", F.col("__s").alias("source_id"), F.lit(i).alias("depth")))
+        level = written(level.join(step, F.col("source_id") == F.col("__d")).select("digest_id", F.col("__s").alias("source_id"), F.lit(i).alias("depth")), "compaction")
         if level.isEmpty():
             break
         out = out.unionByName(level)
@@ -62,12 +70,12 @@ def staleness(compacts: DataFrame, notes: DataFrame) -> DataFrame:
     return compacts.join(d, "digest_id").join(s, "source_id").filter("s > d").select("digest_id", "source_id")
 
 
-def suggestions(edges: DataFrame, notes: DataFrame, top: int = 10) -> DataFrame:
-    """Connected groups of three or more notes that aren't collections, by how well a digest would serve; notes: id, type, size, value."""
+def suggestions(edges: DataFrame, notes: DataFrame, top: int | None = 10) -> DataFrame:
+    """The best, or all with top None, of connected groups of three or more notes that aren't collections, by how well a digest would serve; notes: id, type, size, value."""
     plain = notes.filter("type <> 'moc'").select("id", "size", "value")
     ids = plain.select("id")
     inner = edges.select("src", "dst").join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
-    group = checkpointed(components(inner))
+    group = written(components(inner), "compaction")
     sizes = group.join(plain, "id").groupBy("component").agg(F.count("*").alias("node_count"), F.sum("size").alias("estimated_size"), F.coalesce(F.avg("value"), F.lit(50.0)).alias("avg_value"))
     of = group.select(F.col("id").alias("src"), F.col("component").alias("c1"))
     to = group.select(F.col("id").alias("dst"), F.col("component").alias("c2"))
@@ -78,4 +86,5 @@ def suggestions(edges: DataFrame, notes: DataFrame, top: int = 10) -> DataFrame:
     v = F.col("avg_value")
     boost = F.when(v < 20, 15.0).when(v < 40, 7.5).when(v < 60, 0.0).when(v < 80, -5.0).otherwise(-10.0)
     score = F.greatest(F.log(F.greatest(F.col("estimated_size"), F.lit(1)).cast("double")), F.lit(0.0)) + F.col("cohesion") * 10 - F.col("boundary_ratio") * 5 + F.sqrt("node_count") + boost
-    return x.withColumn("score", score).filter((F.col("node_count") >= 3) & (F.col("cohesion") >= 0.3)).orderBy(F.desc("score"), "component").limit(top)
+    x = x.withColumn("score", score).filter((F.col("node_count") >= 3) & (F.col("cohesion") >= 0.3)).orderBy(F.desc("score"), "component")
+    return x if top is None else x.limit(top)

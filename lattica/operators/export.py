@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.text import citation_key, escape_bibtex, escape_quotes, format_tags
 
+from .relational import numbered
+
 
 def bundle(notes: DataFrame) -> DataFrame:
-    """(place, section) of each note in export order."""
-    w = Window.orderBy(F.col("created").asc_nulls_last(), "id")
-    return notes.select(F.row_number().over(w).alias("place"), F.concat(F.lit("## "), F.col("title"), F.lit(" ("), F.col("id"), F.lit(")\n\n"), F.col("body"), F.lit("\n")).alias("section"))
+    """(place, section) of each note in export order. Ids alone are put in order; bodies join their places after."""
+    placed = numbered(notes.select("id", "created"), [F.col("created").asc_nulls_last(), "id"]).drop("created")
+    return notes.join(placed, "id").select("place", F.concat(F.lit("## "), F.col("title"), F.lit(" ("), F.col("id"), F.lit(")\n\n"), F.col("body"), F.lit("\n")).alias("section"))
 
 
 def outline(notes: DataFrame, edges: DataFrame, root: str) -> DataFrame:
@@ -23,7 +25,7 @@ def outline(notes: DataFrame, edges: DataFrame, root: str) -> DataFrame:
 
 def bibliography(sources: DataFrame, style: str) -> DataFrame:
     """(place, entry) of sources (url, title, accessed, note_title) by URL: markdown, bibtex or csl-json."""
-    s = sources.withColumn("place", F.row_number().over(Window.orderBy("url", "note_title")))
+    s = numbered(sources, ["url", "note_title"])
     if style == "markdown":
         entry = F.concat(F.coalesce(F.concat(F.lit("- ["), F.col("title"), F.lit("]("), F.col("url"), F.lit(")")), F.concat(F.lit("- "), F.col("url"))), F.coalesce(F.concat(F.lit(" (accessed "), F.col("accessed"), F.lit(")")), F.lit("")), F.lit(" — from: "), F.col("note_title"))
     elif style == "bibtex":

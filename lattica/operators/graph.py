@@ -2,24 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.text import edge_cost, inverse, link_cost
 from lattica.model import DEFAULT_VALUE
+from lattica.sources.storage import written
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the folder of spark.checkpoint.dir; only where that is unset, as in local runs, in a temporary one."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if where is None and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="lattica-"))
-    return df.checkpoint()
+#: A frontier of at most so many notes is held by the plan itself, and is a filter that the scan of the edges can use; larger ones are written and joined.
+SMALL_FRONT = 256
+#: Rounds of a walk whose tables are read one by one.
+ROUNDS = 12
 
 
 def inverted(edges: DataFrame) -> DataFrame:
@@ -35,89 +30,156 @@ def directed(edges: DataFrame, direction: str = "both") -> DataFrame:
     return out.filter(keep).select("src", "dst", "link_type")
 
 
-def distances(edges: DataFrame, seeds: DataFrame, hops: int, weights: DataFrame | None = None, least: int | None = None) -> DataFrame:
-    """(id, cost) of notes that walks of at most so many links reach from the seeds (id), at least cost: links count 1, or with weights (id, value) by type and the target's value. With least, notes below it are not entered.
+def weighted(edges: DataFrame, weights: DataFrame | None = None, least: int | None = None) -> DataFrame:
+    """(src, dst, link_type, w): links count 1, or with weights (id, value) by type and the target's value. With least, targets below it are left out."""
+    if weights is None:
+        return edges.select("src", "dst", "link_type", F.lit(1.0).alias("w"))
+    step = edges.join(weights.select(F.col("id").alias("dst"), F.coalesce("value", F.lit(DEFAULT_VALUE)).alias("v")), "dst")
+    if least is not None:
+        step = step.filter(F.col("v") >= least)
+    return step.select("src", "dst", "link_type", edge_cost(F.col("link_type"), F.col("v")).alias("w"))
+
+
+class Front:
+    """The rows of one round: in the plan if there are few of them, else written."""
+
+    def __init__(self, df: DataFrame):
+        few = df.limit(SMALL_FRONT + 1).toArrow()
+        self.ids = few["id"].to_pylist() if len(few) <= SMALL_FRONT else None
+        self.rows = df.sparkSession.createDataFrame(few, df.schema) if self.ids is not None else written(df, "front")
+
+    @property
+    def empty(self) -> bool:
+        return self.ids == []
+
+    def count(self) -> int:
+        return self.rows.count() if self.ids is None else len(self.ids)
 
-    Each round joins only the notes whose cost fell with the edges.
+    def out_of(self, step: DataFrame, *columns: str) -> DataFrame:
+        """Steps out of the notes, with columns of their rows; those of few notes are looked up by the scan."""
+        if self.ids is not None:
+            step = step.filter(F.col("src").isin(self.ids))
+        return self.rows.select(F.col("id").alias("src"), *columns).join(step, "src")
+
+
+def levels(step: DataFrame, seeds: DataFrame, hops: int | None, budget: float | None = None) -> list[DataFrame]:
+    """What each round of a walk over steps (src, dst, link_type, w) finds: (id, cost, hop, parent, link_type) of the notes that so many links reach at a lower cost than fewer do; of equal ways the first by type and parent.
+
+    Each round joins only the notes whose cost fell, and writes only those. hops None: until no cost falls. The way to a
+    note of a round is its parent of the round before.
     """
-    step = edges
-    if weights is not None:
-        w = weights.select(F.col("id").alias("dst"), F.coalesce("value", F.lit(DEFAULT_VALUE)).alias("v"))
-        step = step.join(w, "dst")
-        if least is not None:
-            step = step.filter(F.col("v") >= least)
-        step = step.select("src", "dst", edge_cost(F.col("link_type"), F.col("v")).alias("w"))
-    else:
-        step = step.select("src", "dst", F.lit(1.0).alias("w"))
-    best = checkpointed(seeds.select("id", F.lit(0.0).alias("cost")))
-    front = best
-    for _ in range(hops):
-        found = front.join(step, front["id"] == step["src"]).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("cost") + F.col("w")).alias("new"))
-        joined = best.join(found, "id", "full")
-        best = checkpointed(joined.select("id", F.least("cost", "new").alias("cost"), (F.col("cost").isNull() | (F.col("new") < F.col("cost"))).alias("fell")))
-        front = best.filter("fell").select("id", "cost")
-        best = best.select("id", "cost")
-        if front.isEmpty():
-            break
-    return best
-
-
-def tree(edges: DataFrame, root: DataFrame, hops: int) -> DataFrame:
-    """(id, hop, parent, link_type): a spanning tree by least hop; of equal ways in the first by type and parent."""
-    seen = checkpointed(root.select("id", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("link_type")))
-    front = seen
-    for h in range(1, hops + 1):
-        near = front.select(F.col("id").alias("src")).join(edges, "src").select(F.col("dst").alias("id"), F.struct("link_type", "src").alias("way"))
-        new = near.join(seen.select("id"), "id", "left_anti").groupBy("id").agg(F.min("way").alias("way"))
-        front = checkpointed(new.select("id", F.lit(h).alias("hop"), F.col("way.src").alias("parent"), F.col("way.link_type").alias("link_type")))
-        if front.isEmpty():
+    none = F.lit(None).cast("string")
+    front = Front(seeds.select("id").distinct().select("id", F.lit(0.0).alias("cost"), F.lit(0).alias("hop"), none.alias("parent"), none.alias("link_type")))
+    out, known = [front.rows], []  # known: the rounds so far, brought together now and then
+    while hops is None or len(out) <= hops:
+        known.append(out[-1].select("id", "cost"))
+        if len(known) > ROUNDS:
+            known = [written(_together(known).groupBy("id").agg(F.min("cost").alias("cost")), "known")]
+        near = front.out_of(step, "cost").select(F.col("dst").alias("id"), F.struct((F.col("cost") + F.col("w")).alias("cost"), "link_type", F.col("src").alias("parent")).alias("way"))
+        found = near.groupBy("id").agg(F.min("way").alias("way"))
+        if budget is not None:
+            found = found.filter(F.col("way.cost") <= budget)
+        old = _together(known).groupBy("id").agg(F.min("cost").alias("old"))
+        better = found.join(old, "id", "left").filter(F.col("old").isNull() | (F.col("way.cost") < F.col("old")))
+        front = Front(better.select("id", F.col("way.cost").alias("cost"), F.lit(len(out)).alias("hop"), F.col("way.parent").alias("parent"), F.col("way.link_type").alias("link_type")))
+        if front.empty:
             break
-        seen = checkpointed(seen.unionByName(front))
-    return seen
-
-
-def path(edges: DataFrame, start: str, end: str, hops: int, spark: SparkSession) -> DataFrame:
-    """(place, id) of a shortest path, at most hops links long; empty if there is none. The path is walked back from tree rows, one for each link."""
-    t = tree(edges, spark.createDataFrame([(start,)], "id string"), hops)
-    back, at = [], end
-    while at is not None and len(back) <= hops:
-        row = t.filter(F.col("id") == at).select("parent").first()
-        if row is None:
-            back = []
-            break
-        back.append(at)
-        at = row[0]
-    return spark.createDataFrame([(i, x) for i, x in enumerate(reversed(back))], "place int, id string")
+        out.append(front.rows)
+    return out
+
+
+def _together(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
-def limited_tree(found: DataFrame, max_nodes: int) -> tuple[DataFrame, DataFrame]:
-    """The first notes of a tree by hop, type and id, and whether any were left out."""
-    cut = found.orderBy("hop", F.col("link_type").asc_nulls_first(), "id").limit(max_nodes)
-    return cut, found.agg((F.count("*") > max_nodes).alias("truncated"))
+def _best(found: list[DataFrame]) -> DataFrame:
+    best = _together(found).groupBy("id").agg(F.min(F.struct("cost", "hop", "link_type", "parent")).alias("x"))
+    return best.select("id", "x.cost", "x.hop", "x.parent", "x.link_type")
+
+
+def distances(edges: DataFrame, seeds: DataFrame, hops: int, weights: DataFrame | None = None, least: int | None = None) -> DataFrame:
+    """(id, cost) of notes that walks of at most so many links reach from the seeds (id), at least cost: links count 1, or with weights (id, value) by type and the target's value. With least, notes below it are not entered."""
+    return _best(levels(weighted(edges, weights, least), seeds, hops)).select("id", "cost")
+
+
+def tree(edges: DataFrame, root: DataFrame, hops: int, weights: DataFrame | None = None, least: int | None = None) -> DataFrame:
+    """(id, cost, hop, parent, link_type): a spanning tree by least cost, then least hop; of equal ways in the first by type and parent. Without weights the cost is the hop."""
+    return _best(levels(weighted(edges, weights, least), root, hops))
+
+
+def path(edges: DataFrame, start: str, end: str, hops: int, spark: SparkSession, weights: DataFrame | None = None, least: int | None = None) -> DataFrame:
+    """(place, id, link_type, cost) of a cheapest path, at most hops links long; empty if there is none. It is walked back from round to round, a row for each link."""
+    found = levels(weighted(edges, weights, least), spark.createDataFrame([(start,)], "id string"), hops)
+    last = _best(found).filter(F.col("id") == end).first()
+    back = []
+    while last is not None:
+        back.append((last["hop"], last["id"], last["link_type"], last["cost"]))
+        last = found[last["hop"] - 1].filter(F.col("id") == last["parent"]).first() if last["hop"] else None
+    return spark.createDataFrame(back[::-1], "place int, id string, link_type string, cost double")
+
+
+def limited(edges: DataFrame, root: str, hops: int, spark: SparkSession, max_nodes: int | None = None, max_edges: int | None = None, max_fanout: int | None = None) -> tuple[DataFrame, DataFrame, str | None]:
+    """Notes (id, hop, parent, link_type) and links (src, dst, link_type) of a walk in breadth that stops at limits, and why it was cut: max_nodes, max_edges, max_fanout, max_hops, or None.
+
+    Notes are expanded in the order in which they are found, each one's links by type and target; a link is listed once
+    for every note that it is seen from. The fan-out limit cuts the links of each note, the others the walk. Reaching the
+    limit of notes cuts, as does a link beyond that of links; of several reasons the first in the order above is given.
+    """
+    edges = edges.select("src", "dst", "link_type").distinct().filter("src <> dst")
+    bounded = max_nodes is not None or max_edges is not None
+    none = F.lit(None).cast("string")
+    front = Front(spark.createDataFrame([(root, 0, 0)], "id string, hop int, place int").select("id", "hop", none.alias("parent"), none.alias("link_type"), "place"))
+    notes, links, nodes, listed, reasons = [front.rows], [], 1, 0, set()
+    for hop in range(1, hops + 1):
+        if max_nodes is not None and nodes >= max_nodes:
+            break
+        near = written(front.out_of(edges, "place").withColumn("rn", F.row_number().over(Window.partitionBy("src").orderBy("link_type", "dst"))), "limited")
+        if max_fanout is not None:
+            if not near.filter(F.col("rn") > max_fanout).isEmpty():
+                reasons.add("max_fanout")
+            near = near.filter(F.col("rn") <= max_fanout)
+        if max_edges is not None:  # at most so many rows are put in order
+            there = near.count()
+            if there > max_edges - listed:
+                reasons.add("max_edges")
+            near = near.orderBy("place", "rn").limit(max_edges - listed)
+            listed += min(there, max_edges - listed)
+        seen = _together([n.select("id") for n in notes])
+        way = F.min(F.struct("place", "rn", F.col("src").alias("parent"), "link_type")).alias("way")
+        new = near.withColumnRenamed("dst", "id").join(seen, "id", "left_anti").groupBy("id").agg(way)
+        if max_nodes is not None:
+            new = new.orderBy("way").limit(max_nodes - nodes)
+        place: Column = F.row_number().over(Window.orderBy("way")) if bounded else F.lit(0)  # bounded: as many rows as the limit
+        front = Front(new.select("id", F.lit(hop).alias("hop"), "way.parent", "way.link_type", place.alias("place")))
+        links.append(near.select("src", "dst", "link_type"))
+        notes.append(front.rows)
+        nodes += front.count()
+        if front.empty or "max_edges" in reasons:
+            break
+    if max_nodes is not None and nodes >= max_nodes:
+        reasons.add("max_nodes")
+    elif not front.empty and not front.out_of(edges).isEmpty():
+        reasons.add("max_hops")
+    all_links = _together(links) if links else edges.limit(0)
+    reason = next((r for r in ("max_nodes", "max_edges", "max_fanout", "max_hops") if r in reasons), None)
+    return _together(notes).drop("place"), all_links, reason
 
 
 def simple_walk(edges: DataFrame, seeds: DataFrame, budget: float) -> DataFrame:
     """(id, cost) within a budget of link costs, over edges both ways."""
-    both = directed(edges).select("src", "dst", link_cost(F.col("link_type")).alias("w"))
-    best = checkpointed(seeds.select("id", F.lit(0.0).alias("cost")))
-    front = best
-    while not front.isEmpty():
-        found = front.join(both, front["id"] == both["src"]).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("cost") + F.col("w")).alias("new")).filter(F.col("new") <= budget)
-        best = checkpointed(best.join(found, "id", "full").select("id", F.least("cost", "new").alias("cost"), (F.col("cost").isNull() | (F.col("new") < F.col("cost"))).alias("fell")))
-        front = best.filter("fell").select("id", "cost")
-        best = best.select("id", "cost")
-    return best
+    both = directed(edges).select("src", "dst", "link_type", link_cost(F.col("link_type")).alias("w"))
+    return _best(levels(both, seeds, None, budget)).select("id", "cost")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): least id of each connected component, by least labels of neighbours and then labels of labels, until none falls."""
-    both = checkpointed(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("b")).select("id", F.least("id", "b").alias("component")))
+    both = written(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).distinct(), "both")
+    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("b")).select("id", F.least("id", "b").alias("component")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         least = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("new"))
         far = labels.select(F.col("id").alias("new"), F.col("component").alias("far"))
-        new = checkpointed(least.join(far, "new", "left").select("id", "old", F.least("new", F.coalesce("far", "new")).alias("component")))
+        new = written(least.join(far, "new", "left").select("id", "old", F.least("new", F.coalesce("far", "new")).alias("component")), "labels")
         if new.filter("old <> component").isEmpty():
             return new.select("id", "component")
         labels = new.select("id", "component")
@@ -125,11 +187,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 def on_cycles(edges: DataFrame) -> DataFrame:
     """(id) of notes left when notes without a way in or out are peeled off until none is: those on cycles or between them."""
-    left = checkpointed(edges.select("src", "dst"))
+    left = written(edges.select("src", "dst"), "peeled")
     n = left.count()
     while n:
         left = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        left = checkpointed(left)
+        left = written(left, "peeled")
         rest = left.count()
         if rest == n:
             break
@@ -137,19 +199,21 @@ def on_cycles(edges: DataFrame) -> DataFrame:
     return left.select(F.col("src").alias("id")).distinct()
 
 
-def collection_members(edges: DataFrame, notes: DataFrame, root: str, transitive: bool, spark: SparkSession, depth: int = 32) -> DataFrame:
-    """(id) of a collection's root and what it links to, and, if transitive, what collections among these link to."""
+def collection_members(edges: DataFrame, notes: DataFrame, root: str, transitive: bool, spark: SparkSession) -> DataFrame:
+    """(id) of a collection's root and what it links to, and, if transitive, what collections among these link to, however long the chain."""
     mocs = notes.filter("type = 'moc'").select("id")
-    seen = spark.createDataFrame([(root,)], "id string")
-    front = seen
-    for _ in range(depth if transitive else 1):
-        near = front.join(edges.select(F.col("src").alias("id"), "dst"), "id").select(F.col("dst").alias("id")).distinct()
-        new = checkpointed(near.join(seen, "id", "left_anti"))
-        if new.isEmpty():
+    front = Front(spark.createDataFrame([(root,)], "id string"))
+    seen = [front.rows]
+    while not front.empty:
+        near = front.out_of(edges.select("src", "dst")).select(F.col("dst").alias("id")).distinct()
+        new = Front(near.join(_together(seen), "id", "left_anti"))
+        seen.append(new.rows)
+        if new.empty or not transitive:
             break
-        seen = checkpointed(seen.unionByName(new))
-        front = new.join(mocs, "id", "left_semi")
-    return seen
+        if len(seen) > ROUNDS:
+            seen = [written(_together(seen), "members")]
+        front = Front(new.rows.join(mocs, "id", "left_semi"))
+    return _together(seen)
 
 
 def neighbours(edges: DataFrame, fanout: int | None = None) -> DataFrame:

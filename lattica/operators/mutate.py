@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .relational import upsert
@@ -70,10 +70,12 @@ def load_links(old: DataFrame, new: DataFrame, old_notes: DataFrame, new_notes:
     return old.unionByName(new).dropDuplicates(["src", "dst", "link_type"])
 
 
-def renamed(old: DataFrame, new: DataFrame, most: int = 1000) -> DataFrame:
-    """(id, new_id) of new notes; an id that is taken gets the smallest free suffix -n, up to most."""
-    clash = new.join(old.select("id"), "id", "left_semi").select("id")
-    tried = clash.select("id", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("n")).withColumn("new_id", F.concat_ws("-", "id", F.col("n").cast("string")))
-    taken = old.select(F.col("id").alias("new_id")).unionByName(new.select(F.col("id").alias("new_id")))
-    free = tried.join(taken, "new_id", "left_anti").groupBy("id").agg(F.min("n").alias("n"))
+def renamed(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(id, new_id) of new notes; an id that is taken gets the smallest free suffix -n, whatever that is. The suffixes in use of each such id, in order, run 1, 2, ... up to the first gap."""
+    clash = new.join(old.select("id"), "id", "left_semi").select("id").distinct()
+    taken = old.select("id").unionByName(new.select("id")).distinct()
+    cut = taken.select(F.regexp_extract("id", r"^(.*)-([1-9][0-9]*)$", 1).alias("id"), F.regexp_extract("id", r"^(.*)-([1-9][0-9]*)$", 2).alias("n"))
+    used = cut.filter((F.col("n") != "") & (F.length("n") <= 18)).select("id", F.col("n").cast("long").alias("n")).join(clash, "id", "left_semi")
+    run = used.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("n"))).filter("n = place").groupBy("id").agg(F.max("n").alias("n"))
+    free = clash.join(run, "id", "left").select("id", (F.coalesce("n", F.lit(0)) + 1).alias("n"))
     return new.select("id").join(free, "id", "left").select("id", F.when(F.col("n").isNull(), F.col("id")).otherwise(F.concat_ws("-", "id", F.col("n").cast("string"))).alias("new_id"))

@@ -92,6 +92,11 @@ def near_duplicates(pairs: DataFrame) -> DataFrame:
     return issue(pairs, "warning", "near-duplicate", "id_a", F.col("id_b"))
 
 
+def copies(of: DataFrame) -> DataFrame:
+    """Notes (id, rep) whose text another one has already."""
+    return issue(of.filter("id <> rep"), "warning", "near-duplicate", "rep", F.col("id"))
+
+
 def unknown_types(notes: DataFrame, edges: DataFrame) -> DataFrame:
     n = issue(notes.filter(~F.col("type").isin(NOTE_TYPES)), "error", "invalid-note-type", detail=F.col("type"))
     return n.unionByName(issue(edges.filter(~F.col("link_type").isin(list(INVERSES))), "error", "invalid-link-type", "src", F.col("link_type")))

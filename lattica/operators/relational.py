@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.model import DEFAULT_VALUE
+from lattica.sources.storage import written
 
 METADATA = ["id", "title", "type", "value", "created", "updated", "verified", "tags"]
 
@@ -26,6 +27,16 @@ def context_order(notes: DataFrame) -> DataFrame:
     return notes.orderBy(F.coalesce("verified", F.lit(False)).desc(), rank, F.col("created").asc_nulls_last(), "id")
 
 
+def numbered(rows: DataFrame, order: list, name: str = "place") -> DataFrame:
+    """Rows with their place in a total order, from 1. They are sorted by ranges and written; each partition then counts on from the rows before it, so no task holds more than its range."""
+    at = F.monotonically_increasing_id()  # number of the partition, and 33 bits for the place in it
+    placed = written(rows.orderBy(*order).withColumn("__at", at), "numbered").withColumns({"__part": F.shiftright("__at", 33), "__own": F.col("__at").bitwiseAND((1 << 33) - 1)})
+    sizes = placed.groupBy("__part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sizes.select("__part", before.alias("__start")))  # a row for each partition
+    return placed.join(starts, "__part").withColumn(name, F.col("__start") + F.col("__own") + 1).drop("__at", "__part", "__own", "__start")
+
+
 def metadata(notes: DataFrame) -> DataFrame:
     """Notes without bodies."""
     return notes.select(*METADATA)

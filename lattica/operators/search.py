@@ -1,37 +1,33 @@
-"""Full-text search: an inverted index as a table, BM25 by column, recency, and the handling of hits."""
+"""Full-text search over an index: BM25 by column, recency, and the handling of hits."""
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.functions.text import NO_WORD, recency
-from lattica.model import BM25_B, BM25_K1, STOP_WORDS, WEIGHTS
+from lattica.functions.text import recency
+from lattica.model import BM25_B, BM25_K1, WEIGHTS
 
-from .graph import checkpointed
 from .relational import keep_latest
 
+COLUMNS = ("title", "tags", "body")
 
-def postings(notes: DataFrame, columns: tuple[str, ...] = ("title", "tags", "body")) -> DataFrame:
-    """(note_id, term, col, count): terms counted within each note before anything is shuffled wider."""
-    text = {"title": F.col("title"), "body": F.col("body"), "tags": F.array_join("tags", " ")}
-    each = F.explode(F.array(*(F.struct(F.lit(c).alias("col"), F.split(F.lower(text[c]), NO_WORD).alias("terms")) for c in columns)))
-    rows = notes.select(F.col("id").alias("note_id"), each.alias("x")).select("note_id", "x.col", F.explode("x.terms").alias("term"))
-    rows = rows.filter((F.col("term") != "") & ~F.col("term").isin(STOP_WORDS))  # after the explosion, where the set is a hash look-up
-    return rows.groupBy("note_id", "term", "col").agg(F.count("*").alias("count"))
 
+def _weighted(*columns: str) -> Column:
+    return reduce(Column.__add__, (F.col(c) * WEIGHTS[c] for c in columns))
 
-def term_weights(index: DataFrame) -> DataFrame:
+
+def term_weights(postings: DataFrame) -> DataFrame:
     """(note_id, term, tf): counts weighted by column."""
-    weight = F.create_map(*(F.lit(x) for kv in WEIGHTS.items() for x in kv))[F.col("col")]
-    return index.groupBy("note_id", "term").agg(F.sum(F.col("count") * weight).alias("tf"))
+    return postings.select("note_id", "term", _weighted(*COLUMNS).alias("tf"))
 
 
-def statistics(index: DataFrame) -> tuple[DataFrame, DataFrame]:
+def statistics(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(term, df) and (note_id, doc_len), the length being the sum of whole weighted frequencies."""
-    tf = term_weights(index)
+    tf = term_weights(postings)
     return tf.groupBy("term").agg(F.count("*").alias("df")), tf.groupBy("note_id").agg(F.sum(F.floor("tf")).cast("long").alias("doc_len"))
 
 
@@ -62,42 +58,39 @@ def _hit(group: list[tuple[str, bool]]) -> Column:
     return out
 
 
-def _arm(index: DataFrame, groups: list, lengths: DataFrame, total: int, average: float, scope: str | None) -> DataFrame:
-    """Scores of notes that match every group; in a scoped arm the first group counts in its column only."""
-    which = F.lit(None).cast("int")
-    for i, g in reversed(list(enumerate(groups))):
-        own = _hit(g) & (F.col("col") == scope) if scope and i == 0 else _hit(g)
-        which = F.when(own, i).otherwise(which)
-    weight = F.create_map(*(F.lit(x) for kv in WEIGHTS.items() for x in kv))[F.col("col")]
-    tf = index.withColumn("g", which).filter("g is not null").groupBy("note_id", "g").agg(F.sum(F.col("count") * weight).alias("f"))
-    df = tf.groupBy("g").agg(F.count("*").alias("n"))
-    n = F.col("n")
-    idf = F.greatest(F.log((F.lit(float(total)) - n + 0.5) / (n + 0.5)), F.lit(1e-6))
-    f = F.col("f")
-    part = idf * f * (BM25_K1 + 1) / (f + BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / average))
-    scored = tf.join(F.broadcast(df), "g").join(lengths, "note_id").groupBy("note_id").agg(F.sum(part).alias("score"), F.count("*").alias("k"))
-    return scored.filter(F.col("k") == len(groups)).drop("k")
-
-
-def search(notes: DataFrame, query: str, now: Column, limit: int = 200, where: Column | None = None, index: DataFrame | None = None) -> DataFrame:
-    """(id, relevance) of the best notes: BM25 over all columns, and with the first word bound to title or tags, whichever is more, plus recency.
+def search(index, query: str, now: Column, limit: int | None = 200, where: Column | None = None) -> DataFrame:
+    """(id, relevance) of the best notes of an index, all with limit None: BM25 over all columns, and with the first word bound to title or tags, whichever is more, plus recency. where: a test of the notes' metadata.
 
-    df broadcast in each arm has a row for each group of the query. A blank query finds nothing.
+    Only postings of the query's words are read, which are sorted by word, and they are grouped by note once. A blank query
+    finds nothing.
     """
     groups, excluded = parse_query(query)
     if not groups:
-        return notes.select("id", F.lit(0.0).alias("relevance")).limit(0)
-    # worked out once for the three arms; a store that is searched often keeps its own index
-    index = checkpointed(postings(notes)) if index is None else index
-    lengths = index.groupBy("note_id").agg(F.sum("count").alias("len"))
-    total, average = (lambda r: (r[0], float(r[1] or 1)))(lengths.agg(F.count("*"), F.avg("len")).first())
-    arms = [_arm(index, groups, lengths, total, average, s) for s in (None, "title", "tags")]
-    best = arms[0].unionByName(arms[1]).unionByName(arms[2]).groupBy("note_id").agg(F.max("score").alias("score"))
+        return index.notes.select("id", F.lit(0.0).alias("relevance")).limit(0)
+    total, average = index.statistics()
+    postings = index.postings
+    read = postings.filter(reduce(Column.__or__, (_hit(g) for g in groups)))
+    own = lambda g, *columns: F.sum(F.when(_hit(g), _weighted(*columns)).otherwise(0.0))
+    parts = {f"g{i}": own(g, *COLUMNS) for i, g in enumerate(groups)} | {c: own(groups[0], c) for c in ("title", "tags")}
+    found = read.groupBy("note_id").agg(*(v.alias(k) for k, v in parts.items()), F.max("length").alias("length"), F.max("updated").alias("updated"))
+    df = found.agg(*(F.count_if(F.col(k) > 0).alias(k) for k in parts)).first()  # a number for each part of the query
+
+    def score(names: list[str]) -> Column:
+        out = F.lit(0.0)
+        for k in names:
+            n, f = float(df[k]), F.col(k)
+            idf = F.greatest(F.log(F.lit((total - n + 0.5) / (n + 0.5))), F.lit(1e-6))
+            out = out + idf * f * (BM25_K1 + 1) / (f + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / average))
+        return F.when(reduce(Column.__and__, (F.col(k) > 0 for k in names)), out)
+
+    rest = [f"g{i}" for i in range(1, len(groups))]
+    hits = found.select(F.col("note_id").alias("id"), "updated", F.greatest(*(score([first, *rest]) for first in ("g0", "title", "tags"))).alias("score")).filter("score is not null")
     if excluded:
-        best = best.join(index.filter(F.col("term").isin(excluded)).select("note_id").distinct(), "note_id", "left_anti")
-    wanted = notes if where is None else notes.filter(where)
-    hits = best.join(wanted.select(F.col("id").alias("note_id"), "updated"), "note_id")
-    return hits.select(F.col("note_id").alias("id"), (F.col("score") + recency(F.col("updated"), now)).alias("relevance")).orderBy(F.desc("relevance"), "id").limit(limit)
+        hits = hits.join(postings.filter(F.col("term").isin(excluded)).select(F.col("note_id").alias("id")).distinct(), "id", "left_anti")
+    if where is not None:
+        hits = hits.join(index.notes.filter(where).select("id"), "id", "left_semi")
+    out = hits.select("id", (F.col("score") + recency(F.col("updated"), now)).alias("relevance")).orderBy(F.desc("relevance"), "id")
+    return out if limit is None else out.limit(limit)
 
 
 def to_digests(hits: DataFrame, canon: DataFrame) -> DataFrame:

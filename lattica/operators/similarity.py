@@ -5,20 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import checkpointed
+from lattica.sources.storage import written
+
+from .graph import components
 from .relational import keep_latest
 from .search import term_weights
 
 
-def vectors(index: DataFrame, total: int) -> DataFrame:
-    """(id, term, w, df): TF-IDF weights scaled to length 1."""
-    tf = term_weights(index)
+def _scaled(tf: DataFrame, of: DataFrame, total: int) -> DataFrame:
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    w = tf.join(df, "term").withColumn("w", F.col("tf") * (F.log((F.lit(total) + 1.0) / (F.col("df") + 1.0)) + 1.0))
+    w = of.join(df, "term").withColumn("w", F.col("tf") * (F.log((F.lit(total) + 1.0) / (F.col("df") + 1.0)) + 1.0))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("note_id")))
     return w.select(F.col("note_id").alias("id"), "term", (F.col("w") / norm).alias("w"), "df")
 
 
+def vectors(postings: DataFrame, total: int) -> DataFrame:
+    """(id, term, w, df): TF-IDF weights scaled to length 1."""
+    tf = term_weights(postings)
+    return _scaled(tf, tf, total)
+
+
+def copies(postings: DataFrame) -> DataFrame:
+    """(id, rep) of every note: the least id of those with the same weighted frequency of every term, told by two sums of hashes over the terms."""
+    tf = term_weights(postings)
+    same = ["x", "y", "n"]
+    sums = tf.groupBy("note_id").agg(F.bit_xor(F.xxhash64("term", "tf")).alias("x"), F.sum(F.pmod(F.xxhash64("tf", "term", F.lit(1)), F.lit(1 << 40))).alias("y"), F.count("*").alias("n"))
+    sums = written(sums, "sums")
+    return sums.join(sums.groupBy(*same).agg(F.min("note_id").alias("rep")), same).select(F.col("note_id").alias("id"), "rep")
+
+
 def similar_to(vec: DataFrame, note_id: str, threshold: float, limit: int) -> DataFrame:
     """(id, score) of the notes most similar to one. The one note's terms are as many as its words."""
     own = vec.filter(F.col("id") == note_id).select("term", F.col("w").alias("q"))
@@ -26,23 +41,42 @@ def similar_to(vec: DataFrame, note_id: str, threshold: float, limit: int) -> Da
     return scored.filter(F.col("score") >= threshold).orderBy(F.desc("score"), "id").limit(limit)
 
 
-def near_duplicates(vec: DataFrame, threshold: float) -> DataFrame:
-    """(id_a, id_b, score) of all pairs with a cosine of at least the threshold.
+def near_duplicates(postings: DataFrame, total: int, threshold: float) -> DataFrame:
+    """(id_a, id_b, score) of all pairs of different vectors with a cosine of at least the threshold, each vector by its rep (see copies), so that copies of a note make no pairs.
 
     Prefix filtering (Bayardo, Ma and Srikant, 2007): with terms by rarity, a note's rest of terms whose weights' length
     stays below the threshold can't reach it on its own, so a pair must share a term of both prefixes. Frequent terms
-    come last and seldom enter a prefix. Candidates are verified by the whole cosine.
+    come last and seldom enter a prefix. What a pair shares of its prefixes bounds its cosine: all else that it shares
+    lies beyond the shorter prefix, in that note's rest. Pairs that pass are verified by the whole cosine.
     """
-    vec = checkpointed(vec)
+    tf = term_weights(postings)
+    reps = written(copies(postings).filter("id = rep").select(F.col("id").alias("note_id")), "reps")
+    vec = written(_scaled(tf, tf.join(reps, "note_id", "left_semi"), total), "vectors")
     by_rarity = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("term"))
-    rest = F.sqrt(F.sum(F.col("w") * F.col("w")).over(by_rarity.rowsBetween(Window.unboundedPreceding, 0)))
-    prefix = vec.withColumn("rest", rest).filter(F.col("rest") >= threshold - 1e-9).select("id", "term")
-    pairs = prefix.alias("a").join(prefix.alias("b"), "term").filter("a.id < b.id").select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
-    a, b = vec.select(F.col("id").alias("id_a"), "term", F.col("w").alias("wa")), vec.select(F.col("id").alias("id_b"), "term", F.col("w").alias("wb"))
+    upto = vec.withColumn("rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(by_rarity.rowsBetween(Window.unboundedPreceding, 0))))
+    upto = upto.withColumn("inside", F.col("rest") >= threshold - 1e-9)
+    upto = upto.withColumn("left", F.max(F.when(~F.col("inside"), F.col("rest")).otherwise(0.0)).over(Window.partitionBy("id")))
+    prefix = written(upto.filter(F.col("inside") & (F.col("df") > 1)).select("id", "term", "w", "left"), "prefixes")
+    a, b = (prefix.select(F.col("id").alias(f"id_{x}"), "term", F.col("w").alias(f"w{x}"), F.col("left").alias(f"left_{x}")) for x in "ab")
+    sums = [F.sum(F.col("wa") * F.col("wb")).alias("part"), F.sum(F.col("wa") * F.col("wa")).alias("sa"), F.sum(F.col("wb") * F.col("wb")).alias("sb"), F.max("left_a").alias("left_a"), F.max("left_b").alias("left_b")]
+    shared = a.join(b, "term").filter("id_a < id_b").groupBy("id_a", "id_b").agg(*sums)
+    beyond = lambda left, s: F.col(left) * F.sqrt(F.greatest(1 - F.col(s), F.lit(0.0)))
+    pairs = written(shared.filter(F.col("part") + F.greatest(beyond("left_a", "sb"), beyond("left_b", "sa")) >= threshold - 1e-9).select("id_a", "id_b"), "pairs")
+    a, b = (vec.select(F.col("id").alias(f"id_{x}"), "term", F.col("w").alias(f"w{x}")) for x in "ab")
     scored = pairs.join(a, "id_a").join(b, ["id_b", "term"]).groupBy("id_a", "id_b").agg(F.sum(F.col("wa") * F.col("wb")).alias("score"))
     return scored.filter(F.col("score") >= threshold)
 
 
+def duplicate_classes(postings: DataFrame, total: int, threshold: float) -> DataFrame:
+    """(id, rep, class_id, n_links) of every note: its rep, the least id of the notes that chains of near-duplicates join, and how many different vectors are near its own."""
+    of = written(copies(postings), "copies")
+    pairs = written(near_duplicates(postings, total, threshold).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst")), "pairs")
+    links = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).groupBy(F.col("src").alias("rep")).agg(F.count("*").alias("n_links"))
+    classes = components(pairs).withColumnRenamed("id", "rep")
+    out = of.join(links, "rep", "left").join(classes, "rep", "left")
+    return out.select("id", "rep", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def shared_tags(tags: DataFrame, note_id: str, limit: int) -> DataFrame:
     """(id, score) by the share of common tags."""
     counts = tags.groupBy("note_id").agg(F.count("*").alias("n"))
@@ -53,13 +87,14 @@ def shared_tags(tags: DataFrame, note_id: str, limit: int) -> DataFrame:
     return scored.orderBy(F.desc("score"), "id").limit(limit)
 
 
-def second_neighbours(edges: DataFrame, note_id: str, limit: int) -> DataFrame:
-    """(id, score) of notes two links away, by the number of links that lead there, without the note and its neighbours."""
+def second_neighbours(edges: DataFrame, note_id: str, limit: int | None) -> DataFrame:
+    """(id, score) of notes two links away, by the number of links that lead there, without the note and its neighbours; all with limit None."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     first = both.filter(F.col("src") == note_id).select(F.col("dst").alias("src")).distinct()
     second = both.join(first, "src", "left_semi").filter(F.col("dst") != note_id).select(F.col("dst").alias("id"))
     out = second.join(first.select(F.col("src").alias("id")), "id", "left_anti").groupBy("id").agg(F.count("*").cast("double").alias("score"))
-    return out.orderBy(F.desc("score"), "id").limit(limit)
+    out = out.orderBy(F.desc("score"), "id")
+    return out if limit is None else out.limit(limit)
 
 
 def related(parts: list[DataFrame], seen: DataFrame) -> DataFrame:

@@ -10,12 +10,11 @@ from lattica.operators import quality as Q
 from lattica.operators import relational as R
 from lattica.operators import similarity as M
 from lattica.operators.graph import directed, distances
-from lattica.operators.search import postings
 
 from .graphs import DIR, SEED, hops
 from .registry import Book
-from .retrieval import VEC
-from .textual import LINKED
+from .retrieval import _NEAR, SIG, VEC
+from .textual import LINKED, SQL_LINKED
 
 BOOK = Book()
 add = BOOK.add
@@ -38,11 +37,11 @@ check("D8_invalid_value", lambda s: Q.invalid_values(s.base.withColumn("value",
 check("D9_large_metadata", lambda s: Q.large_metadata(s.base.select("id", F.to_json(F.struct(F.lit("x").alias("k"), F.repeat(F.lit("y"), F.col("doc_id").cast("int") * 30).alias("v"))).alias("custom"))), "warning", "large-custom-metadata", "id AS note_id, (doc_id*30+16)::VARCHAR AS detail FROM notes WHERE doc_id*30+16>10240")
 add("D10_attachments", lambda s: Q.attachments(_BODY(s), _FILES(s)), "SELECT 'error' AS severity, 'broken-attachment' AS category, id AS note_id, 'a'||(doc_id%5)||'.png' AS detail FROM notes WHERE doc_id%5>1 UNION ALL SELECT 'warning','orphaned-attachment',NULL,'z9.png'")
 check("D11_compaction_invariant", lambda s: Q.compaction_invariants(s.compacts.unionByName(s.compacts.filter("digest_id = 'qp-100'").select(F.lit("qp-7").alias("digest_id"), "source_id"))), "error", "compaction-invariant", "source_id AS note_id, 'multiple-compactors' AS detail FROM compacts WHERE digest_id='qp-100'")
-check("D12_bare_link_list", lambda s: Q.bare_link_lists(_BODY(s)), "warning", "bare-link-list", "id AS note_id, '12' AS detail FROM notes")
+check("D12_bare_link_list", lambda s: Q.bare_link_lists(_BODY(s)), "warning", "bare-link-list", "id AS note_id, (length(b)-length(replace(b,chr(10),''))+2)::VARCHAR AS detail FROM linked", SQL_LINKED)
 check("D13_orphaned_alias", lambda s: Q.orphaned_aliases(s.spark.createDataFrame([("german", "de"), ("lost", "gone")], "alias string, canonical string"), s.tags), "warning", "orphaned-tag-alias", "NULL::VARCHAR AS note_id, 'gone' AS detail")
 check("D14_complexity", lambda s: Q.complexity(s.base), "warning", "note-complexity", r"id AS note_id, CASE WHEN w>1500 THEN w||' words' ELSE p||' paragraphs' END AS detail FROM (SELECT id, len(list_filter(string_split_regex(body,'[\s\x0b]+'), lambda x: x<>'')) AS w, len(list_filter(string_split(body,chr(10)||chr(10)), lambda x: regexp_replace(x,'[\s\x0b]','','g')<>'')) AS p FROM notes) WHERE w>1500 OR p>50")
 check("D15_empty_collection", lambda s: Q.empty_collections(s.base, s.edges.filter("src <> 'qp-20'")), "warning", "empty-moc", "'qp-20' AS note_id, '' AS detail")
-check("D16_near_duplicate", lambda s: Q.near_duplicates(M.near_duplicates(M.vectors(postings(s.notes), s.size), 0.85)), "warning", "near-duplicate", "a.id AS note_id, b.id AS detail FROM vec a JOIN vec b ON a.term=b.term AND a.id<b.id GROUP BY a.id, b.id HAVING sum(a.w*b.w)>=0.85", VEC)
+check("D16_near_duplicate", lambda s: Q.near_duplicates(_NEAR(s, 0.85)).unionByName(Q.copies(M.copies(s.index.postings))), "warning", "near-duplicate", "note_id, detail FROM (SELECT a.id AS note_id, b.id AS detail FROM rvec a JOIN rvec b ON a.term=b.term AND a.id<b.id GROUP BY 1,2 HAVING sum(a.w*b.w)>=0.85 UNION ALL SELECT rep, id FROM rep WHERE id<>rep)", VEC + ", " + SIG)
 add("D17_unknown_types", lambda s: Q.unknown_types(s.base.withColumn("type", F.when(F.col("doc_id") % 99 == 0, "odd").otherwise(F.col("type"))), s.edges.withColumn("link_type", F.when(F.col("src") == "qp-9", "likes").otherwise(F.col("link_type")))), "SELECT 'error' AS severity, 'invalid-note-type' AS category, id AS note_id, 'odd' AS detail FROM notes WHERE doc_id%99=0 UNION ALL SELECT 'error','invalid-link-type',src,'likes' FROM edges WHERE src='qp-9'")
 add("A19_severities", lambda s: Q.severities(Q.broken_links(s.unresolved).unionByName(Q.complexity(s.base, 800, 50)).unionByName(Q.empty_collections(s.base, s.edges.filter("src <> 'qp-20'")))).filter("severity = 'error'"), "SELECT 'error' AS severity, count(*) AS n FROM unresolved")
 add("D19_fixes", lambda s: Q.fixed(s.base.withColumn("value", F.col("value") + 60), s.edges.select("src", "dst"))[0].select("id", F.coalesce("value", F.lit(-1)).alias("value")), "SELECT id, CASE WHEN value IS NULL THEN -1 ELSE least(value+60,100) END AS value FROM notes")
@@ -53,7 +52,8 @@ add("X20_prime_size", lambda s: s.notes.select("id", X.prime_size("human", True)
 _PRIME = "x AS (SELECT *, 0 AS part, updated AS moved, strlen(id)+strlen(title)+strlen(array_to_string(tags,', '))+15 AS size FROM (SELECT * FROM notes WHERE type='moc' ORDER BY updated DESC NULLS FIRST, id LIMIT 10) UNION ALL SELECT *, 1, coalesce(updated,created), strlen(id)+strlen(title)+5 FROM (SELECT * FROM notes WHERE type<>'moc' ORDER BY coalesce(updated,created) DESC NULLS FIRST, id LIMIT 10))"
 add("W2_prime_budget", lambda s: X.prime(s.notes, 1200).select("id", "part", "used"), "SELECT id, part, used::BIGINT AS used FROM (SELECT *, 500+sum(size) OVER (ORDER BY part, moved DESC NULLS FIRST, id ROWS UNBOUNDED PRECEDING) AS used FROM x) WHERE used<=1200", _PRIME)
 add("P5_prime", lambda s: X.prime(s.notes).select("id", "part", F.col("size").cast("long").alias("size")), "SELECT id, part, size::BIGINT AS size FROM x", _PRIME)
-add("W4_block_budget", lambda s: X.blocks_within(R.first_n(s.base, 50, F.col("value").desc_nulls_last()).withColumn("size", F.octet_length("title")), "size", [F.col("value").desc_nulls_last(), "id"], 700))
+_SQL_W4 = "r AS (SELECT id, strlen(title) AS s, row_number() OVER (ORDER BY value DESC NULLS LAST, id) AS k FROM notes QUALIFY k<=50), g AS (SELECT 0::BIGINT AS k, 0::BIGINT AS used, false AS took UNION ALL SELECT r.k, CASE WHEN g.used+r.s<=700 THEN g.used+r.s ELSE g.used END, g.used+r.s<=700 FROM g JOIN r ON r.k=g.k+1)"
+add("W4_block_budget", lambda s: X.blocks_within(R.first_n(s.base, 50, F.col("value").desc_nulls_last()).withColumn("size", F.octet_length("title")), "size", [F.col("value").desc_nulls_last(), "id"], 700), "SELECT (row_number() OVER (ORDER BY r.k)-1)::INT AS place, id FROM g JOIN r USING (k) WHERE took", _SQL_W4, True)
 _TOP = lambda s: R.first_n(s.base, 30, F.col("value").desc_nulls_last()).select("id", "value", F.col("title").alias("content"))
 add("W5_truncated", lambda s: X.truncated_contents(_TOP(s), [F.col("value").desc_nulls_last(), "id"], 500).select("id", "content"), "SELECT id, substr(title,1,greatest(500-coalesce(sum(length(title)) OVER (ORDER BY value DESC NULLS LAST, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0),0)::INT) AS content FROM (SELECT * FROM notes ORDER BY value DESC NULLS LAST, id LIMIT 30)")
 _POS = lambda d: d.withColumn("pos", F.lit(0))
@@ -76,5 +76,6 @@ add("U5_compacts_union", lambda s: s.compacts.unionByName(s.spark.createDataFram
 add("P11_load_skip", lambda s: U.load(_OLD(s), _NEW(s), "skip"), "SELECT * FROM old UNION ALL SELECT * FROM new WHERE id NOT IN (SELECT id FROM old)", _NEWSQL)
 add("P11_load_overwrite", lambda s: U.load(_OLD(s), _NEW(s), "overwrite"), "SELECT * FROM new UNION ALL SELECT * FROM old WHERE id NOT IN (SELECT id FROM new)", _NEWSQL)
 add("P11_load_merge_links", lambda s: U.load_links(s.edges.filter("position < 2"), s.edges.filter("position > 0"), s.base, s.base, "merge-links").select("src", "dst", "link_type"), "SELECT src, dst, link_type FROM edges")
-add("P12_rename", lambda s: U.renamed(_OLD(s), _NEW(s), 5), "SELECT id, CASE WHEN id IN (SELECT id FROM old) THEN id||'-1' ELSE id END AS new_id FROM new", _NEWSQL)
+_TAKEN = lambda s: _OLD(s).select("id").unionByName(_OLD(s).filter("id like '%5'").select(F.concat("id", F.lit("-1")).alias("id")))
+add("P12_rename", lambda s: U.renamed(_TAKEN(s), _NEW(s)), "SELECT id, CASE WHEN id NOT IN (SELECT id FROM old) THEN id WHEN id LIKE '%5' THEN id||'-2' ELSE id||'-1' END AS new_id FROM new", _NEWSQL)
 add("P16_compact_apply", lambda s: s.compacts.unionByName(s.base.filter("doc_id in (51,52)").select(F.lit("qp-50").alias("digest_id"), F.col("id").alias("source_id"))), "SELECT * FROM compacts UNION ALL SELECT 'qp-50','qp-'||x FROM (SELECT unnest([51,52]) AS x)")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lattica.operators import export as E
 from lattica.sources import markdown, pack
+from lattica.sources.storage import new_path
 from lattica.streaming import telemetry as R
 
 from .registry import Book
@@ -13,9 +14,10 @@ from .registry import Book
 BOOK = Book()
 add = BOOK.add
 _FILES = lambda s: s.notes.select(F.concat(F.lit("notes/"), F.col("id"), F.lit(".md")).alias("path"), F.when(F.col("doc_id") % 25 == 3, "no head").otherwise(markdown.render(s.notes)).alias("text"))
-add("S3_frontmatter", lambda s: markdown.parse(_FILES(s)).filter("error is null").select("id", "title", "type", F.coalesce("value", F.lit(-1)).alias("value"), F.array_join("tags", ",").alias("tags"), F.md5(F.col("body").cast("binary")).alias("body")), "SELECT id, title, type, coalesce(value,-1) AS value, array_to_string(tags,',') AS tags, md5(body) AS body FROM notes WHERE doc_id%25<>3")
+add("S3_frontmatter", lambda s: markdown.scan(s.spark, s.folder).filter("error is null").select("id", "title", "type", F.coalesce("value", F.lit(-1)).alias("value"), F.array_join("tags", ",").alias("tags"), F.md5(F.col("body").cast("binary")).alias("body")), "SELECT id, title, type, coalesce(value,-1) AS value, array_to_string(tags,',') AS tags, md5(body) AS body FROM notes")
 add("S5_permissive_scan", lambda s: markdown.parse(_FILES(s)).filter("error is not null").select("path", "error"), "SELECT 'notes/'||id||'.md' AS path, 'no head' AS error FROM notes WHERE doc_id%25=3")
-add("S4_note_writer", lambda s: s.notes.select("id", F.octet_length(markdown.render(s.notes)).cast("long").alias("bytes"), F.substring(markdown.render(s.notes), 1, 8).alias("start")).filter("id = 'qp-1' or id = 'qp-6'").select("id", "start"), "SELECT id, '---'||chr(10)||'id: ' AS start FROM notes WHERE id IN ('qp-1','qp-6')")
+_SQL_FILE = "'---'||chr(10)||'id: '||id||chr(10)||'title: '||to_json(title)||chr(10)||'type: '||type||coalesce(chr(10)||'value: '||value,'')||chr(10)||'tags: '||to_json(tags)||chr(10)||'---'||chr(10)||body"
+add("S4_note_writer", lambda s: markdown.scan_raw(s.spark, s.folder).select(F.regexp_extract("path", "([^/]+)[.]md$", 1).alias("id"), F.octet_length("text").cast("long").alias("bytes"), F.md5(F.col("text").cast("binary")).alias("digest")), f"SELECT id, strlen(f)::BIGINT AS bytes, md5(f) AS digest FROM (SELECT id, {_SQL_FILE} AS f FROM notes)")
 _LINES = lambda s: pack.note_lines(s.notes).select("line")
 add("S31_pack_notes", lambda s: pack.read_notes(_LINES(s)).select("id", "type", "title", F.array_join("tags", ",").alias("tags"), F.date_format("created", "yyyy-MM-dd").alias("created"), F.coalesce("value", F.lit(-1)).alias("value")), r"SELECT id, type, regexp_replace(title,'[\r\n]',' ','g') AS title, array_to_string(tags,',') AS tags, strftime(created,'%Y-%m-%d') AS created, coalesce(value,-1) AS value FROM notes")
 add("S30_pack_links", lambda s: pack.read_links(pack.link_lines(s.edges)), "SELECT src, link_type, dst, inline FROM edges")
@@ -32,9 +34,30 @@ add("S36_bibliography_bibtex", lambda s: E.bibliography(_SRC(s), "bibtex"), r"SE
 add("W10_citation_numbers", lambda s: E.bibliography(_SRC(s), "csl-json").select("place", F.get_json_object("entry", "$.URL").alias("url")), "SELECT place, url FROM num", SRC)
 add("S37_export_json", lambda s: E.as_json(s.notes).select("id", F.get_json_object("json", "$.title").alias("title"), F.get_json_object("json", "$.tags[0]").alias("tag")), "SELECT id, title, tags[1] AS tag FROM notes")
 add("S37_export_records", lambda s: E.records(s.notes), """SELECT id, 'N '||id||' '||type||' "'||replace(title,'"','\\"')||'" tags='||array_to_string(tags,',') AS line FROM notes""")
-add("S33_links_of_dump", lambda s: s.edges.groupBy("src").agg(F.count("*").alias("n")), "SELECT src, count(*) AS n FROM edges GROUP BY 1")
+
+
+def dumped(s):
+    """A pack of the collections and their links, written as files and read back."""
+    mocs, path = s.notes.filter("type = 'moc'"), new_path(s.spark, "pack")
+    pack.write(mocs, s.edges.join(mocs.select(F.col("id").alias("src")), "src", "left_semi"), path)
+    lines = s.spark.read.text(path).select(F.col("value").alias("line"))
+    return pack.read_links(lines).join(pack.read_notes(lines).select(F.col("id").alias("src"), "title"), "src")
+
+
+add("S33_links_of_dump", dumped, r"SELECT src, link_type, dst, inline, regexp_replace(title,'[\r\n]',' ','g') AS title FROM edges JOIN notes ON id=src WHERE type='moc'")
 add("P14_export", lambda s: E.bundle(s.base.join(s.tags.filter("tag = 'de'").select(F.col("note_id").alias("id")), "id", "left_semi")).select("place"), "SELECT row_number() OVER () AS place FROM tags WHERE tag='de'")
 # Telemetry
+
+
+def sunk(s):
+    """Events appended to JSON lines in two parts and read back."""
+    path = new_path(s.spark, "events")
+    for part in ("success", "not success"):
+        R.sink(s.telemetry.filter(part), path)
+    return R.source(s.spark, path).groupBy("command", "success").agg(F.count("*").alias("n"), F.max("ts").alias("last"), F.count_distinct("error").alias("errors")).select("command", "success", "n", F.date_format("last", "yyyy-MM-dd").alias("last"), "errors")
+
+
+add("S38_sink", sunk, "SELECT command, success, count(*) AS n, strftime(max(ts),'%Y-%m-%d') AS last, count(DISTINCT error) AS errors FROM telemetry GROUP BY 1,2")
 NOW = lambda: F.lit("2024-01-30 00:00:00").cast("timestamp")
 add("A17_command_stats", lambda s: R.daily(s.telemetry).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "command", "succeeded", "failed", F.col("durations")["less-than-100ms"].alias("fast"), F.array_join(F.array_sort("errors"), ",").alias("errors")),
     "SELECT strftime(ts,'%Y-%m-%d') AS day, command, count(*) FILTER (success) AS succeeded, count(*) FILTER (NOT success) AS failed, count(*) FILTER (duration_ms<100) AS fast, coalesce(string_agg(DISTINCT error,',' ORDER BY error),'') AS errors FROM telemetry GROUP BY 1,2")

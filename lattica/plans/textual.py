@@ -11,8 +11,8 @@ from .registry import Book
 BOOK = Book()
 add = BOOK.add
 #: Bodies with links, the same on both sides.
-LINKED = lambda s: s.base.select("doc_id", "id", "title", F.concat(F.lit("# Head "), F.col("doc_id"), F.lit("\n\nSee [[qp-"), F.col("doc_id") + 1, F.lit("|next one]] and [[ qp-"), F.col("doc_id") + 2, F.lit(" ]] or [here](./qp-"), F.col("doc_id") + 3, F.lit("-slug.md)\nbut ![pic](../attachments/a"), F.col("doc_id") % 5, F.lit(".png) not [web](https://x.org/a).\n\n## Summary\n\nShort text "), F.col("doc_id"), F.lit(".\nSecond line.\n\nRest.")).alias("b"))
-SQL_LINKED = "linked AS (SELECT doc_id, id, title, '# Head '||doc_id||chr(10)||chr(10)||'See [[qp-'||(doc_id+1)||'|next one]] and [[ qp-'||(doc_id+2)||' ]] or [here](./qp-'||(doc_id+3)||'-slug.md)'||chr(10)||'but ![pic](../attachments/a'||(doc_id%5)||'.png) not [web](https://x.org/a).'||chr(10)||chr(10)||'## Summary'||chr(10)||chr(10)||'Short text '||doc_id||'.'||chr(10)||'Second line.'||chr(10)||chr(10)||'Rest.' AS b FROM notes)"
+LINKED = lambda s: s.base.select("doc_id", "id", "title", F.concat(F.lit("# Head "), F.col("doc_id"), F.lit("\n\nSee [[qp-"), F.col("doc_id") + 1, F.lit("|next one]] and [[ qp-"), F.col("doc_id") + 2, F.lit(" ]] or [here](./qp-"), F.col("doc_id") + 3, F.lit("-slug.md)\nbut ![pic](../attachments/a"), F.col("doc_id") % 5, F.lit(".png) not [web](https://x.org/a).\n\n## Summary\n\nShort text "), F.col("doc_id"), F.lit(".\nSecond line.\n\nRest.\n\n## Text\n\n"), F.coalesce("body", F.lit(""))).alias("b"))
+SQL_LINKED = "linked AS (SELECT doc_id, id, title, '# Head '||doc_id||chr(10)||chr(10)||'See [[qp-'||(doc_id+1)||'|next one]] and [[ qp-'||(doc_id+2)||' ]] or [here](./qp-'||(doc_id+3)||'-slug.md)'||chr(10)||'but ![pic](../attachments/a'||(doc_id%5)||'.png) not [web](https://x.org/a).'||chr(10)||chr(10)||'## Summary'||chr(10)||chr(10)||'Short text '||doc_id||'.'||chr(10)||'Second line.'||chr(10)||chr(10)||'Rest.'||chr(10)||chr(10)||'## Text'||chr(10)||chr(10)||coalesce(body,'') AS b FROM notes)"
 STOP = ",".join(f"'{w}'" for w in X.STOP_WORDS)
 
 

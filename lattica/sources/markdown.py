@@ -6,9 +6,12 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import full_address, open_store, written
+
 try:
     import yaml
 except ImportError:  # then heads are read line by line
@@ -24,6 +27,26 @@ def render(notes: DataFrame) -> Column:
     return F.concat(head, F.col("body"))
 
 
+def write(notes: DataFrame, root: str) -> DataFrame:
+    """Writes a file for each note below a folder, named by its id, and gives back (id, path, bytes). A file is written whole or replaced, so a repeated attempt leaves the same one."""
+    base = full_address(notes.sparkSession, root)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = open_store(base)
+        store.create_dir(folder, recursive=True)
+        for b in it:
+            sizes, paths = [], []
+            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                raw = text.encode()
+                with store.open_output_stream(f"{folder}/{name}.md", compression=None) as f:
+                    f.write(raw)
+                sizes.append(len(raw))
+                paths.append(f"{base}/{name}.md")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], ["id", "path", "bytes"])
+
+    return written(notes.select("id", render(notes).alias("text")).mapInArrow(run, "id string, path string, bytes long"), "files")
+
+
 def _head(text: str) -> dict:
     if yaml is not None:
         found = yaml.safe_load(text)
@@ -72,7 +95,17 @@ def parse(files: DataFrame) -> DataFrame:
     return files.select("path", "text").mapInPandas(run, SCHEMA)
 
 
+def files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length, modificationTime) of the files below a folder; their contents aren't read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root).select("path", "length", "modificationTime")
+
+
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """All notes below a folder, one file each, in whatever store Spark reads."""
+    return parse(scan_raw(spark, root))
+
+
+def scan_raw(spark: SparkSession, root: str) -> DataFrame:
+    """(path, text) of the files below a folder."""
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root, wholetext=True)
-    return parse(raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
+    return raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))

@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 
 from lattica.model import ID_PREFIX
 
+from . import markdown
+from .index import Index
+from .storage import fingerprint, new_path
+
+_indexes: dict[tuple, Index] = {}
+_folders: dict[tuple, str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,6 +41,25 @@ class Store:
         """Number of notes, from the files' footers."""
         return self.table("documents").count()
 
+    @property
+    def index(self) -> Index:
+        """The stored index of the notes and edges, built at its first use in a session and used as long as the tables stay as they are."""
+        mark = (self.spark.sparkContext.applicationId, self.sf_dir, *(fingerprint(self.spark, f"{self.sf_dir}/{t}.parquet") for t in ("documents", "labels")))
+        if mark not in _indexes:
+            _indexes[mark] = index = Index(self.spark, new_path(self.spark, "index", keep=True))
+            index.build(self.notes, self.edges)
+        return _indexes[mark]
+
+    @property
+    def folder(self) -> str:
+        """A folder with a markdown file of every note, written at its first use in a session."""
+        mark = (self.spark.sparkContext.applicationId, self.sf_dir, fingerprint(self.spark, f"{self.sf_dir}/documents.parquet"))
+        if mark not in _folders:
+            path = new_path(self.spark, "notes", keep=True)
+            markdown.write(self.notes, path)
+            _folders[mark] = path
+        return _folders[mark]
+
     @property
     def base(self) -> DataFrame:
         """Columns that the documents alone give."""
@@ -55,9 +81,9 @@ class Store:
     @property
     def custom(self) -> DataFrame:
         """(id, custom): metadata of notes as JSON, where an event has the note's number."""
-        e = self.table("events").select(F.col("event_id"), F.get_json_object("props", "$.k").cast("long").alias("k"), "value", F.col("event_type").alias("kind"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
+        e = self.table("events").select(F.col("event_id"), F.get_json_object("props", "$.k").cast("long").alias("k"), "value", F.col("event_type").alias("kind"), F.when(F.col("event_id") % 5 != 0, F.date_format("ts", "yyyy-MM-dd")).alias("day"), F.get_json_object("props", "$.k").alias("code"))
         docs = self.table("documents").select("doc_id")
-        return docs.join(e, F.col("doc_id") == F.col("event_id")).select(note_id(F.col("doc_id")).alias("id"), F.to_json(F.struct("k", "value", "kind", "day")).alias("custom"))
+        return docs.join(e, F.col("doc_id") == F.col("event_id")).select(note_id(F.col("doc_id")).alias("id"), F.to_json(F.struct("k", "value", "kind", "day", "code")).alias("custom"))
 
     @property
     def tags(self) -> DataFrame:
@@ -100,7 +126,7 @@ notes AS (SELECT d.doc_id, 'qp-'||d.doc_id AS id, substr(split_part(d.text,chr(1
   CASE WHEN d.doc_id%11<>0 AND d.doc_id%3<>0 THEN TIMESTAMP '2024-01-01' + to_days((d.doc_id%365+d.doc_id%30)::INT) END AS updated,
   l.quality=1 AS verified, CASE WHEN coalesce(l.toxic=1,false) THEN [d.lang,d.source,'tox'] ELSE [d.lang,d.source] END AS tags
   FROM documents d LEFT JOIN lab l USING (doc_id)),
-custom AS (SELECT 'qp-'||d.doc_id AS id, (e.props->>'$.k')::BIGINT AS k, e.value, e.event_type AS kind, strftime(e.ts,'%Y-%m-%d') AS day FROM documents d JOIN events e ON d.doc_id=e.event_id),
+custom AS (SELECT 'qp-'||d.doc_id AS id, (e.props->>'$.k')::BIGINT AS k, e.value, e.event_type AS kind, CASE WHEN e.event_id%5<>0 THEN strftime(e.ts,'%Y-%m-%d') END AS day FROM documents d JOIN events e ON d.doc_id=e.event_id),
 tags AS (SELECT id AS note_id, unnest(tags) AS tag FROM notes),
 e0 AS (SELECT doc_id, unnest([{'t':3*doc_id+1,'k':'supports','i':false,'p':0,'w':true},{'t':5*doc_id+2,'k':'part-of','i':false,'p':1,'w':true},{'t':doc_id+1,'k':'follows','i':false,'p':2,'w':doc_id%2=0},{'t':7*doc_id+3,'k':'related','i':true,'p':3,'w':true}]) AS e FROM documents),
 edges AS (SELECT 'qp-'||doc_id AS src, 'qp-'||(e.t%n.c) AS dst, e.k AS link_type, e.i AS inline, e.p AS position FROM e0, n WHERE e.w AND e.t%n.c<>doc_id),

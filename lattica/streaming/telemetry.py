@@ -5,12 +5,13 @@ A stream's daily windows go by event time with a watermark, so results don't dep
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions.text import DURATIONS, bucket
 
 RETENTION = "7 days"
+EVENT = "ts timestamp, command string, success boolean, duration_ms double, error string"
 
 
 def daily(events: DataFrame) -> DataFrame:
@@ -26,6 +27,16 @@ def retained(events: DataFrame, now: Column, days: int = 7) -> DataFrame:
     return events.filter(F.col("ts") >= now - F.make_dt_interval(F.lit(days)))
 
 
+def sink(events: DataFrame, path: str) -> None:
+    """Appends events to a folder of JSON lines."""
+    events.write.mode("append").json(path)
+
+
+def source(spark: SparkSession, path: str) -> DataFrame:
+    """Events of a folder of JSON lines; a line that is none of them gives nulls."""
+    return spark.read.schema(EVENT).option("mode", "PERMISSIVE").json(path)
+
+
 def ready(batches: DataFrame, least: int = 100) -> DataFrame:
     """Days with enough events to be sent."""
     total = batches.groupBy(F.col("w.start").alias("day")).agg(F.sum(F.col("succeeded") + F.col("failed")).alias("events"))
@@ -44,6 +55,29 @@ def stream_daily(stream: DataFrame, out: str, checkpoint: str):
     return flat.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stream_batches(stream: DataFrame, out: str, checkpoint: str, most: int | None = None) -> None:
+    """Writes each micro-batch to a folder named by its number, so one that is run again replaces itself; goes on after what the checkpoint has. most: the run breaks off after so many batches."""
+    done = []
+
+    def each(batch: DataFrame, number: int) -> None:
+        if most is not None and len(done) >= most:
+            raise InterruptedError
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        done.append(number)
+
+    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    except Exception:
+        if most is None:
+            raise
+
+
+def batches(spark: SparkSession, out: str) -> DataFrame:
+    """The rows of all micro-batches, with their batch."""
+    return spark.read.parquet(out)
+
+
 def stream_upserts(stream: DataFrame, key: str, order: str, apply, checkpoint: str):
     """Applies each micro-batch's newest row by key, exactly once for each batch number; apply(rows, batch) writes them."""
 

@@ -1,5 +1,7 @@
 """Small literal cases of the note operators."""
 
+import os
+import random
 from datetime import datetime, timezone
 
 import pytest
@@ -15,7 +17,8 @@ from lattica.operators import quality as Q
 from lattica.operators import relational as R
 from lattica.operators import search as T
 from lattica.operators import similarity as M
-from lattica.sources import markdown, pack
+from lattica.sources import markdown, pack, storage
+from lattica.sources.index import Index, counted
 from lattica.streaming import telemetry
 
 
@@ -63,21 +66,23 @@ def test_times():
         P.parse_time("soon", now)
 
 
-def test_search(notes):
+def test_search(spark, notes, tmp_path):
     now = F.lit("2025-01-01").cast("timestamp")
-    hits = T.search(notes, "rust", now).collect()
+    index = Index(spark, str(tmp_path / "index"))
+    index.build(notes, spark.createDataFrame([], "src string, dst string, link_type string, inline boolean, position int"))
+    hits = T.search(index, "rust", now).collect()
     assert [h["id"] for h in hits] == ["qp-1", "qp-2"]  # title and tag weigh more
-    assert T.search(notes, "  ", now).count() == 0
-    assert ids(T.search(notes, "rust NOT python", now)) == ["qp-1"]
-    assert ids(T.search(notes, "own* OR python", now)) == ["qp-1", "qp-2"]
+    assert T.search(index, "  ", now).count() == 0
+    assert ids(T.search(index, "rust NOT python", now)) == ["qp-1"]
+    assert ids(T.search(index, "own* OR python", now)) == ["qp-1", "qp-2"]
+    assert ids(T.search(index, "rust rust", now, where=F.col("type") == "fleeting")) == ["qp-2"]
 
 
 def test_similarity(spark):
     rows = [("a", "one two three four five"), ("b", "one two three four five"), ("c", "one two three four six")]
-    n = spark.createDataFrame(rows, "id string, body string").withColumn("title", F.lit("")).withColumn("tags", F.array().cast("array<string>"))
-    pairs = M.near_duplicates(M.vectors(T.postings(n), 3), 0.85).collect()
-    assert ("a", "b") in {(p["id_a"], p["id_b"]) for p in pairs}
-    assert max(p["score"] for p in pairs) == pytest.approx(1.0)
+    n = spark.createDataFrame(rows, "id string, body string").withColumn("title", F.lit("")).withColumn("tags", F.array().cast("array<string>")).withColumn("updated", F.lit(None).cast("timestamp"))
+    of = {r["id"]: (r["rep"], r["class_id"], r["n_links"]) for r in M.duplicate_classes(counted(n), 3, 0.5).collect()}
+    assert of == {"a": ("a", "a", 1), "b": ("a", "a", 1), "c": ("c", "a", 1)}
 
 
 def test_second_neighbours(spark):
@@ -175,3 +180,138 @@ def test_stem_queries_read_whole_texts(spark):
     words = [w for t in texts for w in regex.split(r"[^\p{L}\p{N}]+", (t or "").lower()) if w and w not in STOP_WORDS]
     assert {r["term"] for r in registry.queries()["X2_stem_terms"](spark, sf).collect()} == set(words)
     assert sum(r["n"] for r in registry.queries()["X3_stemmed_index"](spark, sf).collect()) == len(words)
+
+
+def test_renames_find_the_smallest_free_suffix(spark):
+    old = spark.createDataFrame([("a",), *((f"a-{i}",) for i in range(1, 1500) if i != 1203), ("b",), ("b-01",), ("b-2",), ("c-9",)], "id string")
+    new = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "id string")
+    assert {r["id"]: r["new_id"] for r in U.renamed(old, new).collect()} == {"a": "a-1203", "b": "b-1", "c": "c", "d": "d"}
+    full = old.unionByName(spark.createDataFrame([("a-1203",)], "id string"))
+    assert U.renamed(full, new).filter("id = 'a'").first()["new_id"] == "a-1500"
+
+
+def test_collections_of_collections_have_no_depth(spark):
+    n = 45
+    e = spark.createDataFrame([(f"m{i}", f"m{i + 1}") for i in range(n)] + [(f"m{n}", "leaf"), ("leaf", "beyond"), ("m3", "m1")], "src string, dst string")
+    notes = spark.createDataFrame([(f"m{i}", "moc") for i in range(n + 1)] + [("leaf", "permanent"), ("beyond", "moc")], "id string, type string")
+    assert set(ids(G.collection_members(e, notes, "m0", True, spark))) == {f"m{i}" for i in range(n + 1)} | {"leaf"}
+    assert ids(G.collection_members(e, notes, "m0", False, spark)) == ["m0", "m1"]
+
+
+def walk_by_hand(edges, root, hops, max_nodes=None, max_edges=None, max_fanout=None):
+    out = {}
+    for s, d, t in sorted(set(edges)):
+        if s != d:
+            out.setdefault(s, []).append((t, d))
+    hop, links, reasons, queue = {root: 0}, [], set(), [root]
+    for at in queue:
+        if max_nodes is not None and len(hop) >= max_nodes:
+            break
+        ways = sorted(out.get(at, []))
+        if hop[at] == hops:
+            if ways:
+                reasons.add("max_hops")
+            continue
+        if max_fanout is not None and len(ways) > max_fanout:
+            reasons.add("max_fanout")
+            ways = ways[:max_fanout]
+        for t, d in ways:
+            if max_edges is not None and len(links) >= max_edges:
+                reasons.add("max_edges")
+                break
+            links.append((at, d, t))
+            if d not in hop and (max_nodes is None or len(hop) < max_nodes):
+                hop[d] = hop[at] + 1
+                queue.append(d)
+        if "max_edges" in reasons:
+            break
+    if max_nodes is not None and len(hop) >= max_nodes:
+        reasons.add("max_nodes")
+    return hop, next((r for r in ("max_nodes", "max_edges", "max_fanout", "max_hops") if r in reasons), None), links
+
+
+@pytest.mark.parametrize("limits", [{}, {"max_nodes": 1}, {"max_nodes": 6}, {"max_fanout": 2}, {"max_edges": 7}, {"max_fanout": 1}, {"max_nodes": 9, "max_fanout": 3}, {"max_edges": 1000}, {"max_nodes": 1000}])
+def test_limits_of_walks(spark, limits):
+    rng = random.Random(4)
+    edges = [(f"n{i}", f"n{rng.randrange(40)}", rng.choice(["supports", "follows", "related"])) for i in range(40) for _ in range(3)]
+    for hops in (1, 3):
+        notes, links, reason = G.limited(spark.createDataFrame(edges, "src string, dst string, link_type string"), "n0", hops, spark, **limits)
+        want, why, listed = walk_by_hand(edges, "n0", hops, **limits)
+        assert {r["id"]: r["hop"] for r in notes.collect()} == want and reason == why
+        if "max_nodes" not in limits:
+            assert sorted(map(tuple, links.collect())) == sorted(listed)
+
+
+def test_cheapest_paths(spark):
+    e = spark.createDataFrame([("a", "b", "supports"), ("b", "c", "supports"), ("a", "c", "supports"), ("c", "d", "part-of")], "src string, dst string, link_type string")
+    values = spark.createDataFrame([("a", 50), ("b", 100), ("c", 0), ("d", 100)], "id string, value int")
+    path = lambda end, **more: [(r["place"], r["id"], r["link_type"], r["cost"]) for r in G.path(e, "a", end, 5, spark, values, **more).collect()]
+    assert path("d") == [(0, "a", None, 0.0), (1, "c", "supports", 2.0), (2, "d", "part-of", 2.5)]
+    assert path("d", least=1) == [] and path("a") == [(0, "a", None, 0.0)]
+    assert {r["id"]: r["parent"] for r in G.tree(e, spark.createDataFrame([("a",)], "id string"), 3, values).collect()} == {"a": None, "b": "a", "c": "a", "d": "c"}
+
+
+def test_walks_of_many_rounds(spark, monkeypatch):
+    monkeypatch.setattr(G, "SMALL_FRONT", 1)
+    monkeypatch.setattr(G, "ROUNDS", 3)
+    n = 9
+    e = spark.createDataFrame([(f"a{i}", f"{x}{i + 1}", "follows", False) for i in range(n) for x in "ab"], "src string, dst string, link_type string, inline boolean")
+    got = {r["id"]: r["cost"] for r in G.simple_walk(e, spark.createDataFrame([("a0",)], "id string"), 4.0).collect()}
+    assert got == {"a0": 0.0} | {f"{x}{i}": i / 2 for i in range(1, 9) for x in "ab"}
+
+
+def test_index_is_resumed_and_kept_up_to_date(spark, notes, tmp_path):
+    edges = spark.createDataFrame([("qp-1", "qp-2", "supports", False, 0), ("qp-3", "qp-1", "related", True, 0)], "src string, dst string, link_type string, inline boolean, position int")
+    index, now = Index(spark, str(tmp_path / "i")), F.lit("2025-01-01").cast("timestamp")
+    assert index.build(notes, edges, 3, most=1) == [0]
+    (tmp_path / "i" / "000001" / "notes").mkdir(parents=True)  # what a lost run left behind
+    (tmp_path / "i" / "000001" / "notes" / "part-0.parquet").write_bytes(b"half")
+    again = Index(spark, str(tmp_path / "i"))
+    assert again.build(notes, edges, 3) == [1, 2] and again.build(notes, edges, 3) == []
+    assert ids(again.notes) == ["qp-1", "qp-2", "qp-3"] and [h["id"] for h in T.search(again, "rust", now).collect()] == ["qp-1", "qp-2"]
+    assert [tuple(r) for r in again.backlinks("qp-1").collect()] == [("qp-3", "related")]
+    again.put(notes.filter("id = 'qp-2'").withColumn("body", F.lit("nothing of the kind")), edges.limit(0))
+    again.delete(notes.filter("id = 'qp-3'").select("id"))
+    for _ in range(2):
+        assert ids(again.notes) == ["qp-1", "qp-2"] and ids(T.search(again, "rust", now)) == ["qp-1"] and ids(T.search(again, "kind", now)) == ["qp-2"]
+        assert again.backlinks("qp-1").count() == 0 and again.steps().count() == 2
+        again.merge()
+    assert len(again.segments()) == 1
+    assert again.sync(notes, edges) == (1, 0) and ids(again.notes) == ["qp-1", "qp-2", "qp-3"]
+    assert again.sync(notes.filter("id <> 'qp-1'"), edges) == (0, 1) and ids(again.notes) == ["qp-2", "qp-3"]
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    made = len(storage._made)
+    with storage.scratch(spark):
+        kept = storage.new_path(spark, "kept", keep=True)
+        df = storage.written(spark.range(5), "five")
+        path = df.inputFiles()[0].removeprefix("file://").rsplit("/data/")[0]
+        assert os.path.isdir(path) and df.count() == 5
+    assert not os.path.exists(path) and len(storage._made) == made and os.path.isdir(kept.removeprefix("file://").removesuffix("/data"))
+
+
+def test_places_in_order(spark):
+    rows = [(i * 37 % 101, f"r{i}") for i in range(500)]
+    got = R.numbered(spark.createDataFrame(rows, "k int, id string").repartition(7), ["k", "id"]).collect()
+    assert [r["id"] for r in sorted(got, key=lambda r: r["place"])] == [i for _, i in sorted(rows)] and sorted(r["place"] for r in got) == list(range(1, 501))
+
+
+def test_near_duplicates_by_brute_force(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(120)]
+    base = [[rng.choice(words) for _ in range(30)] for _ in range(25)]
+    texts = [" ".join(b) for b in base] + [" ".join([*b[k:], *rng.choices(words, k=k)]) for b in base for k in (1, 3, 6)] + [" ".join(base[0])] * 6
+    notes = spark.createDataFrame([(f"n{i:03}", t, "", []) for i, t in enumerate(texts)], "id string, body string, title string, tags array<string>").withColumn("updated", F.lit(None).cast("timestamp"))
+    postings = counted(notes)
+    vec: dict = {}
+    for r in M.vectors(postings, len(texts)).collect():
+        vec.setdefault(r["id"], {})[r["term"]] = r["w"]
+    rep = {r["id"]: r["rep"] for r in M.copies(postings).collect()}
+    assert all(rep[i] == min(j for j in vec if vec[j].keys() == vec[i].keys() and all(abs(vec[i][t] - vec[j][t]) < 1e-12 for t in vec[i])) for i in vec)
+    reps = sorted(set(rep.values()))
+    dot = lambda a, b: sum(w * vec[b].get(t, 0.0) for t, w in vec[a].items())
+    for threshold in (0.6, 0.85):
+        got = {(r["id_a"], r["id_b"]): r["score"] for r in M.near_duplicates(postings, len(texts), threshold).collect()}
+        want = {(a, b): dot(a, b) for i, a in enumerate(reps) for b in reps[i + 1 :] if dot(a, b) >= threshold}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and want
