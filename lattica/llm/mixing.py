@@ -1,8 +1,12 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Token counts by cell (source, language, topic) are raked to the target shares of all three margins in turn; SWEEPS rounds
-are made, always as many. Documents are then sampled with probability min(1, k * raked share / own share), with k such
-that the expected tokens are RATE of all. A document's draw is a hash of its id, so a run repeats and needs no state.
+are made, always as many. No document can be drawn more than once, so a cell's raked share is bounded by its own share over
+the rate, the part of all tokens that is to be drawn, after every step. A margin can be met at all only if the rate is at
+most the own share over the target of each of its values; the rate is RATE or, where that is less, SLACK of the least of
+these. The probability of a document is its cell's raked share times the rate over the cell's own share, at most 1, and its
+draw is a hash of its id, so a run repeats and needs no state. balance() says how near the margins come to their targets.
+
 Only built-in functions are used. The cells are a small table beside the documents: it is written between rounds and,
 up to CELLS_A_TASK rows, held in one partition, where its windows need no shuffle; beyond, Spark deals it out.
 """
@@ -15,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import WORD, blank_if_null, table, written
 
 SWEEPS, SWEEPS_A_JOB = 20, 5
-RATE = 0.8
+RATE, SLACK = 0.8, 0.95
 CELLS_A_TASK = 200_000
 DIMS = ("source", "lang", "topic")
 #: Default targets are the observed shares to these powers: below 1, small ones gain.
@@ -44,6 +48,12 @@ def draw(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
 
 
+def _all(rows: DataFrame, number: Column) -> float | None:
+    """One number over all rows."""
+    found = rows.agg(number.cast("double")).first()[0]
+    return None if found is None else float(found)
+
+
 def targets(cells: DataFrame, given: dict[str, DataFrame] | None = None) -> DataFrame:
     """Adds the target share of each margin's value: a given table (value, share), or powers of the observed shares. Shares are scaled to 1 over values that occur; a value without one gets 0."""
     for d in DIMS:
@@ -52,35 +62,40 @@ def targets(cells: DataFrame, given: dict[str, DataFrame] | None = None) -> Data
         else:
             t = cells.groupBy(d).agg(F.pow(F.sum("tokens").cast("double"), F.lit(POWERS[d])).alias("__s")).withColumnRenamed(d, "__v")
         values = cells.select(d).distinct().join(t, F.col(d).eqNullSafe(F.col("__v")), "left").select(d, F.coalesce("__s", F.lit(0.0)).alias("__s"))
-        scaled = values.select(F.col(d).alias("__v"), (F.col("__s") / F.sum("__s").over(Window.partitionBy())).alias(f"t_{d}"))
+        scaled = values.select(F.col(d).alias("__v"), (F.col("__s") / F.lit(_all(values, F.sum("__s")))).alias(f"t_{d}"))
         cells = cells.join(scaled, F.col(d).eqNullSafe(F.col("__v")), "left").drop("__v")
     return cells
 
 
-def rake(cells: DataFrame, given: dict[str, DataFrame] | None = None, sweeps: int = SWEEPS) -> DataFrame:
-    """Cells (source, lang, topic, tokens) with w, the raked share."""
-    out = written(targets(cells, given).withColumn("w", F.col("tokens").cast("double")), "cells")
+def rake(cells: DataFrame, given: dict[str, DataFrame] | None = None, sweeps: int = SWEEPS, rate: float = RATE) -> DataFrame:
+    """Cells (source, lang, topic, tokens) with own, their share, rate, the same for all, and w, the raked share."""
+    out = written(targets(cells, given).withColumn("own", F.col("tokens") / F.lit(_all(cells, F.sum("tokens")))), "targets")
+    room = F.least(*(F.coalesce(F.when(F.col(f"t_{d}") > 0, F.sum("own").over(Window.partitionBy(d)) / F.col(f"t_{d}")), F.lit(1.0)) for d in DIMS))
+    least = _all(out.select(room.alias("room")), F.min("room"))
+    out = written(out.withColumn("rate", F.lit(min(float(rate), SLACK * (1.0 if least is None else least)))).withColumn("w", F.col("own")), "cells")
     parts = max(1, -(-out.count() // CELLS_A_TASK))
     for start in range(0, sweeps, SWEEPS_A_JOB):
         out = out.coalesce(parts)
         for _ in range(min(SWEEPS_A_JOB, sweeps - start)):
             for d in DIMS:
                 total = F.sum("w").over(Window.partitionBy(d))
-                out = out.withColumn("w", F.when(total > 0, F.col("w") * F.col(f"t_{d}") / total).otherwise(F.lit(0.0)))
+                out = out.withColumn("w", F.when(total > 0, F.least(F.col("own") / F.col("rate"), F.col("w") * F.col(f"t_{d}") / total)).otherwise(F.lit(0.0)))
         out = written(out, "raked")
     return out
 
 
-def calibrate(raked: DataFrame, rate: float = RATE) -> DataFrame:
+def calibrate(raked: DataFrame) -> DataFrame:
     """Adds weight (raked share over own share) and probability to raked cells."""
-    whole = Window.orderBy(F.col("weight").desc(), *DIMS)
-    shares = raked.coalesce(1).withColumn("all", F.sum("tokens").over(Window.partitionBy())).withColumn("weight", F.round(F.col("w") * F.col("all") / F.col("tokens"), 9))
-    x = shares.withColumn("above", F.coalesce(F.sum("tokens").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("rest", F.sum(F.col("tokens") * F.col("weight")).over(whole.rowsBetween(0, Window.unboundedFollowing)))
-    k = (F.lit(rate) * F.col("all") - F.col("above")) / F.col("rest")
-    # with the cells above at 1, k is right if this cell's own probability doesn't pass 1; the first such k holds
-    x = x.withColumn("k", F.when((F.col("rest") > 0) & (k * F.col("weight") <= 1), k)).withColumn("k", F.max("k").over(Window.partitionBy()))
-    x = x.withColumn("probability", F.round(F.when(F.col("weight") <= 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.coalesce(F.col("k"), F.lit(1.0)) * F.col("weight"))), 9))
-    return x.select(*DIMS, "weight", "probability")
+    weight = F.col("w") / F.col("own")
+    return raked.withColumns({"weight": F.round(weight, 9), "probability": F.round(F.least(F.lit(1.0), weight * F.col("rate")), 9)})
+
+
+def balance(raked: DataFrame) -> DataFrame:
+    """(dim, value, own, target, expected): the share of tokens of every value of a margin, what it should be, and what draws by the raked cells' probabilities give."""
+    drawn = calibrate(raked).withColumn("__e", F.col("own") * F.col("probability"))
+    drawn = drawn.withColumn("__e", F.col("__e") / F.lit(_all(drawn, F.sum("__e"))))
+    each = F.explode(F.array(*(F.struct(F.lit(d).alias("dim"), F.col(d).alias("value"), F.col(f"t_{d}").alias("target")) for d in DIMS)))
+    return drawn.select("own", "__e", each.alias("x")).groupBy("x.dim", "x.value").agg(F.sum("own").alias("own"), F.max("x.target").alias("target"), F.sum("__e").alias("expected"))
 
 
 def _celled(docs: DataFrame, text_col: str, source_col: str, lang_col: str) -> tuple[list[Column], Column]:
@@ -93,7 +108,7 @@ def _sum_cells(flat: DataFrame) -> DataFrame:
 
 
 def _rates(cells: DataFrame, given: dict[str, DataFrame] | None, rate: float) -> DataFrame:
-    rates = calibrate(rake(written(cells, "tokens-by-cell"), given), rate)
+    rates = calibrate(rake(written(cells, "tokens-by-cell"), given, rate=rate))
     return written(rates.select(*(F.col(d).alias(f"__{d}") for d in DIMS), "weight", "probability"), "rates")
 
 
@@ -138,15 +153,13 @@ def _oracle() -> str:
              f"c AS (SELECT {dims}, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY ALL)"]
     for x in DIMS:
         parts.append(f"t_{x} AS (SELECT {x}, s/sum(s) OVER () AS t FROM (SELECT {x}, pow(sum(tokens)::DOUBLE,{POWERS[x]}) AS s FROM c GROUP BY ALL))")
-    parts.append("r0 AS MATERIALIZED (SELECT c.*, " + ", ".join(f"t_{x}.t AS t_{x}" for x in DIMS) + ", tokens::DOUBLE AS w FROM c " + " ".join(f"JOIN t_{x} ON c.{x} IS NOT DISTINCT FROM t_{x}.{x}" for x in DIMS) + ")")
+    parts.append("o AS MATERIALIZED (SELECT c.*, " + ", ".join(f"t_{x}.t AS t_{x}" for x in DIMS) + ", tokens/sum(tokens) OVER () AS own FROM c " + " ".join(f"JOIN t_{x} ON c.{x} IS NOT DISTINCT FROM t_{x}.{x}" for x in DIMS) + ")")
+    room = ", ".join(f"sum(own) OVER (PARTITION BY {x})/t_{x}" for x in DIMS)
+    parts.append(f"r0 AS MATERIALIZED (SELECT * EXCLUDE (room), own AS w, least({RATE}::DOUBLE, {SLACK}::DOUBLE*min(room) OVER ()) AS rate FROM (SELECT *, least({room}) AS room FROM o))")
     for i in range(SWEEPS * len(DIMS)):
         x = DIMS[i % len(DIMS)]
-        parts.append(f"r{i + 1} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN sum(w) OVER (PARTITION BY {x})>0 THEN w*t_{x}/sum(w) OVER (PARTITION BY {x}) ELSE 0 END AS w) FROM r{i})")
-    last = f"r{SWEEPS * len(DIMS)}"
-    parts.append(f"s AS (SELECT {dims}, tokens, total, round(w*total/tokens,9) AS weight FROM (SELECT *, sum(tokens) OVER () AS total FROM {last}))")
-    order = f"ORDER BY weight DESC, {dims}"
-    parts.append(f"k AS (SELECT *, ({RATE}*total-coalesce(sum(tokens) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0))/sum(tokens*weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS k FROM s)")
-    parts.append(f"p AS (SELECT {dims}, weight, round(CASE WHEN weight<=0 THEN 0 ELSE least(1, coalesce(max(CASE WHEN k*weight<=1 THEN k END) OVER (),1)*weight) END,9) AS probability FROM k)")
+        parts.append(f"r{i + 1} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN sum(w) OVER (PARTITION BY {x})>0 THEN least(own/rate, w*t_{x}/sum(w) OVER (PARTITION BY {x})) ELSE 0 END AS w) FROM r{i})")
+    parts.append(f"p AS (SELECT {dims}, round(w/own,9) AS weight, round(least(1,w/own*rate),9) AS probability FROM r{SWEEPS * len(DIMS)})")
     return "WITH " + ",\n".join(parts) + f"""
 SELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens, p.weight, p.probability, ('0x'||substr(md5(coalesce(d.doc_id::VARCHAR,'')),1,8))::BIGINT/4294967296.0 < p.probability AS selected
 FROM d JOIN p ON {' AND '.join(f'd.{x} IS NOT DISTINCT FROM p.{x}' for x in DIMS)}"""

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,21 +9,20 @@ ROWS = [(i, "word " * (1 + i % 7) + ("@" if i % 5 == 0 else ""), ["en", "fr", No
 
 
 def by_hand(cells, sweeps=mixing.SWEEPS):
-    """Raked shares of {(source, lang, topic): tokens} in plain Python."""
-    w, goal = dict(cells), []
+    """Raked shares, own shares and the rate of {(source, lang, topic): tokens} in plain Python."""
+    total, goal = sum(cells.values()), []
+    own = {k: n / total for k, n in cells.items()}
+    margin = lambda w, d: {v: sum(x for k, x in w.items() if k[d] == v) for v in {k[d] for k in w}}
     for d, power in enumerate(mixing.POWERS.values()):
-        sums = {}
-        for k, n in cells.items():
-            sums[k[d]] = sums.get(k[d], 0) + n
-        shares = {v: n**power for v, n in sums.items()}
+        shares = {v: n**power for v, n in margin(cells, d).items()}
         goal.append({v: s / sum(shares.values()) for v, s in shares.items()})
+    rate = min(mixing.RATE, mixing.SLACK * min(margin(own, d)[v] / goal[d][v] for d in range(3) for v in goal[d]))
+    w = dict(own)
     for _ in range(sweeps):
         for d in range(3):
-            sums = {}
-            for k, x in w.items():
-                sums[k[d]] = sums.get(k[d], 0) + x
-            w = {k: x * goal[d][k[d]] / sums[k[d]] for k, x in w.items()}
-    return w
+            sums = margin(w, d)
+            w = {k: min(own[k] / rate, x * goal[d][k[d]] / sums[k[d]]) for k, x in w.items()}
+    return w, own, rate, goal
 
 
 def test_raking_and_rates(spark):
@@ -31,18 +32,53 @@ def test_raking_and_rates(spark):
     for r in out:
         k = (r["source"], r["lang"], r["topic"])
         cells[k] = cells.get(k, 0) + r["n_tokens"]
-    w, total = by_hand(cells), sum(cells.values())
+    w, own, rate, _ = by_hand(cells)
     for r in out:
         k = (r["source"], r["lang"], r["topic"])
-        assert r["weight"] == pytest.approx(w[k] * total / cells[k], abs=1e-6)
-        assert 0 < r["probability"] <= 1
+        assert r["weight"] == pytest.approx(w[k] / own[k], abs=1e-6)
+        assert 0 < r["probability"] <= 1 and r["probability"] == pytest.approx(min(1, w[k] / own[k] * rate), abs=1e-6)
     expected = sum(r["n_tokens"] * r["probability"] for r in out)
-    assert expected == pytest.approx(mixing.RATE * total, rel=1e-6)
-    ratio = {round(r["probability"] / r["weight"], 6) for r in out if r["probability"] < 1}
-    assert len(ratio) == 1  # one factor for all cells that aren't taken whole
+    assert expected == pytest.approx(rate * sum(cells.values()), rel=1e-3)
     assert {r["doc_id"] for r in out if r["selected"]} == {r["doc_id"] for r in mixing.sample_documents(docs).collect()}
 
 
+def test_draws_meet_the_targets(spark):
+    rng = random.Random(3)
+    rows = [(i, "word " * rng.randint(5, 40) + rng.choice(["", "", "", "@"]), rng.choice(["en"] * 8 + ["fr", "de"]), rng.choice(["hot"] * 6 + ["a", "b", "c"])) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    flat = mixing.mix(docs)
+    cells = flat.groupBy(*mixing.DIMS).agg(F.sum("n_tokens").alias("tokens"))
+    balance = {(r["dim"], r["value"]): r for r in mixing.balance(mixing.rake(cells)).collect()}
+    drawn = flat.filter("selected").collect()
+    total = sum(r["n_tokens"] for r in drawn)
+    moved = 0
+    for (d, v), r in balance.items():
+        assert r["expected"] == pytest.approx(r["target"], abs=1e-3)
+        assert sum(x["n_tokens"] for x in drawn if x[d] == v) / total == pytest.approx(r["target"], abs=0.02)
+        moved += abs(r["own"] - r["target"]) > 0.05
+    assert moved >= 3
+
+
+def test_targets_that_cannot_be_met_are_told(spark):
+    rows = [(f"s{i}", "en" if i else "xx", "prose", 1000 if i else 10) for i in range(5)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    target = spark.createDataFrame([("s0", 0.5), *((f"s{i}", 0.125) for i in range(1, 5))], "value string, share double")
+    low = spark.createDataFrame([("xx", 0.01), ("en", 0.99)], "value string, share double")
+    got = {(r["dim"], r["value"]): (r["target"], r["expected"]) for r in mixing.balance(mixing.rake(cells, {"source": target, "lang": low})).collect()}
+    assert got["source", "s0"][0] == 0.5 and got["source", "s0"][1] < 0.45  # the two margins contradict each other
+
+
+def test_against_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+        con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+        got = mixing.op6_mix_sources(spark, sf)
+        want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({mixing.ORACLE['op6_mix_sources']})").fetchall()
+        near = lambda r: tuple(round(x, 6) if isinstance(x, float) else x for x in r)
+        assert sorted(map(near, got.collect())) == sorted(map(near, want))
+
+
 def test_given_targets(spark):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string")
     target = spark.createDataFrame([("a", 0.0), ("hot", 3.0), ("b", 1.0)], "value string, share double")
