@@ -20,7 +20,9 @@ import re
 import sys
 from array import array
 from bisect import bisect_right
+from collections.abc import Iterator
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,12 +31,18 @@ from .common import batches, blank_if_null, table
 
 #: White space of Unicode, fixed values.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
-#: Chunks kept with their ids in each Python worker; a full table is emptied, so memory is bounded.
-CACHE_CHUNKS = 200_000
+#: Chunks kept with their ids in each Python worker, and tokens of these; a full table is emptied, so memory is bounded.
+CACHE_CHUNKS, CACHE_IDS = 400_000, 8_000_000
 #: States of the byte table kept in each Python worker; it starts anew beyond them.
-TABLE_STATES = 100_000
-#: Longer chunks are encoded but not kept.
+TABLE_STATES = 120_000
+#: Longer chunks are encoded one by one and not kept.
 CACHE_CHARS = 64
+#: Words that walk the byte table together, and characters of texts that are encoded together.
+ABREAST, TOGETHER = 4096, 1 << 20
+#: Columns of the byte table grow by so many when bytes come up that it has none for.
+COLUMNS = 64
+#: Settings of a vocabulary file that this reading of it holds for.
+READ = {"normalizer": None, "ignore_merges": False, "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "fuse_unk": False}
 
 
 def byte_letters() -> dict[str, int]:
@@ -55,6 +63,7 @@ class Automaton:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self._known(spec)
         model, letters = spec["model"], byte_letters()
         spell = lambda s: bytes(letters[c] for c in s)
         self.labels: dict[int, bytes] = {i: spell(s) for s, i in model["vocab"].items()}
@@ -78,6 +87,19 @@ class Automaton:
         vocab = model["vocab"]
         self._build([(vocab[u], vocab[v], vocab[u + v]) for u, v in pairs])
 
+    @staticmethod
+    def _known(spec: dict) -> None:
+        """Raises if the file asks for anything but byte-level BPE with the usual split and added tokens that are taken as they stand."""
+        model, split = spec["model"], spec.get("pre_tokenizer") or {}
+        odd = [k for k, v in READ.items() if (spec if k == "normalizer" else model).get(k) not in (v, None, "", False)]
+        if model.get("type", "BPE") != "BPE":
+            odd.append("type")
+        if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+            odd.append("pre_tokenizer")
+        odd += [f"added token {t['content']!r}" for t in spec.get("added_tokens", []) if t.get("lstrip") or t.get("rstrip") or t.get("single_word")]
+        if odd:
+            raise ValueError(f"no reading of this vocabulary: {', '.join(odd)}")
+
     def _build(self, merges: list[tuple[int, int, int]]) -> None:
         size = max(self.labels) + 1
         self.target = array("i", [0]) * size  # the state that each label leads to
@@ -160,10 +182,20 @@ class Automaton:
         return found
 
     def _reset(self) -> None:
-        self._steps: list[dict[int, int]] = [{}]
-        self._live: list[tuple] = [(-1, (0, 0))]  # the token that ends the path, then places
-        self._last: list[int] = [-1]
+        self._live: list[tuple] = [(-1, (0, 0))]  # by state: the token that ends the path, then places
         self._number: dict[tuple, int] = {}
+        self._column = np.full(256, -1, np.int16)  # of a byte in the table; -1 if it hasn't come up
+        self._columns = 0
+        self._table = np.full((1024, COLUMNS), -1, np.int32)  # the state after one more byte; -1 if it isn't known yet
+        self._last = np.full(1024, -1, np.int32)
+
+    def _column_of(self, byte: int) -> int:
+        if self._column[byte] < 0:
+            if self._columns == self._table.shape[1]:
+                self._table = np.concatenate([self._table, np.full((len(self._table), COLUMNS), -1, np.int32)], axis=1)
+            self._column[byte] = self._columns
+            self._columns += 1
+        return int(self._column[byte])
 
     def _step(self, at: int, byte: int) -> int:
         """The state of the byte table after one more byte, worked out at its first use.
@@ -189,29 +221,30 @@ class Automaton:
         key = tuple(live)
         to = self._number.get(key)
         if to is None:
-            to = self._number[key] = len(self._steps)
-            self._steps.append({})
+            to = self._number[key] = len(self._live)
             self._live.append(key)
-            self._last.append(last)
-        self._steps[at][byte] = to
+            if to == len(self._last):
+                self._table = np.concatenate([self._table, np.full_like(self._table, -1)])
+                self._last = np.concatenate([self._last, np.full_like(self._last, -1)])
+            self._last[to] = last
+        self._table[at, self._column_of(byte)] = to
         return to
 
     def spell(self, word: bytes) -> list[int]:
-        """The ids on the accepted path that spells the word: forward through the byte table, then back by the tokens' lengths."""
-        if len(self._steps) > TABLE_STATES:
+        """The ids on the accepted path that spells a word of any length: forward through the byte table, then back by the tokens' lengths."""
+        if len(self._live) > TABLE_STATES:
             self._reset()
-        steps, last, sizes, at, ends = self._steps, self._last, self.sizes, 0, []
+        sizes, at, ends = self.sizes, 0, array("i")
         for byte in word:
-            to = steps[at].get(byte)
-            at = self._step(at, byte) if to is None else to
-            ends.append(last[at])
-            if len(steps) > 2 * TABLE_STATES:  # a very long word: start a new table from where it is
+            column = self._column[byte]
+            to = self._table[at, column] if column >= 0 else -1
+            at = int(to) if to >= 0 else self._step(at, byte)
+            ends.append(self._live[at][0])
+            if len(self._live) > 2 * TABLE_STATES:  # a very long word: start a new table from where it is
                 key = self._live[at]
                 self._reset()
-                steps, last = self._steps, self._last
-                steps.append({})
                 self._live.append(key)
-                last.append(key[0])
+                self._last[1] = key[0]
                 self._number[key] = at = 1
         out, place = [], len(word)
         while place:
@@ -221,6 +254,51 @@ class Automaton:
         out.reverse()
         return out
 
+    def spell_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after the other, and how many each has: as spell(), but the words, which are short, walk the table side by side."""
+        parts = [self._abreast(words[at : at + ABREAST]) for at in range(0, len(words), ABREAST)]
+        return (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in enumerate((np.uint32, np.int64)))
+
+    def _abreast(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self._live) > TABLE_STATES:
+            self._reset()
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-lengths, kind="stable")
+        lengths = lengths[order]
+        width = int(lengths.max(initial=0))
+        letters = np.zeros((len(words), width), np.uint8)
+        letters[np.arange(width)[None, :] < lengths[:, None]] = np.frombuffer(b"".join([words[i] for i in order]), np.uint8)
+        for byte in np.unique(letters):
+            self._column_of(int(byte))
+        state, ends = np.zeros(len(words), np.int64), np.zeros((len(words), width), np.int32)
+        for i in range(width):
+            n = int(np.searchsorted(-lengths, -i))  # words that are longer than i
+            at, byte = state[:n], letters[:n, i]
+            to = self._table[at, self._column[byte]]
+            if (unknown := np.nonzero(to < 0)[0]).size:
+                pairs, back = np.unique(at[unknown] << 8 | byte[unknown], return_inverse=True)
+                found = [self._step(int(p) >> 8, int(p) & 255) for p in pairs]
+                to[unknown] = np.array(found, np.int32)[back]
+            state[:n] = to
+            ends[:n, i] = self._last[to]
+        sizes, place, turns = np.frombuffer(self.sizes, np.int32), lengths.copy(), []
+        rows = np.arange(len(words))
+        while rows.size:
+            tokens = ends[rows, place[rows] - 1]
+            turns.append((rows, tokens))
+            place[rows] -= sizes[tokens]
+            rows = rows[place[rows] > 0]
+        counts = np.zeros(len(words), np.int64)
+        for rows, _ in turns:
+            counts[rows] += 1
+        own = np.empty(len(words), np.int64)
+        own[order] = counts
+        starts = (np.cumsum(own) - own)[order]
+        out = np.empty(int(own.sum()), np.uint32)
+        for k, (rows, tokens) in enumerate(turns):  # from the last token of each word to its first
+            out[starts[rows] + counts[rows] - 1 - k] = tokens
+        return out, own
+
 
 class Splitter:
     """Pre-tokenization: contractions, runs of letters, of numerals and of other marks, each with one blank before it, and runs of white space."""
@@ -236,45 +314,100 @@ class Splitter:
         return parts[:1] * bool(parts[0]) + [" " + p for p in parts[1:]]
 
 
+class _Rows(dict):
+    """Row numbers of chunks; a new chunk gets the next one."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = row = len(self)
+        self.new.append(chunk)
+        return row
+
+
 class Codec:
     """Encoder and decoder over one automaton, with a bounded table of chunks that it has seen."""
 
     def __init__(self, automaton: Automaton):
         self.automaton, self.splitter = automaton, Splitter()
-        self.seen: dict[str, bytes] = {}
+        self._clear()
         self.stops = re.compile("(" + "|".join(map(re.escape, sorted(automaton.added, key=len, reverse=True))) + ")") if automaton.added else None
         size = max(automaton.labels) + 1
         self.arc_labels = [automaton.labels.get(i, b"") for i in range(size)]
 
-    def _chunk(self, chunk: str) -> bytes:
-        ids = array("I")
-        bare = chunk[1:] if chunk[:1] == " " else chunk
-        for word in [chunk] if bare.isalpha() else self.splitter.whole.findall(chunk):
-            ids.extend(self.automaton.spell(word.encode()))
-        if sys.byteorder == "big":
-            ids.byteswap()
-        out = ids.tobytes()
-        if len(chunk) <= CACHE_CHARS:
-            if len(self.seen) >= CACHE_CHUNKS:
-                self.seen.clear()
-            self.seen[chunk] = out
-        return out
+    def _clear(self) -> None:
+        self.rows = _Rows()
+        self.starts, self.counts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _plain(self, text: str) -> bytes:
-        get, make = self.seen.get, self._chunk
-        return b"".join([get(c) or make(c) for c in self.splitter.chunks(text)])
+    def _words(self, chunk: str) -> list[bytes]:
+        bare = chunk[1:] if chunk[:1] == " " else chunk
+        return [chunk.encode()] if bare.isalpha() else [w.encode() for w in self.splitter.whole.findall(chunk)]
+
+    def _add(self) -> None:
+        """Ids of the new chunks, in a table where each chunk has a start and a count."""
+        words = [self._words(c) for c in self.rows.new]
+        self.rows.new = []
+        ids, each = self.automaton.spell_all([w for own in words for w in own])
+        upto = np.concatenate([[0], np.cumsum(each)])
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        ends = upto[ends]
+        counts = np.diff(ends, prepend=0)
+        self.starts = np.concatenate([self.starts, len(self.ids) + ends - counts])
+        self.counts = np.concatenate([self.counts, counts])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _plain(self, pieces: list[str]) -> list[np.ndarray]:
+        """The ids of each piece of text."""
+        if len(self.rows) >= CACHE_CHUNKS or len(self.ids) >= CACHE_IDS:
+            self._clear()
+        split = [self.splitter.chunks(p) for p in pieces]
+        long = {c for own in split for c in own if len(c) > CACHE_CHARS}
+        if long:
+            return [self._mixed(own, long) for own in split]
+        return self._gathered(split)
+
+    def _gathered(self, split: list[list[str]]) -> list[np.ndarray]:
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        rows = np.fromiter(map(self.rows.__getitem__, (c for own in split for c in own)), np.int64, int(sizes.sum()))
+        if self.rows.new:
+            self._add()
+        counts = self.counts[rows]
+        before = np.concatenate([[0], np.cumsum(counts)])
+        all_ids = self.ids[np.repeat(self.starts[rows] - before[:-1], counts) + np.arange(before[-1])]
+        ends = before[np.cumsum(sizes)]
+        return np.split(all_ids, ends[:-1])
+
+    def _mixed(self, chunks: list[str], long: set[str]) -> np.ndarray:
+        """Ids of a text with chunks that are too long to keep, between runs of others."""
+        out, run = [], []
+        for c in chunks:
+            if c in long:
+                out += self._gathered([run]) + [np.array(self.automaton.spell(w), np.uint32) for w in self._words(c)]
+                run = []
+            else:
+                run.append(c)
+        return np.concatenate(out + self._gathered([run]))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers. Strings of added tokens become their ids."""
+        pieces, marks = [], []  # all pieces between added tokens; for each text (numbers of its pieces, or ids of added tokens as bytes)
+        for text in texts:
+            parts = [text] if self.stops is None or not any(s in text for s in self.automaton.added) else self.stops.split(text)
+            own = []
+            for part in parts:
+                if len(parts) > 1 and part in self.automaton.added:
+                    own.append(self.automaton.added[part].to_bytes(4, "little"))
+                else:
+                    own.append(len(pieces))
+                    pieces.append(part)
+            marks.append(own)
+        found = [x.astype("<u4", copy=False).tobytes() for x in self._plain(pieces)]
+        return [b"".join([x if isinstance(x, bytes) else found[x] for x in own]) for own in marks]
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers. Strings of added tokens become their ids."""
-        if self.stops is None or not any(s in text for s in self.automaton.added):
-            return self._plain(text)
-        out = []
-        for part in self.stops.split(text):
-            if part in self.automaton.added:
-                out.append(self.automaton.added[part].to_bytes(4, "little"))
-            elif part:
-                out.append(self._plain(part))
-        return b"".join(out)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
         """The labels along the ids' arcs, as text."""
@@ -284,6 +417,19 @@ class Codec:
         return b"".join(map(self.arc_labels.__getitem__, numbers)).decode("utf-8", "replace")
 
 
+def together(column) -> Iterator[list[str]]:
+    """The texts of a column in lists of about TOGETHER characters."""
+    held, size = [], 0
+    for x in column:
+        held.append(x.as_py())
+        size += len(held[-1])
+        if size >= TOGETHER:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 _codecs: dict[str, Codec] = {}
 
 
@@ -316,11 +462,11 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", keep: list[
     def step(cols: dict, rows: int) -> dict:
         tool = codec(shared.value, vocabulary)
         out: dict[str, list] = {c: [] for c in wanted}
-        for x in cols["__text"]:
-            ids = tool.encode(x.as_py())
-            text = tool.decode(ids) if "decoded" in out or "decoded_sha256" in out else ""
-            for c in out:
-                out[c].append(len(ids) // 4 if c == "n_tokens" else ids if c == "token_ids" else text if c == "decoded" else hashlib.sha256(ids if c == "ids_sha256" else text.encode()).hexdigest())
+        for texts in together(cols["__text"]):
+            for ids in tool.encode_all(texts):
+                text = tool.decode(ids) if "decoded" in out or "decoded_sha256" in out else ""
+                for c in out:
+                    out[c].append(len(ids) // 4 if c == "n_tokens" else ids if c == "token_ids" else text if c == "decoded" else hashlib.sha256(ids if c == "ids_sha256" else text.encode()).hexdigest())
         return {c: cols[c] for c in kept} | out
 
     return source.mapInArrow(batches(step, schema), schema)
