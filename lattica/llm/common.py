@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lattica.sources.storage import full_address, new_path, open_store, written
+
+__all__ = ["BLANKS", "WORD", "batches", "blank_if_null", "full_address", "grouped", "new_path", "open_store", "table", "words_of", "written"]
+
 #: A word is a run of anything but blank, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -30,55 +31,6 @@ def words_of(text: str) -> list[str]:
     return [w for w in words if w] if "" in words else words
 
 
-_fallback: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (local runs) a temporary one."""
-    global _fallback
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if _fallback is None:
-        _fallback = tempfile.mkdtemp(prefix="lattica-")
-    return f"file://{_fallback}"
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder in any store that the session reaches."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            remove(spark, path)
-        except Exception:  # noqa: BLE001  the session may have ended already
-            return
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written to the shared folder and read again: lineage ends there, and their size is known from then on."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def batches(fn, schema: str | T.StructType):
     """fn(dict of column lists, rows) -> dict of column lists, as a function for mapInArrow."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -16,13 +16,12 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import unquote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank_if_null, new_path, table, written
+from .common import blank_if_null, full_address, new_path, open_store, table, written
 
 #: Payloads of fewer bytes are never revisits.
 REVISIT_BYTES = 1000
@@ -38,19 +37,6 @@ INDEX = "path string, offset long, length long, url string, payload_digest strin
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def _store(path: str):
-    """The file system of an address and the name of the file there."""
-    from pyarrow import fs
-
-    return (fs.LocalFileSystem(), unquote("/" + path[5:].lstrip("/"))) if path.startswith("file:") else fs.FileSystem.from_uri(path)
-
-
-def _full_address(spark: SparkSession, path: str) -> str:
-    """A path with its scheme, as the session's default store gives it."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
-
-
 def record(name: str, page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """A whole record: a response with its payload, or without it a revisit of another page's response."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d" % len(payload) + END
@@ -96,10 +82,10 @@ def write_archives(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) ->
         repeats = F.broadcast(repeats)
     typed = full.join(repeats, ["payload_digest", "payload_bytes"], "left")
     refers_to = F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper"))
-    root = _full_address(pages.sparkSession, path)
+    root = full_address(pages.sparkSession, path)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = _store(root)
+        store, folder = open_store(root)
         out, name, at = None, "", 0
         for b in it:
             rows: list[list] = [[] for _ in range(6)]
@@ -151,7 +137,7 @@ def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
             if path != opened:
                 if source is not None:
                     source.close()
-                store, name = _store(path)
+                store, name = open_store(path)
                 opened, source = path, store.open_input_file(name)
             lo = held[0][0]
             data = source.read_at(max(o + n for o, n in held) - lo, lo)
