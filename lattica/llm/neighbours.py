@@ -177,7 +177,8 @@ def search(vectors: DataFrame, is_query, top: int = TOP, id_col: str = "vec_id",
 
     Scores are exact. Ties go to the smaller id; rows that repeat an id are all queries and candidates, but for a query
     those of its own id. Vectors that are null, zero or not finite take no part, nor do null ids. An empty table gives an
-    empty one; extra columns, whatever their names, play no part. Vectors of other dimensions are never near.
+    empty one; extra columns, whatever their names, play no part. Vectors of other dimensions are never near. Ids are integers,
+    or texts of integers; others fail under ANSI mode.
     """
     import pyarrow.compute  # noqa: F401
 

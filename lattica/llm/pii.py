@@ -6,7 +6,9 @@ them holding term t, n(e) entity e and n(t, e) both, wherever they stand in the
     PMI(t, e) = log(N n(t, e) / (n(t) n(e)))   and   IC(e) = log(N / n(e)).
 
 A term discloses an entity if PMI reaches ALPHA times IC (Sanchez and Batet, 2016, "C-sanitized"); every occurrence of it
-in any document is then generalised, and removed if PMI reaches IC itself, that is, if it never occurs without the entity.
+in any document is then generalised. The hierarchy is the corpus's own: a prefix stands for all terms that begin with it,
+whose counts add up, and a term becomes the longest of its prefixes that discloses none of the entities, the empty one if
+need be. It is removed if PMI reaches IC itself, that is, if it never occurs without the entity.
 Terms are whole runs of letters of any length outside the entities. Pairs count from SUPPORT different texts on, so that
 copies of one text prove nothing; entities in fewer different texts are too rare for estimates of their own, so those of a
 kind count as one entity. Only built-in functions are used. One pass over the texts finds entities, and the terms of texts
@@ -118,7 +120,7 @@ def entities(docs: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFrame
 
 
 def disclosing(docs: DataFrame, texts: DataFrame, text_col: str, alpha: float = ALPHA) -> DataFrame:
-    """(term, removed) for terms whose PMI with an entity reaches alpha times the entity's information content.
+    """(term, removed, general) for terms whose PMI with an entity reaches alpha times the entity's information content; general is the prefix that may stand for it.
 
     texts: __hash, copies, entities (structs of kind, entity) and terms of each different text that has entities.
     """
@@ -132,20 +134,49 @@ def disclosing(docs: DataFrame, texts: DataFrame, text_col: str, alpha: float =
     pairs = pairs.groupBy("key", "term").agg(F.sum("copies").alias("n_te"), F.count("*").alias("texts")).filter(F.col("texts") >= SUPPORT)
     pairs = written(pairs.join(of_key, "key").drop("texts"), "pii-pairs")
     counts = docs.select(F.explode(terms_of(blank_if_null(F.col(f"`{text_col}`")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    counts = written(counts, "pii-counts")
+    scored = _scored(pairs.join(counts, "term"), total)
+    told = written(scored.filter((F.col("ic") > 0) & (F.col("pmi") >= alpha * F.col("ic"))), "pii-told")
+    removed = told.groupBy("term").agg(F.max(F.col("pmi") >= F.col("ic") - 1e-9).alias("removed"))
+    general = generalised(told.join(removed.filter("not removed"), "term", "left_semi"), pairs, counts, total, alpha)
+    return removed.join(general, "term", "left").select("term", "removed", F.coalesce("general", F.lit("")).alias("general"))
+
+
+def _scored(counted: DataFrame, total: float) -> DataFrame:
+    """Adds pmi and ic to rows of n_te, n_t and n_e."""
     pmi, ic = F.log(F.lit(total) * F.col("n_te") / (F.col("n_t").cast("double") * F.col("n_e"))), F.log(F.lit(total) / F.col("n_e"))
-    scored = pairs.join(counts, "term").withColumn("pmi", pmi).withColumn("ic", ic)
-    told = scored.filter((F.col("ic") > 0) & (F.col("pmi") >= alpha * F.col("ic")))
-    return told.groupBy("term").agg(F.max(F.col("pmi") >= F.col("ic") - 1e-9).alias("removed"))
+    return counted.withColumn("pmi", pmi).withColumn("ic", ic)
+
+
+def _prefixes(term: str = "term") -> Column:
+    """The proper prefixes of a term, a row each."""
+    return F.explode(F.transform(F.sequence(F.lit(1), F.char_length(term) - 1), lambda n: F.substr(F.col(term), F.lit(1), n)))
+
+
+def generalised(told: DataFrame, pairs: DataFrame, counts: DataFrame, total: float, alpha: float = ALPHA) -> DataFrame:
+    """(term, general): the longest proper prefix of each told term that reaches alpha times the information content of none of the term's entities. told: key, term, n_e; pairs: key, term, n_te; counts: term, n_t."""
+    wanted = written(told.filter(F.char_length("term") > 1).select("term", "key", "n_e", _prefixes().alias("prefix")), "pii-prefixes")
+    long = lambda d: d.filter(F.char_length("term") > 1)
+    own = wanted.select("prefix").distinct()
+    n_t = counts.withColumn("prefix", F.col("term")).join(own, "prefix").select("prefix", "n_t").unionByName(long(counts).select(_prefixes().alias("prefix"), "n_t").join(own, "prefix"))
+    n_t = n_t.groupBy("prefix").agg(F.sum("n_t").alias("n_t"))
+    of = wanted.select("key", "prefix").distinct()
+    n_te = pairs.withColumn("prefix", F.col("term")).join(of, ["key", "prefix"]).select("key", "prefix", "n_te").unionByName(long(pairs).select("key", _prefixes().alias("prefix"), "n_te").join(of, ["key", "prefix"]))
+    n_te = n_te.groupBy("key", "prefix").agg(F.sum("n_te").alias("n_te"))
+    scored = _scored(wanted.join(n_t, "prefix").join(n_te, ["key", "prefix"]), total)
+    fine = scored.groupBy("term", "prefix").agg(F.bool_and(F.col("pmi") < alpha * F.col("ic")).alias("fine")).filter("fine")
+    return fine.groupBy("term").agg(F.max_by("prefix", F.char_length("prefix")).alias("general"))
 
 
 def places(docs: DataFrame, telling: DataFrame, text_col: str, row: Column) -> DataFrame:
-    """__row and terms (structs s, e, removed) of every row that holds a telling term, one for rows with the same __row."""
+    """__row and terms (structs s, e, removed, general) of every row that holds a telling term, one for rows with the same __row."""
     text = blank_if_null(F.col(f"`{text_col}`"))
     held = docs.select(row.alias("__row"), F.explode(terms_of(text)).alias("term")).join(telling, "term")
-    held = written(held.groupBy("__row").agg(F.map_from_entries(F.collect_set(F.struct("term", "removed"))).alias("__telling")), "pii-held")
+    held = written(held.groupBy("__row").agg(F.map_from_entries(F.collect_set(F.struct("term", F.struct("removed", "general").alias("how")))).alias("__telling")), "pii-held")
     hits = docs.select(row.alias("__row"), text.alias("__text")).join(held, "__row")
-    looked = F.transform(located(masked(F.col("__text")), TERM), lambda y: F.struct(y["s"].alias("s"), y["e"].alias("e"), F.try_element_at("__telling", F.lower(y["v"])).alias("removed")))
-    return hits.select("__row", F.filter(looked, lambda y: y["removed"].isNotNull()).alias("terms")).dropDuplicates(["__row"])
+    looked = F.transform(located(masked(F.col("__text")), TERM), lambda y: F.struct(y["s"].alias("s"), y["e"].alias("e"), F.try_element_at("__telling", F.lower(y["v"])).alias("how")))
+    terms = F.transform(F.filter(looked, lambda y: y["how"].isNotNull()), lambda y: F.struct(y["s"].alias("s"), y["e"].alias("e"), y["how"]["removed"].alias("removed"), y["how"]["general"].alias("general")))
+    return hits.select("__row", terms.alias("terms")).dropDuplicates(["__row"])
 
 
 def _entity(kind: Column, value: Column) -> Column:
@@ -153,7 +184,7 @@ def _entity(kind: Column, value: Column) -> Column:
 
 
 def scan(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), alpha: float = ALPHA) -> DataFrame:
-    """Per row keep, __hash (of its text), base (structs kind, s, e) and terms (structs s, e, removed), in code points.
+    """Per row keep, __hash (of its text), base (structs kind, s, e) and terms (structs s, e, removed, general), in code points.
 
     A null text counts as empty and has no spans. Rows with equal keep columns and texts get the same spans; an empty
     table gives an empty one; columns outside keep, whatever their names, play no part.
@@ -169,14 +200,14 @@ def scan(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_
     base = F.transform("__x.spans", lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
     slim = rows.select(*keys, "__hash", F.xxhash64(*keys, "__hash").alias("__row"), base.alias("base"))
     out = slim.join(added, "__row", "left")
-    none = F.expr("cast(array() as array<struct<s: int, e: int, removed: boolean>>)")
+    none = F.expr("cast(array() as array<struct<s: int, e: int, removed: boolean, general: string>>)")
     return out.select(*(F.col(k).alias(c) for k, c in zip(keys, keep, strict=True)), "__hash", "base", F.coalesce("terms", none).alias("terms"))
 
 
 def sanitised(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", alpha: float = ALPHA) -> DataFrame:
-    """All rows of docs with entities replaced by their kind, and disclosing terms by [TERM] or nothing."""
+    """All rows of docs with entities replaced by their kind, and disclosing terms by a prefix that stands for many, as "abc*", or by nothing."""
     spans = scan(docs, text_col, (id_col,), alpha).dropDuplicates([id_col, "__hash"])
-    cut = F.concat(F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("to"))), F.transform("terms", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(x["removed"], "").otherwise("[TERM]").alias("to"))))
+    cut = F.concat(F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("to"))), F.transform("terms", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(x["removed"], "").otherwise(F.concat(x["general"], F.lit("*"))).alias("to"))))
     cuts = spans.select(F.col(id_col).alias("__id"), F.col("__hash").alias("__h"), F.array_sort(cut).alias("__cuts")).filter(F.size("__cuts") > 0)
     columns = docs.columns
     text = blank_if_null(F.col(f"`{text_col}`"))

@@ -1,6 +1,10 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
+
+import regex
 
 from lattica.llm import pii
 
@@ -77,3 +81,64 @@ def test_query(spark):
         base = brute(docs[r["doc_id"]])
         assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in base).encode()).hexdigest()
         assert [r[f"n_{k}"] for k in PATTERNS] == [sum(b[0] == k for b in base) for k in PATTERNS]
+
+
+def brute_terms(rows, alpha=pii.ALPHA):
+    """Telling terms with how each is treated, counted in plain Python; rows: (id, text)."""
+    texts = [t or "" for _, t in rows]
+    mail = re.compile(PATTERNS["email"])
+    terms = lambda t: {x.lower() for x in regex.findall(r"\p{L}+", mail.sub(lambda m: "0" * len(m[0]), t))}
+    total, n_t = len(texts), Counter(x for t in texts for x in terms(t))
+    named = {t: {f"{k}:{t[s:e].lower()}" for k, s, e in brute(t)} for t in set(texts)}
+    seen = Counter(e for es in named.values() for e in es)
+    keys = {t: {e if seen[e] >= pii.SUPPORT else e.split(":")[0] for e in es} for t, es in named.items()}
+    n_e = Counter(k for t in texts for k in keys[t])
+    support, n_te = Counter((k, x) for t in named for k in keys[t] for x in terms(t)), Counter((k, x) for t in texts for k in keys[t] for x in terms(t))
+    n_te = {p: n for p, n in n_te.items() if support[p] >= pii.SUPPORT}
+    pmi = lambda both, of, k: math.log(total * both / (of * n_e[k]))
+    ic = lambda k: math.log(total / n_e[k])
+    told = {}
+    for (k, x), n in n_te.items():
+        if ic(k) > 0 and pmi(n, n_t[x], k) >= alpha * ic(k):
+            told.setdefault(x, []).append(k)
+    out = {}
+    for x, ks in told.items():
+        fine = [x[:i] for i in range(1, len(x)) if all(pmi(sum(n for (k2, y), n in n_te.items() if k2 == k and y.startswith(x[:i])), sum(n for y, n in n_t.items() if y.startswith(x[:i])), k) < alpha * ic(k) for k in ks)]
+        removed = any(pmi(n_te[k, x], n_t[x], k) >= ic(k) - 1e-9 for k in ks)
+        out[x] = (removed, None if removed else max(fine, key=len, default=""))
+    return out
+
+
+def test_terms_by_brute_force(spark):
+    kinds = set()
+    for seed in (21, 22):
+        rng = random.Random(seed)
+        words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(2, 6))) for _ in range(90)})
+        rng.shuffle(words)
+        common, rare = words[:50], words[50:]
+        people = [(f"p{i}@x.example", rng.sample(rare, 3)) for i in range(5)] + [(f"+1 555 000 000{i}", rng.sample(rare, 2)) for i in range(3)]
+        rows = []
+        for i in range(160):
+            text = rng.sample(common, 6) + [w for w in rare if rng.random() < 0.003]
+            for name, own in people:
+                if rng.random() < 0.06:
+                    text += [name, *[w for w in own if rng.random() < 0.97]]
+            rows.append((i, " , ".join(text)))
+        rows += [rows[5], (900, None), (901, "")]
+        docs, want = spark.createDataFrame(rows, "doc_id long, text string"), brute_terms(rows)
+        for r in pii.scan(docs).collect():
+            text = dict(rows)[r["doc_id"]] or ""
+            got = [(x["s"], x["e"], x["removed"], None if x["removed"] else x["general"]) for x in r["terms"]]
+            hidden = re.sub(PATTERNS["email"], lambda m: "0" * len(m[0]), text)
+            assert got == [(m.start(), m.end(), *want[m[0].lower()]) for m in regex.finditer(r"\p{L}+", hidden) if m[0].lower() in want]
+        kinds |= {(removed, general is not None and len(general) > 0) for removed, general in want.values()}
+    assert kinds >= {(True, False), (False, True)}
+
+
+def test_general_terms_stand_for_many(spark):
+    far = "some words that go on and on"
+    rows = [(i, f"a{i}@corp.example of smithson {far} {i}") for i in range(5)] + [(9, f"smithson again {far}")]
+    rows += [(20 + i, f"{far} of {['smithers', 'smithy', 'smithfield'][i % 3]} {i}") for i in range(60)]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert clean[0] == f"[EMAIL] of smith* {far} 0"
+    assert clean[9].startswith("smith") and "smithson" not in clean[9] and clean[20] == dict(rows)[20]
