@@ -27,7 +27,7 @@ TABLES = {
     "postings": ("term string, note_id string, title long, tags long, body long, length long, updated timestamp", "note_id", ["term", "note_id"]),
     "links": ("src string, dst string, link_type string, provenance string, original string, position int, owner string", "owner", ["src", "dst"]),
 }
-NEW, CHANGED = "_new", "_changed"
+NEW, CHANGED, WHOLE = "_new", "_changed", "_whole"
 
 
 def counted(notes: DataFrame) -> DataFrame:
@@ -49,17 +49,19 @@ class Index:
     # Segments
 
     def segments(self) -> list[tuple[int, str]]:
-        """(number, mark) of the segments that are whole."""
+        """(number, mark) of the segments that are written to the end and count: the last merged one and those after it."""
         where, store = _store(self.spark, self.root)
         if not store.exists(where):
             return []
         found = []
         for d in store.listStatus(where):
-            for mark in (NEW, CHANGED):
+            for mark in (NEW, CHANGED, WHOLE):
                 name = d.getPath().getName()
                 if name.isdigit() and store.exists(_store(self.spark, f"{self.root}/{name}/{mark}")[0]):
                     found.append((int(name), mark))
-        return sorted(found)
+        found.sort()
+        start = max((i for i, (_, mark) in enumerate(found) if mark == WHOLE), default=0)
+        return found[start:]
 
     def _write(self, number: int, rows: dict[str, DataFrame], mark: str) -> None:
         """All tables of a segment, and then the mark that makes them count."""
@@ -120,18 +122,11 @@ class Index:
         return counts
 
     def merge(self) -> None:
-        """One segment in place of all; those before are removed when it is whole."""
+        """One segment in place of all. Once its mark stands those before count no longer, and they are removed."""
         old = [k for k, _ in self.segments()]
-        tables = {name: self.table(name) for name in TABLES}
-        aside = Index(self.spark, f"{self.root}/merged")
-        aside._write(0, tables, NEW)
-        where, store = _store(self.spark, f"{self.root}/merged/000000")
-        number = max(old, default=-1) + 1
-        store.rename(where, _store(self.spark, f"{self.root}/{number:06d}")[0])
+        self._write(max(old, default=-1) + 1, {name: self.table(name) for name in TABLES}, WHOLE)
         for k in old:
             remove(self.spark, f"{self.root}/{k:06d}")
-        remove(self.spark, f"{self.root}/merged")
-        self._statistics = None
 
     # Reading
 
