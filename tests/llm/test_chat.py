@@ -74,3 +74,13 @@ def test_query(spark):
         turns.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
     turns[-1] = [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")]
     assert got == {k: by_hand(v) for k, v in turns.items()}
+
+
+def test_long_conversations_and_empty_tables(spark, tmp_path):
+    rows = [(7, i, ["user", "assistant"][i % 2], f"turn {i} <|end|>") for i in range(3000)] + [(8, 0, "assistant", "é<|" * 100_000)]
+    schema = "conv_id long, turn long, role string, text string"
+    spark.createDataFrame(rows, schema).repartition(5).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: tuple(r)[1:5] for r in chat.op1_chat_format(spark, str(tmp_path)).collect()}
+    assert got[7] == by_hand([(r, t) for c, _, r, t in rows if c == 7]) and got[8] == by_hand([("assistant", rows[-1][3])]) and set(got) == {-1, 7, 8}
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/conversations.parquet")
+    assert [r["conv_id"] for r in chat.op1_chat_format(spark, f"{tmp_path}/none").collect()] == [-1]

@@ -72,3 +72,27 @@ def test_empty(spark):
 
 def test_pruning_bound():
     assert jaccard.least_equal(16) < 0.8 * 16 and jaccard.least_equal(64) > 20
+
+
+def test_the_query_on_whole_tables(spark, tmp_path):
+    rows = corpus(11) + [(900 + i, "one text that a third of all rows have, word by word") for i in range(60)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(*r, "en", "s", 0) for r in rows], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, jaccard.op5_jaccard_join(spark, str(tmp_path)).collect()), key=repr) == brute(rows)
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert jaccard.op5_jaccard_join(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(12)
+    long = [f"w{rng.randrange(3000)}" for _ in range(20_000)]
+    other = list(long)
+    for _ in range(300):
+        other[rng.randrange(len(other))] = "odd"
+    far = list(long)
+    for _ in range(900):
+        far[rng.randrange(len(far))] = "far"
+    rows = [(1, " ".join(long)), (2, " ".join(other)), (3, " ".join(far)), (4, " ".join(long[:2000]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.join(docs).collect()), key=repr) == brute(rows)
+    assert [r["doc_id"] for r in jaccard.one_of_each(docs).orderBy("doc_id").collect()] == [1, *([3] if len(brute(rows)) and brute(rows)[2][2] == 3 else []), 4]

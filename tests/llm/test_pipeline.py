@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -46,3 +47,26 @@ def test_stages(spark, tmp_path):
         ids = library.encode(text[r["doc_id"]], add_special_tokens=False).ids
         assert r["n_tokens"] == len(ids) and r["token_ids"] == b"".join(i.to_bytes(4, "little") for i in ids)
     assert corpus_pipeline.run(spark, SF).count() == len(tokens)
+
+
+def test_odd_tables(spark, tmp_path):
+    """Nulls, empty and very long texts, ties, repeated rows and columns with the names that the stages use."""
+    words, rng = [f"word{i}" for i in range(900)], random.Random(4)
+    text = lambda k: " ".join(words[(k * 7 + i * i) % 900] for i in range(60))
+    rows = [(i, text(i), "en", "s", 5, 0.5, "x") for i in range(40)] + [(41, None, None, None, None, None, None), (42, "", "en", "s", 0, 0.5, "x"), (None, text(50), None, "s", 1, 0.5, "x"), (3, text(3), "en", "s", 5, 0.5, "x"), (43, text(3), "en", "s", 5, 0.5, "x"), (44, " ".join(rng.choice(words) for _ in range(60_000)), "en", "s", 9, 0.5, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, weight double, key string")
+    steps = [docs]
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, steps[-1], SF).write.parquet(str(tmp_path / str(i)))
+        steps.append(spark.read.parquet(str(tmp_path / str(i))))
+    assert all(s.columns == docs.columns for s in steps[:-1])
+    good, single, clean, drawn, tokens = ([r["doc_id"] for r in s.collect()] for s in steps[1:])
+    assert {41, 42}.isdisjoint(good) and good.count(3) == 2 and {None, 44} <= set(good)
+    assert single.count(3) == 1 and 43 not in single and sorted(single, key=repr) == sorted(clean, key=repr)
+    assert set(tokens) == set(drawn) <= set(clean)
+
+
+def test_an_empty_table(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
