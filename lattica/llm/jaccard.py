@@ -273,7 +273,8 @@ def _joined(docs: DataFrame, text_col: str, id_col: str) -> tuple[DataFrame, Dat
     heads = classes.groupBy("class").agg(F.min("rep_id").alias("class_id"), F.min_by("rep", order).alias("head"))
     of_class = classes.join(heads, "class").select("rep", "class_id", "head")
     by_text = texts.withColumnRenamed("key", "rep").drop("sig").join(links, "rep", "left").join(of_class, "rep", "left")
-    return sigs.select("id", "key"), by_text.select(F.col("rep").alias("key"), "rep_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("head").isNull(), F.col("rep_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce(F.col("head") == F.col("rep"), F.lit(True)).alias("stands"))
+    # written, so that a join of the rows with it, where one text may have a third of them, is one that Spark can split
+    return sigs.select("id", "key"), written(by_text.select(F.col("rep").alias("key"), "rep_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("head").isNull(), F.col("rep_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce(F.col("head") == F.col("rep"), F.lit(True)).alias("stands")), "by-text")
 
 
 def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -281,7 +282,8 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
 
     A null text counts as empty; texts without words are linked to nothing but equal texts. A null id gives way to any
     other; texts and classes that have no other have null ids. Repeated rows are copies; one id may stand for several
-    texts. An empty table gives an empty one. Extra columns, whatever their names, play no part.
+    texts. An empty table gives an empty one. Extra columns, whatever their names, play no part. Ids are integers, or texts of
+    integers; others fail under ANSI mode.
     """
     rows, by_text = _joined(docs, text_col, id_col)
     return rows.join(by_text, "key").select(F.col("id").alias(id_col), "rep_id", "class_id", "n_links", "n_copies")
@@ -290,7 +292,8 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
 def one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One document of each class, with its columns: that with the least id; of repeated rows of it one."""
     rows, by_text = _joined(docs, text_col, id_col)
-    decided = written(rows.join(by_text, "key").groupBy("key", "id").agg(F.count("*").alias("n"), F.first(F.col("stands") & F.col("id").eqNullSafe(F.col("rep_id"))).alias("stays")), "decided")
+    counted = rows.groupBy("key", "id").agg(F.count("*").alias("n"))
+    decided = written(counted.join(by_text, "key").select("key", "id", "n", (F.col("stands") & F.col("id").eqNullSafe(F.col("rep_id"))).alias("stays")), "decided")
     out = decided.filter("not stays").select(F.col("key").alias("__key"), F.col("id").alias("__id"))
     again = decided.filter("stays and n > 1").select(F.col("key").alias("__key"), F.col("id").alias("__id"))
     columns = docs.columns
