@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, jaccard, langid, mixing, neighbours, pii, quality, secrets, warc
+from . import audit, bpe, chat, jaccard, langid, mixing, neighbours, pii, quality, secrets, warc
 
-OPERATORS = [chat.op1_chat_format, secrets.op2_secret_scan, pii.op3_pii, warc.op4_warc, jaccard.op5_jaccard_join, mixing.op6_mix_sources, bpe.op7_bpe_codec, quality.op8_quality_rules, langid.op9_language_id, neighbours.op10_nearest]
-ORACLES: dict[str, str] = {**mixing.ORACLE, **quality.ORACLE}
+OPERATORS = [chat.op1_chat_format, secrets.op2_secret_scan, pii.op3_pii, warc.op4_warc, jaccard.op5_jaccard_join, mixing.op6_mix_sources, bpe.op7_bpe_codec, quality.op8_quality_rules, langid.op9_language_id, neighbours.op10_nearest, audit.op11_filter_audit]
+ORACLES: dict[str, str] = {**mixing.ORACLE, **quality.ORACLE, **audit.ORACLE}
 
 
 def queries() -> dict:
