@@ -1,11 +1,13 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Token counts by cell (source, language, topic) are raked to the target shares of all three margins in turn; SWEEPS rounds
-are made, always as many. No document can be drawn more than once, so a cell's raked share is bounded by its own share over
-the rate, the part of all tokens that is to be drawn, after every step. A margin can be met at all only if the rate is at
-most the own share over the target of each of its values; the rate is RATE or, where that is less, SLACK of the least of
-these. The probability of a document is its cell's raked share times the rate over the cell's own share, at most 1, and its
-draw is a hash of its id, so a run repeats and needs no state. balance() says how near the margins come to their targets.
+are made, always as many. RATE is the part of all tokens that is to be drawn. No document can be drawn more than once, so a
+cell's raked share is bounded by its own share over the rate, after every step, and so is the share of a margin's value: a
+target beyond that bound is out of reach and is lowered to it, and what it leaves goes to the other values in proportion. So
+a rare value is drawn whole and falls short by what it lacks, and the others and the rate don't depend on it. The
+probability of a document is its cell's raked share times the rate over the cell's own share, at most 1, and its draw is a
+hash of its id, so a run repeats and needs no state. balance() gives each value's own share, its target, what is in reach
+and what the draws will give.
 
 Only built-in functions are used. The cells are a small table beside the documents: it is written between rounds and,
 up to CELLS_A_TASK rows, held in one partition, where its windows need no shuffle; beyond, Spark deals it out.
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import WORD, blank_if_null, table, written
 
 SWEEPS, SWEEPS_A_JOB = 20, 5
-RATE, SLACK = 0.8, 0.95
+RATE = 0.8
 CELLS_A_TASK = 200_000
 DIMS = ("source", "lang", "topic")
 #: Default targets are the observed shares to these powers: below 1, small ones gain.
@@ -67,19 +69,35 @@ def targets(cells: DataFrame, given: dict[str, DataFrame] | None = None) -> Data
     return cells
 
 
+def reachable(cells: DataFrame, rate: float) -> DataFrame:
+    """Adds u_<margin> to cells with own and t_<margin>: the target share of each margin's value, lowered to its own share over the rate where it is more, the others scaled so that the sum is 1.
+
+    Values by their bound over their target, the least first: the scale if all values before one are lowered tells whether
+    it must be too, and the first that needn't be sets the scale. Values are a table beside the documents.
+    """
+    for d in DIMS:
+        by = Window.orderBy(F.col("__bound") / F.col("__t"), "__v").rowsBetween(Window.unboundedPreceding, -1)
+        before = lambda c, w=by: F.coalesce(F.sum(c).over(w), F.lit(0.0))
+        values = cells.groupBy(F.col(d).alias("__v")).agg((F.sum("own") / F.lit(float(rate))).alias("__bound"), F.max(f"t_{d}").alias("__t")).filter("__t > 0")
+        scaled = values.withColumn("__scale", F.greatest(1 - before("__bound"), F.lit(0.0)) / (1 - before("__t")))
+        lowered = F.col("__bound") < F.col("__scale") * F.col("__t")
+        scale = F.max(F.when(~lowered, F.col("__scale"))).over(Window.partitionBy())
+        reach = scaled.select("__v", F.when(lowered, F.col("__bound")).otherwise(F.least(F.col("__bound"), scale * F.col("__t"))).alias(f"u_{d}"))
+        cells = cells.join(reach, F.col(d).eqNullSafe(F.col("__v")), "left").drop("__v").withColumn(f"u_{d}", F.coalesce(f"u_{d}", F.lit(0.0)))
+    return cells
+
+
 def rake(cells: DataFrame, given: dict[str, DataFrame] | None = None, sweeps: int = SWEEPS, rate: float = RATE) -> DataFrame:
     """Cells (source, lang, topic, tokens) with own, their share, rate, the same for all, and w, the raked share."""
     out = written(targets(cells, given).withColumn("own", F.col("tokens") / F.lit(_all(cells, F.sum("tokens")))), "targets")
-    room = F.least(*(F.coalesce(F.when(F.col(f"t_{d}") > 0, F.sum("own").over(Window.partitionBy(d)) / F.col(f"t_{d}")), F.lit(1.0)) for d in DIMS))
-    least = _all(out.select(room.alias("room")), F.min("room"))
-    out = written(out.withColumn("rate", F.lit(min(float(rate), SLACK * (1.0 if least is None else least)))).withColumn("w", F.col("own")), "cells")
+    out = written(reachable(out, rate).withColumn("rate", F.lit(float(rate))).withColumn("w", F.col("own")), "cells")
     parts = max(1, -(-out.count() // CELLS_A_TASK))
     for start in range(0, sweeps, SWEEPS_A_JOB):
         out = out.coalesce(parts)
         for _ in range(min(SWEEPS_A_JOB, sweeps - start)):
             for d in DIMS:
                 total = F.sum("w").over(Window.partitionBy(d))
-                out = out.withColumn("w", F.when(total > 0, F.least(F.col("own") / F.col("rate"), F.col("w") * F.col(f"t_{d}") / total)).otherwise(F.lit(0.0)))
+                out = out.withColumn("w", F.when(total > 0, F.least(F.col("own") / F.col("rate"), F.col("w") * F.col(f"u_{d}") / total)).otherwise(F.lit(0.0)))
         out = written(out, "raked")
     return out
 
@@ -91,11 +109,11 @@ def calibrate(raked: DataFrame) -> DataFrame:
 
 
 def balance(raked: DataFrame) -> DataFrame:
-    """(dim, value, own, target, expected): the share of tokens of every value of a margin, what it should be, and what draws by the raked cells' probabilities give."""
+    """(dim, value, own, target, reach, expected): the share of tokens of every value of a margin, what it should be, what it can be at this rate, and what draws by the raked cells' probabilities give."""
     drawn = calibrate(raked).withColumn("__e", F.col("own") * F.col("probability"))
     drawn = drawn.withColumn("__e", F.col("__e") / F.lit(_all(drawn, F.sum("__e"))))
-    each = F.explode(F.array(*(F.struct(F.lit(d).alias("dim"), F.col(d).alias("value"), F.col(f"t_{d}").alias("target")) for d in DIMS)))
-    return drawn.select("own", "__e", each.alias("x")).groupBy("x.dim", "x.value").agg(F.sum("own").alias("own"), F.max("x.target").alias("target"), F.sum("__e").alias("expected"))
+    each = F.explode(F.array(*(F.struct(F.lit(d).alias("dim"), F.col(d).alias("value"), F.col(f"t_{d}").alias("target"), F.col(f"u_{d}").alias("reach")) for d in DIMS)))
+    return drawn.select("own", "__e", each.alias("x")).groupBy("x.dim", "x.value").agg(F.sum("own").alias("own"), F.max("x.target").alias("target"), F.max("x.reach").alias("reach"), F.sum("__e").alias("expected"))
 
 
 def _celled(docs: DataFrame, text_col: str, source_col: str, lang_col: str) -> tuple[list[Column], Column]:
@@ -154,11 +172,14 @@ def _oracle() -> str:
     for x in DIMS:
         parts.append(f"t_{x} AS (SELECT {x}, s/sum(s) OVER () AS t FROM (SELECT {x}, pow(sum(tokens)::DOUBLE,{POWERS[x]}) AS s FROM c GROUP BY ALL))")
     parts.append("o AS MATERIALIZED (SELECT c.*, " + ", ".join(f"t_{x}.t AS t_{x}" for x in DIMS) + ", tokens/sum(tokens) OVER () AS own FROM c " + " ".join(f"JOIN t_{x} ON c.{x} IS NOT DISTINCT FROM t_{x}.{x}" for x in DIMS) + ")")
-    room = ", ".join(f"sum(own) OVER (PARTITION BY {x})/t_{x}" for x in DIMS)
-    parts.append(f"r0 AS MATERIALIZED (SELECT * EXCLUDE (room), own AS w, least({RATE}::DOUBLE, {SLACK}::DOUBLE*min(room) OVER ()) AS rate FROM (SELECT *, least({room}) AS room FROM o))")
+    for x in DIMS:
+        sums = f"sum({{}}) OVER (ORDER BY b/t, {x} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        scale = f"greatest(1-coalesce({sums.format('b')},0),0)/(1-coalesce({sums.format('t')},0))"
+        parts.append(f"u_{x} AS MATERIALIZED (SELECT {x}, CASE WHEN b<s*t THEN b ELSE least(b, t*max(CASE WHEN b>=s*t THEN s END) OVER ()) END AS u FROM (SELECT *, {scale} AS s FROM (SELECT {x}, sum(own)/{RATE}::DOUBLE AS b, max(t_{x}) AS t FROM o GROUP BY 1)))")
+    parts.append(f"r0 AS MATERIALIZED (SELECT o.*, own AS w, {RATE}::DOUBLE AS rate, " + ", ".join(f"u_{x}.u AS u_{x}" for x in DIMS) + " FROM o " + " ".join(f"JOIN u_{x} ON o.{x} IS NOT DISTINCT FROM u_{x}.{x}" for x in DIMS) + ")")
     for i in range(SWEEPS * len(DIMS)):
         x = DIMS[i % len(DIMS)]
-        parts.append(f"r{i + 1} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN sum(w) OVER (PARTITION BY {x})>0 THEN least(own/rate, w*t_{x}/sum(w) OVER (PARTITION BY {x})) ELSE 0 END AS w) FROM r{i})")
+        parts.append(f"r{i + 1} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN sum(w) OVER (PARTITION BY {x})>0 THEN least(own/rate, w*u_{x}/sum(w) OVER (PARTITION BY {x})) ELSE 0 END AS w) FROM r{i})")
     parts.append(f"p AS (SELECT {dims}, round(w/own,9) AS weight, round(least(1,w/own*rate),9) AS probability FROM r{SWEEPS * len(DIMS)})")
     return "WITH " + ",\n".join(parts) + f"""
 SELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens, p.weight, p.probability, ('0x'||substr(md5(coalesce(d.doc_id::VARCHAR,'')),1,8))::BIGINT/4294967296.0 < p.probability AS selected

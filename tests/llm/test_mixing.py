@@ -8,15 +8,26 @@ from lattica.llm import mixing
 ROWS = [(i, "word " * (1 + i % 7) + ("@" if i % 5 == 0 else ""), ["en", "fr", None][i % 3], ["hot", "hot", "a", "b"][i % 4]) for i in range(240)]
 
 
-def by_hand(cells, sweeps=mixing.SWEEPS):
-    """Raked shares, own shares and the rate of {(source, lang, topic): tokens} in plain Python."""
+def within(goal, bound):
+    """The target shares with those beyond their bounds lowered to them, one after the other, the rest scaled up."""
+    low = {}
+    while True:
+        free = {v: t for v, t in goal.items() if v not in low}
+        scale = (1 - sum(low.values())) / sum(free.values()) if free else 0
+        over = [v for v in free if free[v] * scale > bound[v]]
+        if not over:
+            return low | {v: t * scale for v, t in free.items()}
+        low |= {v: bound[v] for v in over}
+
+
+def by_hand(cells, sweeps=mixing.SWEEPS, rate=mixing.RATE):
+    """Raked shares, own shares, the rate and the shares in reach of {(source, lang, topic): tokens} in plain Python."""
     total, goal = sum(cells.values()), []
     own = {k: n / total for k, n in cells.items()}
     margin = lambda w, d: {v: sum(x for k, x in w.items() if k[d] == v) for v in {k[d] for k in w}}
     for d, power in enumerate(mixing.POWERS.values()):
         shares = {v: n**power for v, n in margin(cells, d).items()}
-        goal.append({v: s / sum(shares.values()) for v, s in shares.items()})
-    rate = min(mixing.RATE, mixing.SLACK * min(margin(own, d)[v] / goal[d][v] for d in range(3) for v in goal[d]))
+        goal.append(within({v: s / sum(shares.values()) for v, s in shares.items()}, {v: s / rate for v, s in margin(own, d).items()}))
     w = dict(own)
     for _ in range(sweeps):
         for d in range(3):
@@ -46,9 +57,9 @@ def test_draws_meet_the_targets(spark):
     rng = random.Random(3)
     rows = [(i, "word " * rng.randint(5, 40) + rng.choice(["", "", "", "@"]), rng.choice(["en"] * 8 + ["fr", "de"]), rng.choice(["hot"] * 6 + ["a", "b", "c"])) for i in range(6000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    flat = mixing.mix(docs)
+    flat = mixing.mix(docs, rate=0.45)
     cells = flat.groupBy(*mixing.DIMS).agg(F.sum("n_tokens").alias("tokens"))
-    balance = {(r["dim"], r["value"]): r for r in mixing.balance(mixing.rake(cells)).collect()}
+    balance = {(r["dim"], r["value"]): r for r in mixing.balance(mixing.rake(cells, rate=0.45)).collect()}
     drawn = flat.filter("selected").collect()
     total = sum(r["n_tokens"] for r in drawn)
     moved = 0
@@ -68,6 +79,23 @@ def test_targets_that_cannot_be_met_are_told(spark):
     assert got["source", "s0"][0] == 0.5 and got["source", "s0"][1] < 0.45  # the two margins contradict each other
 
 
+def test_a_rare_value_lowers_nothing(spark):
+    rng = random.Random(6)
+    rows = [(i, "word " * rng.randint(20, 60), rng.choice(["en"] * 6 + ["fr", "de"]), rng.choice(["hot"] * 4 + ["a", "b"])) for i in range(1000)]
+    stray = [(5000, "three stray words", "en", "lone"), (5001, "two words", "xx", "hot"), (5002, "http :// +1", "en", "a")]
+    schema = "doc_id long, text string, lang string, source string"
+    before, after = (mixing.mix(spark.createDataFrame(r, schema)).collect() for r in (rows, rows + stray))
+    drawn = [sum(r["selected"] for r in x if r["doc_id"] < 5000) for x in (before, after)]
+    assert abs(drawn[0] - drawn[1]) <= 0.02 * drawn[0] and drawn[0] > 700
+    tokens = [sum(r["n_tokens"] * r["probability"] for r in x) / sum(r["n_tokens"] for r in x) for x in (before, after)]
+    assert tokens == pytest.approx([0.8, 0.8], abs=0.005)
+    assert all(r["probability"] > 0.99 for r in after if r["doc_id"] >= 5000)
+    balance = {(r["dim"], r["value"]): r for r in mixing.balance(mixing.rake(spark.createDataFrame(after).groupBy(*mixing.DIMS).agg(F.sum("n_tokens").alias("tokens")))).collect()}
+    assert balance["source", "lone"]["reach"] < balance["source", "lone"]["target"]
+    for r in balance.values():
+        assert r["expected"] == pytest.approx(r["reach"], abs=2e-3)
+
+
 def test_against_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
