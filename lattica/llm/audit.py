@@ -76,7 +76,7 @@ def refined(rows: DataFrame) -> DataFrame:
     classes = _chained(F.col("length"), [F.col(f"h{i}") for i in range(BLOCKS)])
     left = rows.select("id", "length", *(c.alias(f"c{i}") for i, c in enumerate(classes)))
     for i, start in enumerate([-1, *_block_starts()]):
-        many = left.groupBy(f"c{i}").agg(F.count("*").alias("__n")).filter("__n > 1").select(f"c{i}")
+        many = written(left.groupBy(f"c{i}").agg(F.count("*").alias("__n")).filter("__n > 1").select(f"c{i}"), "many")  # a table of its own, so that the join of a large class can be split
         left = written(left.join(many, f"c{i}", "left_semi").select("id", "length", *(f"c{k}" for k in range(i, BLOCKS + 1))), f"split-{i}")
         if left.filter(F.col("length") > start + (BLOCK * SPAN ** max(i - 1, 0) if i else 0)).isEmpty():  # no text goes on beyond this block
             break
@@ -104,6 +104,7 @@ def copies(docs: DataFrame, payload: list[str], text_col: str = "text", id_col:
     found = []
     while True:
         originals = left.filter(F.col("id") == F.col("least")).groupBy("class").agg(F.min("text").alias("__original"))
+        originals = written(originals, "originals")
         same = F.col("text") == F.col("__original")
         compared = left.join(originals, "class").select("class", "id", *payload, (same & (F.col("id") > F.col("least"))).alias("copy"), F.when(~same, F.col("text")).alias("text"))
         compared = written(compared, "compared")

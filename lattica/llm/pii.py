@@ -7,8 +7,8 @@ them holding term t, n(e) entity e and n(t, e) both, wherever they stand in the
 
 A term discloses an entity if PMI reaches ALPHA times IC (Sanchez and Batet, 2016, "C-sanitized"); every occurrence of it
 in any document is then generalised. The hierarchy is the corpus's own: a prefix stands for all terms that begin with it,
-whose counts add up, and a term becomes the longest of its prefixes that discloses none of the entities, the empty one if
-need be. It is removed if PMI reaches IC itself, that is, if it never occurs without the entity.
+whose counts add up, and a term becomes the longest of its prefixes, of LEVELS letters at most, that discloses none of the
+entities, the empty one if need be. It is removed if PMI reaches IC itself, that is, if it never occurs without the entity.
 Terms are whole runs of letters of any length outside the entities. Pairs count from SUPPORT different texts on, so that
 copies of one text prove nothing; entities in fewer different texts are too rare for estimates of their own, so those of a
 kind count as one entity. Only built-in functions are used. One pass over the texts finds entities, and the terms of texts
@@ -25,6 +25,8 @@ from .common import blank_if_null, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT, ALPHA = 3, 0.9
+#: Levels of the hierarchy: letters of its longest prefixes. Terms themselves may have any length.
+LEVELS = 32
 #: A noncharacter, which stands for every character of an entity with letters, and a whole term outside entities.
 MASK = "\uffff"
 TERM = r"(?<![\p{L}\x{FFFF}])\p{L}++(?!\x{FFFF})"
@@ -112,11 +114,16 @@ def terms_of(text: Column) -> Column:
 ENTITIES = "struct<spans: array<struct<kind: string, s: int, e: int, v: string>>, terms: array<string>>"
 
 
+def digest(text: Column) -> Column:
+    """128 bits that tell texts apart."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def entities(docs: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFrame:
-    """keep as __k0.., hash of the text, and in __x the protected entities of each text and, if it has any, all its terms."""
+    """keep as __k0.., digest of the text, and in __x the protected entities of each text and, if it has any, all its terms."""
     text = blank_if_null(F.col(f"`{text_col}`"))
     both = bind(found(text), lambda every: F.struct(every.alias("spans"), F.when(F.size(every) > 0, terms_of(text)).otherwise(F.expr("cast(array() as array<string>)")).alias("terms")))
-    return docs.select(*(F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)), F.xxhash64(text).alias("__hash"), both.cast(ENTITIES).alias("__x"))
+    return docs.select(*(F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)), digest(text).alias("__hash"), both.cast(ENTITIES).alias("__x"))
 
 
 def disclosing(docs: DataFrame, texts: DataFrame, text_col: str, alpha: float = ALPHA) -> DataFrame:
@@ -149,8 +156,8 @@ def _scored(counted: DataFrame, total: float) -> DataFrame:
 
 
 def _prefixes(term: str = "term") -> Column:
-    """The proper prefixes of a term, a row each."""
-    return F.explode(F.transform(F.sequence(F.lit(1), F.char_length(term) - 1), lambda n: F.substr(F.col(term), F.lit(1), n)))
+    """The proper prefixes of a term in the hierarchy, a row each."""
+    return F.explode(F.transform(F.sequence(F.lit(1), F.least(F.char_length(term) - 1, F.lit(LEVELS))), lambda n: F.substr(F.col(term), F.lit(1), n)))
 
 
 def generalised(told: DataFrame, pairs: DataFrame, counts: DataFrame, total: float, alpha: float = ALPHA) -> DataFrame:
@@ -184,7 +191,7 @@ def _entity(kind: Column, value: Column) -> Column:
 
 
 def scan(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), alpha: float = ALPHA) -> DataFrame:
-    """Per row keep, __hash (of its text), base (structs kind, s, e) and terms (structs s, e, removed, general), in code points.
+    """Per row keep, __hash (a digest of its text), base (structs kind, s, e) and terms (structs s, e, removed, general), in code points.
 
     A null text counts as empty and has no spans. Rows with equal keep columns and texts get the same spans; an empty
     table gives an empty one; columns outside keep, whatever their names, play no part.
@@ -195,10 +202,10 @@ def scan(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_
     texts = rows.filter(F.size("__x.spans") > 0).groupBy("__hash").agg(F.count("*").alias("copies"), F.first("__x").alias("one"))
     texts = written(texts.select("__hash", "copies", named.alias("entities"), "one.terms"), "pii-texts")
     telling = written(disclosing(docs, texts, text_col, alpha), "pii-telling")
-    row = F.xxhash64(*(F.col(f"`{c}`") for c in keep), F.xxhash64(blank_if_null(F.col(f"`{text_col}`"))))
+    row = F.struct(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), digest(blank_if_null(F.col(f"`{text_col}`"))).alias("h"))
     added = places(docs, telling, text_col, row)
     base = F.transform("__x.spans", lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
-    slim = rows.select(*keys, "__hash", F.xxhash64(*keys, "__hash").alias("__row"), base.alias("base"))
+    slim = rows.select(*keys, "__hash", F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col("__hash").alias("h")).alias("__row"), base.alias("base"))
     out = slim.join(added, "__row", "left")
     none = F.expr("cast(array() as array<struct<s: int, e: int, removed: boolean, general: string>>)")
     return out.select(*(F.col(k).alias(c) for k, c in zip(keys, keep, strict=True)), "__hash", "base", F.coalesce("terms", none).alias("terms"))
@@ -211,7 +218,7 @@ def sanitised(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", a
     cuts = spans.select(F.col(id_col).alias("__id"), F.col("__hash").alias("__h"), F.array_sort(cut).alias("__cuts")).filter(F.size("__cuts") > 0)
     columns = docs.columns
     text = blank_if_null(F.col(f"`{text_col}`"))
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("__doc"), F.col(f"`{id_col}`").alias("__own"), text.alias("__text"), F.xxhash64(text).alias("__th"))
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("__doc"), F.col(f"`{id_col}`").alias("__own"), text.alias("__text"), digest(text).alias("__th"))
     joined = keyed.join(cuts, (F.col("__th") == F.col("__h")) & F.col("__own").eqNullSafe(F.col("__id")), "left")
     end = lambda z: z["at"]
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))

@@ -21,13 +21,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blank_if_null, table, written
+from lattica.sources.storage import remove
+
+from .common import blank_if_null, new_path, table, written
 
 MIN_BYTES, GRAM = 50, 16
 SPREAD = MIN_BYTES - GRAM + 1
@@ -44,6 +47,21 @@ _PROBES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 _BYTES = np.random.default_rng(50).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+#: Setting by which Spark removes a query's shuffle files when it ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Inside the block, what queries have shuffled goes when they end, since what they give is written."""
+    old = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEAN, old)
+
+
 def _powers(n: int, held: dict = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
     """Powers of an odd number and of its inverse modulo 2^64."""
     if held.get("n", -1) < n:
@@ -351,14 +369,20 @@ def removals(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", ho
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("row"), text.cast("binary").alias("text"))
     known = texts.filter("doc_id is not null")
     total = docs.agg(F.sum(F.octet_length(text)).cast("long")).first()[0] or 0
-    found = written(occurrences(known, total, most), "pieces")
-    distinct = written(found.groupBy("key", "piece").agg(F.min("doc_id").alias("first")), "distinct")
-    spans = answers(distinct, found.count(), hot_over)
-    places = found.select("doc_id", "row", "at", F.unhex(F.md5("piece")).alias("pid")).join(spans, "pid")
-    removed = places.select("doc_id", "row", "at", F.explode(F.filter("spans", lambda s: s["first"] < F.col("doc_id"))).alias("s"))
-    start = F.col("at") + F.col("s.off")
-    marks = removed.groupBy("doc_id", "row").agg(F.collect_list(F.struct(start.alias("start"), (start + F.col("s.n") + MIN_BYTES - 1).alias("end"))).alias("spans"))
-    return texts.join(written(marks, "marks"), ["doc_id", "row"], "left")
+    spark = docs.sparkSession
+    with shuffles_removed(spark):
+        found = written(occurrences(known, total, most), "pieces")
+        path = new_path(spark, "distinct")
+        distinct = found.groupBy("key", "piece").agg(F.min("doc_id").alias("first"))
+        distinct.write.option("compression", "zstd").parquet(path)
+        spans = written(answers(spark.read.schema(distinct.schema).parquet(path), found.count(), hot_over), "answers")
+        remove(spark, path)
+        places = found.select("doc_id", "row", "at", F.unhex(F.md5("piece")).alias("pid")).join(spans, "pid")
+        removed = places.select("doc_id", "row", "at", F.explode(F.filter("spans", lambda s: s["first"] < F.col("doc_id"))).alias("s"))
+        start = F.col("at") + F.col("s.off")
+        marks = removed.groupBy("doc_id", "row").agg(F.collect_list(F.struct(start.alias("start"), (start + F.col("s.n") + MIN_BYTES - 1).alias("end"))).alias("spans"))
+        marks = written(marks, "marks")
+    return texts.join(marks, ["doc_id", "row"], "left")
 
 
 def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", hot_over: int = HOT, most: int = FILTER_BYTES) -> DataFrame:

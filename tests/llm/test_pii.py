@@ -142,3 +142,16 @@ def test_general_terms_stand_for_many(spark):
     clean = {r["doc_id"]: r["text"] for r in pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert clean[0] == f"[EMAIL] of smith* {far} 0"
     assert clean[9].startswith("smith") and "smithson" not in clean[9] and clean[20] == dict(rows)[20]
+
+
+def test_long_runs_of_letters(spark):
+    far, long = "plain words go on", "smith" + "xyzzy" * 200
+    rows = [(i, f"a{i}@corp.example of {long} and smithson {far} {i}") for i in range(6)]
+    rows += [(20 + i, f"{far} of {['smithers', 'smithy', 'smithfield'][i % 3]} {i}") for i in range(80)]
+    rows += [(200, "smithson " + "q" * 200_000), (201, "s" * 1_000_000), (202, "mith" * 250_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text, found = dict(rows), {r["doc_id"]: r["terms"] for r in pii.scan(docs).collect()}
+    for i in range(6):
+        got = {text[i][x["s"] : x["e"]]: (x["removed"], x["general"]) for x in found[i]}
+        assert got[long][0] and not got["smithson"][0] and got["smithson"][1] == "smith"
+    assert [text[200][x["s"] : x["e"]] for x in found[200]] == ["smithson"] and not found[201] and not found[202]
