@@ -6,8 +6,9 @@ overlap, at most PIECE bytes. Whatever repeats has a fingerprint that repeats. F
 hash, 4 bytes each, and those that occur again go into a filter of at most FILTER_BYTES that all tasks get; pieces of others
 are left out (one that gets through wrongly costs time only; on inputs so large that the filter is full, all do).
 
-Equal pieces count once, with the least id that has them. Pieces of some fingerprints make up a bucket, and each bucket gets
-an index of its own: the Burrows-Wheeler transform of its pieces in runs, a run ending where the preceding byte changes or
+Equal pieces count once, with the least id that has them. Pieces of some fingerprints make up a bucket. Those that share
+more than the fingerprint with another, enough for a string of MIN_BYTES bytes on one side of it, go into the bucket's
+index: the Burrows-Wheeler transform of its pieces in runs, a run ending where the preceding byte changes or
 where the next MIN_BYTES bytes do, and at each run's end a sample, the least id of the run. Every piece then streams through
 the index from its end to its start, a step to the left for each byte: the matching statistics of a place in it are the
 interval of rows that go on with the same MIN_BYTES bytes, and the interval's samples give the least id of all. A document
@@ -79,17 +80,21 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def least_fingerprints(data: np.ndarray) -> np.ndarray:
-    """For every string of MIN_BYTES bytes of data the least fingerprint of its grams."""
+def fingerprints(data: np.ndarray) -> np.ndarray:
+    """The fingerprint of every string of GRAM bytes of data."""
     n = len(data)
     up, down = _powers(max(n, CHUNK + MIN_BYTES))
     upto = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTES[data] * up[:n], out=upto[1:])
-    low = _mixed((upto[GRAM:] - upto[:-GRAM]) * down[: n - GRAM + 1])
-    span = 1
+    return _mixed((upto[GRAM:] - upto[:-GRAM]) * down[: n - GRAM + 1])
+
+
+def least_of(grams: np.ndarray) -> np.ndarray:
+    """The least of every SPREAD fingerprints next to each other."""
+    low, span, n = grams, 1, len(grams) - SPREAD + 1
     while span * 2 <= SPREAD:
         low, span = np.minimum(low[:-span], low[span:]), span * 2
-    return np.minimum(low[: n - MIN_BYTES + 1], low[SPREAD - span : SPREAD - span + n - MIN_BYTES + 1])
+    return np.minimum(low[:n], low[SPREAD - span : SPREAD - span + n])
 
 
 def bytes_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -100,12 +105,30 @@ def bytes_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), at
 
 
-def pieces_of(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(fingerprint, start, bytes, document) of the pieces of documents that lie in data from at[i] to at[i + 1]."""
+class Pieces:
+    """Pieces of documents from one stretch of bytes: their fingerprints, where they start, how many bytes they have, and the place of their document."""
+
+    def __init__(self, key: np.ndarray, start: np.ndarray, size: np.ndarray, doc: np.ndarray, grams: np.ndarray, base: int):
+        self.key, self.start, self.size, self.doc, self._grams, self._base = key, start, size, doc, grams, base
+
+    def of(self, keep: np.ndarray) -> Pieces:
+        return Pieces(self.key[keep], self.start[keep], self.size[keep], self.doc[keep], self._grams, self._base)
+
+    def gram(self) -> np.ndarray:
+        """Where in each piece its fingerprint stands; -1 if it does more than once."""
+        at = (self.start - self._base)[:, None] + np.arange(PIECE - GRAM + 1)
+        inside = np.arange(PIECE - GRAM + 1) <= (self.size - GRAM)[:, None]
+        same = (self._grams[np.minimum(at, len(self._grams) - 1)] == self.key[:, None]) & inside
+        return np.where(same.sum(1) == 1, same.argmax(1), -1)
+
+
+def pieces_of(data: np.ndarray, at: np.ndarray) -> Iterator[Pieces]:
+    """The pieces of documents that lie in data from at[i] to at[i + 1]."""
     first, last = int(at[0]), int(at[-1]) - MIN_BYTES + 1
     for x in range(first, last, CHUNK):
         y = min(x + CHUNK, last)
-        low = least_fingerprints(data[x : y + MIN_BYTES - 1])
+        grams = fingerprints(data[x : y + MIN_BYTES - 1])
+        low = least_of(grams)
         i, j = np.searchsorted(at, [x, y - 1], "right") - 1
         ends = at[i + 1 : j + 2]
         counts = np.minimum(ends, y) - np.maximum(at[i : j + 1], x)
@@ -119,7 +142,7 @@ def pieces_of(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np
         since = np.arange(len(low)) - np.maximum.accumulate(np.where(begins, np.arange(len(low)), 0))
         begins |= since % SPREAD == 0
         start = np.flatnonzero(begins)
-        yield low[start], inside[start] + x, np.diff(np.append(start, len(low))) + MIN_BYTES - 1, doc[start]
+        yield Pieces(low[start], inside[start] + x, np.diff(np.append(start, len(low))) + MIN_BYTES - 1, doc[start], grams, x)
 
 
 def _bucketed(fingerprints: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +191,7 @@ def repeated_fingerprints(texts: DataFrame, total: int, most: int = FILTER_BYTES
 
     def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            parts = [p[0] for p in pieces_of(*bytes_of(b.column("text")))] if b.num_rows else []
+            parts = [p.key for p in pieces_of(*bytes_of(b.column("text")))] if b.num_rows else []
             if not parts:
                 continue
             bucket, rest = _bucketed(np.concatenate(parts), buckets)
@@ -190,7 +213,7 @@ def repeated_fingerprints(texts: DataFrame, total: int, most: int = FILTER_BYTES
 
 
 def occurrences(texts: DataFrame, total: int, most: int = FILTER_BYTES) -> DataFrame:
-    """(doc_id, row, at, key, piece) of pieces of texts (doc_id, row, text) whose fingerprint may occur again; at is where the piece begins."""
+    """(doc_id, row, at, key, gram, piece) of pieces of texts (doc_id, row, text) whose fingerprint may occur again; at is where the piece begins, gram where its fingerprint stands in it."""
     held = texts.sparkSession.sparkContext.broadcast(repeated_fingerprints(texts, total, most))
     id_type = texts.schema["doc_id"].dataType.simpleString()
 
@@ -200,17 +223,39 @@ def occurrences(texts: DataFrame, total: int, most: int = FILTER_BYTES) -> DataF
             if not b.num_rows:
                 continue
             data, at = bytes_of(b.column("text"))
-            for low, start, size, doc in pieces_of(data, at):
-                keep = known.may_hold(low)
-                low, start, size, doc = low[keep], start[keep], size[keep], doc[keep]
-                ends = np.cumsum(size)
-                source = np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+            for p in pieces_of(data, at):
+                p = p.of(known.may_hold(p.key))
+                ends = np.cumsum(p.size)
+                source = np.repeat(p.start - (ends - p.size), p.size) + np.arange(ends[-1] if len(ends) else 0)
                 places = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32))
-                piece = pa.Array.from_buffers(pa.binary(), len(size), [None, places, pa.py_buffer(data[source])])
-                take = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("row").take(take), pa.array(start - at[doc]), pa.array(low.view(np.int64)), piece], ["doc_id", "row", "at", "key", "piece"])
+                piece = pa.Array.from_buffers(pa.binary(), len(ends), [None, places, pa.py_buffer(data[source])])
+                take = pa.array(p.doc)
+                columns = [b.column("doc_id").take(take), b.column("row").take(take), pa.array(p.start - at[p.doc]), pa.array(p.key.view(np.int64)), pa.array(p.gram().astype(np.int32)), piece]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "at", "key", "gram", "piece"])
 
-    return texts.select("doc_id", "row", "text").mapInArrow(emit, f"doc_id {id_type}, row long, at long, key long, piece binary")
+    return texts.select("doc_id", "row", "text").mapInArrow(emit, f"doc_id {id_type}, row long, at long, key long, gram int, piece binary")
+
+
+def linked(data: np.ndarray, at: np.ndarray, key: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """Which pieces can share a string of MIN_BYTES bytes with another of the same fingerprint.
+
+    Such a string holds the fingerprint's bytes and, before or after them, half of what it is longer, so both pieces have
+    these on the same side. A fingerprint that some piece has twice can stand in a string in two ways; all its pieces pass.
+    """
+    half = GRAM + (MIN_BYTES - GRAM + 1) // 2
+    size, out = np.diff(at), np.isin(key, key[gram < 0])
+    for start in (gram - (half - GRAM), gram):
+        fits = np.flatnonzero((gram >= 0) & (start >= 0) & (start + half <= size))
+        if not len(fits):
+            continue
+        block = np.zeros((len(fits), -(-half // 8) * 8), np.uint8)
+        block[:, :half] = data[(at[fits] + start[fits])[:, None] + np.arange(half)]
+        h = _mixed(key[fits].view(np.uint64))
+        for word in block.view(np.uint64).T:
+            h = _mixed(h * _ODD + word)
+        _, back, counts = np.unique(h, return_inverse=True, return_counts=True)
+        out[fits[counts[back] > 1]] = True
+    return out
 
 
 class RunIndex:
@@ -225,11 +270,11 @@ class RunIndex:
         body[np.cumsum(size + 1) - 1] = False
         signs[body] = data[at[0] : at[-1]].astype(np.int64) + 1
         self.origin = np.cumsum(size + 1) - size - 1
-        order, by32 = self._sorted(signs, end)
+        order, (known, ranks) = self._sorted(signs, end)
         before = signs[order - 1]
         new = np.ones(n, bool)  # rows whose next MIN_BYTES bytes differ from the last row's
-        far = by32[np.minimum(order + MIN_BYTES - 32, end[order])]
-        near = by32[order]
+        far = ranks[np.minimum(order + MIN_BYTES - known, end[order])]
+        near = ranks[order]
         new[1:] = (near[1:] != near[:-1]) | (far[1:] != far[:-1]) | (end[order[1:]] - order[1:] < MIN_BYTES)
         ends = new.copy()
         ends[1:] |= before[1:] != before[:-1]
@@ -251,8 +296,8 @@ class RunIndex:
         self.to += below[self.sign] - self.start  # a row of a run steps to this plus its own place
 
     @staticmethod
-    def _sorted(signs: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rows' places in the text in the order of their suffixes, and ranks of all places by their next 32 signs, by doubling of prefixes."""
+    def _sorted(signs: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, tuple[int, np.ndarray]]:
+        """The rows' places in the text in the order of their suffixes, by doubling of prefixes, and a number of signs, half of MIN_BYTES to all, with the ranks of all places by so many."""
         n = len(signs)
         here = np.arange(n)
 
@@ -268,14 +313,22 @@ class RunIndex:
             rank[order] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
             return order, rank
 
-        pair = signs << 9 | signs[np.minimum(here + 1, end)]
-        order, rank = ranked(pair, pair[np.minimum(here + 2, end)], 18)
-        bits, reach, by32 = (PLACE if n <= 1 << PLACE else 31), 4, rank
+        present = np.flatnonzero(np.bincount(signs, minlength=257))
+        dense = np.zeros(257, np.int64)
+        dense[present] = np.arange(len(present))
+        dense, width = dense[signs], max(1, int(len(present) - 1).bit_length())
+        room = 64 - PLACE if n <= 1 << PLACE else 62
+        reach, key = 1, dense
+        while (reach + 1) * width <= room and reach < MIN_BYTES // 2 + 1:
+            key = key << width | dense[np.minimum(here + reach, end)]
+            reach += 1
+        order, rank = ranked(key, np.zeros(1, np.int64), 0)
+        bits, half = (PLACE if n <= 1 << PLACE else 31), None
         while reach < PIECE + 1:
+            half = (reach, rank) if MIN_BYTES // 2 <= reach <= MIN_BYTES else half
             order, rank = ranked(rank, rank[np.minimum(here + reach, end)], bits)
             reach *= 2
-            by32 = rank if reach == 32 else by32
-        return order, by32
+        return order, half
 
     def stream(self) -> np.ndarray:
         """For every place of every piece, with a place for its end, the least number of pieces that hold its next MIN_BYTES bytes; -1 where fewer are left. All pieces go one sign to the left at a time."""
@@ -294,26 +347,30 @@ class RunIndex:
 
 
 def _answers(t: pa.Table, id_type: pa.DataType) -> pa.Table:
-    """(pid, spans) of the pieces of a bucket (pid, piece, first): for strings of MIN_BYTES bytes from off on, so many in a row, the least id that has them."""
+    """(pid, spans) of the pieces of a bucket (pid, key, gram, piece, first): for strings of MIN_BYTES bytes from off on, so many in a row, the least id that has them. Pieces that share no string with another have their own."""
     b = t.combine_chunks().to_batches()[0]
     data, at = bytes_of(b.column("piece"))
     ids, number = np.unique(b.column("first").to_numpy(zero_copy_only=False), return_inverse=True)
-    index = RunIndex(data, at, number)
-    least = index.stream()
-    place = np.flatnonzero(least >= 0)
-    piece = np.repeat(np.arange(len(index.size)), index.size - MIN_BYTES + 1)
-    least = least[place]
-    begins = np.ones(len(place), bool)
+    strings = np.diff(at) - MIN_BYTES + 1
+    origin = np.cumsum(strings) - strings
+    least = np.repeat(number, strings)
+    some = np.flatnonzero(linked(data, at, b.column("key").to_numpy(), b.column("gram").to_numpy()))
+    if len(some):
+        own, places = bytes_of(b.column("piece").take(pa.array(some)))
+        streamed = RunIndex(own, places, number[some]).stream()
+        n = strings[some]
+        least[np.repeat(origin[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = streamed[streamed >= 0]
+    piece = np.repeat(np.arange(len(strings)), strings)
+    begins = np.ones(len(piece), bool)
     begins[1:] = (piece[1:] != piece[:-1]) | (least[1:] != least[:-1])
     start = np.flatnonzero(begins)
-    off = place[start] - index.origin[piece[start]]
-    values = pa.StructArray.from_arrays([pa.array(off.astype(np.int32)), pa.array(np.diff(np.append(start, len(place))).astype(np.int32)), pa.array(ids[least[start]], id_type)], ["off", "n", "first"])
-    lists = np.concatenate([[0], np.cumsum(np.bincount(piece[start], minlength=len(index.size)))]).astype(np.int32)
+    values = pa.StructArray.from_arrays([pa.array((start - origin[piece[start]]).astype(np.int32)), pa.array(np.diff(np.append(start, len(piece))).astype(np.int32)), pa.array(ids[least[start]], id_type)], ["off", "n", "first"])
+    lists = np.concatenate([[0], np.cumsum(np.bincount(piece[start], minlength=len(strings)))]).astype(np.int32)
     return pa.table({"pid": b.column("pid"), "spans": pa.ListArray.from_arrays(pa.array(lists), values)})
 
 
 def answers(distinct: DataFrame, pieces: int, hot_over: int = HOT) -> DataFrame:
-    """(pid, spans) of different pieces (key, piece, first), for as many occurrences: by an index for each bucket of fingerprints, or for those with more than hot_over pieces by aggregation over single strings."""
+    """(pid, spans) of different pieces (key, gram, piece, first), for as many occurrences: by an index for each bucket of fingerprints, or for those with more than hot_over pieces by aggregation over single strings."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type = distinct.schema["first"].dataType
@@ -324,7 +381,7 @@ def answers(distinct: DataFrame, pieces: int, hot_over: int = HOT) -> DataFrame:
     some = not hot.isEmpty()
     rest = distinct.join(hot, "key", "left_anti") if some else distinct
     schema = f"pid binary, spans array<struct<off:int,n:int,first:{id_type.simpleString()}>>"
-    out = rest.select(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), pid, "piece", "first").groupBy("bucket").applyInArrow(lambda t: _answers(t.drop_columns(["bucket"]), kind), schema)
+    out = rest.select(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), pid, "key", "gram", "piece", "first").groupBy("bucket").applyInArrow(lambda t: _answers(t.drop_columns(["bucket"]), kind), schema)
     if some:
         each = distinct.join(hot, "key", "left_semi").select(pid, "first", "piece", F.explode(F.sequence(F.lit(0), F.octet_length("piece") - MIN_BYTES)).alias("off"))
         each = each.select("pid", "off", "first", F.substring("piece", F.col("off") + 1, F.lit(MIN_BYTES)).alias("string"))
@@ -373,7 +430,7 @@ def removals(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", ho
     with shuffles_removed(spark):
         found = written(occurrences(known, total, most), "pieces")
         path = new_path(spark, "distinct")
-        distinct = found.groupBy("key", "piece").agg(F.min("doc_id").alias("first"))
+        distinct = found.groupBy("key", "gram", "piece").agg(F.min("doc_id").alias("first"))
         distinct.write.option("compression", "zstd").parquet(path)
         spans = written(answers(spark.read.schema(distinct.schema).parquet(path), found.count(), hot_over), "answers")
         remove(spark, path)

@@ -110,9 +110,11 @@ def test_pieces_hold_every_string_once():
     texts = [rng.integers(97, 100, n, dtype=np.uint8).tobytes() for n in (0, 10, 49, 50, 51, 500, 3000)] + [b"a" * 2000]
     data, at = runindex.bytes_of(pa.array(texts, pa.binary()))
     seen, keys = [], {}
-    for low, start, size, doc in runindex.pieces_of(data, at):
-        assert size.max() <= runindex.PIECE
-        for f, s, n, d in zip(low, start, size, doc, strict=True):
+    for p in runindex.pieces_of(data, at):
+        assert p.size.max() <= runindex.PIECE
+        for f, s, n, d, g in zip(p.key, p.start, p.size, p.doc, p.gram(), strict=True):
+            own = runindex.fingerprints(data[s : s + n])
+            assert (own == f).sum() == 1 and own[g] == f if g >= 0 else (own == f).sum() > 1
             for i in range(n - 49):
                 seen.append((int(d), int(s - at[d]) + i))
                 keys.setdefault(data[s + i : s + i + 50].tobytes(), set()).add(int(f))
