@@ -82,12 +82,12 @@ def stem(word: str) -> str:
     return w[:-1] if w.endswith("ll") and _measure(w) > 1 else w
 
 
-def stems(terms: DataFrame, term: str = "term") -> DataFrame:
+def stems(terms: DataFrame, term: str = "term", stemmer=stem) -> DataFrame:
     """(term, stem) of the different terms: the function runs once for each, to be joined back."""
 
     @F.pandas_udf("string")
     def of(s: pd.Series) -> pd.Series:
-        return s.map(stem)
+        return s.map(stemmer)
 
     return terms.select(term).distinct().withColumn("stem", of(F.col(term)))
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from lattica.sources.projection import SQL, Store
 
 #: Modules of this package that hold queries.
-MODULES = ["relational", "textual", "retrieval", "graphs", "curation", "exchange", "further"]
+MODULES = ["relational", "textual", "retrieval", "fulltext", "graphs", "curation", "exchange", "further"]
 
 
 class Book:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lattica.functions import text as X
+from lattica.functions.snowball import english
 
 from .registry import Book
 
@@ -21,7 +22,7 @@ def linked(name: str, column, sql: str, alias: str = "out") -> None:
 
 
 add("X1_tokenize", lambda s: s.base.select("id", F.array_join(X.tokens(F.col("title")), " ").alias("out")), rf"SELECT id, array_to_string(list_filter(string_split_regex(lower(title),'[^\p{{L}}\p{{N}}]+'), lambda w: w<>'' AND w NOT IN ({STOP})),' ') AS out FROM notes")
-add("X2_stem_terms", lambda s: X.stems(s.base.select(F.explode(X.tokens(F.col("body"))).alias("term"))))
+add("X2_stem_terms", lambda s: X.stems(s.base.select(F.explode(X.tokens(F.col("body"))).alias("term")), stemmer=english))
 linked("X4_wiki_links", lambda b: F.array_join(X.wiki_links(b), ","), r"array_to_string(list_transform(regexp_extract_all(b,'\[\[([^\]|]+)(?:\|[^\]]+)?\]\]',1), lambda x: trim(x)),',')")
 linked("X5_markdown_links", lambda b: F.array_join(F.transform(X.markdown_links(b), lambda x: F.concat_ws("=", x["text"], x["target"])), ";"), r"array_to_string(list_transform(list_zip(regexp_extract_all(b,'\[([^\]]*)\]\(([^)]+)\)',1), regexp_extract_all(b,'\[([^\]]*)\]\(([^)]+)\)',2)), lambda x: x[1]||'='||x[2]),';')")
 linked("X6_external", lambda b: F.size(F.filter(X.markdown_links(b), lambda x: X.is_external(x["target"]))), r"len(list_filter(regexp_extract_all(b,'\[([^\]]*)\]\(([^)]+)\)',2), lambda x: regexp_matches(x,'^(https?://|#)')))::INT")

@@ -1,7 +1,9 @@
 """A stored index of notes: metadata by id, postings by term, links by source and by target.
 
 Tables are sorted by what they are looked up by, so a look-up reads the few row groups that can hold its key. A posting
-carries its note's length and time of change, so that a search needs no join. The index is a row of segments. The first
+carries its note's length and time of change, so that a search needs no join, and the places of its term in the note; stop
+words have postings too, so that phrases can hold them, but count in no length. Each segment is marked with the analyser
+that made its terms, and an index is read and written by that one only. The index is a row of segments. The first
 ones are batches of a build: each is whole once its mark stands, so a build that was interrupted goes on with the batches
 that have none. Later ones hold notes that changed or went; what they name counts no longer in the segments before. Reading
 leaves such rows out; merge() writes one segment of all.
@@ -15,19 +17,25 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lattica.functions.analysis import PLAIN, Analyser
 from lattica.functions.text import NO_WORD, inverse
 from lattica.model import STOP_WORDS
 
-from .storage import _store, remove
+from .storage import _store, remove, written
 
 META = ["id", "title", "type", "value", "created", "updated", "verified", "tags"]
 #: Table: (schema, column that names the note that a row belongs to, columns that the rows are sorted by).
 TABLES = {
     "notes": ("id string, title string, type string, value int, created timestamp, updated timestamp, verified boolean, tags array<string>", "id", ["id"]),
-    "postings": ("term string, note_id string, title long, tags long, body long, length long, updated timestamp", "note_id", ["term", "note_id"]),
+    "postings": ("term string, note_id string, title long, tags long, body long, length long, updated timestamp, places array<long>", "note_id", ["term", "note_id"]),
+    "lengths": ("note_id string, length long", "note_id", ["note_id"]),
     "links": ("src string, dst string, link_type string, provenance string, original string, position int, owner string", "owner", ["src", "dst"]),
 }
 NEW, CHANGED, WHOLE = "_new", "_changed", "_whole"
+MADE_BY = "_by-"
+#: Columns of a note in the order of their places, a place being the column's number times COLUMN_PLACES plus the word's.
+TEXTS = ("title", "tags", "body")
+COLUMN_PLACES = 1 << 32
 
 
 def counted(notes: DataFrame) -> DataFrame:
@@ -39,26 +47,42 @@ def counted(notes: DataFrame) -> DataFrame:
     return rows.groupBy("note_id", "updated", "term").agg(*(F.count_if(F.col("col") == c).alias(c) for c in ("title", "tags", "body")))
 
 
+def placed(notes: DataFrame, analyser: Analyser = PLAIN) -> DataFrame:
+    """(note_id, updated, term, title, tags, body, places, length): how often and where each term stands in a note, and the note's words without stop words. Notes are dealt out by id once, as texts; all else happens where they are."""
+    text = {"title": F.col("title"), "tags": F.array_join("tags", " "), "body": F.col("body")}
+    here = notes.select(F.col("id").alias("note_id"), "updated", *(t.alias(c) for c, t in text.items())).repartition("note_id")
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("col"), F.filter(analyser.words(F.col(c)), lambda w: w != "").alias("words")) for i, c in enumerate(TEXTS))))
+    words = here.select("note_id", "updated", each.alias("x")).select("note_id", "updated", "x.col", F.posexplode("x.words").alias("place", "word"))
+    place = F.col("col") * F.lit(COLUMN_PLACES) + F.col("place")
+    rows = words.withColumns({"term": analyser.term(F.col("word")), "stop": F.col("word").isin(STOP_WORDS)})
+    counts = [F.count_if(F.col("col") == i).alias(c) for i, c in enumerate(TEXTS)]
+    grouped = rows.groupBy("note_id", "updated", "term").agg(*counts, F.array_sort(F.collect_list(place)).alias("places"), F.count_if(~F.col("stop")).alias("own"))
+    return grouped.withColumn("length", F.sum("own").over(Window.partitionBy("note_id"))).drop("own")
+
+
 class Index:
-    """The index below a folder of any store that the session reaches."""
+    """The index below a folder of any store that the session reaches, by the terms of an analyser."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+    def __init__(self, spark: SparkSession, root: str, analyser: Analyser = PLAIN):
+        self.spark, self.root, self.analyser = spark, root, analyser
         self._statistics: tuple[int, float] | None = None
 
     # Segments
 
     def segments(self) -> list[tuple[int, str]]:
-        """(number, mark) of the segments that are written to the end and count: the last merged one and those after it."""
+        """(number, mark) of the segments that are written to the end and count: the last merged one and those after it. A segment made by another analyser is refused."""
         where, store = _store(self.spark, self.root)
         if not store.exists(where):
             return []
         found = []
         for d in store.listStatus(where):
-            for mark in (NEW, CHANGED, WHOLE):
-                name = d.getPath().getName()
-                if name.isdigit() and store.exists(_store(self.spark, f"{self.root}/{name}/{mark}")[0]):
-                    found.append((int(name), mark))
+            name = d.getPath().getName()
+            if not name.isdigit():
+                continue
+            marks = {f.getPath().getName() for f in store.listStatus(d.getPath())}
+            if other := [m for m in marks if m.startswith(MADE_BY) and m != MADE_BY + self.analyser.mark]:
+                raise ValueError(f"{self.root} was made by the analyser {other[0].removeprefix(MADE_BY)}, not {self.analyser.mark}; rebuild it")
+            found += [(int(name), mark) for mark in (NEW, CHANGED, WHOLE) if mark in marks]
         found.sort()
         start = max((i for i, (_, mark) in enumerate(found) if mark == WHOLE), default=0)
         return found[start:]
@@ -66,6 +90,8 @@ class Index:
     def _write(self, number: int, rows: dict[str, DataFrame], mark: str) -> None:
         """All tables of a segment, and then the mark that makes them count."""
         top = f"{self.root}/{number:06d}"
+        where, store = _store(self.spark, f"{top}/{MADE_BY}{self.analyser.mark}")
+        store.create(where).close()
         for name, df in rows.items():
             order = TABLES[name][2] if name in TABLES else ["id"]
             columns = T._parse_datatype_string(TABLES[name][0]).names if name in TABLES else ["id"]
@@ -75,13 +101,13 @@ class Index:
         self._statistics = None
 
     def _rows(self, notes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
-        length = F.sum(F.col("title") + F.col("tags") + F.col("body")).over(Window.partitionBy("note_id"))
+        postings = written(placed(notes, self.analyser), "postings")  # texts are taken to pieces once; dealing out by ranges reads its input twice
         types = {f.name: f.dataType for f in T._parse_datatype_string(TABLES["notes"][0])}
         meta = notes.select(*((F.col(c) if c in notes.columns else F.lit(None)).cast(types[c]).alias(c) for c in META))
         owner = F.when(F.col("provenance") == "virtual", F.col("dst")).otherwise(F.col("src"))
         own = edges.select("src", "dst", "link_type", F.when(F.col("inline"), "inline").otherwise("typed").alias("provenance"), F.col("link_type").alias("original"), F.col("position").cast("int").alias("position"))
         back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), inverse(F.col("link_type")).alias("link_type"), F.lit("virtual").alias("provenance"), F.col("link_type").alias("original"), F.col("position").cast("int").alias("position"))
-        return {"notes": meta, "postings": counted(notes).withColumn("length", length), "links": own.unionByName(back).withColumn("owner", owner)}
+        return {"notes": meta, "postings": postings, "lengths": postings.filter("length > 0").groupBy("note_id").agg(F.max("length").alias("length")), "links": own.unionByName(back).withColumn("owner", owner)}
 
     def build(self, notes: DataFrame, edges: DataFrame, batches: int = 1, most: int | None = None) -> list[int]:
         """Indexes notes (with title, body, tags and updated) and edges by src in batches by a hash of the id, leaving out those that are whole, at most so many in this call; gives back the batches done. Call it with the same input and number of batches until nothing is left."""
@@ -151,7 +177,14 @@ class Index:
 
     @property
     def postings(self) -> DataFrame:
-        return self.table("postings")
+        """Counts by note and term, without stop words."""
+        return self.table("postings").filter(~F.col("term").isin(STOP_WORDS)).drop("places")
+
+    def rebuild(self, notes: DataFrame, edges: DataFrame) -> None:
+        """Removes what is there, by whatever analyser, and builds anew."""
+        remove(self.spark, self.root)
+        self._statistics = None
+        self.build(notes, edges)
 
     @property
     def links(self) -> DataFrame:
@@ -170,7 +203,6 @@ class Index:
     def statistics(self) -> tuple[int, float]:
         """How many notes have a term, and their mean length; worked out once for every state of the index."""
         if self._statistics is None:
-            lengths = self.postings.groupBy("note_id").agg(F.max("length").alias("length"))
-            total, mean = lengths.agg(F.count("*"), F.avg("length")).first()
+            total, mean = self.table("lengths").agg(F.count("*"), F.avg("length")).first()
             self._statistics = total, float(mean or 1)
         return self._statistics

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.functions.analysis import PLAIN, STEMMED, Analyser
 from lattica.model import ID_PREFIX
 
 from . import markdown
@@ -41,15 +42,24 @@ class Store:
         """Number of notes, from the files' footers."""
         return self.table("documents").count()
 
-    @property
-    def index(self) -> Index:
-        """The stored index of the notes and edges, built at its first use in a session and used as long as the tables stay as they are."""
-        mark = (self.spark.sparkContext.applicationId, self.sf_dir, *(fingerprint(self.spark, f"{self.sf_dir}/{t}.parquet") for t in ("documents", "labels")))
+    def index_by(self, analyser: Analyser) -> Index:
+        """The stored index of the notes and edges by an analyser's terms, built at its first use in a session and used as long as the tables stay as they are."""
+        mark = (self.spark.sparkContext.applicationId, analyser, self.sf_dir, *(fingerprint(self.spark, f"{self.sf_dir}/{t}.parquet") for t in ("documents", "labels")))
         if mark not in _indexes:
-            _indexes[mark] = index = Index(self.spark, new_path(self.spark, "index", keep=True))
+            _indexes[mark] = index = Index(self.spark, new_path(self.spark, "index", keep=True), analyser)
             index.build(self.notes, self.edges)
         return _indexes[mark]
 
+    @property
+    def index(self) -> Index:
+        """The index of words as they stand."""
+        return self.index_by(PLAIN)
+
+    @property
+    def stemmed(self) -> Index:
+        """The index of stems without marks on letters."""
+        return self.index_by(STEMMED)
+
     @property
     def folder(self) -> str:
         """A folder with a markdown file of every note, written at its first use in a session."""
