@@ -15,6 +15,8 @@ from lattica.sources.storage import written
 SMALL_FRONT = 256
 #: Rounds of a walk whose tables are read one by one.
 ROUNDS = 12
+#: What the cheapest link costs: half a step to a note of the highest value.
+LEAST_COST = 0.5
 
 
 def inverted(edges: DataFrame) -> DataFrame:
@@ -165,6 +167,59 @@ def limited(edges: DataFrame, root: str, hops: int, spark: SparkSession, max_nod
     return _together(notes).drop("place"), all_links, reason
 
 
+def cheapest(steps: DataFrame, root: str, max_cost: float, spark: SparkSession, max_nodes: int | None = None, max_edges: int | None = None, max_fanout: int | None = None, width: float = LEAST_COST) -> tuple[DataFrame, DataFrame, str | None]:
+    """Notes (id, cost, parent, link_type) and links (src, dst, link_type) of a walk by least cost over steps (src, dst, link_type, w) that stops at limits, and why it was cut: max_nodes, max_edges, max_fanout, max_hops, or None.
+
+    Delta-stepping (Meyer and Sanders, 2003) with buckets no wider than the cheapest link, so that the notes of a bucket
+    can't make each other cheaper: in each round those of the least bucket are final. They count in the order of cost and
+    id, so the first max_nodes are the cheapest there are. Notes below max_cost are expanded, each one's links by type and
+    target, the first max_fanout of them; links are listed in the order of the notes that they leave. Of equal ways to a
+    note the first by type and parent is its parent. Of several reasons the first in the order above is given.
+    """
+    steps = steps.filter("src <> dst").groupBy("src", "dst", "link_type").agg(F.min("w").alias("w"))
+    none = F.lit(None).cast("string")
+    ahead = spark.createDataFrame([(root, 0.0)], "id string, cost double").withColumns({"parent": none, "link_type": none})
+    notes, links, settled, listed, reasons = [], [], 0, 0, set()
+    while (low := ahead.agg(F.min("cost")).first()[0]) is not None:
+        bucket = ahead.filter(F.col("cost") < low + width)
+        if max_nodes is not None:
+            bucket = bucket.orderBy("cost", "id").limit(max_nodes - settled)
+        front = Front(bucket)
+        notes.append(front.rows)
+        settled += front.count()
+        out = front.out_of(steps, "cost")
+        if max_nodes is not None and settled >= max_nodes:
+            reasons.add("max_nodes")
+            last = front.rows.agg(F.max(F.struct("cost", "id")).alias("x")).select("x.id").first()[0]
+            out = out.filter(F.col("src") != last)  # the notes before the last one were expanded
+        if not out.filter(F.col("cost") >= max_cost).isEmpty():
+            reasons.add("max_hops")
+        near = written(out.filter(F.col("cost") < max_cost).withColumn("rn", F.row_number().over(Window.partitionBy("src").orderBy("link_type", "dst"))), "cheapest")
+        if max_fanout is not None:
+            if not near.filter(F.col("rn") > max_fanout).isEmpty():
+                reasons.add("max_fanout")
+            near = near.filter(F.col("rn") <= max_fanout)
+        if max_edges is not None:
+            there = near.count()
+            if there > max_edges - listed:
+                reasons.add("max_edges")
+            near = near.orderBy("cost", "src", "rn").limit(max_edges - listed)
+            listed += min(there, max_edges - listed)
+        links.append(near.select("src", "dst", "link_type"))
+        if "max_nodes" in reasons:
+            break
+        if len(notes) > ROUNDS:
+            notes = [written(_together(notes), "settled")]
+        ways = near.select(F.col("dst").alias("id"), F.struct((F.col("cost") + F.col("w")).alias("cost"), "link_type", F.col("src").alias("parent")).alias("way"))
+        ways = ways.unionByName(ahead.select("id", F.struct("cost", "link_type", "parent").alias("way"))).join(_together(notes).select("id"), "id", "left_anti")
+        ahead = written(ways.groupBy("id").agg(F.min("way").alias("way")).select("id", "way.cost", "way.parent", "way.link_type"), "ahead")
+        if "max_edges" in reasons:
+            notes.append(ahead)  # what the listed links lead to
+            break
+    all_links = _together(links) if links else steps.select("src", "dst", "link_type").limit(0)
+    return _together(notes), all_links, next((r for r in ("max_nodes", "max_edges", "max_fanout", "max_hops") if r in reasons), None)
+
+
 def simple_walk(edges: DataFrame, seeds: DataFrame, budget: float) -> DataFrame:
     """(id, cost) within a budget of link costs, over edges both ways."""
     both = directed(edges).select("src", "dst", "link_type", link_cost(F.col("link_type")).alias("w"))
@@ -185,18 +240,83 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("id", "component")
 
 
-def on_cycles(edges: DataFrame) -> DataFrame:
-    """(id) of notes left when notes without a way in or out are peeled off until none is: those on cycles or between them."""
-    left = written(edges.select("src", "dst"), "peeled")
-    n = left.count()
-    while n:
+def _peeled(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Edges left when notes without a way in or out are peeled off, in so many rounds at most."""
+    left, n, k = edges, edges.count(), 0
+    while n and (rounds is None or k < rounds):
         left = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
         left = written(left, "peeled")
-        rest = left.count()
+        rest, k = left.count(), k + 1
         if rest == n:
             break
         n = rest
-    return left.select(F.col("src").alias("id")).distinct()
+    return left
+
+
+def least_ancestors(edges: DataFrame) -> DataFrame:
+    """(id, least): the least id that leads to each note of the edges (src, dst), itself included, by labels of the notes before and then labels of labels, until none falls. A label leads to its note, so what leads to the label does too."""
+    labels = written(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct().withColumn("least", F.col("id")), "ancestors")
+    while True:
+        near = edges.join(labels.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("least").alias("near"))
+        step = labels.join(near, "id", "left").select("id", F.col("least").alias("old"), F.least("least", F.coalesce("near", "least")).alias("new"))
+        far = labels.select(F.col("id").alias("new"), F.col("least").alias("far"))
+        step = written(step.join(far, "new", "left").select("id", "old", F.least("new", F.coalesce("far", "new")).alias("least")), "ancestors")
+        labels = step.select("id", "least")
+        if step.filter("old <> least").isEmpty():
+            return labels
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(id, component) of the notes that lie on a cycle: the least id of all that lead to each other.
+
+    Colouring (Orzan, 2004): a note's colour is the least id that leads to it. Inside a colour, notes that lead back to that
+    id are one component; what is left of the colour is coloured again. Notes without a way in or out are peeled off first.
+    """
+    left, found = written(edges.select("src", "dst").distinct(), "strong"), []
+    while True:
+        left = _peeled(left, ROUNDS)
+        if left.isEmpty():
+            break
+        colours = least_ancestors(left)
+        inner = left.join(colours.select(F.col("id").alias("src"), F.col("least").alias("colour")), "src").join(colours.select(F.col("id").alias("dst"), F.col("least").alias("c2")), "dst").filter("colour = c2").select("src", "dst", "colour")
+        inner = written(inner, "coloured")
+        back = least_ancestors(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        members = written(back.join(colours.withColumnRenamed("least", "component"), "id").filter("least = component").select("id", "component"), "members")
+        ids = members.select("id")
+        on = inner.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        found.append(members.join(on.select(F.col("src").alias("id")).distinct(), "id", "left_semi"))
+        left = written(inner.join(ids.withColumnRenamed("id", "src"), "src", "left_anti").join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"), "strong")
+    return _together(found) if found else edges.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0)
+
+
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """(id) of notes that lie on a cycle."""
+    return strong_components(edges).select("id")
+
+
+def shortest_cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """(component, place, id): for each strong component a shortest cycle through its least note, from place 0, which that note has; of equal ways by the least note before. All components are walked at once, in as many rounds as the longest of these cycles has links."""
+    of = lambda c, name: components.select(F.col("id").alias(c), F.col("component").alias(name))
+    inner = written(edges.select("src", "dst").distinct().join(of("src", "component"), "src").join(of("dst", "c2"), "dst").filter("component = c2").select("src", "dst", "component"), "inner")
+    rounds = [written(components.filter("id = component").select("component", "id", F.lit(None).cast("string").alias("parent")), "cycle")]
+    ends, seen = [], rounds[0].select("component", "id").limit(0)
+    while not rounds[-1].isEmpty():
+        near = rounds[-1].select("component", F.col("id").alias("src")).join(inner, ["component", "src"]).groupBy("component", F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+        near = written(near.join(seen, ["component", "id"], "left_anti"), "cycle")
+        closed = near.filter("id = component")
+        ends.append(closed)
+        rest = near.join(closed.select("component"), "component", "left_anti")
+        seen = written(seen.unionByName(rest.select("component", "id")), "seen")
+        rounds.append(written(rest, "cycle"))
+    back, out = None, [rounds[0].select("component", F.lit(0).alias("place"), "id")]
+    for k in range(len(ends), 0, -1):
+        at = ends[k - 1].select("component", "parent")
+        if back is not None:
+            at = at.unionByName(back.withColumnRenamed("id", "at").join(rounds[k].withColumnRenamed("id", "at"), ["component", "at"]).select("component", "parent"))
+        back = written(at.withColumnRenamed("parent", "id"), "back")  # the note of each cycle that stands at place k - 1
+        if k > 1:
+            out.append(back.select("component", F.lit(k - 1).alias("place"), "id"))
+    return _together(out)
 
 
 def collection_members(edges: DataFrame, notes: DataFrame, root: str, transitive: bool, spark: SparkSession) -> DataFrame:

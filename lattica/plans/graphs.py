@@ -68,6 +68,18 @@ add("G7_max_nodes", lambda s: LIMITED(s, max_nodes=10), "SELECT id, hop, 'max_no
 add("G7_max_fanout", lambda s: LIMITED(s, max_fanout=2), "SELECT id, hop, 'max_fanout' AS reason FROM f3", fans("qp-1", 3, 2))
 add("G7_max_hops", lambda s: LIMITED(s), "SELECT id, cost::INT AS hop, 'max_hops' AS reason FROM h3", hops("h", "qp-1", 3, "edges"))
 add("G7_max_edges", lambda s: (lambda out: out[1].agg(F.count("*").alias("links"), F.lit(out[2]).alias("reason")))(G.limited(s.index.steps("out"), "qp-1", 3, s.spark, max_edges=12)), "SELECT 12 AS links, 'max_edges' AS reason")
+add("G7_edges_listed", lambda s: G.limited(s.index.steps("out"), "qp-1", 3, s.spark, max_edges=12)[1], "SELECT src, dst, link_type FROM (SELECT DISTINCT src, dst, link_type FROM edges WHERE src<>dst) JOIN b3 ON src=b3.id ORDER BY place, link_type, dst LIMIT 12", breadth("qp-1", 3, 100))
+_CHEAPEST = lambda s, most=3.0, **limits: G.cheapest(G.weighted(s.index.steps(), s.index.notes), "qp-30", most, s.spark, **limits)
+_NOTED = lambda out: R6(out[0]).withColumn("reason", F.lit(out[2] or "none"))
+#: Least costs where only notes below a cost are left.
+BELOW3 = WEIGHTED + ", " + hops("h", "qp-30", 7, "wdir", EDGE_COST, "WHERE p.cost<3.0")
+add("G4_cheapest", lambda s: _NOTED(_CHEAPEST(s)), "SELECT id, round(cost,6) AS cost, 'max_hops' AS reason FROM h7", BELOW3)
+add("G4_cheapest_nodes", lambda s: _NOTED(_CHEAPEST(s, max_nodes=25)), "SELECT id, round(cost,6) AS cost, 'max_nodes' AS reason FROM (SELECT * FROM h7 ORDER BY cost, id LIMIT 25)", BELOW3)
+add("G4_cheapest_fanout", lambda s: _NOTED(_CHEAPEST(s, max_fanout=2)), "SELECT id, round(cost,6) AS cost, 'max_fanout' AS reason FROM h7",
+    WEIGHTED.replace("AS w FROM val)", "AS w, link_type FROM val)") + ", narrow AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY link_type, dst) AS r FROM (SELECT src, dst, link_type, min(w) AS w FROM wdir WHERE src<>dst GROUP BY ALL)) WHERE r<=2), " + hops("h", "qp-30", 7, "narrow", EDGE_COST, "WHERE p.cost<3.0"))
+add("G4_cheapest_links", lambda s: _CHEAPEST(s, max_edges=40)[1], "SELECT src, dst, link_type FROM (SELECT DISTINCT src, dst, link_type FROM dir WHERE src<>dst) JOIN h7 ON src=h7.id WHERE cost<3.0 ORDER BY cost, src, link_type, dst LIMIT 40", BELOW3)
+add("G4_parents", lambda s: _CHEAPEST(s)[0].filter("parent is not null").select("id", "parent", "link_type"), "SELECT id, parent, link_type FROM (SELECT b.id, e.src AS parent, e.link_type, row_number() OVER (PARTITION BY b.id ORDER BY a.cost+e.w, e.link_type, e.src) AS r FROM h7 a JOIN ldir e ON e.src=a.id JOIN h7 b ON b.id=e.dst WHERE a.cost<3.0 AND b.id<>'qp-30') WHERE r=1",
+    BELOW3 + ", ldir AS (SELECT src, dst, link_type, " + COST + "*(1+(100-v)/100.0::DOUBLE) AS w FROM val WHERE src<>dst)")
 add("G9_collection_members", lambda s: G.collection_members(s.index.steps("out"), s.index.notes, "qp-10", True, s.spark), "SELECT id FROM m", "m AS (SELECT 'qp-10' AS id UNION SELECT e.dst FROM m JOIN edges e ON e.src=m.id JOIN notes x ON x.id=m.id WHERE x.type='moc')", True)
 add("G10_budget_walk", lambda s: R6(G.simple_walk(s.edges, SEED(s, "qp-30"), 2.0)), "SELECT id, round(cost,6) AS cost FROM h4 WHERE cost<=2.0", DIR + f", cdir AS (SELECT src, dst, {COST} AS w FROM dir), " + hops("h", "qp-30", 4, "cdir", EDGE_COST))
 add("G11_slice", lambda s: G.distances(s.index.steps(), SEED(s, "qp-3", "qp-4"), 2).select("id"), "SELECT DISTINCT id FROM (SELECT id FROM a2 UNION SELECT id FROM b2)", DIR + ", " + hops("a", "qp-3", 2, "dir") + ", " + hops("b", "qp-4", 2, "dir"))
@@ -90,6 +102,24 @@ _SPARSE = lambda s: s.edges.filter("link_type = 'follows'")
 LABEL = "und AS (SELECT src AS a, dst AS b FROM edges WHERE link_type='follows' UNION SELECT dst, src FROM edges WHERE link_type='follows'), reach AS (SELECT a, b FROM und UNION SELECT r.a, u.b FROM reach r JOIN und u ON u.a=r.b)"
 add("G17_components", lambda s: G.components(_SPARSE(s)), "SELECT a AS id, least(a,min(b)) AS component FROM reach GROUP BY 1, a", LABEL.replace("SELECT a AS id", "SELECT a AS id"), True)
 add("G18_on_cycles", lambda s: G.on_cycles(s.edges.filter("link_type = 'supports'")), "SELECT DISTINCT a AS id FROM reach WHERE a=b", "reach AS (SELECT src AS a, dst AS b FROM edges WHERE link_type='supports' UNION SELECT r.a, e.dst FROM reach r JOIN edges e ON e.src=r.b WHERE e.link_type='supports')", True)
+#: Links of two kinds: cycles, and notes between them. Every note's reach by UNION, so that it ends.
+_MIXED = lambda s: s.edges.filter("link_type in ('part-of', 'follows')")
+REACH = "mix AS (SELECT DISTINCT src, dst FROM edges WHERE link_type IN ('part-of','follows')), reach AS (SELECT src AS a, dst AS b FROM mix UNION SELECT r.a, e.dst FROM reach r JOIN mix e ON e.src=r.b), strong AS (SELECT x.a AS id, min(x.b) AS component FROM reach x JOIN reach y ON y.a=x.b AND y.b=x.a GROUP BY 1)"
+add("G18_strong_components", lambda s: G.strong_components(_MIXED(s)), "SELECT id, component FROM strong", REACH, True)
+
+
+def witnesses(s):
+    """Length of the cycle given for each component, and how many of its steps are links of the store."""
+    cycle = G.shortest_cycles(_MIXED(s), G.strong_components(_MIXED(s)))
+    after = cycle.select("component", F.col("id").alias("dst"), (F.col("place") - 1).alias("place"))
+    first = cycle.filter("place = 0").select("component", F.col("id").alias("first"))
+    steps = cycle.join(after, ["component", "place"], "left").join(first, "component").select("component", F.col("id").alias("src"), F.coalesce("dst", "first").alias("dst"))
+    there = _MIXED(s).select("src", "dst").distinct().withColumn("there", F.lit(1))
+    return steps.join(there, ["src", "dst"], "left").groupBy("component").agg(F.count("*").alias("links"), F.count("there").alias("real"))
+
+
+add("G18_cycle_lengths", witnesses, "SELECT component, min(n)::BIGINT AS links, min(n)::BIGINT AS real FROM far WHERE id=component GROUP BY 1",
+    REACH + ", inside AS (SELECT e.src, e.dst, s1.component FROM mix e JOIN strong s1 ON s1.id=e.src JOIN strong s2 ON s2.id=e.dst AND s2.component=s1.component), far AS (SELECT component, dst AS id, 1 AS n FROM inside WHERE src=component UNION SELECT f.component, e.dst, f.n+1 FROM far f JOIN inside e ON e.src=f.id AND e.component=f.component WHERE f.id<>f.component AND f.n<400)", True)
 _BAD = lambda s: s.compacts.unionByName(s.spark.createDataFrame([("qp-8", "qp-8"), ("qp-9", "qp-none"), ("qp-gone", "qp-17")], "digest_id string, source_id string"))
 add("G19_validation", lambda s: C.validation(_BAD(s), s.base.select("id")), "SELECT source_id AS id, 'multiple-compactors' AS problem FROM bad GROUP BY 1 HAVING count(DISTINCT digest_id)>1 UNION ALL SELECT 'qp-8', 'self' UNION ALL SELECT 'qp-none', 'unknown-source' UNION ALL SELECT 'qp-gone', 'unknown-digest'", "bad AS (SELECT digest_id, source_id FROM compacts UNION ALL VALUES ('qp-8','qp-8'),('qp-9','qp-none'),('qp-gone','qp-17'))")
 _ME = lambda s: C.canonical(s.compacts)

@@ -95,7 +95,7 @@ def test_places(spark, tmp_path):
     row = index.table("postings").filter("term = 'mind' and note_id = 'qp-2'").first()
     assert row["places"] == [0, 2 * COLUMN_PLACES + 3, 2 * COLUMN_PLACES + 5] and row["length"] == 5  # stop words count in no length
     assert "the" not in {r["term"] for r in index.postings.collect()}
-    assert index.statistics() == (6, pytest.approx((7 + 5 + 5 + 2 + 3 + 3) / 6))
+    assert index.statistics() == (6, pytest.approx((8 + 5 + 5 + 2 + 3 + 4) / 6))
 
 
 def test_stems_and_marks(spark, tmp_path):
