@@ -46,22 +46,20 @@ def near_duplicates(postings: DataFrame, total: int, threshold: float) -> DataFr
 
     Prefix filtering (Bayardo, Ma and Srikant, 2007): with terms by rarity, a note's rest of terms whose weights' length
     stays below the threshold can't reach it on its own, so a pair must share a term of both prefixes. Frequent terms
-    come last and seldom enter a prefix. What a pair shares of its prefixes bounds its cosine: all else that it shares
-    lies beyond the shorter prefix, in that note's rest. Pairs that pass are verified by the whole cosine.
+    come last and seldom enter a prefix. At the first term that a pair shares, its cosine is at most that term's product
+    and the product of the lengths of what comes after it in both notes; so a pair counts only where this reaches the
+    threshold, before anything is grouped. Pairs that pass are verified by the whole cosine.
     """
     tf = term_weights(postings)
     reps = written(copies(postings).filter("id = rep").select(F.col("id").alias("note_id")), "reps")
     vec = written(_scaled(tf, tf.join(reps, "note_id", "left_semi"), total), "vectors")
     by_rarity = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("term"))
-    upto = vec.withColumn("rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(by_rarity.rowsBetween(Window.unboundedPreceding, 0))))
-    upto = upto.withColumn("inside", F.col("rest") >= threshold - 1e-9)
-    upto = upto.withColumn("left", F.max(F.when(~F.col("inside"), F.col("rest")).otherwise(0.0)).over(Window.partitionBy("id")))
-    prefix = written(upto.filter(F.col("inside") & (F.col("df") > 1)).select("id", "term", "w", "left"), "prefixes")
-    a, b = (prefix.select(F.col("id").alias(f"id_{x}"), "term", F.col("w").alias(f"w{x}"), F.col("left").alias(f"left_{x}")) for x in "ab")
-    sums = [F.sum(F.col("wa") * F.col("wb")).alias("part"), F.sum(F.col("wa") * F.col("wa")).alias("sa"), F.sum(F.col("wb") * F.col("wb")).alias("sb"), F.max("left_a").alias("left_a"), F.max("left_b").alias("left_b")]
-    shared = a.join(b, "term").filter("id_a < id_b").groupBy("id_a", "id_b").agg(*sums)
-    beyond = lambda left, s: F.col(left) * F.sqrt(F.greatest(1 - F.col(s), F.lit(0.0)))
-    pairs = written(shared.filter(F.col("part") + F.greatest(beyond("left_a", "sb"), beyond("left_b", "sa")) >= threshold - 1e-9).select("id_a", "id_b"), "pairs")
+    length = lambda last: F.sqrt(F.coalesce(F.sum(F.col("w") * F.col("w")).over(by_rarity.rowsBetween(Window.unboundedPreceding, last)), F.lit(0.0)))
+    upto = vec.withColumns({"rest": length(0), "after": length(-1)})
+    prefix = written(upto.filter((F.col("rest") >= threshold - 1e-9) & (F.col("df") > 1)).select("id", "term", "w", "after"), "prefixes")
+    a, b = (prefix.select(F.col("id").alias(f"id_{x}"), "term", F.col("w").alias(f"w{x}"), F.col("after").alias(f"after_{x}")) for x in "ab")
+    bound = F.col("wa") * F.col("wb") + F.col("after_a") * F.col("after_b")
+    pairs = written(a.join(b, "term").filter((F.col("id_a") < F.col("id_b")) & (bound >= threshold - 1e-9)).select("id_a", "id_b").distinct(), "pairs")
     a, b = (vec.select(F.col("id").alias(f"id_{x}"), "term", F.col("w").alias(f"w{x}")) for x in "ab")
     scored = pairs.join(a, "id_a").join(b, ["id_b", "term"]).groupBy("id_a", "id_b").agg(F.sum(F.col("wa") * F.col("wb")).alias("score"))
     return scored.filter(F.col("score") >= threshold)
