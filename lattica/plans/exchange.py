@@ -23,8 +23,25 @@ add("S31_pack_notes", lambda s: pack.read_notes(_LINES(s)).select("id", "type",
 add("S30_pack_links", lambda s: pack.read_links(pack.link_lines(s.edges)), "SELECT src, link_type, dst, inline FROM edges")
 add("S28_pack_bodies", lambda s: pack.read_bodies(pack.note_lines(s.notes).groupBy("at").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "line"))), lambda x: x["line"]), "\n").alias("value"))).select("id", F.md5(F.col("body").cast("binary")).alias("body")), "SELECT id, md5(body) AS body FROM notes")
 add("S32_pack_lines", lambda s: pack.note_lines(s.notes).groupBy("part").agg(F.count("*").alias("n")), "SELECT unnest([0,1,2,3])::INT AS part, count(*) AS n FROM notes")
+
+
+def packed(s):
+    """All notes with metadata and sources, links, and pages as attachments, written as a pack and read again in splits."""
+    custom = s.custom.groupBy("id").agg(F.min("custom").alias("custom"))
+    source = F.array(F.struct(F.concat(F.lit("https://s.example/"), "doc_id").alias("url"), F.when(F.col("doc_id") % 2 == 0, "Title of it").alias("title"), F.lit(None).cast("string").alias("accessed")))
+    notes = s.notes.join(custom, "id", "left").withColumns({"sources": F.when(F.col("doc_id") % 5 == 0, source), "author": F.when(F.col("doc_id") % 4 == 0, "A. N. Other")})
+    files = s.table("pages").select(F.concat(F.lit("attachments/p"), "page_id", F.lit(".html")).alias("path"), F.concat(F.lit("p"), "page_id", F.lit(".html")).alias("name"), F.lit("text/html").alias("content_type"), F.coalesce("html", F.lit("")).cast("binary").alias("data"))
+    path = new_path(s.spark, "whole-pack")
+    pack.write_all(notes, s.edges, path, "tables", files, "[store]\nname = 1\n")
+    return pack.read_lines(s.spark, path)
+
+
+add("S28_pack_splits", lambda s: pack.whole_notes(packed(s)).select("id", "type", F.md5(F.col("body").cast("binary")).alias("body"), "value", "author", F.get_json_object("custom", "$.kind").alias("kind"), F.get(F.col("sources"), F.lit(0))["url"].alias("url"), F.get(F.col("sources"), F.lit(0))["title"].alias("source_title"), F.date_format("created", "yyyy-MM-dd").alias("created")),
+    "SELECT notes.id, type, md5(body) AS body, notes.value, CASE WHEN doc_id%4=0 THEN 'A. N. Other' END AS author, c.kind, CASE WHEN doc_id%5=0 THEN 'https://s.example/'||doc_id END AS url, CASE WHEN doc_id%10=0 THEN 'Title of it' END AS source_title, strftime(created,'%Y-%m-%d') AS created FROM notes LEFT JOIN (SELECT id, min(kind) AS kind FROM custom GROUP BY 1) c ON c.id=notes.id")
+add("S32_pack_kinds", lambda s: packed(s).groupBy(F.split("line", " ")[0].alias("kind")).agg(F.count("*").alias("n")), "SELECT kind, n FROM (SELECT unnest(['H','CFG','CFG-END','END']) AS kind, 1 AS n UNION ALL SELECT unnest(['A','D','D-END']), count(*) FROM pages UNION ALL SELECT 'N', count(*) FROM notes UNION ALL SELECT unnest(['C','C-END']), count(*) FROM notes WHERE body<>'' UNION ALL SELECT 'S', count(*) FROM notes WHERE doc_id%5=0 UNION ALL SELECT 'L', count(*) FROM edges)")
+add("S33_pack_attachments", lambda s: pack.attachments(packed(s)).select("path", "content_type", F.md5("data").alias("data")), "SELECT 'attachments/p'||page_id||'.html' AS path, 'text/html' AS content_type, md5(coalesce(html,'')) AS data FROM pages")
 add("S29_pack_json", lambda s: pack.read_json(E.as_json(s.notes).select(F.col("json").alias("line")), "id string, title string, type string, tags array<string>").select("id", "title", "type", F.array_join("tags", ",").alias("tags")), "SELECT id, title, type, array_to_string(tags,',') AS tags FROM notes")
-add("P15_dump", lambda s: pack.link_lines(s.edges.join(s.notes.filter("type = 'moc'").select(F.col("id").alias("src")), "src", "left_semi")).select("line"), "SELECT 'L '||src||' '||link_type||' '||dst||' inline='||inline AS line FROM edges WHERE src IN (SELECT id FROM notes WHERE type='moc')")
+add("P15_dump", lambda s: pack.link_lines(s.edges.join(s.notes.filter("type = 'moc'").select(F.col("id").alias("src")), "src", "left_semi")).select("line"), "SELECT 'L '||src||' '||dst||' type='||link_type||' inline='||inline AS line FROM edges WHERE src IN (SELECT id FROM notes WHERE type='moc')")
 add("S34_bundle", lambda s: E.bundle(s.base).select("place", F.md5(F.col("section").cast("binary")).alias("section")), "SELECT row_number() OVER (ORDER BY created ASC NULLS LAST, id) AS place, md5('## '||title||' ('||id||')'||chr(10)||chr(10)||body||chr(10)) AS section FROM notes")
 add("S35_outline", lambda s: E.outline(s.base, s.edges, "qp-20").select("place", F.md5(F.col("section").cast("binary")).alias("section")), "SELECT place, md5('## '||title||chr(10)||chr(10)||body) AS section FROM (SELECT 'qp-20' AS id, 0 AS place UNION ALL SELECT dst, min(position)+1 FROM edges WHERE src='qp-20' GROUP BY 1) JOIN notes USING (id)")
 _SRC = lambda s: s.table("pages").select("url", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("Page_"), F.col("page_id"))).alias("title"), F.when(F.col("page_id") % 3 == 0, "2024-01-02").alias("accessed"), F.concat(F.lit("N & "), F.col("page_id")).alias("note_title"))

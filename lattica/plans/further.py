@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lattica.functions import text as X
 from lattica.operators import filters as P
 from lattica.operators import graph as G
+from lattica.operators import ids as I
 from lattica.operators import quality as Q
 from lattica.operators import relational as R
 from lattica.operators import search as T
@@ -52,6 +53,12 @@ add("T_recency", lambda s: s.base.select("id", F.round(X.recency(F.col("updated"
 add("D2_invalid_frontmatter", lambda s: Q.issue(markdown.parse(_FILES(s)).filter("error is not null"), "error", "invalid-frontmatter", "path", F.col("error")), "SELECT 'error' AS severity, 'invalid-frontmatter' AS category, 'notes/'||id||'.md' AS note_id, 'no head' AS detail FROM notes WHERE doc_id%25=3")
 add("P13_workspace_slice", lambda s: (lambda near: s.base.join(near, "id", "left_semi").select("id", "title"))(G.distances(G.directed(s.edges), SEED(s, "qp-3"), 2).select("id")), "SELECT id, title FROM notes WHERE id IN (SELECT id FROM a2)", DIR + ", " + hops("a", "qp-3", 2, "dir"))
 
+#: Every tenth note is there already, by six letters of its hash.
+_HASH = lambda s: s.base.select("doc_id", F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.coalesce("body", F.lit(""))).cast("binary"), 256).alias("hash"))
+add("X22_shortest_ids", lambda s: I.shortest_ids(I.apart(_HASH(s).filter("doc_id % 10 <> 0").withColumnRenamed("doc_id", "key")), _HASH(s).filter("doc_id % 10 = 0").select(F.concat(F.lit("qp-"), F.substring("hash", 1, 6)).alias("id"))),
+    "SELECT key, 'qp-'||substr(h,1,greatest(4,1+coalesce(max(k),0))::INT) AS id FROM (SELECT a.doc_id AS key, a.h, len(list_filter(range(1,65), lambda n: substr(a.h,1,n::INT)=substr(b.h,1,n::INT) AND n<=len(b.h))) AS k FROM x a LEFT JOIN x b ON substr(a.h,1,4)=substr(b.h,1,4) AND a.doc_id<>b.doc_id WHERE a.doc_id%10<>0) GROUP BY key, h",
+    "x AS MATERIALIZED (SELECT doc_id, CASE WHEN doc_id%10=0 THEN substr(h,1,6) ELSE h END AS h FROM (SELECT doc_id, sha256(doc_id||':'||coalesce(body,'')) AS h FROM notes))")
+
 
 def synced(s):
     """An index of an older state brought to the notes as they are, and the checks after it."""
