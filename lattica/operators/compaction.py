@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.sources.storage import written
 
-from .graph import components
+from .graph import components, strong_components
 
 
 def conflicts(compacts: DataFrame) -> DataFrame:
@@ -18,9 +18,48 @@ def conflicts(compacts: DataFrame) -> DataFrame:
 
 
 def validation(compacts: DataFrame, notes: DataFrame) -> DataFrame:
-    """(id, problem): conflicts, and sources and digests that aren't among the notes (id)."""
+    """(id, problem): conflicts, cycles, and sources and digests that aren't among the notes (id)."""
     unknown = lambda c, problem: compacts.select(F.col(c).alias("id")).distinct().join(notes, "id", "left_anti").withColumn("problem", F.lit(problem))
-    return conflicts(compacts).unionByName(unknown("source_id", "unknown-source")).unionByName(unknown("digest_id", "unknown-digest"))
+    return conflicts(compacts).unionByName(cycles(compacts)).unionByName(unknown("source_id", "unknown-source")).unionByName(unknown("digest_id", "unknown-digest"))
+
+
+def cycles(compacts: DataFrame) -> DataFrame:
+    """(id, problem) of notes that stand for each other in a circle; a digest of itself is a conflict already."""
+    links = compacts.filter("digest_id <> source_id").select(F.col("digest_id").alias("src"), F.col("source_id").alias("dst"))
+    return strong_components(links).select("id", F.lit("cycle").alias("problem"))
+
+
+def tree_rows(compacts: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+    """(root, parent, id, depth, place) of what stands below digests (id), to a depth: place counts a root's notes in pre-order, those below one digest by id.
+
+    Sizes of subtrees are summed upward from the deepest level, then places go downward: a note comes after its digest and
+    all that is below the notes before it. A note below two digests is listed below each.
+    """
+    step = compacts.select(F.col("digest_id").alias("parent"), F.col("source_id").alias("id")).distinct()
+    none = F.lit(None).cast("string")
+    levels = [written(roots.select(F.col("id").alias("root"), none.alias("parent"), "id", none.alias("above")).withColumn("node", F.col("id")), "tree")]
+    while len(levels) <= depth:
+        up = levels[-1].select("root", F.col("id").alias("parent"), F.col("node").alias("above"))
+        # a node is told by its way from the root, as a digest of ids, since a note may stand in several places
+        down = up.join(step, "parent").withColumn("node", F.sha2(F.concat_ws("/", "above", "id").cast("binary"), 256))
+        level = written(down.select("root", "parent", "id", "above", "node"), "tree")
+        if level.isEmpty():
+            break
+        levels.append(level)
+    sized = [levels[-1].withColumn("size", F.lit(1).cast("long"))]
+    for level in reversed(levels[:-1]):
+        below = sized[0].groupBy("root", F.col("above").alias("node")).agg(F.sum("size").alias("below"))
+        sized.insert(0, written(level.join(below, ["root", "node"], "left").withColumn("size", 1 + F.coalesce("below", F.lit(0))).drop("below"), "tree"))
+    earlier = Window.partitionBy("root", "above").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = [sized[0].withColumn("place", F.lit(0).cast("long"))]
+    for level in sized[1:]:
+        start = placed[-1].select("root", F.col("node").alias("above"), F.col("place").alias("start"))
+        before = level.withColumn("before", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
+        placed.append(written(before.join(start, ["root", "above"]).withColumn("place", F.col("start") + 1 + F.col("before")).drop("start", "before"), "tree"))
+    out = [d.select("root", "parent", "id", F.lit(i).alias("depth"), "place") for i, d in enumerate(placed)]
+    for d in out[1:]:
+        out[0] = out[0].unionByName(d)
+    return out[0]
 
 
 def canonical(compacts: DataFrame, rounds: int = 32) -> DataFrame:

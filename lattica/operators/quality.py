@@ -9,7 +9,7 @@ from lattica.functions import text as X
 from lattica.model import INVERSES, NOTE_TYPES
 
 from . import relational as R
-from .compaction import conflicts
+from .compaction import conflicts, cycles
 from .graph import on_cycles
 
 
@@ -61,7 +61,7 @@ def attachments(bodies: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def compaction_invariants(compacts: DataFrame) -> DataFrame:
-    return issue(conflicts(compacts), "error", "compaction-invariant", detail=F.col("problem"))
+    return issue(conflicts(compacts).unionByName(cycles(compacts)), "error", "compaction-invariant", detail=F.col("problem"))
 
 
 def bare_link_lists(bodies: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ add = BOOK.add
 _FILES = lambda s: s.notes.select(F.concat(F.lit("notes/"), F.col("id"), F.lit(".md")).alias("path"), F.when(F.col("doc_id") % 25 == 3, "no head").otherwise(markdown.render(s.notes)).alias("text"))
 add("S3_frontmatter", lambda s: markdown.scan(s.spark, s.folder).filter("error is null").select("id", "title", "type", F.coalesce("value", F.lit(-1)).alias("value"), F.array_join("tags", ",").alias("tags"), F.md5(F.col("body").cast("binary")).alias("body")), "SELECT id, title, type, coalesce(value,-1) AS value, array_to_string(tags,',') AS tags, md5(body) AS body FROM notes")
 add("S5_permissive_scan", lambda s: markdown.parse(_FILES(s)).filter("error is not null").select("path", "error"), "SELECT 'notes/'||id||'.md' AS path, 'no head' AS error FROM notes WHERE doc_id%25=3")
+_BAD_VALUES = lambda s: _FILES(s).withColumn("text", F.when(F.regexp_extract("path", r"qp-(\d+)", 1).cast("int") % 3 == 0, F.regexp_replace("text", r"\nvalue: \d+\n", "\nvalue: high\n")).otherwise(F.col("text")))
+add("S5_bad_values", lambda s: markdown.parse(_BAD_VALUES(s)).select("path", F.col("error").isNull().alias("fine"), F.coalesce("value", F.lit(-1)).alias("value"), F.when(F.col("error").startswith("value"), F.col("error")).alias("error")), "SELECT 'notes/'||id||'.md' AS path, doc_id%25<>3 AND NOT coalesce(doc_id%3=0 AND value IS NOT NULL,false) AS fine, CASE WHEN doc_id%25=3 OR doc_id%3=0 OR value IS NULL THEN -1 ELSE value END AS value, CASE WHEN doc_id%25<>3 AND doc_id%3=0 AND value IS NOT NULL THEN 'value is no whole number: high' END AS error FROM notes")
 _SQL_FILE = "'---'||chr(10)||'id: '||id||chr(10)||'title: '||to_json(title)||chr(10)||'type: '||type||coalesce(chr(10)||'value: '||value,'')||chr(10)||'tags: '||to_json(tags)||chr(10)||'---'||chr(10)||body"
 add("S4_note_writer", lambda s: markdown.scan_raw(s.spark, s.folder).select(F.regexp_extract("path", "([^/]+)[.]md$", 1).alias("id"), F.octet_length("text").cast("long").alias("bytes"), F.md5(F.col("text").cast("binary")).alias("digest")), f"SELECT id, strlen(f)::BIGINT AS bytes, md5(f) AS digest FROM (SELECT id, {_SQL_FILE} AS f FROM notes)")
 _LINES = lambda s: pack.note_lines(s.notes).select("line")

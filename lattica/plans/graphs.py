@@ -122,6 +122,11 @@ add("G18_cycle_lengths", witnesses, "SELECT component, min(n)::BIGINT AS links,
     REACH + ", inside AS (SELECT e.src, e.dst, s1.component FROM mix e JOIN strong s1 ON s1.id=e.src JOIN strong s2 ON s2.id=e.dst AND s2.component=s1.component), far AS (SELECT component, dst AS id, 1 AS n FROM inside WHERE src=component UNION SELECT f.component, e.dst, f.n+1 FROM far f JOIN inside e ON e.src=f.id AND e.component=f.component WHERE f.id<>f.component AND f.n<400)", True)
 _BAD = lambda s: s.compacts.unionByName(s.spark.createDataFrame([("qp-8", "qp-8"), ("qp-9", "qp-none"), ("qp-gone", "qp-17")], "digest_id string, source_id string"))
 add("G19_validation", lambda s: C.validation(_BAD(s), s.base.select("id")), "SELECT source_id AS id, 'multiple-compactors' AS problem FROM bad GROUP BY 1 HAVING count(DISTINCT digest_id)>1 UNION ALL SELECT 'qp-8', 'self' UNION ALL SELECT 'qp-none', 'unknown-source' UNION ALL SELECT 'qp-gone', 'unknown-digest'", "bad AS (SELECT digest_id, source_id FROM compacts UNION ALL VALUES ('qp-8','qp-8'),('qp-9','qp-none'),('qp-gone','qp-17'))")
+#: Digests of their own digests, near and far.
+_ROUND = lambda s: s.compacts.unionByName(s.spark.createDataFrame([("qp-21", "qp-20"), ("qp-121", "qp-100"), ("qp-30", "qp-31"), ("qp-31", "qp-32")], "digest_id string, source_id string"))
+add("G19_cycles", lambda s: C.cycles(_ROUND(s)), "SELECT DISTINCT a AS id, 'cycle' AS problem FROM rr WHERE a=b", "around AS (SELECT digest_id, source_id FROM compacts UNION ALL VALUES ('qp-21','qp-20'),('qp-121','qp-100'),('qp-30','qp-31'),('qp-31','qp-32')), rr AS (SELECT digest_id AS a, source_id AS b FROM around UNION SELECT rr.a, c.source_id FROM rr JOIN around c ON c.digest_id=rr.b)", True)
+add("G16_preorder", lambda s: C.tree_rows(s.compacts, s.base.filter("type = 'moc'").select("id"), 3), "SELECT root, parent, id, depth::INT AS depth, row_number() OVER (PARTITION BY root ORDER BY way)-1 AS place FROM tr",
+    "tr AS (SELECT id AS root, NULL::VARCHAR AS parent, id, 0 AS depth, [id] AS way FROM notes WHERE type='moc' UNION ALL SELECT tr.root, tr.id, c.source_id, tr.depth+1, list_append(tr.way,c.source_id) FROM tr JOIN compacts c ON c.digest_id=tr.id WHERE tr.depth<3)", True)
 _ME = lambda s: C.canonical(s.compacts)
 
 

@@ -63,6 +63,19 @@ def _head(text: str) -> dict:
     return out
 
 
+def _whole_number(x) -> int | None:
+    if x is None or isinstance(x, int) and not isinstance(x, bool) and -(2**31) <= x < 2**31:
+        return x
+    raise ValueError(f"value is no whole number: {x}")
+
+
+def _listed(fields: dict, name: str) -> list:
+    x = fields.get(name) or []
+    if not isinstance(x, list):
+        raise ValueError(f"{name} is no list: {x}")
+    return x
+
+
 def parse_note(path: str, text: str) -> dict:
     """One file's fields; error says why it is no note."""
     row = dict.fromkeys(("id", "title", "type", "value", "tags", "links", "body", "error")) | {"path": path}
@@ -75,8 +88,8 @@ def parse_note(path: str, text: str) -> dict:
         fields = _head(head)
         if not fields.get("id") or not fields.get("title"):
             raise ValueError("id or title is missing")
-        links = [{"type": str(x.get("type", "related")), "id": str(x.get("id"))} for x in fields.get("links") or []]
-        row |= {"id": str(fields["id"]), "title": str(fields["title"]), "type": str(fields.get("type", "fleeting")).lower(), "value": fields.get("value"), "tags": [str(t) for t in fields.get("tags") or []], "links": links, "body": body}
+        links = [{"type": str(x.get("type", "related")), "id": str(x.get("id"))} for x in _listed(fields, "links")]
+        row |= {"id": str(fields["id"]), "title": str(fields["title"]), "type": str(fields.get("type", "fleeting")).lower(), "value": _whole_number(fields.get("value")), "tags": [str(t) for t in _listed(fields, "tags")], "links": links, "body": body}
     except Exception as e:  # noqa: BLE001  any bad file is a row with its error
         row["error"] = str(e)[:200]
     return row
