@@ -44,7 +44,7 @@ add("S1_full_index", lambda s: by_column(counted(s.notes)), "SELECT col, sum(cnt
 add("T1_search", lambda s: ROUND(T.search(s.index, "thtion", NOW())), *_arms(["thtion"]))
 add("T2_search_two_words", lambda s: ROUND(T.search(s.index, "er-re thtion", NOW())), *_arms(["er", "re", "thtion"]))
 add("F14_search_filtered", lambda s: ROUND(T.search(s.index, "re er", NOW(), 100, F.col("type").isin("permanent", "moc") & (F.coalesce("value", F.lit(50)) >= 30))), *_arms(["re", "er"], "type IN ('permanent','moc') AND coalesce(value,50)>=30", 100))
-add("T3_or_not_prefix", lambda s: T.search(s.index, "therer OR ingand NOT token", NOW(), None).select("id"), "SELECT DISTINCT note_id AS id FROM post WHERE term IN ('therer','ingand') AND note_id NOT IN (SELECT note_id FROM post WHERE term='token')", POSTINGS)
+add("T3_or_not_prefix", lambda s: T.search(s.index, "therer OR ingand NOT token", NOW(), None).select("id"), "SELECT DISTINCT note_id AS id FROM post WHERE term='therer' OR (term='ingand' AND note_id NOT IN (SELECT note_id FROM post WHERE term='token'))", POSTINGS)
 add("T3_prefix", lambda s: T.search(s.index, "ingthe*", NOW(), None).select("id"), "SELECT DISTINCT note_id AS id FROM post WHERE term LIKE 'ingthe%'", POSTINGS)
 _SEL, _CTES = _arms(["thtion"])
 add("T4_hits_to_digests", lambda s: ROUND(T.to_digests(T.search(s.index, "thtion", NOW()), canonical(s.compacts))).select("id", "relevance", "via"),
