@@ -44,6 +44,7 @@ def materialize(edges: DataFrame, src: str, link_type: str = "related") -> DataF
 def merge_notes(notes: DataFrame, edges: DataFrame, source: str, target: str) -> tuple[DataFrame, DataFrame]:
     """One note merged into another: tags and bodies joined, links moved, links to the target from itself dropped, repeats once."""
     s = notes.filter(F.col("id") == source).select(F.col("tags").alias("s_tags"), F.col("body").alias("s_body"), F.lit(target).alias("id"))
+    # The heading is a fixed value: files that were merged elsewhere have the same.
     body = F.concat(F.trim("body"), F.lit(f"\n\n---\n\n### Merged from {source}\n\n"), F.trim("s_body"))
     kept = notes.filter(F.col("id") != source).join(F.broadcast(s), "id", "left")  # one row at most, for one id
     hit = F.col("s_tags").isNotNull()

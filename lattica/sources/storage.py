@@ -45,6 +45,17 @@ def remove(spark: SparkSession, path: str) -> None:
     store.delete(where, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where, store = _store(spark, path)
+    return store.exists(where)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder."""
+    where, store = _store(spark, path)
+    return [f.getPath().getName() for f in store.listStatus(where)]
+
+
 def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
     """A fresh path in the shared folder, deleted at the end of the scratch() block that it is made in, unless it is kept, else when the driver ends."""
     top = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -5,10 +5,13 @@ A stream's daily windows go by event time with a watermark, so results don't dep
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from lattica.functions.text import DURATIONS, bucket
+from lattica.sources.storage import children, exists, remove
 
 RETENTION = "7 days"
 EVENT = "ts timestamp, command string, success boolean, duration_ms double, error string"
@@ -85,3 +88,44 @@ def stream_upserts(stream: DataFrame, key: str, order: str, apply, checkpoint: s
         apply(batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("x")).select("x.*"), number)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_newest(stream: DataFrame, out: str, checkpoint: str, most: int = 1000) -> None:
+    """Keeps the newest events of a stream in a folder for the last micro-batch: the newest of what came and of what the one before kept. A micro-batch that is run again reads the same as before and replaces itself."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = f"{out}/{number - 1}"
+        held = spark.read.schema(batch.schema).parquet(before).unionByName(batch) if number and exists(spark, before) else batch
+        newest(held, most).write.mode("overwrite").parquet(f"{out}/{number}")
+        if number > 1:
+            remove(spark, f"{out}/{number - 2}")  # the one before stays for a repeat
+
+    stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def kept_newest(spark: SparkSession, out: str) -> DataFrame:
+    """The buffer that stream_newest wrote last."""
+    return spark.read.parquet(f"{out}/{max(int(n) for n in children(spark, out) if n.isdigit())}")
+
+
+def stream_sessions(stream: DataFrame, out: str, checkpoint: str, least: int = 100):
+    """Starts a stream that emits a batch (day, number, events, whole) of each day for every so many events, and what is left, if any, when the watermark passes the day. Days are states of two numbers; nothing but these is kept."""
+
+    def step(key, parts, state):
+        day = key[0]
+        pending, number = state.get if state.exists else (0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            rows = [(day, number, pending, False)] if pending else []
+        else:
+            pending += sum(len(p) for p in parts)
+            rows = [(day, number + i, least, True) for i in range(pending // least)]
+            state.update((pending % least, number + len(rows)))
+            end = int((pd.Timestamp(day) + pd.Timedelta(days=1)).timestamp() * 1000)
+            state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(rows, columns=["day", "number", "events", "whole"]).astype({"number": "int64", "events": "int64"})
+
+    days = stream.withWatermark("ts", RETENTION).filter("ts is not null").select(F.to_date("ts").alias("day"), "ts")
+    batches_ = days.groupBy("day").applyInPandasWithState(step, "day date, number long, events long, whole boolean", "pending long, number long", "append", GroupStateTimeout.EventTimeTimeout)
+    return batches_.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
