@@ -99,3 +99,35 @@ def rerun(s):
 
 add("R5_resume_batches", rerun, "SELECT id, 1 AS n FROM notes")
 add("R6_latest_versions", lambda s: R.keep_latest(s.table("events").select("user_id", "event_id", "ts", "event_type"), ["user_id"], F.desc("ts"), F.desc("event_id")).select("user_id", "event_id", "event_type"), "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r=1")
+
+
+def in_weeks(s) -> str:
+    """The events as files of a week each, written one after the other, so that a stream reads them in that order."""
+    where = new_path(s.spark, "weeks")
+    week = F.floor(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) / 7)
+    for i in range(5):
+        s.telemetry.filter(week == i if i < 4 else week >= 4).coalesce(1).write.parquet(f"{where}/in/{i}")
+    return where
+
+
+def _weekly(s, where: str):
+    return s.spark.readStream.schema(s.telemetry.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{where}/in")
+
+
+def buffered(s):
+    """What the bounded buffer holds after the stream, by command."""
+    where = in_weeks(s)
+    telemetry.stream_newest(_weekly(s, where), f"{where}/out", f"{where}/state", 1000)
+    return telemetry.kept_newest(s.spark, f"{where}/out").groupBy("command").agg(F.count("*").alias("n"))
+
+
+def sent(s):
+    """Batches of a hundred events that the stream has sent for each day, and the rest of days that the watermark has passed."""
+    where = in_weeks(s)
+    telemetry.stream_sessions(_weekly(s, where), f"{where}/out", f"{where}/state", 10).awaitTermination()
+    out = s.spark.read.schema("day date, number long, events long, whole boolean").parquet(f"{where}/out")
+    return out.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count_if("whole").alias("batches"), F.coalesce(F.sum(F.when(~F.col("whole"), F.col("events"))), F.lit(0)).alias("rest")).filter("batches > 0 or rest > 0")
+
+
+add("R1_streamed_buffer", buffered, "SELECT command, count(*) AS n FROM (SELECT * FROM telemetry ORDER BY ts DESC, command, duration_ms LIMIT 1000) GROUP BY 1")
+add("R4_streamed_batches", sent, "SELECT day, n//10 AS batches, CASE WHEN over THEN n%10 ELSE 0 END::BIGINT AS rest FROM (SELECT strftime(ts,'%Y-%m-%d') AS day, count(*) AS n, any_value(date_trunc('day',ts))+INTERVAL 1 DAY<=(SELECT max(ts) FROM telemetry)-INTERVAL 7 DAY AS over FROM telemetry GROUP BY 1) WHERE n//10>0 OR (over AND n%10>0)")

@@ -315,3 +315,12 @@ def test_near_duplicates_by_brute_force(spark):
         got = {(r["id_a"], r["id_b"]): r["score"] for r in M.near_duplicates(postings, len(texts), threshold).collect()}
         want = {(a, b): dot(a, b) for i, a in enumerate(reps) for b in reps[i + 1 :] if dot(a, b) >= threshold}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and want
+
+
+def test_a_random_sample_has_five_of_the_notes(spark):
+    import __spark_entry__
+
+    sf = "/root/testdata/sf0.001"
+    every = {f"qp-{r['doc_id']}" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()}
+    drawn = [[r["id"] for r in __spark_entry__.queries()["O13_random_sample"](spark, sf).collect()] for _ in range(3)]
+    assert all(len(set(d)) == 5 and set(d) <= every for d in drawn) and len(set(map(tuple, drawn))) > 1
