@@ -32,9 +32,9 @@ from .common import batches, blank_if_null, table
 #: White space of Unicode, fixed values.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 #: Chunks kept with their ids in each Python worker, and tokens of these; a full table is emptied, so memory is bounded.
-CACHE_CHUNKS, CACHE_IDS = 400_000, 8_000_000
+CACHE_CHUNKS, CACHE_IDS = 200_000, 4_000_000
 #: States of the byte table kept in each Python worker; it starts anew beyond them.
-TABLE_STATES = 120_000
+TABLE_STATES = 60_000
 #: Longer chunks are encoded one by one and not kept.
 CACHE_CHARS = 64
 #: Words that walk the byte table together, and characters of texts that are encoded together.
