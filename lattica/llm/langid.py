@@ -207,12 +207,12 @@ class Tagger:
         if len(self.rows) > scaled(CACHE_TOKENS, len(self.model.langs)):
             self._clear()
         split = [words_of(t) if t else [] for t in texts]
-        sizes = list(map(len, split))
-        every = np.fromiter(map(self.rows.__getitem__, (w for words in split for w in words)), np.int64, sum(sizes))
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        every = np.fromiter(map(self.rows.__getitem__, (w for words in split for w in words)), np.int64, int(sizes.sum()))
         if self.rows.new:
             self._add()
         known = self.letters[every] > 0
-        ends = np.cumsum(sizes, dtype=np.int64)
+        ends = np.cumsum(sizes)
         have = np.concatenate([[0], np.cumsum(known)])
         counts = have[ends] - have[ends - sizes]
         live = np.nonzero(counts)[0]

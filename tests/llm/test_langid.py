@@ -50,6 +50,15 @@ def test_accuracy_and_edges(spark):
     assert {r["lang_pred"] for r in langid.identify(mixed, nothing).collect()} == {"und"}
 
 
+def test_batch_that_ends_with_a_whole_group(spark, monkeypatch):
+    """The last text of a batch fills a group, so that none is left to predict."""
+    df = spark.createDataFrame([(i, "bala tamo", "aa") for i in range(40)], "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert langid.Tagger(model).predict([], True) == []
+    monkeypatch.setattr(langid, "TOGETHER", 8)
+    assert {r["lang_pred"] for r in langid.identify(df, model).collect()} == {"aa"}
+
+
 def test_held_out_labels_teach_nothing(spark):
     rows = [(i, "bala tamo", "aa" if zlib.crc32(str(i).encode()) % 5 else "zz") for i in range(100)]
     assert langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).langs == ["aa"]
