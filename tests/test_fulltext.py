@@ -10,7 +10,7 @@ from lattica.functions.analysis import PLAIN, STEMMED, Analyser
 from lattica.functions.snowball import english
 from lattica.operators import query as Q
 from lattica.operators import search as T
-from lattica.sources.index import COLUMN_PLACES, Index
+from lattica.sources.index import COLUMN_PLACES, Index, placed
 
 NOW = lambda: F.lit("2025-01-01").cast("timestamp")
 EDGES = "src string, dst string, link_type string, inline boolean, position int"
@@ -116,3 +116,16 @@ def test_a_phrase_in_the_title_weighs_more(spark, tmp_path):
     assert [h["id"] for h in T.search(index, "fish", NOW()).collect()][0] == "qp-2"
     twice = T.search(index, "fish fish", NOW()).collect()
     assert twice[0]["relevance"] > T.search(index, "fish", NOW()).collect()[0]["relevance"]
+
+
+def test_words_are_grouped_where_they_stand(spark):
+    """No shuffle or sort of texts or words; rows that repeat an id are brought together."""
+    schema = "id string, title string, tags array<string>, body string, updated timestamp"
+    one = spark.createDataFrame([("a", "The tale", ["x"], "tale of tales\nÉque", None), ("b", None, None, None, None)], schema)
+    plan = placed(one)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan and "Aggregate" not in plan
+    got = {(r["note_id"], r["term"]): (r["title"], r["body"], r["places"], r["length"]) for r in placed(one).collect()}
+    assert got["a", "tale"] == (1, 1, [1, (2 << 32)], 5) and got["a", "the"] == (1, 0, [0], 5) and len(got) == 6
+    twice = one.unionByName(spark.createDataFrame([("a", "tale", ["x"], "of", None)], schema))
+    got = {r["term"]: (r["title"], r["places"], r["length"]) for r in placed(twice).collect()}
+    assert got["tale"] == (2, [0, 1, 2 << 32], 7) and got["x"] == (0, [1 << 32, 1 << 32], 7)
