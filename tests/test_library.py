@@ -85,6 +85,26 @@ def test_similarity(spark):
     assert of == {"a": ("a", "a", 1), "b": ("a", "a", 1), "c": ("c", "a", 1)}
 
 
+def test_near_duplicates_against_all_pairs(spark):
+    """Pairs are verified by vectors held in a row each, whose terms no join multiplies."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    base = [[rng.choice(words) for _ in range(rng.choice([8, 60, 900]))] for _ in range(12)]
+    rows = [(f"n{k}-{i}", " ".join(w if rng.random() > i / 20 else rng.choice(words) for w in b)) for k, b in enumerate(base) for i in range(5)] + [("none", "")]
+    n = spark.createDataFrame(rows, "id string, body string").withColumn("title", F.lit("")).withColumn("tags", F.array().cast("array<string>")).withColumn("updated", F.lit(None).cast("timestamp"))
+    postings = counted(n).cache()
+    of = {}
+    for r in M.vectors(postings, len(rows)).collect():
+        of.setdefault(r["id"], {})[r["term"]] = r["w"]
+    reps = {tuple(sorted(of[x].items())): x for x in sorted(of, reverse=True)}  # the least id of each vector
+    want = {(a, b): x for a in reps.values() for b in reps.values() if a < b and (x := sum(w * of[b].get(t, 0.0) for t, w in of[a].items())) >= 0.6}
+    found = M.near_duplicates(postings, len(rows), 0.6)
+    assert "term" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r["id_a"], r["id_b"]): r["score"] for r in found.collect()}
+    assert len(want) > 20 and got == {k: pytest.approx(x) for k, x in want.items()}
+    assert M.near_duplicates(postings.limit(0), 1, 0.6).count() == 0
+
+
 def test_second_neighbours(spark):
     e = spark.createDataFrame([("1", "2"), ("2", "3"), ("1", "4"), ("4", "3")], "src string, dst string")
     assert [(r["id"], r["score"]) for r in M.second_neighbours(e, "1", 10).collect()] == [("3", 2.0)]
