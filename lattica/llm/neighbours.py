@@ -4,7 +4,8 @@ Vectors are dealt into partitions by coarse centroids; what remains is quantised
 of 16 entries. Codes are score-aware (Guo et al., 2020, "Accelerating Large-Scale Inference with Anisotropic Vector
 Quantization"): error parallel to the vector, which changes large inner products, weighs ETA times as much as error
 across it. A query scans its best partitions by tables of 16 products for each codebook (two four-bit codes a byte, so
-tables of 256 for each pair), and the RERANK best of each block are ranked by exact inner products in double precision.
+tables of 256 for each pair). The RERANK best of each block are scored exactly, and so is every other vector of the block
+whose codes, within their error, allow it among the best: in what it looks into, a search misses nothing.
 
 Codebooks are fitted on a bounded sample of FIT_ROWS vectors drawn by a hash of the id; every vector is indexed. Partitions
 are dealt out in blocks of at most about BLOCK rows and BLOCK queries, whatever their size.
@@ -146,6 +147,13 @@ class Index:
         return out
 
 
+    def missed(self, x: np.ndarray, part: int, codes: np.ndarray) -> np.ndarray:
+        """How far each coded vector of a partition lies from what its codes say: times a query's length, this bounds the error of a score."""
+        each = np.stack([codes >> 4, codes & 15], 2).reshape(len(codes), -1)
+        said = self.books[np.arange(each.shape[1])[None], each].reshape(len(codes), -1)[:, : self.dim] + self.centroids[part]
+        return np.linalg.norm(x - said, axis=1)
+
+
 def fit(cleaned: DataFrame) -> dict[int, Index]:
     """An index for each dimension that occurs; vectors of different dimensions have no inner product."""
     out = {}
@@ -213,13 +221,24 @@ def search(vectors: DataFrame, is_query, top: int = TOP, id_col: str = "vec_id",
         ids, v = rows["id"].to_numpy(), _matrix(rows["v"])
         codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint8).reshape(len(ids), -1)
         qids, q = query_rows["qid"].to_numpy(), _matrix(query_rows["q"])
+        far = np.linalg.norm(v, axis=1)
+        error = index.missed(v, part, codes)
+        far = np.maximum(far, np.linalg.norm(index.centroids[part]) + error)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for at in range(0, len(q), 256):
             own, who = q[at : at + 256], qids[at : at + 256]
             rough = index.scan(own, part, codes)
             rough[who[:, None] == ids[None, :]] = -np.inf
-            for i, order in enumerate(np.argsort(-rough, axis=1, kind="stable")[:, :RERANK]):
-                order = order[rough[i, order] > -np.inf]
+            first = np.argpartition(-rough, min(RERANK, len(ids)) - 1, axis=1)[:, :RERANK]
+            lengths = np.linalg.norm(own, axis=1)
+            exact = np.stack([np.sort((v[f] * q).sum(1) + np.where(r[f] > -np.inf, 0.0, -np.inf))[-min(top, len(f)) :][:1] for f, q, r in zip(first, own, rough, strict=True)])
+            # every vector that by its codes may still be among the top is scored; a few roundings are allowed for
+            open_ = (rough > -np.inf) & (rough + lengths[:, None] * (error + 1e-5 * far)[None] >= exact)
+            needed = np.nonzero(open_.any(0))[0]
+            products = np.where(open_[:, needed], own @ v[needed].T, -np.inf)
+            for i, row in enumerate(products):
+                least = np.partition(row, -min(top, len(row)))[-min(top, len(row))] if len(row) else 0.0
+                order = needed[(row > -np.inf) & (row >= least - 1e-9 * lengths[i] * far.max())]
                 score = (v[order] * own[i]).sum(1)
                 best = np.lexsort((ids[order], -score))[:top]
                 out.append((np.full(len(best), who[i]), ids[order][best], score[best]))

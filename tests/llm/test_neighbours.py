@@ -62,6 +62,16 @@ def test_recall_on_the_embeddings(spark, monkeypatch):
     assert recall(neighbours.op10_nearest(spark, sf).collect(), rows) >= 0.9
 
 
+def test_recall_in_dense_clusters(spark):
+    """Vectors of a cluster that differ by less than codes tell apart, more of them than RERANK."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(3, 16)) * 5
+    x = np.concatenate([c + rng.normal(size=(900, 16)) * 0.01 for c in centres])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert recall(neighbours.search(df, lambda i: i % 20 == 0).collect(), rows) >= 0.99
+
+
 def test_clusters_need_few_partitions():
     rng = np.random.default_rng(9)
     centres = rng.normal(size=(40, 16)) * 5
