@@ -344,3 +344,11 @@ def test_a_random_sample_has_five_of_the_notes(spark):
     every = {f"qp-{r['doc_id']}" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()}
     drawn = [[r["id"] for r in __spark_entry__.queries()["O13_random_sample"](spark, sf).collect()] for _ in range(3)]
     assert all(len(set(d)) == 5 and set(d) <= every for d in drawn) and len(set(map(tuple, drawn))) > 1
+
+
+def test_large_metadata_by_size(spark):
+    """Sizes that are known need no texts: a note's metadata may be larger than a string can be."""
+    sizes = spark.createDataFrame([("a", 10240), ("b", 10241), ("c", 1 << 40)], "id string, bytes long")
+    assert {(r["note_id"], r["detail"]) for r in Q.large_metadata(sizes).collect()} == {("b", "10241"), ("c", str(1 << 40))}
+    texts = spark.createDataFrame([("a", "é" * 5120), ("b", "é" * 5121)], "id string, custom string")
+    assert [(r["note_id"], r["detail"]) for r in Q.large_metadata(texts).collect()] == [("b", "10242")]
