@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.llm import runindex
+from lattica.sources import storage
 
 SCHEMA = "doc_id long, text string"
 
@@ -127,3 +129,16 @@ def test_as_registered(spark):
     want = by_hand([(r["doc_id"], r["text"]) for r in docs.collect()])
     got = runindex.op12_suffix_dedup(spark, "/root/testdata/sf0.001")
     assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] and sorted(map(tuple, got.collect()), key=repr) == want
+
+
+@pytest.mark.parametrize("hot_over", [runindex.HOT, 1])
+def test_rounds(spark, hot_over):
+    """Fingerprints dealt out to rounds give the same, and no round's tables outlive it."""
+    rows = sample(3)
+    before = set(os.listdir(storage.shared_dir(spark).removeprefix("file://")))
+    got = runindex.dedup(spark.createDataFrame(rows, SCHEMA), hot_over=hot_over, round_bytes=2000)
+    assert sorted(map(tuple, got.collect()), key=repr) == by_hand(rows)
+    top = storage.shared_dir(spark).removeprefix("file://")
+    left = {d: os.path.join(top, d, "data") for d in set(os.listdir(top)) - before}
+    assert not [d for d in left if d.startswith(("distinct", "answers", "hot", "strings", "least")) and os.path.exists(left[d])]
+    assert not [f for d in left if d.startswith("pieces") for f in os.listdir(left[d]) if f.startswith("part")]
