@@ -34,13 +34,15 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0                
 #: Chunks kept with their ids in each Python worker, and tokens of these; a full table is emptied, so memory is bounded.
 CACHE_CHUNKS, CACHE_IDS = 200_000, 4_000_000
 #: States of the byte table kept in each Python worker; it starts anew beyond them.
-TABLE_STATES = 60_000
+TABLE_STATES = 120_000
+#: The byte table's rows grow by so many.
+ROWS = 1 << 14
 #: Longer chunks are encoded one by one and not kept.
 CACHE_CHARS = 64
 #: Words that walk the byte table together, and characters of texts that are encoded together.
 ABREAST, TOGETHER = 4096, 1 << 20
 #: Columns of the byte table grow by so many when bytes come up that it has none for.
-COLUMNS = 64
+COLUMNS = 16
 #: Settings of a vocabulary file that this reading of it holds for.
 READ = {"normalizer": None, "ignore_merges": False, "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "fuse_unk": False}
 
@@ -182,12 +184,12 @@ class Automaton:
         return found
 
     def _reset(self) -> None:
-        self._live: list[tuple] = [(-1, (0, 0))]  # by state: the token that ends the path, then places
-        self._number: dict[tuple, int] = {}
+        self._live: list[bytes] = [array("i", [-1, 0, 0]).tobytes()]  # by state: the token that ends the path, then places of two numbers each; as bytes, which take a fraction of the room of tuples
+        self._number: dict[bytes, int] = {}
         self._column = np.full(256, -1, np.int16)  # of a byte in the table; -1 if it hasn't come up
         self._columns = 0
-        self._table = np.full((1024, COLUMNS), -1, np.int32)  # the state after one more byte; -1 if it isn't known yet
-        self._last = np.full(1024, -1, np.int32)
+        self._table = np.full((ROWS, COLUMNS), -1, np.int32)  # the state after one more byte; -1 if it isn't known yet
+        self._last = np.full(ROWS, -1, np.int32)
 
     def _column_of(self, byte: int) -> int:
         if self._column[byte] < 0:
@@ -203,9 +205,9 @@ class Automaton:
         A state of the byte table holds the places where a token may have begun, each as the spelling since then and the
         automaton's state before it, and the token that ends the one accepted path so far.
         """
-        trie, live, last, places = self.trie, [-1], -1, iter(self._live[at])
-        next(places)
-        for node, state in places:
+        trie, live, last, places = self.trie, array("i", [-1]), -1, array("i", self._live[at])
+        for i in range(1, len(places), 2):
+            node, state = places[i], places[i + 1]
             below = trie.get((node << 8) | byte)
             if below is None:
                 continue
@@ -213,19 +215,21 @@ class Automaton:
             if token >= 0 and last < 0 and self.has(state, token):
                 last = token
             if self.node_inner[below]:
-                live.append((below, state))
+                live.append(below)
+                live.append(state)
         if last < 0:
             raise ValueError("the vocabulary does not cover every byte")
-        live.append((0, self.target[last]))
+        live.append(0)
+        live.append(self.target[last])
         live[0] = last
-        key = tuple(live)
+        key = live.tobytes()
         to = self._number.get(key)
         if to is None:
             to = self._number[key] = len(self._live)
             self._live.append(key)
             if to == len(self._last):
-                self._table = np.concatenate([self._table, np.full_like(self._table, -1)])
-                self._last = np.concatenate([self._last, np.full_like(self._last, -1)])
+                self._table = np.concatenate([self._table, np.full((ROWS, self._table.shape[1]), -1, np.int32)])
+                self._last = np.concatenate([self._last, np.full(ROWS, -1, np.int32)])
             self._last[to] = last
         self._table[at, self._column_of(byte)] = to
         return to
@@ -239,12 +243,12 @@ class Automaton:
             column = self._column[byte]
             to = self._table[at, column] if column >= 0 else -1
             at = int(to) if to >= 0 else self._step(at, byte)
-            ends.append(self._live[at][0])
+            ends.append(int(self._last[at]))
             if len(self._live) > 2 * TABLE_STATES:  # a very long word: start a new table from where it is
-                key = self._live[at]
+                key, last = self._live[at], self._last[at]
                 self._reset()
                 self._live.append(key)
-                self._last[1] = key[0]
+                self._last[1] = last
                 self._number[key] = at = 1
         out, place = [], len(word)
         while place:

@@ -91,3 +91,12 @@ def test_the_query_on_whole_tables(spark, library, tmp_path):
     assert got == sorted(want)
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert bpe.op7_bpe_codec(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_states_are_small(codec):
+    """States of the byte table are held as bytes, so that twice as many take no more room than tuples did."""
+    rng = random.Random(8)
+    codec.encode_all([" ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randrange(2, 12))) for _ in range(3000))])
+    states = codec.automaton._live
+    assert len(states) > 1000 and all(isinstance(s, bytes) for s in states)
+    assert sum(map(len, states)) / len(states) < 100
