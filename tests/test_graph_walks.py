@@ -95,3 +95,22 @@ def test_cheapest(spark, limits):
     notes, links, reason = G.cheapest(spark.createDataFrame(steps, "src string, dst string, link_type string, w double"), "n03", 2.5, spark, **limits)
     want = by_hand(steps, "n03", 2.5, **limits)
     assert {r["id"]: r["cost"] for r in notes.collect()} == want[0] and sorted(tuple(r) for r in links.collect()) == want[1] and reason == want[2]
+
+
+def test_long_rings_take_few_rounds(spark, monkeypatch):
+    """A ring leading into another at every second note, a tail before and after, and a third ring that a chord makes more than one cycle."""
+    n = 40
+    at = lambda c, k: f"{c}{k * 7 % n:03d}"
+    edges = [(at(c, k), at(c, (k + 1) % n)) for c in "xyz" for k in range(n)] + [(at("x", k), at("y", k)) for k in range(0, n, 2)] + [(at("y", 3), at("z", 0)), (at("z", 0), at("z", 30)), ("in", at("x", 5)), (at("z", 9), "out")]
+    rounds = []
+    monkeypatch.setattr(G, "written", lambda df, name, f=G.written: rounds.append(name) or f(df, name))
+    df = spark.createDataFrame(edges, "src string, dst string")
+    components = G.strong_components(df)
+    assert {(r["id"], r["component"]) for r in components.collect()} == {(at(c, k), f"{c}000") for c in "xyz" for k in range(n)}
+    assert rounds.count("ancestors") < n
+    rounds.clear()
+    rings = df.filter("substring(src, 1, 1) in ('x', 'y') and substring(dst, 1, 1) in ('x', 'y')")
+    cycles = {(r["component"], r["place"], r["id"]) for r in G.shortest_cycles(rings, components.filter("substring(id, 1, 1) < 'z'")).collect()}
+    assert cycles == {(f"{c}000", k, at(c, k)) for c in "xy" for k in range(n)}
+    assert len(rounds) < n
+    assert G.shortest_cycles(df, components).filter("component = 'z000'").count() == n - 29
