@@ -142,3 +142,17 @@ def test_rounds(spark, hot_over):
     left = {d: os.path.join(top, d, "data") for d in set(os.listdir(top)) - before}
     assert not [d for d in left if d.startswith(("distinct", "answers", "hot", "strings", "least")) and os.path.exists(left[d])]
     assert not [f for d in left if d.startswith("pieces") for f in os.listdir(left[d]) if f.startswith("part")]
+
+
+def test_cut_of_spans_that_touch_overlap_and_end_texts():
+    """Spans of several texts at once: out of order, nested, touching, at both ends; texts without any, and a slice of a batch."""
+    texts = [b"", b"abcdefghij", b"klmnopqrst", b"uvwxyz", b"0123456789"]
+    spans = [None, [(6, 10), (0, 2), (2, 4), (7, 8)], [], [(0, 6)], [(0, 3), (5, 6)]]
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    rows = [None if s is None else [{"start": a, "end": b} for a, b in s] for s in spans]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5), pa.int64()), pa.array(texts, pa.binary()), pa.array(rows, kind)], ["doc_id", "text", "spans"])
+    kept = [(0, 0, 0, b""), (10, 8, 2, b"ef"), (10, 0, 0, b"klmnopqrst"), (6, 6, 1, b""), (10, 4, 2, b"346789")]
+    want = [{"doc_id": i, "n_bytes": n, "n_removed": r, "n_spans": s, "kept_sha256": hashlib.sha256(k).hexdigest()} for i, (n, r, s, k) in enumerate(kept)]
+    assert next(runindex._cut(iter([batch]))).to_pylist() == want
+    assert next(runindex._cut(iter([batch.slice(1, 3)]))).to_pylist() == want[1:4]
+    assert next(runindex._cut(iter([batch.slice(0, 0)]))).to_pylist() == []
