@@ -1,5 +1,6 @@
 """Small literal cases of the note operators."""
 
+import math
 import os
 import random
 from datetime import datetime, timezone
@@ -317,6 +318,45 @@ def test_places_in_order(spark):
     assert [r["id"] for r in sorted(got, key=lambda r: r["place"])] == [i for _, i in sorted(rows)] and sorted(r["place"] for r in got) == list(range(1, 501))
 
 
+def shuffled_rows(spark, run):
+    """What run() gives, and how many rows the stages that it ran shuffled."""
+    sc = spark.sparkContext
+
+    def total():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = total()
+    return run(), total() - before
+
+
+@pytest.mark.parametrize("often", [1 << 19, 40])
+def test_similar_notes_shuffle_no_postings(spark, tmp_path, monkeypatch, often):
+    """Weights of all postings meet their terms' numbers where they are, but for rare terms; what is shuffled are sums by note and term."""
+    monkeypatch.setattr(M, "OFTEN", often)
+    rng = random.Random(7)
+    texts = {f"n{k:03}": rng.choices([f"w{i}" for i in range(150)], [1 / (i + 1) for i in range(150)], k=120) for k in range(200)} | {"none": []}
+    rows = [(n, t, 0, 0, ws.count(t)) for n, ws in texts.items() for t in sorted(set(ws))]
+    spark.createDataFrame(rows, "note_id string, term string, title long, tags long, body long").repartitionByRange(2, "term").write.parquet(str(tmp_path / "p"))
+    postings = spark.read.parquet(str(tmp_path / "p"))
+    df = {t: sum(r[1] == t for r in rows) for t in {r[1] for r in rows}}
+    raw = {n: {t: c * (math.log((len(texts) + 1) / (df[t] + 1)) + 1) for m, t, _, _, c in rows if m == n} for n in texts}
+    vec = {n: {t: w / math.sqrt(sum(x * x for x in v.values())) for t, w in v.items()} for n, v in raw.items()}
+    got = {}
+    for r in M.vectors(postings, len(texts)).collect():
+        got.setdefault(r["id"], {})[r["term"]] = r["w"]
+    assert got == {n: pytest.approx(v) for n, v in vec.items() if v}
+    dot = {n: sum(w * vec["n005"].get(t, 0.0) for t, w in v.items()) for n, v in vec.items() if n != "n005"}
+    found, moved = shuffled_rows(spark, lambda: M.similar_to(postings, len(texts), "n005", 0.3, 1000).collect())
+    assert {r["id"]: r["score"] for r in found} == {n: pytest.approx(x) for n, x in dot.items() if x >= 0.3} and len(found) > 10
+    if often > len(rows):
+        assert moved < len(rows) / 2
+    pair, moved = shuffled_rows(spark, lambda: M.cosines_to(M.vectors(postings, len(texts), ["n005", "n009"]), "n005").collect())
+    assert [r["score"] for r in pair] == [pytest.approx(dot["n009"])] and moved < len(rows) / 5
+    assert M.similar_to(postings, len(texts), "none", 0.0, 5).count() == M.similar_to(postings.limit(0), 1, "n005", 0.0, 5).count() == 0
+
+
 def test_near_duplicates_by_brute_force(spark):
     rng = random.Random(6)
     words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(120)]
