@@ -31,16 +31,25 @@ def words_of(text: str) -> list[str]:
     return [w for w in words if w] if "" in words else words
 
 
+#: Bytes of a batch that a task works on at once.
+PIECE_BYTES = 1 << 22
+
+
 def batches(fn, schema: str | T.StructType):
-    """fn(dict of column lists, rows) -> dict of column lists, as a function for mapInArrow."""
+    """fn(dict of column lists, rows) -> dict of column lists, as a function for mapInArrow. A batch is worked on in pieces of about PIECE_BYTES, so a worker holds the results of one piece only; what Arrow keeps of a batch that is done goes back to the system, since the worker lives on."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     to = to_arrow_schema(T._parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            out = fn({n: b.column(i) for i, n in enumerate(b.schema.names)}, b.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in to], schema=to)
+        for whole in it:
+            rows = max(1, whole.num_rows * PIECE_BYTES // max(whole.nbytes, 1))
+            for at in range(0, max(whole.num_rows, 1), rows):
+                b = whole.slice(at, rows)
+                out = fn({n: b.column(i) for i, n in enumerate(b.schema.names)}, b.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in to], schema=to)
+            whole = b = out = None
+            pa.default_memory_pool().release_unused()
 
     return run
 

@@ -1,10 +1,13 @@
 import hashlib
 import re
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import types as T
 
 from lattica.llm import secrets
+from lattica.llm.common import PIECE_BYTES, batches
 
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -115,3 +118,14 @@ def test_frames(spark):
     assert secrets.scan(docs.limit(0)).count() == 0
     again = secrets.redact_documents(spark.createDataFrame([(1, text, 5)], "doc_id long, text string, n_chars long"))
     assert again.columns == ["doc_id", "text", "n_chars"] and again.first()["n_chars"] == len('[ASSIGN]" and [HEX]')
+
+
+def test_batches_are_worked_on_in_pieces():
+    """However large a batch is, a worker holds the results of about PIECE_BYTES of it, and gives back what Arrow held."""
+    texts = [f"{i} " + "x" * 20_000 for i in range(2000)]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    seen, sizes = [], []
+    for b in batches(lambda cols, rows: {"text": [x.as_py() for x in cols["text"]]}, T.StructType().add("text", "string"))(iter([batch, batch.slice(0, 0)])):
+        seen += b.column(0).to_pylist()
+        sizes.append(b.nbytes)
+    assert seen == texts and max(sizes) <= 1.1 * PIECE_BYTES
