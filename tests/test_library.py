@@ -318,6 +318,20 @@ def test_places_in_order(spark):
     assert [r["id"] for r in sorted(got, key=lambda r: r["place"])] == [i for _, i in sorted(rows)] and sorted(r["place"] for r in got) == list(range(1, 501))
 
 
+def test_a_folder_is_read_by_few_tasks(spark, tmp_path):
+    """Many small files don't make a task for every few; each is a note once, whatever task reads it."""
+    for i in range(200):
+        (tmp_path / f"n{i}.md").write_text(f"---\nid: n{i}\ntitle: t\n---\nbody {i}")
+    opened = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # as if each file filled a task
+    try:
+        rows = markdown.scan(spark, str(tmp_path)).select("id", "body", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", opened)
+    assert {r["id"]: r["body"] for r in rows} == {f"n{i}": f"body {i}" for i in range(200)} and len(rows) == 200
+    assert len({r["task"] for r in rows}) <= markdown.TASKS * spark.sparkContext.defaultParallelism < 200
+
+
 def shuffled_rows(spark, run):
     """What run() gives, and how many rows the stages that it ran shuffled."""
     sc = spark.sparkContext
