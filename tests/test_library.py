@@ -167,6 +167,19 @@ def test_markdown_round_trip(spark, notes, tmp_path):
     assert back.filter("id = 'qp-1'").first()["body"] == "rust ownership and borrowing"
 
 
+def test_markdown_keeps_odd_titles(spark, tmp_path):
+    """A title may be empty, missing in its table, or hold letters that YAML refuses or folds; so may a body and tags be; a head without a title is an error still."""
+    odd = ["", None, " ", "\x7f\x85\u2028\ufeff", 'a: "b" # \\ c', "\t\x01\U0001f600", "null"]
+    notes = spark.createDataFrame([(f"qp-{i}", t, "moc", i or None, ["no", None, t], t and f"{t}\n---\n") for i, t in enumerate(odd)], "id string, title string, type string, value int, tags array<string>, body string")
+    files = notes.select(F.concat("id", F.lit(".md")).alias("path"), markdown.render(notes).alias("text"))
+    back = {r["id"]: r for r in markdown.parse(files).collect()}
+    assert {i: (r["title"], r["value"], r["tags"], r["body"], r["error"]) for i, r in back.items()} == {r["id"]: (r["title"], r["value"], r["tags"], r["body"], None) for r in notes.collect()}
+    for text, error in (("---\nid: a\n---\n", "id or title is missing"), ("---\nid: a\ntitle: b\n", "the head doesn't end"), ("---\nid: a\ntitle: b\nvalue: no\n---\n", "value is no whole number: False")):
+        assert markdown.parse_note("a", text)["error"] == error
+    read = markdown.parse_note("a", "---\nid: a\ntitle: 'b: c'\nlinks: [{type: supports, id: d}]\n---\nx")
+    assert (read["title"], read["links"], read["body"]) == ("b: c", [{"type": "supports", "id": "d"}], "x")
+
+
 def test_pack_round_trip(spark, notes, tmp_path):
     edges = spark.createDataFrame([("qp-1", "qp-2", "supports", False, 0)], "src string, dst string, link_type string, inline boolean, position int")
     pack.write(notes, edges, str(tmp_path / "p"))
