@@ -419,3 +419,13 @@ def test_large_metadata_by_size(spark):
     assert {(r["note_id"], r["detail"]) for r in Q.large_metadata(sizes).collect()} == {("b", "10241"), ("c", str(1 << 40))}
     texts = spark.createDataFrame([("a", "é" * 5120), ("b", "é" * 5121)], "id string, custom string")
     assert [(r["note_id"], r["detail"]) for r in Q.large_metadata(texts).collect()] == [("b", "10242")]
+
+
+def test_capitals_letter_by_letter(spark):
+    """Capitals are those of SQL, a letter each, also where Unicode's full mapping gives more."""
+    duckdb = pytest.importorskip("duckdb")
+    newer = (0x19B, 0x264, 0x1C8A)  # their capitals came with Unicode 16, which DuckDB doesn't know
+    texts = ["größe é ŉ ﬁ ᾳ σς", "", None, "plain", "ß", *(chr(c) for c in range(0x80, 0x2000) if c not in newer)]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", X.upper(F.col("t")).alias("u"))
+    con = duckdb.connect()
+    assert {r["i"]: r["u"] for r in got.collect()} == {i: con.execute("SELECT upper(?::VARCHAR)", [t]).fetchone()[0] for i, t in enumerate(texts)}
