@@ -429,3 +429,20 @@ def test_capitals_letter_by_letter(spark):
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", X.upper(F.col("t")).alias("u"))
     con = duckdb.connect()
     assert {r["i"]: r["u"] for r in got.collect()} == {i: con.execute("SELECT upper(?::VARCHAR)", [t]).fetchone()[0] for i, t in enumerate(texts)}
+
+
+def test_near_duplicates_shuffle_no_pairs(spark, tmp_path, monkeypatch):
+    """Candidates stay in the task that finds them: what is shuffled grows with the postings, not with the pairs; blocks of a few notes give what all pairs give."""
+    monkeypatch.setattr(M, "TERMS_AT_ONCE", 200, raising=False)
+    rng = random.Random(9)
+    texts = {f"n{k}": [*rng.choices("abcdef", k=8), f"x{k % 7}", f"y{k}", f"z{k}"] for k in range(260)}
+    rows = [(n, t, 0, 0, ws.count(t)) for n, ws in texts.items() for t in sorted(set(ws))]
+    spark.createDataFrame(rows, "note_id string, term string, title long, tags long, body long").write.parquet(str(tmp_path / "p"))
+    postings = spark.read.parquet(str(tmp_path / "p"))
+    df = {t: sum(r[1] == t for r in rows) for t in {r[1] for r in rows}}
+    raw = {n: {t: ws.count(t) * (math.log((len(texts) + 1) / (df[t] + 1)) + 1) for t in set(ws)} for n, ws in texts.items()}
+    norm = {n: math.sqrt(sum(x * x for x in v.values())) for n, v in raw.items()}
+    want = {(a, b): sum(x * raw[b].get(t, 0.0) for t, x in raw[a].items()) / norm[a] / norm[b] for a in texts for b in texts if a < b}
+    found, moved = shuffled_rows(spark, lambda: M.near_duplicates(postings, len(texts), 0.1).collect())
+    assert {(r["id_a"], r["id_b"]): r["score"] for r in found} == {k: pytest.approx(x) for k, x in want.items() if x >= 0.1}
+    assert moved < 4 * len(rows) < len(found)
