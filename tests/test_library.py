@@ -446,3 +446,22 @@ def test_near_duplicates_shuffle_no_pairs(spark, tmp_path, monkeypatch):
     found, moved = shuffled_rows(spark, lambda: M.near_duplicates(postings, len(texts), 0.1).collect())
     assert {(r["id_a"], r["id_b"]): r["score"] for r in found} == {k: pytest.approx(x) for k, x in want.items() if x >= 0.1}
     assert moved < 4 * len(rows) < len(found)
+
+
+def test_a_folder_is_listed_by_tasks(spark, tmp_path):
+    """The driver holds no list of files: Spark's own index of them isn't made. Files lie in many folders; others, hidden ones and folders below are as Spark reads them."""
+    notes = spark.createDataFrame([(f"n-{i}", f"t{i}", "moc", None, [], f"b{i}") for i in range(300)], "id string, title string, type string, value int, tags array<string>, body string")
+    written = markdown.write(notes, str(tmp_path)).collect()
+    (tmp_path / "a b%20").mkdir()
+    (tmp_path / "a b%20" / "z é.md").write_bytes(b"---\nid: z\ntitle: \xc3\xa9\n---\n\xffx")
+    (tmp_path / "_hidden").mkdir()
+    for name in ("_hidden/a.md", ".b.md", "_c.md", "d.txt", "e.markdown"):
+        (tmp_path / name).write_text("---\nid: no\ntitle: no\n---\n")
+    raw = markdown.scan_raw(spark, str(tmp_path))
+    assert not any(p.endswith(".md") for p in raw.inputFiles())
+    back = {r["id"]: (r["title"], r["body"]) for r in markdown.scan(spark, str(tmp_path)).collect()}
+    assert back == {f"n-{i}": (f"t{i}", f"b{i}") for i in range(300)} | {"z": ("é", "�x")}
+    assert {r["path"] for r in written} <= {r["path"] for r in raw.collect()} and len({r["path"].rsplit("/", 2)[1] for r in written}) > 100
+    assert markdown.scan(spark, str(tmp_path / "_hidden" / "..")).count() == 301
+    (tmp_path / "none").mkdir()
+    assert markdown.scan(spark, str(tmp_path / "none")).count() == 0
